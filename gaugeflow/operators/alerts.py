@@ -250,6 +250,7 @@ def apply_threshold_changes(thresholds: DataFrame, log: DataFrame) -> tuple[Data
     alive = F.col("born").isNotNull() & (F.col("ord") > F.col("born")) & (F.col("died").isNull() | (F.col("ord") <= F.col("died")))
     outcome = (
         F.when((F.col("op") == "create") & (F.coalesce("topic_name", F.lit("")) == ""), F.lit("topic_name is required"))
+        .when((F.col("op") == "create") & (F.col("ord") > F.col("born")), F.lit("threshold exists"))
         .when(F.col("op") == "create", F.lit("ok"))
         .when(~F.coalesce(alive, F.lit(False)), F.lit("threshold not found"))
         .when((F.col("op") == "update") & F.col("min_value").isNull() & F.col("max_value").isNull(), F.lit("a bound is required"))

@@ -5,7 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gaugeflow.operators.series import scan_series, statistics
-from gaugeflow.plans import series_queries  # noqa: F401
+from gaugeflow.plans import (  # noqa: F401
+    knowledge_queries,
+    learner_queries,
+    live_queries,
+    series_queries,
+    storage_queries,
+)
 from gaugeflow.plans.registry import ORACLES, QUERIES  # noqa: F401
 from gaugeflow.plans.standins import readings
 

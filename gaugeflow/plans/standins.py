@@ -190,9 +190,9 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def query_vector(spark: SparkSession, sf_dir: str) -> F.Column:
-    """Embedding of the first vector, as a scalar subquery."""
-    return table(spark, sf_dir, "embeddings").filter("vec_id = 0").select("embedding").scalar()
+def query_vector(spark: SparkSession, sf_dir: str) -> list[float]:
+    """Embedding of the first vector; a search takes its query as plain numbers."""
+    return list(table(spark, sf_dir, "embeddings").filter("vec_id = 0").select("embedding").first()[0])
 
 
 _THRESHOLD_VALUES = ", ".join(
@@ -267,3 +267,96 @@ def with_views(sql: str, *names: str) -> str:
     if body.upper().startswith("WITH "):
         return f"WITH {views}, {body[len('WITH '):]}"
     return f"WITH {views} {body}"
+
+# --- derived SQL tables: payload fields and alert episodes -------------------
+
+SQL_VIEWS["fields"] = """SELECT *, CASE
+      WHEN category = 'numeric' AND NOT regexp_matches(lower(key), 'id|time|stamp|date|count|index') THEN
+        greatest(0.0::DOUBLE, 0.5::DOUBLE
+          + CASE WHEN regexp_matches(lower(key), 'value|reading|measurement|level|amount|data|temperature|pressure|humidity|voltage|current|power|speed|flow|rate|count|percent|ratio|index|concentration|density|weight|mass|force|torque|ph|dissolved|viability|impedance|confluence') THEN 0.4::DOUBLE ELSE 0 END
+          + CASE WHEN num BETWEEN -10000 AND 100000 THEN 0.2::DOUBLE ELSE 0 END
+          + CASE WHEN num BETWEEN 0 AND 1000 THEN 0.1::DOUBLE ELSE 0 END
+          - CASE WHEN regexp_matches(lower(key), 'id|time|stamp|date|version|count|index|key|hash') THEN 0.3::DOUBLE ELSE 0 END)
+      WHEN category = 'identifier' THEN 0.3::DOUBLE
+          + CASE WHEN regexp_matches(lower(key), 'id|device|equipment|node|unit|sensor|machine|name|label|tag|serial|address|handle|ref') THEN 0.5::DOUBLE ELSE 0 END
+          + CASE WHEN length(str) <= 30 AND regexp_matches(regexp_replace(str, '[_-]', '', 'g'), '^[A-Za-z0-9]+$') THEN 0.3::DOUBLE ELSE 0 END
+          + CASE WHEN regexp_matches(str, '[0-9]') THEN 0.2::DOUBLE ELSE 0 END
+      WHEN category = 'description' THEN 0.2::DOUBLE + CASE WHEN regexp_matches(lower(key), 'type|kind|category|class|name') THEN 0.3::DOUBLE ELSE 0 END
+      END AS score
+    FROM (SELECT *, CASE WHEN num IS NOT NULL THEN 'numeric' WHEN type = 'OBJECT' THEN 'object' WHEN type = 'ARRAY' THEN 'array'
+        WHEN type = 'NULL' THEN NULL
+        WHEN regexp_matches(lower(key), 'id|device|equipment|node|unit|machine')
+          OR (length(str) <= 20 AND (regexp_matches(str, '^[A-Za-z0-9]+$') OR contains(str, '_'))) THEN 'identifier'
+        WHEN length(str) > 10 AND regexp_matches(str, '[TZ:+-]') THEN 'datetime' ELSE 'description' END AS category
+      FROM (SELECT m.msg_id, m.topic, m.ingest_ts, row_number() OVER (PARTITION BY m.msg_id ORDER BY j.id) - 1 AS pos, j.key, j.type,
+          CASE WHEN j.type = 'BOOLEAN' THEN CASE WHEN CAST(j.value AS VARCHAR) = 'true' THEN 1.0 ELSE 0.0 END
+               WHEN j.type IN ('DOUBLE', 'UBIGINT', 'BIGINT') THEN CAST(CAST(j.value AS VARCHAR) AS DOUBLE) END AS num,
+          CASE WHEN j.type = 'VARCHAR' THEN j.value ->> '$' END AS str,
+          CASE WHEN j.type = 'VARCHAR' THEN j.value ->> '$' WHEN j.type = 'NULL' THEN 'None' ELSE CAST(j.value AS VARCHAR) END AS text
+        FROM mixed_messages m, json_each(m.payload) j))"""
+
+SQL_VIEWS["picked"] = """SELECT msg_id, any_value(topic) AS topic, any_value(ingest_ts) AS ingest_ts, string_split(any_value(topic), '/') AS parts,
+    count(*) AS n_fields,
+    first(str ORDER BY score DESC, pos) FILTER (category = 'identifier') AS best_id,
+    first(str ORDER BY score DESC, pos) FILTER (category = 'description') AS best_description,
+    first(key ORDER BY score DESC, pos) FILTER (category = 'numeric' AND score IS NOT NULL) AS best_key,
+    first(num ORDER BY score DESC, pos) FILTER (category = 'numeric' AND score IS NOT NULL) AS best_num,
+    first(num ORDER BY pos) FILTER (category = 'numeric') AS any_num,
+    first(str ORDER BY pos) FILTER (category = 'description') AS any_text,
+    first(str ORDER BY pos) FILTER (str IS NOT NULL AND regexp_matches(lower(key), 'status|state|health|condition')) AS given_status,
+    first(text ORDER BY pos) FILTER (regexp_matches(lower(key), 'unit|uom|dimension|scale')) AS unit_like,
+    first(str ORDER BY pos) FILTER (str IS NOT NULL AND regexp_matches(lower(key), 'type|kind|category|class')) AS type_like,
+    last(num ORDER BY pos) FILTER (num IS NOT NULL AND regexp_matches(lower(key), 'min|lower|low')) AS low,
+    last(num ORDER BY pos) FILTER (num IS NOT NULL AND NOT regexp_matches(lower(key), 'min|lower|low') AND regexp_matches(lower(key), 'max|upper|high|limit')) AS high,
+    first(str ORDER BY pos) FILTER (str IS NOT NULL AND regexp_matches(lower(key), 'time|stamp|date') AND length(str) > 10 AND regexp_matches(str, '[TZ:+-]')) AS time_text,
+    any_value(str) FILTER (key = 'unit' AND str <> '') AS exact_unit, any_value(str) FILTER (key = 'field') AS field_name
+    FROM fields GROUP BY msg_id"""
+
+SQL_VIEWS["named"] = """SELECT *, len(parts) AS depth,
+    list_filter(list_transform(range(1, len(parts)), lambda i: CASE WHEN regexp_matches(parts[i + 1], '^[0-9]+$')
+      OR (length(parts[i + 1]) <= 10 AND regexp_matches(replace(parts[i + 1], '_', ''), '^[A-Za-z0-9]+$')) THEN parts[i] || '_' || parts[i + 1] END),
+      lambda x: x IS NOT NULL)[1] AS pair,
+    (regexp_matches(parts[-1], '^[0-9]+$') OR (length(parts[-1]) <= 10 AND regexp_matches(replace(parts[-1], '_', ''), '^[A-Za-z0-9]+$'))) AS leaf_is_id
+    FROM picked"""
+
+SQL_VIEWS["learned"] = """SELECT *, coalesce(best_num, any_num) AS value_num, CASE WHEN best_num IS NULL AND any_num IS NULL THEN any_text END AS value_str,
+    CASE WHEN depth = 3 THEN parts[1] || '_' || parts[2] WHEN depth >= 2 AND pair IS NOT NULL THEN pair
+      WHEN regexp_matches(best_id, '^[0-9]+$') THEN parts[1] || '_' || best_id WHEN best_id IS NOT NULL THEN best_id
+      WHEN depth >= 2 THEN parts[1] || '_' || parts[2] ELSE parts[1] END AS equipment_id,
+    CASE WHEN depth = 3 THEN parts[3] WHEN parts[-1] <> '' AND NOT leaf_is_id THEN parts[-1]
+      WHEN leaf_is_id AND depth > 1 AND parts[-2] <> '' THEN parts[-2] ELSE coalesce(best_description, best_key, 'sensor') END AS sensor_type
+    FROM named"""
+
+SQL_VIEWS["indexed"] = """SELECT project_id, topic_name, min(ord) AS ord, last(sensor_type ORDER BY ord) AS sensor_type,
+    last(min_value ORDER BY ord) AS min_value, last(max_value ORDER BY ord) AS max_value, last(enabled ORDER BY ord) AS enabled
+    FROM thresholds GROUP BY project_id, topic_name"""
+
+SQL_VIEWS["evaluated"] = """SELECT *, CASE WHEN value < min_value THEN 'min' WHEN value > max_value THEN 'max' END AS kind FROM (
+    SELECT r.project_id, r.equipment_id, r.sensor_type, r.topic, r.ts, r.msg_id, r.value, t.min_value, t.max_value, t.enabled
+    FROM readings r JOIN indexed t ON t.project_id = r.project_id AND (t.topic_name = r.topic OR ends_with(r.topic, '/' || t.sensor_type))
+    QUALIFY row_number() OVER (PARTITION BY r.msg_id ORDER BY t.ord) = 1) WHERE enabled"""
+
+SQL_VIEWS["episodes"] = """SELECT project_id, equipment_id, sensor_type, topic, kind AS threshold_type, breaches, opened_at, opened_value, threshold_value,
+      "timestamp", current_value, resolved_at, resolved_msg_id,
+      project_id || '_' || equipment_id || '_' || sensor_type || '_' || kind AS alert_id,
+      CASE WHEN abs(opened_value - threshold_value) > threshold_value * 0.2::DOUBLE THEN 'critical' ELSE 'warning' END AS severity,
+      upper(sensor_type[1]) || sensor_type[2:] || ' is ' || CASE WHEN kind = 'max' THEN 'above' ELSE 'below' END || ' threshold: '
+        || printf('%.2f', opened_value) || ' (threshold: ' || printf('%.2f', threshold_value) || ')' AS message, resolved_at IS NOT NULL AS resolved
+    FROM (SELECT project_id, equipment_id, sensor_type, topic, kind, count(*) AS breaches, min(ts) AS opened_at, arg_min(value, msg_id) AS opened_value,
+        arg_min(CASE WHEN kind = 'min' THEN min_value ELSE max_value END, msg_id) AS threshold_value, max(ts) AS "timestamp",
+        arg_max(value, msg_id) AS current_value, any_value(closing_ts) AS resolved_at, any_value(closing_id) AS resolved_msg_id
+      FROM (SELECT *, min(ts) FILTER (kind IS NULL) OVER (PARTITION BY project_id, equipment_id, sensor_type, topic, run) AS closing_ts,
+          min(msg_id) FILTER (kind IS NULL) OVER (PARTITION BY project_id, equipment_id, sensor_type, topic, run) AS closing_id
+        FROM (SELECT *, coalesce(sum(CASE WHEN kind IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY project_id, equipment_id, sensor_type, topic
+            ORDER BY ts, msg_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run FROM evaluated))
+      WHERE kind IS NOT NULL GROUP BY project_id, equipment_id, sensor_type, topic, run, kind)"""
+
+_NEEDS.update(
+    fields=["mixed_messages"],
+    picked=["mixed_messages", "fields"],
+    named=["mixed_messages", "fields", "picked"],
+    learned=["mixed_messages", "fields", "picked", "named"],
+    indexed=["readings", "thresholds"],
+    evaluated=["readings", "thresholds", "indexed"],
+    episodes=["readings", "thresholds", "indexed", "evaluated"],
+)
