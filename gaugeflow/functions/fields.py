@@ -10,6 +10,8 @@ counts as an id-like key (it contains ``id``) and ``flow`` as a lower bound.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, functions as F
 
 from gaugeflow.functions.topics import as_col
@@ -33,16 +35,22 @@ SENSOR_TYPE_KEYS = "type kind category class".split()
 TIME_KEYS = "time stamp date".split()
 
 
-def key_contains(key: Column, words: list[str]) -> Column:
-    """True where the lower-cased key contains one of the words."""
+def key_contains(key: Column, words: list[str], lowered: bool = False) -> Column:
+    """True where the lower-cased key contains one of the words.
+
+    ``lowered`` says that the key is in lower case already; plain substring
+    tests are then the fastest form.
+    """
+    if lowered:
+        return reduce(Column.__or__, [key.contains(w) for w in words])
     return F.lower(key).rlike("|".join(words))
 
 
-def looks_like_identifier(key, value) -> Column:
+def looks_like_identifier(key, value, lowered: bool = False) -> Column:
     """Id-like key, or a short text that is alphanumeric or has an underscore."""
     key, value = as_col(key), as_col(value)
-    short = (F.length(value) <= 20) & (value.rlike(r"^[\p{L}\p{N}]+$") | value.contains("_"))
-    return F.coalesce(key_contains(key, ID_KEYS) | F.coalesce(short, F.lit(False)), F.lit(False))
+    short = (F.length(value) <= 20) & (value.contains("_") | value.rlike(r"^[\p{L}\p{N}]+$"))
+    return F.coalesce(key_contains(key, ID_KEYS, lowered) | F.coalesce(short, F.lit(False)), F.lit(False))
 
 
 def looks_like_datetime(value) -> Column:
@@ -50,30 +58,30 @@ def looks_like_datetime(value) -> Column:
     return F.coalesce((F.length(value) > 10) & value.rlike(r"[TZ:+\-]"), F.lit(False))
 
 
-def is_id_or_time_key(key) -> Column:
-    return key_contains(as_col(key), ID_OR_TIME_KEYS)
+def is_id_or_time_key(key, lowered: bool = False) -> Column:
+    return key_contains(as_col(key), ID_OR_TIME_KEYS, lowered)
 
 
 def _bonus(condition: Column, points: float) -> Column:
     return F.when(condition, F.lit(points)).otherwise(F.lit(0.0))
 
 
-def main_value_score(key, number) -> Column:
+def main_value_score(key, number, lowered: bool = False) -> Column:
     key, number = as_col(key), as_col(number)
     score = (
         F.lit(0.5)
-        + _bonus(key_contains(key, VALUE_KEYS), 0.4)
+        + _bonus(key_contains(key, VALUE_KEYS, lowered), 0.4)
         + _bonus(number.between(-10000, 100000), 0.2)
         + _bonus(number.between(0, 1000), 0.1)
-        - _bonus(key_contains(key, NOT_VALUE_KEYS), 0.3)
+        - _bonus(key_contains(key, NOT_VALUE_KEYS, lowered), 0.3)
     )
     return F.greatest(F.lit(0.0), score)
 
 
-def identifier_score(key, text=None, number=None) -> Column:
+def identifier_score(key, text=None, number=None, lowered: bool = False) -> Column:
     """Score as an identifier; give ``text`` for strings, ``number`` for integers."""
     key = as_col(key)
-    score = F.lit(0.3) + _bonus(key_contains(key, ID_SCORE_KEYS), 0.5)
+    score = F.lit(0.3) + _bonus(key_contains(key, ID_SCORE_KEYS, lowered), 0.5)
     if text is not None:
         text = as_col(text)
         bare = F.regexp_replace(text, "[_-]", "")
@@ -84,8 +92,8 @@ def identifier_score(key, text=None, number=None) -> Column:
     return score
 
 
-def description_score(key) -> Column:
-    return F.lit(0.2) + _bonus(key_contains(as_col(key), DESCRIPTION_KEYS), 0.3)
+def description_score(key, lowered: bool = False) -> Column:
+    return F.lit(0.2) + _bonus(key_contains(as_col(key), DESCRIPTION_KEYS, lowered), 0.3)
 
 
 def parse_payload(payload) -> Column:
@@ -111,12 +119,11 @@ def payload_entries(parsed: Column) -> Column:
     return F.when(F.size(unique) == F.size(keys), entries).otherwise(merged)
 
 
-def variant_kind(value: Column) -> Column:
-    """``number, boolean, string, object, array`` or ``null`` of a variant."""
-    name = F.schema_of_variant(value)
+def kind_of_type(name: Column) -> Column:
+    """``number, boolean, string, object, array`` or ``null`` from the type text of a variant."""
     return (
-        F.when(name.rlike("^(BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL)"), F.lit("number"))
-        .when(name == "STRING", F.lit("string"))
+        F.when(name == "STRING", F.lit("string"))
+        .when(name.startswith("DECIMAL") | name.startswith("BIGINT") | name.startswith("DOUBLE") | name.startswith("FLOAT"), F.lit("number"))
         .when(name == "BOOLEAN", F.lit("boolean"))
         .when(name.startswith("OBJECT"), F.lit("object"))
         .when(name.startswith("ARRAY"), F.lit("array"))
@@ -124,33 +131,54 @@ def variant_kind(value: Column) -> Column:
     )
 
 
+def variant_kind(value: Column) -> Column:
+    return kind_of_type(F.schema_of_variant(value))
+
+
+def value_text(kind: Column, value: Column) -> Column:
+    """Printed form of any payload value."""
+    text = F.try_variant_get(value, "$", "string")
+    return F.when(kind == "null", F.lit("None")).when(kind == "boolean", F.initcap(text)).otherwise(text)
+
+
 def typed_fields(entries) -> Column:
-    """``array<struct<pos,key,kind,num,str,text>>`` from the payload entries.
+    """``array<struct<pos,key,lowered,kind,num,str,value>>`` from the payload entries.
 
     ``num`` is set for numbers and booleans (true counts as 1), ``str`` for
-    strings, ``text`` is the printed form of any value.
+    strings, ``value`` is the variant itself. Each step is a transform of its
+    own so that what it computes is computed once.
     """
 
-    def typed(entry: Column, pos: Column) -> Column:
+    def name_type(entry: Column, pos: Column) -> Column:
         return F.struct(
-            pos.alias("pos"), entry["key"].alias("key"), variant_kind(entry["value"]).alias("kind"), entry["value"].alias("v")
+            pos.alias("pos"),
+            entry["key"].alias("key"),
+            F.lower(entry["key"]).alias("lowered"),
+            F.schema_of_variant(entry["value"]).alias("type"),
+            entry["value"].alias("value"),
         )
 
-    def valued(f: Column) -> Column:
+    def name_kind(f: Column) -> Column:
+        return keep(f, "pos", "key", "lowered", "value", kind=kind_of_type(f["type"]))
+
+    def read(f: Column) -> Column:
         kind = f["kind"]
-        text = F.try_variant_get(f["v"], "$", "string")
-        return F.struct(
-            f["pos"].alias("pos"),
-            f["key"].alias("key"),
-            kind.alias("kind"),
-            F.when(kind == "number", F.try_variant_get(f["v"], "$", "double"))
-            .when(kind == "boolean", F.when(F.try_variant_get(f["v"], "$", "boolean"), F.lit(1.0)).otherwise(F.lit(0.0)))
-            .alias("num"),
-            F.when(kind == "string", text).alias("str"),
-            F.when(kind == "null", F.lit("None")).when(kind == "boolean", F.initcap(text)).otherwise(text).alias("text"),
+        truth = F.when(F.try_variant_get(f["value"], "$", "boolean"), F.lit(1.0)).otherwise(F.lit(0.0))
+        return keep(
+            f, "pos", "key", "lowered", "kind", "value",
+            num=F.when(kind == "number", F.try_variant_get(f["value"], "$", "double")).when(kind == "boolean", truth),
+            str=F.when(kind == "string", F.try_variant_get(f["value"], "$", "string")),
         )
 
-    return F.transform(F.transform(as_col(entries), typed), valued)
+    return F.transform(F.transform(F.transform(as_col(entries), name_type), name_kind), read)
+
+
+def keep(f: Column, *names: str, **more: Column) -> Column:
+    """A struct with some members of another one and additional ones."""
+    return F.struct(*[f[n].alias(n) for n in names], *[c.alias(n) for n, c in more.items()])
+
+
+BASE_FIELDS = ("pos", "key", "lowered", "kind", "value", "num", "str")
 
 
 def classify_fields(fields) -> Column:
@@ -165,46 +193,71 @@ def classify_fields(fields) -> Column:
     def classify(f: Column) -> Column:
         category = (
             F.when(f["num"].isNotNull(), F.lit("numeric"))
-            .when(f["kind"].isin("object", "array"), f["kind"])
-            .when(f["kind"] == "null", F.lit(None).cast("string"))
-            .when(looks_like_identifier(f["key"], f["str"]), F.lit("identifier"))
+            .when(f["str"].isNull(), F.when(f["kind"] != "null", f["kind"]))
+            .when(looks_like_identifier(f["lowered"], f["str"], True), F.lit("identifier"))
             .when(looks_like_datetime(f["str"]), F.lit("datetime"))
             .otherwise(F.lit("description"))
         )
-        return F.struct(
-            *[f[n].alias(n) for n in ("pos", "key", "kind", "num", "str", "text")], category.alias("category")
-        )
+        return keep(f, *BASE_FIELDS, category=category)
 
     def score(f: Column) -> Column:
         points = (
-            F.when((f["category"] == "numeric") & ~is_id_or_time_key(f["key"]), main_value_score(f["key"], f["num"]))
-            .when(f["category"] == "identifier", identifier_score(f["key"], text=f["str"]))
-            .when(f["category"] == "description", description_score(f["key"]))
-        )
-        return F.struct(
-            *[f[n].alias(n) for n in ("pos", "key", "kind", "num", "str", "text", "category")], points.alias("score")
+            F.when(f["category"] == "numeric", F.when(~is_id_or_time_key(f["lowered"], True), main_value_score(f["lowered"], f["num"], True)))
+            .when(f["category"] == "identifier", identifier_score(f["lowered"], text=f["str"], lowered=True))
+            .when(f["category"] == "description", description_score(f["lowered"], True))
         )
+        return keep(f, *BASE_FIELDS, "category", score=points)
 
     return F.transform(F.transform(as_col(fields), classify), score)
 
 
-def best_field(fields: Column, category: str) -> Column:
-    """Best scored field of a category as ``struct<score,rank,key,num,str>``; ties go to the first."""
-    candidates = F.filter(fields, lambda f: (f["category"] == category) & f["score"].isNotNull())
-    return F.array_max(
-        F.transform(
-            candidates,
-            lambda f: F.struct(
-                f["score"].alias("score"), (-f["pos"]).alias("rank"), f["key"].alias("key"), f["num"].alias("num"), f["str"].alias("str")
-            ),
-        )
-    )
+FIELD_TYPE = "struct<pos:int,key:string,lowered:string,kind:string,value:variant,num:double,str:string,category:string,score:double>"
+FOUND_TYPE = {
+    **{n: FIELD_TYPE for n in ("numeric", "identifier", "description", "any_numeric", "any_description", "unit")},
+    **{n: "string" for n in ("status", "sensor_type", "time_text")},
+    **{n: "double" for n in ("min_value", "max_value")},
+}
+
+
+def scan_fields(fields) -> Column:
+    """One pass over the classified fields that keeps what the readings need.
+
+    The best candidate of each category (ties go to the first), the first
+    number and description, the first status, unit, type and time entries and
+    the last range bounds. Slots that are filled already are not tested again.
+    """
+
+    def step(acc: Column, f: Column) -> Column:
+        def best(category: str) -> Column:
+            won = (f["category"] == category) & (f["score"] > F.coalesce(acc[category]["score"], F.lit(-1.0)))
+            return F.when(won, f).otherwise(acc[category])
+
+        def first(name: str, condition: Column, value: Column = f) -> Column:
+            return F.when(acc[name].isNotNull(), acc[name]).when(condition, value)
+
+        def has(words: list[str]) -> Column:
+            return key_contains(f["lowered"], words, True)
+
+        text, number = f["str"].isNotNull(), f["num"].isNotNull()
+        slots = {
+            "numeric": best("numeric"),
+            "identifier": best("identifier"),
+            "description": best("description"),
+            "any_numeric": first("any_numeric", number),
+            "any_description": first("any_description", f["category"] == "description"),
+            "unit": first("unit", has(UNIT_KEYS)),
+            "status": first("status", text & has(STATUS_KEYS), f["str"]),
+            "sensor_type": first("sensor_type", text & has(SENSOR_TYPE_KEYS), f["str"]),
+            "time_text": first("time_text", text & has(TIME_KEYS) & looks_like_datetime(f["str"]), f["str"]),
+            "min_value": F.when(number & has(MIN_KEYS), f["num"]).otherwise(acc["min_value"]),
+            "max_value": F.when(number & has(MAX_KEYS) & ~has(MIN_KEYS), f["num"]).otherwise(acc["max_value"]),
+        }
+        return F.struct(*[slots[n].alias(n) for n in FOUND_TYPE])
+
+    start = F.struct(*[F.lit(None).cast(t).alias(n) for n, t in FOUND_TYPE.items()])
+    return F.aggregate(as_col(fields), start, step)
 
 
 def first_field(fields: Column, condition) -> Column:
     """First field that meets the condition, NULL if none does."""
     return F.try_element_at(F.filter(fields, condition), F.lit(1))
-
-
-def last_field(fields: Column, condition) -> Column:
-    return F.try_element_at(F.filter(fields, condition), F.lit(-1))

@@ -1,52 +1,41 @@
-"""Column functions that derive a normalized reading from topic and payload fields."""
+"""Column functions that derive a normalized reading from topic and payload fields.
+
+``found`` is the result of ``scan_fields`` and ``fields`` the classified
+fields it was made from.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from gaugeflow.functions.fields import (
-    MAX_KEYS,
-    MIN_KEYS,
-    SENSOR_TYPE_KEYS,
-    STATUS_KEYS,
-    TIME_KEYS,
-    UNIT_KEYS,
-    best_field,
-    first_field,
-    key_contains,
-    last_field,
-    looks_like_datetime,
-)
+from gaugeflow.functions.fields import first_field, value_text, variant_kind
 from gaugeflow.functions.topics import as_col, looks_like_topic_identifier
 
 
-def equipment_id(parts, fields) -> Column:
+def equipment_id(parts, found) -> Column:
     """Equipment a message stands for.
 
     Three-level topics name it in the first two levels. Otherwise the first
     id-like level after the root, then the best identifier in the payload, then
     the first levels of the topic.
     """
-    parts, fields = as_col(parts), as_col(fields)
+    parts, found = as_col(parts), as_col(found)
     depth = F.size(parts)
-    pairs = F.zip_with(F.slice(parts, 1, depth - 1), F.slice(parts, 2, depth), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    pair = F.try_element_at(
-        F.filter(F.filter(pairs, lambda p: p["b"].isNotNull()), lambda p: looks_like_topic_identifier(p["b"])), F.lit(1)
+    # the level before an id-like level, joined with it; the root has none before it
+    pairs = F.transform(
+        parts, lambda part, i: F.when((i > 0) & looks_like_topic_identifier(part), F.concat_ws("_", F.get(parts, i - 1), part))
     )
-    best = best_field(fields, "identifier")["str"]
+    pair = F.try_element_at(F.filter(pairs, lambda p: p.isNotNull()), F.lit(1))
+    best = found["identifier"]["str"]
     leading = F.concat_ws("_", F.slice(parts, 1, 2))
-    return (
-        F.when(depth == 3, leading)
-        .when((depth >= 2) & pair.isNotNull(), F.concat_ws("_", pair["a"], pair["b"]))
-        .when(best.rlike(r"^\p{Nd}+$"), F.concat_ws("_", parts[0], best))
-        .when(best.isNotNull(), best)
-        .otherwise(leading)
+    return F.when(depth == 3, leading).otherwise(
+        F.coalesce(pair, F.when(best.rlike(r"^\p{Nd}+$"), F.concat_ws("_", parts[0], best)), best, leading)
     )
 
 
-def sensor_type(parts, fields) -> Column:
+def sensor_type(parts, found) -> Column:
     """What a message measures: topic levels first, then the payload."""
-    parts, fields = as_col(parts), as_col(fields)
+    parts, found = as_col(parts), as_col(found)
     leaf = F.element_at(parts, -1)
     second_last = F.try_element_at(parts, F.lit(-2))
     leaf_is_id = looks_like_topic_identifier(leaf)
@@ -54,98 +43,88 @@ def sensor_type(parts, fields) -> Column:
         F.when(F.size(parts) == 3, leaf)
         .when((leaf != "") & ~leaf_is_id, leaf)
         .when(leaf_is_id & (F.coalesce(second_last, F.lit("")) != ""), second_last)
-        .otherwise(
-            F.coalesce(best_field(fields, "description")["str"], best_field(fields, "numeric")["key"], F.lit("sensor"))
-        )
+        .otherwise(F.coalesce(found["description"]["str"], found["numeric"]["key"], F.lit("sensor")))
     )
 
 
-def main_value(fields) -> Column:
-    """``struct<kind,num,str,text>`` of the value to show.
+def main_value(fields, found) -> Column:
+    """The variant to show.
 
     Best scored number, else any number, else the first text that is neither
     an identifier nor a date, else the first field.
     """
-    fields = as_col(fields)
+    found = as_col(found)
+    return F.coalesce(
+        found["numeric"]["value"],
+        found["any_numeric"]["value"],
+        found["any_description"]["value"],
+        F.try_element_at(as_col(fields), F.lit(1))["value"],
+    )
 
-    def as_value(f: Column) -> Column:
-        return F.struct(f["kind"].alias("kind"), f["num"].alias("num"), f["str"].alias("str"), f["text"].alias("text"))
 
-    best = best_field(fields, "numeric")
-    chosen = F.coalesce(
-        first_field(fields, lambda f: f["pos"] == -best["rank"]),
-        first_field(fields, lambda f: f["category"] == "numeric"),
-        first_field(fields, lambda f: f["category"] == "description"),
-        F.try_element_at(fields, F.lit(1)),
+def typed_value(value) -> Column:
+    """``struct<kind,num,str,text>`` of a variant."""
+    value = as_col(value)
+    kind = variant_kind(value)
+    truth = F.when(F.try_variant_get(value, "$", "boolean"), F.lit(1.0)).otherwise(F.lit(0.0))
+    return F.when(
+        value.isNotNull(),
+        F.struct(
+            kind.alias("kind"),
+            F.when(kind == "number", F.try_variant_get(value, "$", "double")).when(kind == "boolean", truth).alias("num"),
+            F.when(kind == "string", F.try_variant_get(value, "$", "string")).alias("str"),
+            value_text(kind, value).alias("text"),
+        ),
     )
-    return F.when(chosen.isNotNull(), as_value(chosen))
 
 
-def infer_status(fields, value_num) -> Column:
-    fields, number = as_col(fields), as_col(value_num)
-    explicit = first_field(fields, lambda f: f["str"].isNotNull() & key_contains(f["key"], STATUS_KEYS))["str"]
+def infer_status(found, value_num) -> Column:
+    number = as_col(value_num)
     return F.coalesce(
-        explicit,
+        as_col(found)["status"],
         F.when(number < 0, F.lit("error")).when(number == 0, F.lit("idle")).when(number > 0, F.lit("active")),
         F.lit("unknown"),
     )
 
 
-def extract_metadata(fields) -> Column:
+def extract_metadata(fields, found) -> Column:
     """``struct<unit,min_value,max_value,sensor_type,objects>``.
 
     Minimum is tested before maximum and the last match counts. An object
     field with the same name replaces the extracted entry.
     """
-    fields = as_col(fields)
+    fields, found = as_col(fields), as_col(found)
     objects = F.filter(fields, lambda f: f["kind"] == "object")
 
+    def printed(f: Column) -> Column:
+        return F.try_variant_get(f["value"], "$", "string")
+
     def replaced(name: str) -> Column:
         return first_field(objects, lambda f: f["key"] == name)
 
-    def is_min(f: Column) -> Column:
-        return f["num"].isNotNull() & key_contains(f["key"], MIN_KEYS)
-
-    def is_max(f: Column) -> Column:
-        return f["num"].isNotNull() & ~key_contains(f["key"], MIN_KEYS) & key_contains(f["key"], MAX_KEYS)
-
-    def kept(name: str, value: Column) -> Column:
-        return F.when(replaced(name).isNull(), value)
-
-    unit = first_field(fields, lambda f: key_contains(f["key"], UNIT_KEYS))["text"]
-    kind = first_field(fields, lambda f: f["str"].isNotNull() & key_contains(f["key"], SENSOR_TYPE_KEYS))["str"]
     return F.struct(
-        F.coalesce(replaced("unit")["text"], unit).alias("unit"),
-        kept("min_value", last_field(fields, is_min)["num"]).alias("min_value"),
-        kept("max_value", last_field(fields, is_max)["num"]).alias("max_value"),
-        F.coalesce(replaced("sensor_type")["text"], kind).alias("sensor_type"),
-        F.map_from_arrays(
-            F.transform(objects, lambda f: f["key"]), F.transform(objects, lambda f: f["text"])
-        ).alias("objects"),
+        F.coalesce(printed(replaced("unit")), value_text(found["unit"]["kind"], found["unit"]["value"])).alias("unit"),
+        F.when(replaced("min_value").isNull(), found["min_value"]).alias("min_value"),
+        F.when(replaced("max_value").isNull(), found["max_value"]).alias("max_value"),
+        F.coalesce(printed(replaced("sensor_type")), found["sensor_type"]).alias("sensor_type"),
+        F.map_from_arrays(F.transform(objects, lambda f: f["key"]), F.transform(objects, printed)).alias("objects"),
     )
 
 
-def payload_timestamp(fields) -> Column:
-    """Text of the first time-like field that holds a date text, NULL if none does."""
-    return first_field(
-        as_col(fields),
-        lambda f: f["str"].isNotNull() & key_contains(f["key"], TIME_KEYS) & looks_like_datetime(f["str"]),
-    )["str"]
+def confidence(parts, fields, found, equipment, sensor) -> Column:
+    depth, found = F.size(as_col(parts)), as_col(found)
 
+    def points(condition: Column, n: float) -> Column:
+        return F.when(condition, F.lit(n)).otherwise(F.lit(0.0))
 
-def confidence(parts, fields, equipment, sensor) -> Column:
-    parts, fields = as_col(parts), as_col(fields)
-    depth = F.size(parts)
-    has_value = F.exists(fields, lambda f: (f["category"] == "numeric") & f["score"].isNotNull())
-    has_identifier = F.exists(fields, lambda f: F.coalesce(f["category"] == "identifier", F.lit(False)))
     score = (
         F.lit(0.5)
         + F.when(depth >= 3, F.lit(0.2)).when(depth == 2, F.lit(0.1)).otherwise(F.lit(0.0))
-        + F.when(F.size(fields) >= 3, F.lit(0.1)).otherwise(F.lit(0.0))
-        + F.when(has_value, F.lit(0.1)).otherwise(F.lit(0.0))
-        + F.when(has_identifier, F.lit(0.1)).otherwise(F.lit(0.0))
-        - F.when(as_col(equipment) == "device_unknown", F.lit(0.2)).otherwise(F.lit(0.0))
-        - F.when(as_col(sensor) == "sensor", F.lit(0.1)).otherwise(F.lit(0.0))
+        + points(F.size(as_col(fields)) >= 3, 0.1)
+        + points(found["numeric"].isNotNull(), 0.1)
+        + points(found["identifier"].isNotNull(), 0.1)
+        - points(as_col(equipment) == "device_unknown", 0.2)
+        - points(as_col(sensor) == "sensor", 0.1)
     )
     return F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.1), score)), 6)
 
@@ -154,12 +133,13 @@ def reading_unit(fields) -> Column:
     """Unit of the payload, else the last ``_`` token of its ``field`` entry, else empty."""
     fields = as_col(fields)
     unit = first_field(fields, lambda f: f["key"] == "unit")
-    given = F.when(
-        (unit["kind"] == "string") & (unit["str"] != "") | (unit["num"] != 0) | unit["kind"].isin("object", "array"),
-        unit["text"],
-    )
+    filled = ((unit["kind"] == "string") & (unit["str"] != "")) | (unit["num"] != 0) | unit["kind"].isin("object", "array")
     name = first_field(fields, lambda f: f["key"] == "field")["str"]
-    return F.coalesce(given, F.when(name.contains("_"), F.element_at(F.split(name, "_"), -1)), F.lit(""))
+    return F.coalesce(
+        F.when(filled, value_text(unit["kind"], unit["value"])),
+        F.when(name.contains("_"), F.element_at(F.split(name, "_"), -1)),
+        F.lit(""),
+    )
 
 
 def leading_number(text) -> Column:
@@ -174,11 +154,8 @@ def to_numeric(kind, num, text) -> Column:
     kind, num, text = as_col(kind), as_col(num), as_col(text)
 
     def first_number(values: Column) -> Column:
-        numbers = F.filter(
-            F.transform(values, lambda v: F.when(variant_is_number(v), F.try_variant_get(v, "$", "double"))),
-            lambda n: n.isNotNull(),
-        )
-        return F.try_element_at(numbers, F.lit(1))
+        numbers = F.filter(values, lambda v: variant_kind(v) == "number")
+        return F.try_variant_get(F.try_element_at(numbers, F.lit(1)), "$", "double")
 
     return F.coalesce(
         F.when(kind == "number", num)
@@ -189,10 +166,6 @@ def to_numeric(kind, num, text) -> Column:
     )
 
 
-def variant_is_number(value: Column) -> Column:
-    return F.schema_of_variant(value).rlike("^(BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL)")
-
-
 def range_status(value, low, high) -> Column:
     """``alarm`` in the outer 5 % of the range, ``warning`` in the outer 15 %, else ``normal``.
 

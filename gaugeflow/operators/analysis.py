@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from gaugeflow.functions import fields as P
 from gaugeflow.functions import readings as R
-from gaugeflow.functions.topics import parse_topic, topic_pattern_regex
+from gaugeflow.functions.topics import topic_parts, topic_pattern_regex
 
 
 def filter_topics(messages: DataFrame, pattern: str | None) -> DataFrame:
@@ -22,20 +22,38 @@ def split_dead_letters(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good, dead
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spreads a small input over the free cores; an input with enough partitions stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def with_fields(messages: DataFrame) -> DataFrame:
-    """Adds ``parts`` and the classified ``fields``; messages without an object payload drop out."""
+    """Adds topic ``parts``, the classified ``fields`` and what a scan ``found`` in them.
+
+    Messages without an object payload drop out. They do so in a generator and
+    not in a filter, which would be pushed down and parse every payload twice.
+    """
+    parsed = F.array_compact(F.array(P.parse_payload("payload")))
     return (
-        messages.withColumn("_parsed", P.parse_payload("payload"))
-        .filter(F.col("_parsed").isNotNull())
+        messages.withColumn("_parsed", F.explode(parsed))
         .withColumn("fields", P.classify_fields(P.typed_fields(P.payload_entries(F.col("_parsed")))))
-        .withColumn("topic_info", parse_topic("topic"))
+        .withColumn("found", P.scan_fields("fields"))
+        .withColumn("parts", topic_parts("topic"))
         .drop("_parsed")
     )
 
 
 def payload_fields(messages: DataFrame) -> DataFrame:
     """One row per payload field with its category and score."""
-    return with_fields(messages).select("msg_id", "topic", F.explode("fields").alias("f")).select("msg_id", "topic", "f.*")
+    f = F.col("f")
+    return (
+        with_fields(messages)
+        .select("msg_id", "topic", F.explode("fields").alias("f"))
+        .select(
+            "msg_id", "topic", "f.pos", "f.key", "f.kind", "f.num", "f.str", P.value_text(f["kind"], f["value"]).alias("text"), "f.category", "f.score"
+        )
+    )
 
 
 def analyze_messages(messages: DataFrame) -> DataFrame:
@@ -43,33 +61,30 @@ def analyze_messages(messages: DataFrame) -> DataFrame:
 
     A pure projection: no shuffle and no Python. Extra columns pass through.
     """
-    parts = F.col("topic_info.parts")
-    base = with_fields(messages)
-    derived = (
-        base.withColumn("equipment_id", R.equipment_id(parts, "fields"))
-        .withColumn("sensor_type", R.sensor_type(parts, "fields"))
-        .withColumn("value", R.main_value("fields"))
-        .withColumn("metadata", R.extract_metadata("fields"))
-        .withColumn("reading_unit", R.reading_unit("fields"))
-        .withColumn("timestamp_text", R.payload_timestamp("fields"))
-    )
-    return (
-        derived.withColumn("value_kind", F.col("value.kind"))
-        .withColumn("value_num", F.col("value.num"))
-        .withColumn("value_str", F.col("value.str"))
-        .withColumn("value_json", F.when(F.col("value.kind").isin("object", "array"), F.col("value.text")))
-        .withColumn("status", R.infer_status("fields", "value.num"))
-        .withColumn("confidence", R.confidence(parts, "fields", "equipment_id", "sensor_type"))
-        .withColumn("unit", F.coalesce(F.col("metadata.unit"), F.lit("")))
-        .withColumn("display_name", F.trim(F.concat_ws(" ", "equipment_id", "sensor_type")))
-        .withColumn(
-            "event_ts",
-            F.coalesce(
-                F.try_to_timestamp("timestamp_text").cast("timestamp_ntz"), F.col("ingest_ts").cast("timestamp_ntz")
-            ),
-        )
-        .drop("fields", "topic_info", "value")
+    derived = with_fields(messages).withColumns(
+        {
+            "equipment_id": R.equipment_id("parts", "found"),
+            "sensor_type": R.sensor_type("parts", "found"),
+            "value": R.typed_value(R.main_value("fields", "found")),
+            "metadata": R.extract_metadata("fields", "found"),
+            "reading_unit": R.reading_unit("fields"),
+            "timestamp_text": F.col("found.time_text"),
+        }
     )
+    event_ts = F.try_to_timestamp("timestamp_text").cast("timestamp_ntz")
+    return derived.withColumns(
+        {
+            "value_kind": F.col("value.kind"),
+            "value_num": F.col("value.num"),
+            "value_str": F.col("value.str"),
+            "value_json": F.when(F.col("value.kind").isin("object", "array"), F.col("value.text")),
+            "status": R.infer_status("found", "value.num"),
+            "confidence": R.confidence("parts", "fields", "found", "equipment_id", "sensor_type"),
+            "unit": F.coalesce(F.col("metadata.unit"), F.lit("")),
+            "display_name": F.trim(F.concat_ws(" ", "equipment_id", "sensor_type")),
+            "event_ts": F.coalesce(event_ts, F.col("ingest_ts").cast("timestamp_ntz")),
+        }
+    ).drop("fields", "found", "parts", "value")
 
 
 def fallback_record(messages: DataFrame) -> DataFrame:

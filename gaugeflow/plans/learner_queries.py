@@ -101,31 +101,31 @@ def _(spark, d):
 
 @query("equipment_id", "learned", sql="SELECT msg_id, equipment_id FROM learned")
 def _(spark, d):
-    return with_fields(mixed_messages(spark, d)).select("msg_id", R.equipment_id(F.col("topic_info.parts"), "fields").alias("equipment_id"))
+    return with_fields(mixed_messages(spark, d)).select("msg_id", R.equipment_id("parts", "found").alias("equipment_id"))
 
 
 @query("sensor_type", "learned", sql="SELECT msg_id, sensor_type FROM learned")
 def _(spark, d):
-    return with_fields(mixed_messages(spark, d)).select("msg_id", R.sensor_type(F.col("topic_info.parts"), "fields").alias("sensor_type"))
+    return with_fields(mixed_messages(spark, d)).select("msg_id", R.sensor_type("parts", "found").alias("sensor_type"))
 
 
 @query("main_value", "learned", sql="SELECT msg_id, value_num, value_str FROM learned")
 def _(spark, d):
-    rows = with_fields(mixed_messages(spark, d)).select("msg_id", R.main_value("fields").alias("v"))
+    rows = with_fields(mixed_messages(spark, d)).select("msg_id", R.typed_value(R.main_value("fields", "found")).alias("v"))
     return rows.select("msg_id", F.col("v.num").alias("value_num"), F.col("v.str").alias("value_str"))
 
 
 @query("infer_status", "learned", sql="""SELECT msg_id, coalesce(given_status, CASE WHEN value_num < 0 THEN 'error' WHEN value_num = 0 THEN 'idle'
     WHEN value_num > 0 THEN 'active' END, 'unknown') AS status FROM learned""")
 def _(spark, d):
-    rows = with_fields(mixed_messages(spark, d)).withColumn("v", R.main_value("fields"))
-    return rows.select("msg_id", R.infer_status("fields", "v.num").alias("status"))
+    rows = with_fields(mixed_messages(spark, d)).withColumn("v", R.typed_value(R.main_value("fields", "found")))
+    return rows.select("msg_id", R.infer_status("found", "v.num").alias("status"))
 
 
 @query("extract_metadata", "learned", sql="""SELECT msg_id, unit_like AS unit, low AS min_value, high AS max_value, type_like AS sensor_type,
     (SELECT string_agg(key || '=' || replace(text, '.0}', '}'), ';') FROM fields f WHERE f.msg_id = l.msg_id AND f.type = 'OBJECT') AS objects FROM learned l""")
 def _(spark, d):
-    rows = with_fields(mixed_messages(spark, d)).select("msg_id", R.extract_metadata("fields").alias("m"))
+    rows = with_fields(mixed_messages(spark, d)).select("msg_id", R.extract_metadata("fields", "found").alias("m"))
     printed = F.array_join(F.transform(F.map_entries("m.objects"), lambda e: F.concat_ws("=", e["key"], e["value"])), ";")
     return rows.select("msg_id", "m.unit", "m.min_value", "m.max_value", "m.sensor_type", F.when(printed != "", printed).alias("objects"))
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from gaugeflow.operators.analysis import spread
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
@@ -54,7 +56,7 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit('","cell_id":'), F.col("user_id").cast("string"),
         F.lit(',"field":"'), F.col("event_type"), F.lit('_mM","min_val":0,"max_val":500}'),
     )
-    return table(spark, sf_dir, "events").select(
+    return spread(table(spark, sf_dir, "events")).select(
         F.col("event_id").alias("msg_id"),
         F.concat(F.lit("p"), (F.col("user_id") % 3).cast("string")).alias("project_id"),
         F.concat(F.lit("cell/"), F.col("user_id").cast("string"), F.lit("/"), F.col("event_type")).alias("topic"),
@@ -102,7 +104,7 @@ def mixed_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
                  ',"note":null,"moving":true,"offset":-', v, "}")
         )
     )
-    return table(spark, sf_dir, "events").select(
+    return spread(table(spark, sf_dir, "events")).select(
         F.col("event_id").alias("msg_id"), topic.alias("topic"), payload.alias("payload"), F.col("ts").alias("ingest_ts")
     )
 
