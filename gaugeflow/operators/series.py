@@ -314,9 +314,10 @@ def align_by_bucket(readings: DataFrame, x: str, y: str, interval: str, by=("cel
 def correlation(readings: DataFrame, x: str, y: str, interval: str, by=("cell_id",)) -> DataFrame:
     """Coefficient, covariance and number of aligned buckets; NULL for a constant sensor."""
     pairs = align_by_bucket(readings, x, y, interval, by)
-    constant = (F.stddev_pop("x") == 0) | (F.stddev_pop("y") == 0)
+    # the corr aggregate fails on a constant side in ANSI mode; the quotient gives NULL there
+    spread = F.nullif(F.stddev_pop("x") * F.stddev_pop("y"), F.lit(0.0))
     return pairs.groupBy(*by).agg(
-        F.when(~constant, F.corr("x", "y")).alias("coefficient"),
+        (F.covar_pop("x", "y") / spread).alias("coefficient"),
         F.covar_pop("x", "y").alias("covariance"),
         F.count(F.lit(1)).alias("data_point_count"),
     )
