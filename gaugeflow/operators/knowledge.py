@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.ml.feature import BucketedRandomProjectionLSH, HashingTF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Window as W
 
 from gaugeflow.functions.documents import (
     CHUNK_OVERLAP,
@@ -40,8 +42,6 @@ def chunk_documents(elements: DataFrame, size: int = CHUNK_SIZE, overlap: int =
     ``chunk_index`` runs over the elements of a document. Only the number of
     chunks per element is shuffled to number them; texts are split in place.
     """
-    from pyspark.sql import Window as W
-
     split = elements.withColumn("_chunks", chunk_texts("text", size, overlap))
     earlier = W.partitionBy("doc_id").orderBy("element_no").rowsBetween(W.unboundedPreceding, -1)
     offsets = (
@@ -146,25 +146,18 @@ def hierarchical_search(index: DataFrame, query: list[float], project: str, equi
     A level takes part only while the levels before it found fewer than ``k``.
     Without an equipment, or when no level finds anything, all chunks of the
     project are searched. Every level is a distributed top-k whose filter
-    reaches the scan; the level rules then look at no more than ``3*k`` rows.
+    reaches the scan; the level rules then look at no more than ``4*k`` rows.
     """
     levels = ["sensor", "equipment", "general"] if equipment and sensor else ["equipment", "general"] if equipment else []
     broad = vector_topk(index, query, project, k).withColumn("affiliation_level", affiliation_level("equipment_id", "sensor_type"))
     if not levels:
         return dedupe_and_rank(broad, k)
-    found = None
-    for level in levels:
-        rows = affiliation_search(index, query, project, level, equipment, sensor, k)
-        found = rows if found is None else found.unionByName(rows)
-    sizes = found.agg(*[F.count_if(F.col("affiliation_level") == l).alias(l) for l in levels])
-    totals = {l: sizes.select(l).scalar() for l in levels}
-    reached = F.lit(0)
-    allowed = F.lit(False)
-    for level in levels:
-        allowed = allowed | ((F.col("affiliation_level") == level) & (reached < k))
-        reached = reached + totals[level]
-    fallback = broad.filter(reached == 0)
-    return dedupe_and_rank(found.filter(allowed).unionByName(fallback), k)
+    stages = [affiliation_search(index, query, project, level, equipment, sensor, k) for level in levels]
+    staged = reduce(DataFrame.unionByName, [df.withColumn("_stage", F.lit(i)) for i, df in enumerate([*stages, broad])])
+    # at most k rows per stage come here, so this window over all of them stays tiny
+    before = F.count(F.lit(1)).over(W.orderBy("_stage").rangeBetween(W.unboundedPreceding, -1))
+    wanted = F.when(F.col("_stage") < len(levels), F.col("_before") < k).otherwise(F.col("_before") == 0)
+    return dedupe_and_rank(staged.withColumn("_before", before).filter(wanted).drop("_stage", "_before"), k)
 
 
 def dedupe_and_rank(results: DataFrame, k: int) -> DataFrame:
