@@ -11,6 +11,7 @@ from gaugeflow.plans import (  # noqa: F401
     live_queries,
     series_queries,
     storage_queries,
+    stream_queries,
 )
 from gaugeflow.plans.registry import ORACLES, QUERIES  # noqa: F401
 from gaugeflow.plans.standins import readings

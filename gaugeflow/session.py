@@ -8,6 +8,9 @@ import tempfile
 from pyspark.sql import SparkSession
 
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def build_session(master: str = "local[*]", app: str = "gaugeflow", shuffle_partitions: int | None = None) -> SparkSession:
     """A session with adaptive execution, skew handling and UTC time.
 
@@ -21,10 +24,7 @@ def build_session(master: str = "local[*]", app: str = "gaugeflow", shuffle_part
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-        .config(
-            "spark.sql.streaming.stateStore.providerClass",
-            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-        )
+        .config("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
         .config("spark.ui.enabled", "false")
     )
     if shuffle_partitions:
@@ -36,15 +36,20 @@ def build_session(master: str = "local[*]", app: str = "gaugeflow", shuffle_part
     return spark
 
 
+_LOCAL_FOLDERS: dict[str, str] = {}
+
+
 def work_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below the cluster's shared checkpoint folder.
 
     The shared folder is the one named by ``spark.checkpoint.dir``. Only where
-    it is unset (local runs and tests) a local temporary folder is made and
-    recorded in the session, so that later calls agree on it.
+    it is unset (local runs and tests) a local temporary folder is made, once
+    per application.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="gaugeflow-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        app = spark.sparkContext.applicationId
+        if app not in _LOCAL_FOLDERS:
+            _LOCAL_FOLDERS[app] = tempfile.mkdtemp(prefix="gaugeflow-")
+        base = _LOCAL_FOLDERS[app]
     return f"{base.rstrip('/')}/{purpose}-{os.urandom(6).hex()}"

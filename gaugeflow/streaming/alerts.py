@@ -7,19 +7,18 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from gaugeflow.functions.topics import topic_leaf
 from gaugeflow.operators.alerts import ALERT_KEY, evaluate_breach, finish_alerts, index_thresholds
 
 KINDS = ("min", "max")
-SLOTS = ("opened_at timestamp", "opened_value double", "threshold_value double", "timestamp timestamp", "current_value double")
+# Only numbers and one packed key cross to Python: times are microseconds and kinds are 0 (normal), 1 (min), 2 (max).
+NAMES = ("opened_at", "opened_value", "threshold_value", "timestamp", "current_value")
+SLOTS = ("opened_at long", "opened_value double", "threshold_value double", "timestamp long", "current_value double")
 STATE_SCHEMA = ", ".join(f"{k}_{slot}" for k in KINDS for slot in SLOTS)
-EVENT_SCHEMA = (
-    "project_id string, equipment_id string, sensor_type string, topic string, event string, threshold_type string, opened_at timestamp, "
-    "opened_value double, threshold_value double, timestamp timestamp, current_value double, resolved_at timestamp"
-)
-NAMES = [s.split()[0] for s in SLOTS]
+EVENT_SCHEMA = f"packed string, kind int, {', '.join(SLOTS)}, resolved_at long"
+KEY_SCHEMA = ", ".join(f"{name} string" for name in ALERT_KEY)
 
 
 def evaluate_stream(readings: DataFrame, thresholds: DataFrame) -> DataFrame:
@@ -46,86 +45,83 @@ def evaluate_stream(readings: DataFrame, thresholds: DataFrame) -> DataFrame:
     return matched.select(*ALERT_KEY, "ts", "msg_id", "value", "kind", bound.alias("threshold_value"))
 
 
-class AlertProcessor(StatefulProcessor):
-    """Keeps the open alert of each kind per key and emits opened and resolved events.
+def update_alerts(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Opened and resolved events of one key; its open alerts are the state.
 
     The rows of one key in a batch are put in time order; the batch size is
     bounded by the limits of the source.
     """
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("open", STATE_SCHEMA)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows)).sort_values(["ts", "msg_id"])
-        carried = dict.fromkeys(KINDS)
-        if self.state.exists():
-            saved = self.state.get()
-            for i, k in enumerate(KINDS):
-                slot = saved[i * len(NAMES) : (i + 1) * len(NAMES)]
-                carried[k] = None if slot[0] is None else list(slot)
-        events, carried = advance(pdf, carried)
-        if any(carried.values()):
-            self.state.update(tuple(v for k in KINDS for v in (carried[k] or [None] * len(NAMES))))
-        elif self.state.exists():
-            self.state.clear()
-        if events:
-            out = pd.DataFrame(events, columns=["event", "threshold_type", *NAMES, "resolved_at"])
-            for name, value in zip(ALERT_KEY, key):
-                out.insert(0, name, value)
-            out = out[[c.split()[0] for c in EVENT_SCHEMA.split(", ")]]
-            for c in ("opened_at", "timestamp", "resolved_at"):
-                out[c] = pd.to_datetime(out[c])
-            yield out
-
-    def close(self) -> None:
-        pass
-
-
-def advance(pdf: pd.DataFrame, carried: dict) -> tuple[list, dict]:
+    rows = list(parts)
+    pdf = rows[0] if len(rows) == 1 else pd.concat(rows)
+    columns = {c: pdf[c].to_numpy() for c in ("at", "msg_id", "value", "kind", "threshold_value")}
+    order = np.lexsort((columns["msg_id"], columns["at"]))
+    saved = state.get if state.exists else (None,) * (len(KINDS) * len(NAMES))
+    slots = [saved[i * len(NAMES) : (i + 1) * len(NAMES)] for i in range(len(KINDS))]
+    carried = {k + 1: None if pd.isna(slot[0]) else list(slot) for k, slot in enumerate(slots)}
+    events, carried = advance({c: v[order] for c, v in columns.items()}, carried)
+    if any(carried.values()):
+        state.update(tuple(v for k in carried for v in (carried[k] or [None] * len(NAMES))))
+    elif state.exists:
+        state.remove()
+    if events:
+        out = pd.DataFrame(events, columns=["kind", *NAMES, "resolved_at"])
+        out.insert(0, "packed", key[0])
+        yield out.astype({"resolved_at": "Int64"})
+
+
+def advance(columns: dict, carried: dict) -> tuple[list, dict]:
     """Events of one key's ordered rows and the alerts left open after them.
 
-    Works on runs between normal readings, not row by row.
+    Works on runs between normal readings, not row by row. An event with a
+    closing time is a resolution, one without is an opening.
     """
-    kind = pdf["kind"].to_numpy(dtype=object)
-    normal = pd.isna(kind)
+    kind, at, value, bound = (columns[c] for c in ("kind", "at", "value", "threshold_value"))
+    normal = kind == 0
     run = np.cumsum(normal) - normal
     closings = np.flatnonzero(normal)
-    ts, value, bound = (pdf[c].tolist() for c in ("ts", "value", "threshold_value"))
-    last_run = len(closings)
     events, left = [], {}
-    for k in KINDS:
-        hits = np.flatnonzero(kind == k)
+    for k in carried:
         open_runs = {0: carried[k]} if carried[k] else {}
-        firsts = {}
+        hits = np.flatnonzero(kind == k)
         if len(hits):
-            numbers, at = np.unique(run[hits], return_index=True)
-            ends = np.append(at[1:], len(hits)) - 1
-            firsts = {int(r): (int(hits[a]), int(hits[e])) for r, a, e in zip(numbers, at, ends)}
-        for r, (a, e) in firsts.items():
-            slot = open_runs.get(r)
-            if slot is None:
-                slot = [ts[a], value[a], bound[a], None, None]
-                events.append((a, ["opened", k, ts[a], value[a], bound[a], ts[a], value[a], None]))
-            open_runs[r] = [*slot[:3], ts[e], value[e]]
+            numbers, first = np.unique(run[hits], return_index=True)
+            final = np.append(first[1:], len(hits)) - 1
+            for r, a, e in zip(numbers.tolist(), hits[first].tolist(), hits[final].tolist()):
+                slot = open_runs.get(r)
+                if slot is None:
+                    slot = [int(at[a]), float(value[a]), float(bound[a])]
+                    events.append((a, [k, *slot, int(at[a]), float(value[a]), None]))
+                open_runs[r] = [*slot[:3], int(at[e]), float(value[e])]
         for r, slot in open_runs.items():
-            if r < last_run:
-                at = int(closings[r])
-                events.append((at, ["resolved", k, *slot, ts[at]]))
+            if r < len(closings):
+                closing = int(closings[r])
+                events.append((closing, [k, *slot, int(at[closing])]))
             else:
                 left[k] = slot
     events.sort(key=lambda e: e[0])
-    return [e for _, e in events], {k: left.get(k) for k in KINDS}
+    return [e for _, e in events], {k: left.get(k) for k in carried}
 
 
 def alert_stream(readings: DataFrame, thresholds: DataFrame) -> DataFrame:
-    """Opened and resolved alert events of a stream of readings (append mode, RocksDB state)."""
-    events = (
-        evaluate_stream(readings, thresholds)
-        .groupBy(*ALERT_KEY)
-        .transformWithStateInPandas(AlertProcessor(), EVENT_SCHEMA, "Append", "None")
+    """Opened and resolved alert events of a stream of readings (append mode).
+
+    A key's rows of one batch meet in one task, so give the source a limit
+    (``maxFilesPerTrigger`` or ``maxBytesPerTrigger``).
+    """
+    kind = F.when(F.col("kind") == "min", 1).when(F.col("kind") == "max", 2).otherwise(0)
+    numeric = evaluate_stream(readings, thresholds).select(
+        F.to_json(F.struct(*ALERT_KEY)).alias("packed"), F.unix_micros("ts").alias("at"), "msg_id", "value", kind.alias("kind"), "threshold_value"
+    )
+    events = numeric.groupBy("packed").applyInPandasWithState(update_alerts, EVENT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+    times = ("opened_at", "timestamp", "resolved_at")
+    return finish_alerts(
+        events.select(
+            F.from_json("packed", KEY_SCHEMA).alias("key"),
+            F.when(F.col("resolved_at").isNull(), F.lit("opened")).otherwise(F.lit("resolved")).alias("event"),
+            F.when(F.col("kind") == 1, F.lit("min")).otherwise(F.lit("max")).alias("threshold_type"),
+            *[F.timestamp_micros(n).alias(n) if n in times else F.col(n) for n in (*NAMES, "resolved_at")],
+        ).select("key.*", "event", "threshold_type", *NAMES, "resolved_at")
     )
-    return finish_alerts(events)
 
 
 def emit_alert_events(readings: DataFrame, thresholds: DataFrame, path: str, checkpoint: str, **trigger):
