@@ -119,11 +119,15 @@ def payload_entries(parsed: Column) -> Column:
     return F.when(F.size(unique) == F.size(keys), entries).otherwise(merged)
 
 
+def is_number_type(name: Column) -> Column:
+    return name.startswith("DECIMAL") | name.startswith("BIGINT") | name.startswith("DOUBLE") | name.startswith("FLOAT")
+
+
 def kind_of_type(name: Column) -> Column:
     """``number, boolean, string, object, array`` or ``null`` from the type text of a variant."""
     return (
         F.when(name == "STRING", F.lit("string"))
-        .when(name.startswith("DECIMAL") | name.startswith("BIGINT") | name.startswith("DOUBLE") | name.startswith("FLOAT"), F.lit("number"))
+        .when(is_number_type(name), F.lit("number"))
         .when(name == "BOOLEAN", F.lit("boolean"))
         .when(name.startswith("OBJECT"), F.lit("object"))
         .when(name.startswith("ARRAY"), F.lit("array"))
@@ -145,8 +149,9 @@ def typed_fields(entries) -> Column:
     """``array<struct<pos,key,lowered,kind,num,str,value>>`` from the payload entries.
 
     ``num`` is set for numbers and booleans (true counts as 1), ``str`` for
-    strings, ``value`` is the variant itself. Each step is a transform of its
-    own so that what it computes is computed once.
+    strings, ``value`` is the variant itself. The type text is taken in a
+    transform of its own, so that it is made once; further steps would each
+    copy every field.
     """
 
     def name_type(entry: Column, pos: Column) -> Column:
@@ -158,19 +163,17 @@ def typed_fields(entries) -> Column:
             entry["value"].alias("value"),
         )
 
-    def name_kind(f: Column) -> Column:
-        return keep(f, "pos", "key", "lowered", "value", kind=kind_of_type(f["type"]))
-
     def read(f: Column) -> Column:
-        kind = f["kind"]
-        truth = F.when(F.try_variant_get(f["value"], "$", "boolean"), F.lit(1.0)).otherwise(F.lit(0.0))
+        name, value = f["type"], f["value"]
+        truth = F.when(F.try_variant_get(value, "$", "boolean"), F.lit(1.0)).otherwise(F.lit(0.0))
         return keep(
-            f, "pos", "key", "lowered", "kind", "value",
-            num=F.when(kind == "number", F.try_variant_get(f["value"], "$", "double")).when(kind == "boolean", truth),
-            str=F.when(kind == "string", F.try_variant_get(f["value"], "$", "string")),
+            f, "pos", "key", "lowered", "value",
+            kind=kind_of_type(name),
+            num=F.when(is_number_type(name), F.try_variant_get(value, "$", "double")).when(name == "BOOLEAN", truth),
+            str=F.when(name == "STRING", F.try_variant_get(value, "$", "string")),
         )
 
-    return F.transform(F.transform(F.transform(as_col(entries), name_type), name_kind), read)
+    return F.transform(F.transform(as_col(entries), name_type), read)
 
 
 def keep(f: Column, *names: str, **more: Column) -> Column:
@@ -178,7 +181,7 @@ def keep(f: Column, *names: str, **more: Column) -> Column:
     return F.struct(*[f[n].alias(n) for n in names], *[c.alias(n) for n, c in more.items()])
 
 
-BASE_FIELDS = ("pos", "key", "lowered", "kind", "value", "num", "str")
+BASE_FIELDS = ("pos", "key", "lowered", "value", "kind", "num", "str")
 
 
 def classify_fields(fields) -> Column:
@@ -211,7 +214,7 @@ def classify_fields(fields) -> Column:
     return F.transform(F.transform(as_col(fields), classify), score)
 
 
-FIELD_TYPE = "struct<pos:int,key:string,lowered:string,kind:string,value:variant,num:double,str:string,category:string,score:double>"
+FIELD_TYPE = "struct<pos:int,key:string,lowered:string,value:variant,kind:string,num:double,str:string,category:string,score:double>"
 FOUND_TYPE = {
     **{n: FIELD_TYPE for n in ("numeric", "identifier", "description", "any_numeric", "any_description", "unit")},
     **{n: "string" for n in ("status", "sensor_type", "time_text")},

@@ -38,11 +38,11 @@ def sensor_type(parts, found) -> Column:
     parts, found = as_col(parts), as_col(found)
     leaf = F.element_at(parts, -1)
     second_last = F.try_element_at(parts, F.lit(-2))
-    leaf_is_id = looks_like_topic_identifier(leaf)
+    # an empty leaf is no identifier, so after the second rule the leaf is one or empty
     return (
         F.when(F.size(parts) == 3, leaf)
-        .when((leaf != "") & ~leaf_is_id, leaf)
-        .when(leaf_is_id & (F.coalesce(second_last, F.lit("")) != ""), second_last)
+        .when((leaf != "") & ~looks_like_topic_identifier(leaf), leaf)
+        .when((leaf != "") & (F.coalesce(second_last, F.lit("")) != ""), second_last)
         .otherwise(F.coalesce(found["description"]["str"], found["numeric"]["key"], F.lit("sensor")))
     )
 

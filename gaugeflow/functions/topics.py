@@ -53,10 +53,7 @@ def parse_topic(topic) -> Column:
 def looks_like_topic_identifier(part) -> Column:
     """Digits only, or at most ten letters, digits and underscores with a non-underscore."""
     part = as_col(part)
-    return F.coalesce(
-        part.rlike(r"^\p{Nd}+$") | part.rlike(r"^(?=.*[\p{L}\p{N}])[\p{L}\p{N}_]{1,10}$"),
-        F.lit(False),
-    )
+    return F.coalesce(part.rlike(r"^(\p{Nd}+|_*[\p{L}\p{N}][\p{L}\p{N}_]*)$") & ((F.length(part) <= 10) | part.rlike(r"^\p{Nd}+$")), F.lit(False))
 
 
 def equipment_type(equipment, topic) -> Column:

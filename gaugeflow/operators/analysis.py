@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import DataFrame, functions as F
 
 from gaugeflow.functions import fields as P
@@ -28,6 +30,13 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
 
 
+@lru_cache(maxsize=1)
+def _field_columns(application: str) -> tuple:
+    """The large field expressions, built once per application."""
+    fields = P.classify_fields(P.typed_fields(P.payload_entries(F.col("_parsed"))))
+    return fields, P.scan_fields("fields")
+
+
 def with_fields(messages: DataFrame) -> DataFrame:
     """Adds topic ``parts``, the classified ``fields`` and what a scan ``found`` in them.
 
@@ -35,10 +44,11 @@ def with_fields(messages: DataFrame) -> DataFrame:
     not in a filter, which would be pushed down and parse every payload twice.
     """
     parsed = F.array_compact(F.array(P.parse_payload("payload")))
+    fields, found = _field_columns(messages.sparkSession.sparkContext.applicationId)
     return (
         messages.withColumn("_parsed", F.explode(parsed))
-        .withColumn("fields", P.classify_fields(P.typed_fields(P.payload_entries(F.col("_parsed")))))
-        .withColumn("found", P.scan_fields("fields"))
+        .withColumn("fields", fields)
+        .withColumn("found", found)
         .withColumn("parts", topic_parts("topic"))
         .drop("_parsed")
     )
