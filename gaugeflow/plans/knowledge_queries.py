@@ -164,12 +164,12 @@ def _(spark, d):
 @query("group_by_document", "chunks", sql=f"""WITH {SQL_SCORED}, t AS (SELECT *, CASE WHEN sensor_type IS NOT NULL THEN 'sensor' WHEN equipment_id IS NOT NULL THEN 'equipment' ELSE 'general' END AS lvl
       FROM scored ORDER BY distance, chunk_id LIMIT 60)
     SELECT doc_id, any_value(filename ORDER BY distance, chunk_id DESC) AS filename, first(lvl ORDER BY s DESC, chunk_id DESC) AS affiliation_level,
-    string_agg(chunk_index || ':' || CAST(round(s, 4) AS VARCHAR) || ':' || md5(CASE WHEN length(text) > 500 THEN substr(text, 1, 500) || '...' ELSE text END), ';'
+    string_agg(chunk_index || ':' || CAST(round(s, 4) AS VARCHAR) || ':' || md5(coalesce(CASE WHEN length(text) > 500 THEN substr(text, 1, 500) || '...' ELSE text END, '')), ';'
       ORDER BY round(s, 4) DESC, chunk_index) AS chunks FROM t GROUP BY doc_id""")
 def _(spark, d):
     found = K.vector_topk(chunks(spark, d), query_vector(spark, d), None, 60).withColumn("affiliation_level", affiliation_level("equipment_id", "sensor_type"))
     printed = F.array_join(
-        F.transform("chunks", lambda c: F.concat_ws(":", c["chunk_index"].cast("string"), c["similarity_score"].cast("string"), F.md5(c["content"]))), ";"
+        F.transform("chunks", lambda c: F.concat_ws(":", c["chunk_index"].cast("string"), c["similarity_score"].cast("string"), F.md5(F.coalesce(c["content"], F.lit(""))))), ";"
     )
     return K.group_by_document(found).select("doc_id", "filename", "affiliation_level", printed.alias("chunks"))
 

@@ -217,7 +217,7 @@ def _(spark, d):
     return S.expand_range_if_empty(S.scan_series(r, ["cell_46"], ["click"]), "24h", as_of=as_of)
 
 
-@query("result_envelope", "readings", sql="""SELECT to_json({'cells': ['cell_46', 'cell_8'], 'sensors': ['click'], 'time_range': 'all', 'time_period_days': 30.0::DOUBLE,
+@query("result_envelope", "readings", sql="""SELECT to_json({'cells': (SELECT list(DISTINCT cell_id ORDER BY cell_id) FROM readings WHERE subtopic = 'click' AND cell_id IN ('cell_8', 'cell_46')), 'sensors': ['click'], 'time_range': 'all', 'time_period_days': 30.0::DOUBLE,
     'query_intent': 'statistical', 'statistics': (SELECT list(s ORDER BY s.cell_id) FROM (SELECT {'cell_id': cell_id, 'mean_value': round(avg(reading), 3),
       'data_point_count': count(*)} AS s FROM readings WHERE subtopic = 'click' AND cell_id IN ('cell_8', 'cell_46') GROUP BY cell_id))})::VARCHAR AS envelope""")
 def _(spark, d):

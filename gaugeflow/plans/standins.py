@@ -232,7 +232,7 @@ SQL_VIEWS = {
           ELSE '{"vehicle":{"plate":"' || user_id || '","speed":' || CAST(value AS VARCHAR) || '},"tags":["a","b"],"temperature_high":'
             || CAST(value AS VARCHAR) || ',"idle_low":' || json_extract_string(props, '$.k')
             || ',"note":null,"moving":true,"offset":-' || CAST(value AS VARCHAR) || '}' END AS payload FROM events""",
-    "thresholds": f"""SELECT p.project_id, t.ord, t.topic_name, t.sensor_type, t.min_value,
+    "thresholds": f"""SELECT p.project_id, CAST(t.ord AS BIGINT) AS ord, t.topic_name, t.sensor_type, t.min_value,
         CASE WHEN p.project_id = 'p2' AND t.sensor_type = 'error' THEN -5.0::DOUBLE ELSE t.max_value END AS max_value, t.enabled,
         replace(t.topic_name, '/', '_') || '_' || t.ord AS id
         FROM (SELECT DISTINCT project_id FROM readings) p,
