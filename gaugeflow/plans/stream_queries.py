@@ -256,3 +256,13 @@ def _(spark, d):
     from gaugeflow.sources.sql import run_sql
 
     return run_sql(spark, "SELECT cell_id, count(*) AS n FROM gaugeflow_readings GROUP BY cell_id", {"gaugeflow_readings": readings(spark, d)}).rows
+
+
+@query("read_documents", sql="SELECT md5(text || chr(10)) AS digest, count(*) AS n FROM documents WHERE regexp_matches(text, '[^ \\t\\n\\x0B\\f\\r]') GROUP BY ALL")
+def _(spark, d):
+    from gaugeflow.sources.documents import read_documents
+
+    folder = work_folder(spark, "documents")
+    # one file per document, as uploads arrive; the text writer ends every file with a newline
+    table(spark, d, "documents").select("text").write.option("maxRecordsPerFile", 1).text(folder)
+    return read_documents(spark, folder).groupBy(F.md5("text").alias("digest")).agg(F.count("*").alias("n"))
