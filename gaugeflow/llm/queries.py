@@ -7,7 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gaugeflow.llm.common import parquet
+from gaugeflow.llm.decontamination import leak_report
+from gaugeflow.llm.language import language_report
+from gaugeflow.llm.line_dedup import line_report
 from gaugeflow.llm.pii import pii_report
+from gaugeflow.llm.sentencepiece_fst import encoding_report
+from gaugeflow.llm.substring_dedup import passage_report
 from gaugeflow.llm.token_counts import count_tokens
 from gaugeflow.llm.topk import search
 from gaugeflow.llm.urls import judge_urls, rules_table
@@ -52,6 +57,11 @@ def op2_url_filters(spark, sf_dir):
     return judge_urls(parquet(spark, sf_dir, "pages"), rules_table(spark, URL_RULES))
 
 
+@query("op3_sentencepiece")
+def op3_sentencepiece(spark, sf_dir):
+    return encoding_report(parquet(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
 @query("op4_token_counts")
 def op4_token_counts(spark, sf_dir):
     return count_tokens(parquet(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_file("word_bpe_49k.json"))
@@ -60,3 +70,23 @@ def op4_token_counts(spark, sf_dir):
 @query("op5_topk")
 def op5_topk(spark, sf_dir):
     return search(parquet(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@query("op6_decontamination")
+def op6_decontamination(spark, sf_dir):
+    return leak_report(parquet(spark, sf_dir, "documents"), parquet(spark, sf_dir, "benchmark"))
+
+
+@query("op7_line_dedup")
+def op7_line_dedup(spark, sf_dir):
+    return line_report(parquet(spark, sf_dir, "documents"))
+
+
+@query("op8_substring_dedup")
+def op8_substring_dedup(spark, sf_dir):
+    return passage_report(parquet(spark, sf_dir, "documents"))
+
+
+@query("op9_language")
+def op9_language(spark, sf_dir):
+    return language_report(parquet(spark, sf_dir, "documents"))
