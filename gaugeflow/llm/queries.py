@@ -10,6 +10,7 @@ from gaugeflow.llm.common import parquet
 from gaugeflow.llm.decontamination import leak_report
 from gaugeflow.llm.language import language_report
 from gaugeflow.llm.line_dedup import line_report
+from gaugeflow.llm.ngram_join import jaccard_report
 from gaugeflow.llm.pii import pii_report
 from gaugeflow.llm.sentencepiece_fst import encoding_report
 from gaugeflow.llm.substring_dedup import passage_report
@@ -90,3 +91,8 @@ def op8_substring_dedup(spark, sf_dir):
 @query("op9_language")
 def op9_language(spark, sf_dir):
     return language_report(parquet(spark, sf_dir, "documents"))
+
+
+@query("op10_ngram_jaccard")
+def op10_ngram_jaccard(spark, sf_dir):
+    return jaccard_report(parquet(spark, sf_dir, "documents"))
