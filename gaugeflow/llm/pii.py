@@ -10,6 +10,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from gaugeflow.llm.common import ascii_lower
+
 #: Prefix sums run inside pieces of this many matches and once over the pieces, so that a text with n matches costs n * PIECE.
 PIECE = 256
 #: Code points on each side of a span that are searched for context words.
@@ -111,7 +113,8 @@ def _spans(text: Column, kind: Kind, order: int) -> Column:
         end = s["start"] + F.length(s["text"])
         left = F.greatest(s["start"] - CONTEXT, F.lit(0))
         around = F.concat(F.substr(text, left + 1, s["start"] - left), F.lit(" "), F.substr(text, end + 1, F.lit(CONTEXT)))
-        score = F.lit(kind.score) + F.when(F.lower(around).rlike(rf"\b({kind.words})\b"), kind.bonus).otherwise(0.0)
+        near = ascii_lower(around).rlike(f"(^|[^a-z0-9])({kind.words})([^a-z0-9]|$)")
+        score = F.lit(kind.score) + F.when(near, kind.bonus).otherwise(0.0)
         return F.struct(
             s["start"].cast("long").alias("start"),
             F.lit(order).alias("order"),

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from gaugeflow.llm import comparison_sql
 from gaugeflow.llm.common import parquet
 from gaugeflow.llm.decontamination import leak_report
 from gaugeflow.llm.language import language_report
@@ -39,7 +40,7 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-@query("op1_pii")
+@query("op1_pii", comparison_sql.PII)
 def op1_pii(spark, sf_dir):
     return pii_report(parquet(spark, sf_dir, "documents"))
 
@@ -53,7 +54,7 @@ URL_RULES = [
 ]
 
 
-@query("op2_url_filters")
+@query("op2_url_filters", comparison_sql.URLS)
 def op2_url_filters(spark, sf_dir):
     return judge_urls(parquet(spark, sf_dir, "pages"), rules_table(spark, URL_RULES))
 
@@ -68,17 +69,17 @@ def op4_token_counts(spark, sf_dir):
     return count_tokens(parquet(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_file("word_bpe_49k.json"))
 
 
-@query("op5_topk")
+@query("op5_topk", comparison_sql.TOPK)
 def op5_topk(spark, sf_dir):
     return search(parquet(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
-@query("op6_decontamination")
+@query("op6_decontamination", comparison_sql.LEAKS)
 def op6_decontamination(spark, sf_dir):
     return leak_report(parquet(spark, sf_dir, "documents"), parquet(spark, sf_dir, "benchmark"))
 
 
-@query("op7_line_dedup")
+@query("op7_line_dedup", comparison_sql.LINES)
 def op7_line_dedup(spark, sf_dir):
     return line_report(parquet(spark, sf_dir, "documents"))
 
@@ -93,6 +94,6 @@ def op9_language(spark, sf_dir):
     return language_report(parquet(spark, sf_dir, "documents"))
 
 
-@query("op10_ngram_jaccard")
+@query("op10_ngram_jaccard", comparison_sql.JACCARD)
 def op10_ngram_jaccard(spark, sf_dir):
     return jaccard_report(parquet(spark, sf_dir, "documents"))

@@ -15,6 +15,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from gaugeflow.llm.common import ascii_lower
+
 #: Least keys that one sweep sorts, and how many times the number of rules it has at least.
 SWEEP_ROWS, ROWS_PER_RULE = 500, 4
 
@@ -22,7 +24,7 @@ SWEEP_ROWS, ROWS_PER_RULE = 500, 4
 def url_host(url: Column) -> Column:
     """What follows the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased; else empty."""
     host = F.regexp_extract(_rest(url), r"^([^/?#]*)", 1)
-    return F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return ascii_lower(host)
 
 
 def url_path(url: Column) -> Column:
@@ -58,7 +60,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", id_co
     """
     rules = (
         rules.where((F.col("host") != "") & F.col("path").isNotNull())
-        .groupBy(F.lower("host").alias("r_host"), F.col("path").alias("r_path"))
+        .groupBy(ascii_lower(F.col("host")).alias("r_host"), F.col("path").alias("r_path"))
         .agg(F.max("verdict").alias("r_verdict"))
         .select("r_host", "r_path", "r_verdict", F.split("r_host", r"\.").alias("labels"))
     )
