@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 import types
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -17,6 +18,11 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, also where the body's own lambdas look at it for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def written(df: DataFrame, purpose: str) -> DataFrame:
     """Writes ``df`` as Parquet below the shared checkpoint folder and reads it back.
 

@@ -19,7 +19,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from gaugeflow.llm.common import written
+from gaugeflow.llm.common import bound, written
 
 
 def _blank(line: Column) -> Column:
@@ -78,16 +78,24 @@ def drop_repeated_lines(
     later = suffixes.join(first, "rank").where((F.col("first.row") != F.col("row")) | (F.col("first.at") != F.col("at")))
     starts = later.groupBy(F.col("row").alias("__row")).agg(F.collect_set("at").alias("__starts"))
 
-    rows = docs.withColumn("__row", _row()).join(starts, "__row", "left").withColumn("__lines", _lines(F.col(f"`{text}`")))
-    # Line numbers of the lines that aren't blank; the places in a run point into them.
-    filled = F.filter(F.transform("__lines", lambda x, i: F.when(~_blank(x), i)), lambda i: i.isNotNull())
-    inside = F.array_distinct(F.flatten(F.transform("__starts", lambda s: F.sequence(s, s + (min_lines - 1)))))
-    rows = rows.withColumn("__filled", filled).withColumn("__gone", F.array_sort(F.transform(inside, lambda i: F.get("__filled", i))))
-    kept = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), "__gone")
-    left = F.array_join(F.transform(kept, lambda i: F.get("__lines", i)), "\n")
+    rows = docs.withColumn("__row", _row()).join(starts, "__row", "left")
+
+    def gone(lines):
+        # Line numbers of the lines that aren't blank; the places in a run point into them.
+        filled = F.filter(F.transform(lines, lambda x, i: F.when(~_blank(x), i)), lambda i: i.isNotNull())
+        inside = F.array_distinct(F.flatten(F.transform("__starts", lambda s: F.sequence(s, s + (min_lines - 1)))))
+        return bound(filled, lambda f: F.array_sort(F.transform(inside, lambda i: F.get(f, i))))
+
+    def left(lines):
+        kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "__gone")
+        return F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
+
+    body = F.col(f"`{text}`")
+    rows = rows.withColumn("__gone", F.when(F.col("__starts").isNotNull(), bound(_lines(body), gone)))
+    shortened = F.when(F.col("__gone").isNull(), body).otherwise(bound(_lines(body), left))
     none = F.array().cast("array<int>")
     return rows.select(
-        *[F.when(F.col("__gone").isNull(), F.col(f"`{c}`")).otherwise(left).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns if c != removed],
+        *[shortened.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns if c != removed],
         F.coalesce("__gone", none).alias(removed),
     )
 

@@ -10,7 +10,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gaugeflow.llm.common import ascii_lower
+from gaugeflow.llm.common import ascii_lower, bound
 
 #: Prefix sums run inside pieces of this many matches and once over the pieces, so that a text with n matches costs n * PIECE.
 PIECE = 256
@@ -95,19 +95,30 @@ def _starts(steps: Column) -> Column:
     def run(piece, first):
         return F.aggregate(piece, F.array(first), lambda acc, x: F.array_append(acc, F.element_at(acc, -1) + x))
 
-    pieces = F.transform(F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / PIECE).cast("int")), lambda b: F.slice(steps, b * PIECE + 1, PIECE))
-    sums = F.transform(pieces, lambda p: F.aggregate(p, F.lit(0), lambda a, x: a + x))
-    with_first = F.arrays_zip(pieces.alias("p"), F.slice(run(sums, F.lit(0)), F.lit(1), F.size(pieces)).alias("o"))
-    return F.flatten(F.transform(with_first, lambda z: F.slice(run(z["p"], z["o"]), 2, PIECE)))
+    def cut(steps):
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / PIECE).cast("int")), lambda b: F.slice(steps, b * PIECE + 1, PIECE))
+
+    def offsets(pieces):
+        sums = F.transform(pieces, lambda p: F.aggregate(p, F.lit(0), lambda a, x: a + x))
+        return F.slice(run(sums, F.lit(0)), F.lit(1), F.size(pieces))
+
+    def starts(pieces):
+        with_first = F.arrays_zip(pieces.alias("p"), offsets(pieces).alias("o"))
+        return F.flatten(F.transform(with_first, lambda z: F.slice(run(z["p"], z["o"]), 2, PIECE)))
+
+    return bound(steps, lambda s: bound(cut(s), starts))
 
 
 def _spans(text: Column, kind: Kind, order: int) -> Column:
     """Confirmed spans of one kind: what lies between the matches gives their positions."""
-    found = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
-    gaps = F.transform(F.split(text, kind.pattern, -1), lambda g: F.length(g))
-    before = F.transform(found, lambda m, i: F.get(gaps, i) + F.when(i > 0, F.length(F.get(found, i - 1))).otherwise(0))
-    spans = F.arrays_zip(_starts(before).alias("start"), found.alias("text"))
-    confirmed = F.filter(spans, lambda s: kind.valid(s["text"]))
+    found = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0)).alias("found")
+    gaps = F.transform(F.split(text, kind.pattern, -1), lambda g: F.length(g)).alias("gaps")
+
+    def placed(z):
+        before = F.transform(z["found"], lambda m, i: F.get(z["gaps"], i) + F.when(i > 0, F.length(F.get(z["found"], i - 1))).otherwise(0))
+        return F.arrays_zip(_starts(before).alias("start"), z["found"].alias("text"))
+
+    confirmed = F.filter(bound(F.struct(found, gaps), placed), lambda s: kind.valid(s["text"]))
 
     def scored(s):
         end = s["start"] + F.length(s["text"])
