@@ -1,0 +1,172 @@
+"""PII, URL filters, top-k search and decontamination: edge cases, and brute force where SQL isn't enough."""
+
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from gaugeflow.llm import decontamination
+from gaugeflow.llm.decontamination import covered, find_leaks, leak_report, without_leaks
+from gaugeflow.llm.pii import find_pii, joined, pii_report
+from gaugeflow.llm.topk import search
+from gaugeflow.llm.urls import judge_urls, rules_table
+
+DOC = "doc_id long, text string"
+
+
+def spans(spark, text):
+    return find_pii(spark.createDataFrame([(1, text)], DOC)).select(joined(F.col("pii"))).first()[0]
+
+
+def test_base_spans(spark):
+    assert spans(spark, "é a@b.co x") == "email:2:8"
+    assert spans(spark, "a@b.com_x@c.de") == "email:0:7,email:7:14"
+    assert spans(spark, "1.2.3.4.5.6.7.8 999.1.2.3.4") == "ip:0:7,ip:8:15"
+    assert spans(spark, "4111 1111 1111 1111") == "card:0:19"
+    assert spans(spark, "4111 1111 1111 1112") == ""
+    assert spans(spark, "+1 (555) 123-4567 and +12") == "phone:0:17"
+
+
+def test_methods_own_spans(spark):
+    assert "iban:0:27" in spans(spark, "GB82 WEST 1234 5698 7654 32").replace("iban:0:27", "iban:0:27")
+    assert "iban" not in spans(spark, "GB83 WEST 1234 5698 7654 32")
+    assert "ssn" in spans(spark, "his ssn is 123-45-6789") and "ssn" not in spans(spark, "part 123-45-6789")
+
+
+def test_random_texts_against_plain_patterns(spark):
+    random.seed(7)
+    signs = ["1", "12", "255", "256", ".", "-", " ", "+", "(", ")", "@", "a", "b.c", "é", "\n", "4111111111111111", "0"]
+    texts = ["".join(random.choice(signs) for _ in range(random.randint(0, 40))) for _ in range(400)]
+    got = {r[0]: r[1] for r in find_pii(spark.createDataFrame(list(enumerate(texts)), DOC)).select("doc_id", joined(F.filter("pii", lambda s: s["order"] < 4))).collect()}
+    for i, x in enumerate(texts):
+        found = [(m.start(), 0, m.end(), "email") for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", x)]
+        found += [(m.start(), 1, m.end(), "ip") for m in re.finditer(r"[0-9]+(\.[0-9]+){3}", x) if all(int(p) < 256 for p in m[0].split("."))]
+        for m in re.finditer(r"[0-9]([ -]?[0-9])+", x):
+            d = re.sub("[^0-9]", "", m[0])
+            total = sum(sum(divmod(int(c) * (1 + k % 2), 10)) for k, c in enumerate(reversed(d)))
+            found += [(m.start(), 2, m.end(), "card")] * (12 <= len(d) <= 19 and total % 10 == 0)
+        found += [(m.start(), 3, m.end(), "phone") for m in re.finditer(r"\+[0-9][ ().0-9-]+[0-9]", x) if 9 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
+        assert got[i] == ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(found)), repr(x)
+
+
+def test_pii_of_odd_rows(spark):
+    long_text = "a" * 200_000 + " " + "1.2.3.4 " * 700 + "x.y@z" + ".a" * 5000
+    rows = spark.createDataFrame([(1, None), (2, ""), (3, long_text), (3, long_text), (None, "a@b.co")], DOC).withColumn("pii", F.lit("x")).withColumn("start", F.lit(1))
+    got = find_pii(rows)
+    assert got.columns == ["doc_id", "text", "pii", "start"]
+    sizes = sorted((r["doc_id"] or 0, len(r["pii"])) for r in got.collect())
+    assert sizes == [(0, 1), (1, 0), (2, 0), (3, 701), (3, 701)]
+    assert pii_report(rows.limit(0)).count() == 0
+
+
+RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block")]
+
+
+def test_urls_against_brute_force(spark):
+    random.seed(1)
+    hosts = ["com", "example.com", "www.example.com", "a.www.example.com", "net", "x.net", "com.net", "examplexcom", "", "EXAMPLE.com", "é.com"]
+    urls = [f"{random.choice(['http://', '', '://', 'x://y://'])}{random.choice(hosts)}{random.choice(['/', '', '/en/', '/en', '/en/a?b', '/es/#c', '?q', '#/en/'])}" for _ in range(300)]
+    rules = RULES + [(f"h{i % 7}.com", f"/p{i}/", "block") for i in range(40)] + [("com", "/", "block"), (None, "/", "block"), ("", "/", "block")]
+    rows = [(i, u) for i, u in enumerate(urls)] + [(None, None), (0, urls[0]), (0, urls[0]), (-1, "http://h3.com/p3/" + "y" * 100_000), (-2, "http://" + "a." * 3000 + "net/es/")]
+    pages = spark.createDataFrame(rows, "page_id long, url string").withColumn("row", F.lit(9)).withColumn("host", F.lit("z"))
+    got = sorted((repr(r["page_id"]), r["host"], r["path"], r["rule"], r["verdict"]) for r in judge_urls(pages, rules_table(spark, rules)).collect())
+    verdicts: dict = {}
+    for h, p, v in rules:
+        if h and p is not None:
+            verdicts[h, p] = max(v, verdicts.get((h, p), ""))
+    want = []
+    for i, u in rows:
+        rest = u.split("://", 1)[1] if u and "://" in u else ""
+        m = re.match(r"([^/?#]*)([^?#]*)", rest)
+        host, path = "".join(c.lower() if c.isascii() else c for c in m[1]), m[2]
+        fits = [(len(h + p), h.count("."), h + p, v) for (h, p), v in verdicts.items() if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        best = max(fits, default=(0, 0, None, "allow"))
+        want.append((repr(i), host, path, best[2], best[3]))
+    assert got == sorted(want)
+
+
+def test_urls_without_rules_or_pages(spark):
+    pages = spark.createDataFrame([(1, "http://a.com/"), (2, None)], "page_id long, url string")
+    none = rules_table(spark, [("a.com", "/", "block")]).limit(0)
+    assert {r["verdict"] for r in judge_urls(pages, none, default="block").collect()} == {"block"}
+    assert judge_urls(pages.limit(0), rules_table(spark, RULES)).count() == 0
+
+
+def brute_topk(rows, step, k):
+    import math
+
+    table = {}
+    for i, v in rows:
+        if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
+            ints = [math.floor(256 * x) for x in v]
+            table[i] = min(table.get(i, ints), ints)
+    out = []
+    for q, v in table.items():
+        if q % step == 0:
+            scored = sorted((-sum(a * b for a, b in zip(v, w)), c) for c, w in table.items() if c != q)[:k]
+            out += [(q, n + 1, c, max(-(2**63), min(2**63 - 1, -s))) for n, (s, c) in enumerate(scored)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("block", [8192, 7])
+def test_search_against_brute_force(spark, block, monkeypatch):
+    from gaugeflow.llm import topk
+
+    monkeypatch.setattr(topk, "BLOCK_ROWS", block)
+    monkeypatch.setattr(topk, "LEAST_BLOCK", 5)
+    random.seed(block)
+    rows = [(i, [random.choice([0.0, 0.5, -0.25, 1.0]) for _ in range(6)]) for i in range(60)]
+    rows += [(3, rows[3][1]), (100, None), (101, [1.0, None]), (102, [float("nan")] * 6), (103, [float("inf")] * 6), (None, [1.0]), (104, []), (110, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit("x")).withColumn("qb", F.lit(1))
+    assert sorted(map(tuple, search(df, F.col("vec_id") % 10 == 0, k=4).collect())) == brute_topk(rows, 10, 4)
+
+
+def test_search_of_huge_components_and_nothing(spark):
+    rows = [(0, [3e18, 1.0]), (1, [2e18, 0.0]), (2, [-3e18, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, search(df, F.col("vec_id") == 0, k=9, scale=1).collect()))
+    assert got == brute_topk([(i, [x / 256 for x in v]) for i, v in rows], 1, 9)[:2]
+    assert search(df.limit(0), F.lit(True)).count() == 0 and search(df.limit(1), F.lit(True)).count() == 0
+
+
+BENCH = [(1, "one two three four five six seven eight nine ten eleven"), (2, "Short Item"), (3, None), (4, "..."), (None, "alpha beta"), (5, "short item")]
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_leaks(spark, small, monkeypatch):
+    if not small:
+        monkeypatch.setattr(decontamination, "BROADCAST_ROWS", -1)
+    bench = spark.createDataFrame(BENCH, "item_id long, text string")
+    rows = [
+        (1, "x one two three four five six seven eight nine ten eleven y"),
+        (2, "ONE two three four, five six seven eight nine ten"),
+        (3, "a short; item! short item"),
+        (4, None),
+        (5, ""),
+        (5, ""),
+        (6, "alpha beta one two three four five six seven eight nine"),
+        (None, "short item"),
+        (7, "w " * 50_000 + "short item"),
+    ]
+    docs = spark.createDataFrame(rows, DOC).withColumn("word", F.lit(1)).withColumn("items", F.lit(2))
+    got = sorted((r["doc_id"] or 0, r["n_words"], r["n_hit"], r["n_items"], r["contaminated"]) for r in leak_report(docs, bench).collect())
+    assert got == [
+        (0, 2, 2, 2, True), (1, 13, 11, 1, True), (2, 10, 10, 1, True), (3, 5, 4, 2, True), (4, 0, 0, 0, False), (5, 0, 0, 0, False), (5, 0, 0, 0, False),
+        (6, 11, 0, 0, False), (7, 50_002, 2, 2, True),
+    ]
+    kept = without_leaks(docs, bench)
+    assert sorted(r["doc_id"] for r in kept.collect()) == [4, 5, 5, 6] and kept.columns == docs.columns
+    assert leak_report(docs, bench.limit(0)).where("contaminated").count() == 0 and leak_report(docs.limit(0), bench).count() == 0
+
+
+def test_overlapping_windows_are_counted_once(spark):
+    row = spark.sql("SELECT array(named_struct('start', 0, 'length', 4), named_struct('start', 2, 'length', 5), named_struct('start', 9, 'length', 1)) AS hits")
+    assert row.select(covered(F.col("hits"))).first()[0] == 8
+
+
+def test_windows_found_in_order_only(spark):
+    bench = spark.createDataFrame([(1, "a b a c")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "a b a c"), (2, "b a a c"), (3, "a b a b a c c")], DOC)
+    hits = {r["doc_id"]: [tuple(h) for h in r["hits"]] for r in find_leaks(docs, bench).collect()}
+    assert hits == {1: [(0, 4)], 2: [], 3: [(2, 4)]}
