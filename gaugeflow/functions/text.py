@@ -10,7 +10,7 @@ from gaugeflow.functions.topics import as_col
 def text_stats(text) -> Column:
     """``struct<word_count, sentence_count, character_count, average_word_length, text_preview>``."""
     text = as_col(text)
-    words = F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
+    words = F.size(F.filter(F.split(text, r"(?U)\s+"), lambda w: w != ""))
     sentences = F.size(F.filter(F.split(text, r"\."), lambda s: s.rlike(r"\S")))
     chars = F.length(text)
     return F.struct(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import Window as W
 
+from gaugeflow.functions.joins import join_keys
 from gaugeflow.functions.timeranges import latest, time_slice
 from gaugeflow.functions.topics import as_col, topic_leaf
 
@@ -130,7 +131,7 @@ def alert_episodes(readings: DataFrame, thresholds: DataFrame, slice_seconds: in
         .select(*ALERT_KEY, "slice", F.coalesce(F.sum("normals").over(before), F.lit(0)).alias("shift"))
     )
     runs = (
-        pieces.join(shifts, [*ALERT_KEY, "slice"])
+        join_keys(pieces, shifts, [*ALERT_KEY, "slice"])
         .withColumn("run", F.col("run") + F.col("shift"))
         .groupBy(*ALERT_KEY, "run")
         .agg(

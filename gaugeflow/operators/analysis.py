@@ -24,12 +24,6 @@ def split_dead_letters(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good, dead
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Spreads a small input over the free cores; an input with enough partitions stays as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
-
-
 @lru_cache(maxsize=1)
 def _field_columns(application: str) -> tuple:
     """The large field expressions, built once per application."""

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import Window as W
 
+from gaugeflow.functions.joins import join_keys
+
 
 def recent_window(readings: DataFrame, seconds: int = 30, by: str = "equipment_id") -> DataFrame:
     """Readings within the last seconds before the newest one of each equipment.
@@ -14,7 +16,7 @@ def recent_window(readings: DataFrame, seconds: int = 30, by: str = "equipment_i
     """
     newest = readings.groupBy(by).agg(F.max("ts").alias("_newest"))
     return (
-        readings.join(newest, by)
+        join_keys(readings, newest, [by])
         .filter(F.col("ts") >= F.col("_newest") - F.make_dt_interval(secs=F.lit(seconds)))
         .drop("_newest")
     )

@@ -24,6 +24,7 @@ from gaugeflow.functions.documents import (
     squared_l2,
     upload_error,
 )
+from gaugeflow.functions.joins import join_keys
 
 PREVIEW = 500
 
@@ -40,7 +41,8 @@ def chunk_documents(elements: DataFrame, size: int = CHUNK_SIZE, overlap: int =
     """Chunks of document elements ``(doc_id, element_no, text, …)``.
 
     ``chunk_index`` runs over the elements of a document. Only the number of
-    chunks per element is shuffled to number them; texts are split in place.
+    chunks per element is counted to number them; the texts are joined with the
+    numbers by element.
     """
     split = elements.withColumn("_chunks", chunk_texts("text", size, overlap))
     earlier = W.partitionBy("doc_id").orderBy("element_no").rowsBetween(W.unboundedPreceding, -1)
@@ -51,7 +53,7 @@ def chunk_documents(elements: DataFrame, size: int = CHUNK_SIZE, overlap: int =
         .drop("n")
     )
     return (
-        split.join(offsets, ["doc_id", "element_no"])
+        join_keys(split, offsets, ["doc_id", "element_no"])
         .select(*[c for c in elements.columns if c != "text"], "total_chunks", "_offset", F.posexplode("_chunks").alias("_pos", "text"))
         .withColumn("chunk_index", F.col("_offset") + F.col("_pos"))
         .withColumn("chunk_id", chunk_id("doc_id", "chunk_index"))
@@ -87,7 +89,7 @@ def embed_chunks(chunks: DataFrame, model: Callable[[list[str]], list] | None =
 
 def new_chunks(index: DataFrame, incoming: DataFrame) -> DataFrame:
     """Incoming chunks whose id is not in the index yet."""
-    return incoming.join(index.select("project_id", "chunk_id"), ["project_id", "chunk_id"], "left_anti")
+    return join_keys(incoming, index.select("project_id", "chunk_id"), ["project_id", "chunk_id"], "left_anti")
 
 
 def index_chunks(index: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -222,7 +224,7 @@ def chunk_stats(index: DataFrame) -> DataFrame:
 
 def chunk_file_types(index: DataFrame) -> DataFrame:
     """Chunks per project and file extension."""
-    ext = F.substring(file_extension("filename"), 2, 20)
+    ext = F.substr(file_extension("filename"), F.lit(2))
     return index.groupBy("project_id", ext.alias("file_type")).agg(F.count(F.lit(1)).alias("chunks"))
 
 

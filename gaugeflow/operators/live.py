@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from gaugeflow.functions.joins import join_keys
 from gaugeflow.functions.timeranges import time_slice
 
 
@@ -146,7 +147,7 @@ def throttle(updates: DataFrame, interval_seconds: float = 0.5, by: str = "proje
     steps = rows.groupBy("k", "slice").applyInPandas(summarize, f"k {key_type}, slice long, start long, leave long")
     entries = steps.groupBy("k").applyInPandas(walk, f"k {key_type}, slice long, entry long")
     passed = (
-        rows.join(entries, ["k", "slice"])
+        join_keys(rows, entries, ["k", "slice"])
         .groupBy("k", "slice")
         .applyInPandas(pick, f"k {key_type}, t long, msg_id {rows.schema['msg_id'].dataType.simpleString()}")
     )

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import Window as W
 
 from gaugeflow.functions.cells import SENSOR_ALIASES, normalize_cell_id, resolve_sensor
+from gaugeflow.functions.joins import join_keys
 from gaugeflow.functions.timeranges import choose_interval, interval_literal, latest, period, time_bucket
 
 COMPARISONS = {
@@ -56,7 +57,8 @@ def time_range_relative(readings: DataFrame, last: str = "24h", as_of: Column |
 def time_range_absolute(readings: DataFrame, start: str, end: str) -> DataFrame:
     """Inclusive range; a bare date as end covers that whole day."""
     if re.fullmatch(r"\d{4}-\d{2}-\d{2}", end.strip()):
-        end = f"{end.strip()} 23:59:59"
+        next_day = F.lit(end.strip()).cast("date") + F.expr("INTERVAL '1' DAY")
+        return scan_series(readings, start=start).filter(F.col("ts") < next_day.cast("timestamp_ntz"))
     return scan_series(readings, start=start, end=end)
 
 
@@ -147,7 +149,7 @@ def statistics(readings: DataFrame, by=("cell_id", "subtopic"), median: bool = F
     )
     if not median:
         return plain
-    return plain.join(percentile(readings, 0.5, by, "median_value"), list(by), "left")
+    return join_keys(plain, percentile(readings, 0.5, by, "median_value"), list(by), "left")
 
 
 def percentile(readings: DataFrame, p: float, by=("cell_id", "subtopic"), name: str = "percentile_value", accuracy: int = 10000) -> DataFrame:
@@ -178,7 +180,7 @@ def percentile(readings: DataFrame, p: float, by=("cell_id", "subtopic"), name:
         .otherwise(0)
     )
     counts = (
-        rows.join(bracket, by)
+        join_keys(rows, bracket, by)
         .withColumn("sub", sub)
         .withColumn("v", F.when(F.col("sub").between(0, 63), F.col("v")))
         .groupBy(*by, "n", "sub", "v")
@@ -195,7 +197,7 @@ def percentile(readings: DataFrame, p: float, by=("cell_id", "subtopic"), name:
         .select(*by, "sub", "before")
     )
     upto = W.partitionBy(*by, "sub").orderBy("v").rowsBetween(W.unboundedPreceding, -1)
-    placed = counts.join(wanted, [*by, "sub"]).withColumn("at", F.col("before") + F.coalesce(F.sum("c").over(upto), F.lit(0)))
+    placed = join_keys(counts, wanted, [*by, "sub"]).withColumn("at", F.col("before") + F.coalesce(F.sum("c").over(upto), F.lit(0)))
 
     def value_at(k: Column) -> Column:
         return F.max(F.when((F.col("at") <= k) & (F.col("at") + F.col("c") > k), F.col("v")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import Window as W
 
+from gaugeflow.functions.joins import join_keys
 from gaugeflow.functions.timeranges import time_slice
 
 MESSAGES_PER_PROJECT = 5000
@@ -68,7 +69,7 @@ def retain_last(messages: DataFrame, n: int = MESSAGES_PER_PROJECT, by: str | No
     )
     rank = F.row_number().over(W.partitionBy("_key").orderBy(F.desc("ts"), F.desc("msg_id")))
     return (
-        rows.join(reach, "_key")
+        join_keys(rows, reach, ["_key"])
         .filter(F.col("_slice") >= F.col("_oldest"))
         .withColumn("_rank", rank)
         .filter(F.col("_rank") <= n)

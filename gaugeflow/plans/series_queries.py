@@ -52,7 +52,7 @@ def _(spark, d):
 def _(spark, d):
     cell = F.col("cell_id")
     spellings = F.array(
-        cell, F.replace(cell, F.lit("_"), F.lit(" ")), F.replace(cell, F.lit("_"), F.lit("")), F.substring(cell, 6, 99),
+        cell, F.replace(cell, F.lit("_"), F.lit(" ")), F.replace(cell, F.lit("_"), F.lit("")), F.substr(cell, F.lit(6)),
         F.concat(F.lit(" "), "subtopic", F.lit(" ")),
     )
     raw = F.replace(F.trim("w"), F.lit(" "), F.lit("_"))

@@ -44,9 +44,12 @@ def work_folder(spark: SparkSession, purpose: str) -> str:
 
     The shared folder is the one named by ``spark.checkpoint.dir``. Only where
     it is unset (local runs and tests) a local temporary folder is made, once
-    per application.
+    per application; a cluster without it is refused, as its executors would
+    each write to a disk of their own.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not base:
         app = spark.sparkContext.applicationId
         if app not in _LOCAL_FOLDERS:

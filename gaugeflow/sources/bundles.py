@@ -26,6 +26,15 @@ def export_project(messages: DataFrame, sessions: DataFrame, project: str, path:
     manifest.write.mode("overwrite").json(f"{path}/manifest")
 
 
+def partition_folder(project: str) -> str:
+    """The folder name that the writer gives a project's partition; one path element, whatever the id holds."""
+    if not project or project in (".", ".."):
+        raise BundleError(f"project id {project!r} names no partition")
+    # The characters that the writer escapes.
+    special = set('"#%\'*/:=?\\\x7f{[]^')
+    return "project_id=" + "".join(f"%{ord(c):02X}" if c in special or ord(c) < 32 else c for c in project)
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
@@ -48,7 +57,7 @@ def read_bundle(spark: SparkSession, path: str, message_schema, session_schema)
 
 def drop_project(spark: SparkSession, table_path: str, project: str) -> bool:
     """Removes the partition of a project from a table on storage."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(f"{table_path}/project_id={project}")
+    target = spark._jvm.org.apache.hadoop.fs.Path(f"{table_path}/{partition_folder(project)}")
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 

@@ -11,7 +11,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     Bytes are UTF-8, or Latin-1 where they are not valid UTF-8. Files without
     any text give no element.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{txt,md,TXT,MD}").option("recursiveFileLookup", True).load(path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{[tT][xX][tT],[mM][dD]}").option("recursiveFileLookup", True).load(path)
     text = F.coalesce(F.try_validate_utf8(F.col("content").cast("string")), F.decode("content", "ISO-8859-1"))
     return files.select(
         F.element_at(F.split("path", "/"), -1).alias("filename"),

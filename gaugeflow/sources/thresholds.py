@@ -43,11 +43,16 @@ def threshold_rows(spark: SparkSession, path: str) -> DataFrame:
         return F.nullif(F.trim(F.coalesce(F.col(name), F.lit(""))), F.lit(""))
 
     low, high, topic = bound("min_value"), bound("max_value"), F.trim(F.col("topic_name"))
-    low_number, high_number = low.try_cast("double"), high.try_cast("double")
+
+    def number(x):
+        # Casting alone would also take the suffixes d and f.
+        return F.when(x.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$|^[+-]?(?i:inf|infinity|nan)$"), x.try_cast("double"))
+
+    low_number, high_number = number(low), number(high)
     error = (
         F.when((low.isNotNull() & low_number.isNull()) | (high.isNotNull() & high_number.isNull()), F.lit("Invalid numeric value in min_value or max_value"))
         .when(low.isNull() & high.isNull(), F.lit("At least one of min_value or max_value must be specified"))
-        .when(topic.isNull(), F.lit("Error parsing row"))
+        .when(F.coalesce(topic, F.lit("")) == "", F.lit("Error parsing row"))
     )
     return numbered_rows(raw).select(
         "file_path", "row_number", topic.alias("topic_name"), topic_leaf(topic).alias("sensor_type"),
