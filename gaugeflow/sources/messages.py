@@ -14,13 +14,14 @@ def read_messages(spark: SparkSession, path: str, streaming: bool = False, max_f
     """Raw messages from JSON lines ``{msg_id, topic, payload, ingest_ts, …}``.
 
     A line that cannot be read arrives with a NULL topic and its text in
-    ``_corrupt_record``; ``split_undecodable`` takes such lines apart.
+    ``_corrupt_record``; ``split_undecodable`` takes such lines apart. A
+    message without a time gets the time of its arrival.
     """
     reader = spark.readStream if streaming else spark.read
     reader = reader.schema(MESSAGE_SCHEMA + ", _corrupt_record string").option("mode", "PERMISSIVE")
     if streaming and max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.json(path)
+    return reader.json(path).withColumn("ingest_ts", F.coalesce("ingest_ts", F.current_timestamp()))
 
 
 def split_undecodable(messages: DataFrame) -> tuple[DataFrame, DataFrame]:

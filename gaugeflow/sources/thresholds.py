@@ -60,10 +60,11 @@ def threshold_rows(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_thresholds_csv(spark: SparkSession, path: str, project_id: str | None = None) -> DataFrame:
+def read_thresholds_csv(spark: SparkSession, path: str, project_id: str) -> DataFrame:
     """Thresholds of a CSV file with ``topic_name, min_value, max_value``.
 
-    The file is rejected with the first bad row, or when it has no rows.
+    The file is rejected with the first bad row, or when it has no rows. The
+    project is required: thresholds only meet messages of their project.
     """
     rows = threshold_rows(spark, path)
     first_bad = F.min_by("error", F.when(F.col("error").isNotNull(), F.col("row_number")))

@@ -6,19 +6,35 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gaugeflow.operators.analysis import analyze_messages
+from gaugeflow.functions.fields import parse_payload
+from gaugeflow.operators.analysis import analyze_messages, filter_topics
 from gaugeflow.sources.messages import read_messages, split_undecodable, stored_form, stream_messages
 from gaugeflow.streaming.alerts import emit_alert_events
 from gaugeflow.streaming.live import emit_graph_updates
 
 
-def monitored(spark: SparkSession, landing: str, max_files: int | None = None) -> DataFrame:
-    """Analyzed messages of a landing folder in the layout of the message table."""
+#: Landing files of a batch, which bounds what one sensor can bring into it.
+MAX_FILES = 1000
+
+
+def monitored(spark: SparkSession, landing: str, max_files: int | None = MAX_FILES, pattern: str | None = None) -> DataFrame:
+    """Analyzed messages of a landing folder, of the topics that meet a pattern, in the layout of the message table."""
     raw, _ = split_undecodable(read_messages(spark, landing, streaming=True, max_files=max_files))
+    if pattern:
+        raw = filter_topics(raw, pattern)
     known = analyze_messages(raw).filter(F.col("equipment_id") != "unknown")
     return stored_form(known)
 
 
+def dead_letters(spark: SparkSession, landing: str, max_files: int | None = MAX_FILES) -> DataFrame:
+    """Lines of a landing folder that are no message or whose payload is no JSON object, with the reason."""
+    lines = read_messages(spark, landing, streaming=True, max_files=max_files)
+    reason = F.when(F.col("topic").isNull() | F.col("payload").isNull(), "line is not a message").when(
+        parse_payload("payload").isNull(), "payload is not a JSON object"
+    )
+    return lines.select("topic", "payload", "ingest_ts", F.col("_corrupt_record").alias("line"), reason.alias("reason")).filter(F.col("reason").isNotNull())
+
+
 def monitor(
     spark: SparkSession,
     landing: str,
@@ -28,18 +44,22 @@ def monitor(
     out: str,
     checkpoints: str,
     push: Callable[[DataFrame, int], None],
-    max_files: int | None = None,
+    max_files: int | None = MAX_FILES,
     available_now: bool = False,
+    pattern: str | None = None,
 ) -> dict:
-    """Starts three queries over the same landing folder, each with its own checkpoint.
+    """Starts four queries over the same landing folder, each with its own checkpoint.
 
-    Storage appends every message, alerts keep their state per sensor, and the
-    graph is pushed at most every 500 milliseconds.
+    Storage appends every message of the subscribed topics, lines that can't
+    be analyzed go to the dead letters, alerts keep their state per sensor,
+    and the graph is pushed at most every 500 milliseconds.
     """
     once = {"availableNow": True} if available_now else {"processingTime": "500 milliseconds"}
-    messages = monitored(spark, landing, max_files)
+    messages = monitored(spark, landing, max_files, pattern)
+    dead = dead_letters(spark, landing, max_files).writeStream.format("parquet").option("path", f"{out}/dead_letters")
     return {
         "storage": stream_messages(messages, f"{out}/messages", f"{checkpoints}/storage", **once),
+        "dead_letters": dead.option("checkpointLocation", f"{checkpoints}/dead_letters").trigger(**once).start(),
         "alerts": emit_alert_events(messages, thresholds, f"{out}/alerts", f"{checkpoints}/alerts", **once),
         "graph": emit_graph_updates(messages, layout, edges, push, f"{checkpoints}/graph", available_now=available_now),
     }

@@ -39,7 +39,7 @@ def test_thresholds_csv(spark, tmp_path):
 )
 def test_bad_threshold_files(spark, tmp_path, text, message):
     with pytest.raises(thresholds.ThresholdFileError, match=message):
-        thresholds.read_thresholds_csv(spark, csv(tmp_path, text))
+        thresholds.read_thresholds_csv(spark, csv(tmp_path, text), "p")
 
 
 def test_row_numbers_across_splits(spark, tmp_path):

@@ -128,6 +128,8 @@ def test_monitor(spark, thresholds, tmp_path):
         assert q.awaitTermination(300) and q.exception() is None
     stored = spark.read.parquet(str(tmp_path / "out" / "messages"))
     assert [r.value for r in stored.orderBy("msg_id").collect()] == [9, 13, 15, 10, 16, 3]
+    dead = spark.read.parquet(str(tmp_path / "out" / "dead_letters")).collect()
+    assert sorted(r.reason for r in dead) == ["line is not a message", "payload is not a JSON object"] and all(r.ingest_ts for r in dead)
     assert stored.filter("unit = 'mM' and project_id = 'p' and session_id = 's'").count() == 6
     events = spark.read.parquet(str(tmp_path / "out" / "alerts"))
     got = sorted((r.event, r.threshold_type, r.opened_value, r.severity, r.current_value) for r in events.collect())
