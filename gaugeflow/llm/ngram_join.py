@@ -7,13 +7,17 @@ a bound of 75 %). A block's task turns its part into lists of rows that share
 a column; equal lists are kept once, with a count, so that a group of near
 copies gives few lists.
 
-Overlaps are accumulated in two rounds. First each row is held against the one
-row that shares most lists with it, and links join rows to components. Then
-all pairs of a list that lie in different components are accumulated; pairs
-whose count can't reach the overlap that their sizes ask for are discarded,
-and the others are compared whole. A pair inside a component needs no
-comparison, so the work inside a group of copies is linear, and no link
-between different components is missed.
+Columns of its prefix that a row shares with no other bound the overlap it can
+have; pairs whose sizes ask for more are never made. Overlaps are accumulated
+in rounds. First each row is held against the one row that shares most
+lists with it, and links join rows to components. Then one member of
+each component of a list is held against one row of the list. At last rows of
+the product are accumulated for the pairs that still lie in different
+components, each at its row in the smaller one; pairs whose count can't reach
+the overlap that their sizes ask for are discarded, and the others are
+compared whole. A pair inside a component needs no comparison, so
+the work inside a group of copies is linear, and no link between different
+components is missed.
 
 Rows with equal n-gram sets are one node of the graph.
 """
@@ -33,8 +37,8 @@ from gaugeflow.llm.components import components
 
 #: Numbers of the column sums, of the pieces they travel in, and of the first-level sums of a piece.
 SUMS, PIECES, FIRST_SUMS = 1 << 20, 16, 64
-#: Entries of a block, rows of a list that are paired at once, pairs of a result batch.
-BLOCK_ENTRIES, LIST_ROWS, PAIR_ROWS = 2_000_000, 2000, 100_000
+#: Entries of a block, and rows of a list that are paired at once.
+BLOCK_ENTRIES, LIST_ROWS = 2_000_000, 2000
 KEPT_WORDS = 500_000
 #: Nodes whose texts are found through a broadcast, 16 bytes each; more are joined by a shuffle.
 BROADCAST_NODES = 500_000
@@ -200,14 +204,9 @@ def _parts(nodes: np.ndarray) -> Iterator[np.ndarray]:
             yield np.concatenate([a, b])
 
 
-def possible(n: Column, m: Column, columns: Column) -> Column:
-    """Whether rows of n and m columns that share so many columns of their prefixes can overlap enough."""
-
-    def rest(x):
-        return F.ceil(x * SHARED / WHOLE) - 1
-
-    similar = F.least(n, m) * WHOLE >= F.greatest(n, m) * SHARED
-    return similar & ((columns + F.greatest(rest(n), rest(m))) * (SHARED + WHOLE) >= (n + m) * SHARED)
+def _rest(n: Column) -> Column:
+    """Columns behind the prefix."""
+    return F.ceil(n * SHARED / WHOLE) - 1
 
 
 def linked(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
@@ -238,33 +237,81 @@ def linked(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, size: int) -> Da
     return written(whole.select("a", "x", "b", "y").mapInArrow(compare, "a long, b long"), "links")
 
 
-def _cross_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of a list's members in different components whose sizes are close enough."""
-    names = ["a", "b", "n", "m", "n_columns"]
+def _allowed(n, most, m, other_most):
+    """Whether sizes and largest possible overlaps allow a link."""
+    return np.minimum(most, other_most) * (SHARED + WHOLE) >= (n + m) * SHARED
+
+
+def _members(batch: pa.RecordBatch) -> Iterator[tuple]:
+    for members, columns in zip(batch.column(0), batch.column(1)):
+        yield (*(x.to_numpy() for x in members.values.flatten()), columns.as_py())
 
-    def batch_of(found):
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*found)], names=names)
 
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each component in a list the member with the largest possible overlap, paired with the best of them all."""
     for batch in batches:
-        found, total = [], 0
-        for members, columns in zip(batch.column(0), batch.column(1)):
-            node, n, label = (x.to_numpy() for x in members.values.flatten())
-            by_size = np.lexsort((node, n))
-            node, n, label = node[by_size], n[by_size], label[by_size]
-            # Behind a member in size order only those up to 100/75 of its size can be similar.
-            last = np.searchsorted(n, n * WHOLE // SHARED, side="right")
-            for i in range(len(node)):
-                other = np.flatnonzero(label[i + 1 : last[i]] != label[i]) + i + 1
+        found = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)]]
+        for node, n, most, label, _, _ in _members(batch):
+            best = np.lexsort((node, -most))
+            kept = best[np.unique(label[best], return_index=True)[1]]
+            hub = kept[np.lexsort((node[kept], -most[kept]))[0]]
+            other = kept[(kept != hub) & _allowed(n[kept], most[kept], n[hub], most[hub])]
+            found[0].append(np.minimum(node[hub], node[other]))
+            found[1].append(np.maximum(node[hub], node[other]))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(f)) for f in found], names=["a", "b"])
+
+
+def _partial_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each member of a list the members of larger components it could be linked with, as one partial row of the product."""
+    for batch in batches:
+        rows: tuple[list, ...] = ([], [], [], [], [])
+        for node, n, most, label, weight, columns in _members(batch):
+            by_weight = np.lexsort((node, label, weight))
+            node, n, most, label, weight = (x[by_weight] for x in (node, n, most, label, weight))
+            for i in range(len(node) - 1):
+                rest = slice(i + 1, None)
+                other = np.flatnonzero((label[rest] != label[i]) & _allowed(n[rest], most[rest], n[i], most[i])) + i + 1
                 if len(other):
-                    a, b = np.minimum(node[i], node[other]), np.maximum(node[i], node[other])
-                    first = node[i] == a
-                    found.append((a, b, np.where(first, n[i], n[other]), np.where(first, n[other], n[i]), np.full(len(a), columns.as_py())))
-                    total += len(other)
-                if total >= PAIR_ROWS:
-                    yield batch_of(found)
-                    found, total = [], 0
-        if found:
-            yield batch_of(found)
+                    for target, value in zip(rows, (node[i], n[i], node[other], n[other], columns)):
+                        target.append(value)
+        kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(rows, kinds)], names=["a", "n", "others", "sizes", "n_columns"])
+
+
+def _accumulate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds up the partial rows of a node, which follow each other, and keeps the columns that reach the bound."""
+    node, n, parts = None, 0, []
+
+    def kept():
+        others, first, inverse = np.unique(np.concatenate([p[0] for p in parts]), return_index=True, return_inverse=True)
+        m = np.concatenate([p[1] for p in parts])[first]
+        columns = np.bincount(inverse, np.concatenate([np.full(len(p[0]), p[2]) for p in parts])).astype(np.int64)
+        rest = np.maximum(n - prefix_length(n), m - prefix_length(m))
+        b = others[(columns + rest) * (SHARED + WHOLE) >= (n + m) * SHARED]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(b), node)), pa.array(b)], names=["a", "b"])
+
+    for batch in batches:
+        for a, size, others, sizes, columns in zip(*batch.columns):
+            if a.as_py() != node:
+                if parts:
+                    yield kept()
+                node, n, parts = a.as_py(), size.as_py(), []
+            parts.append((others.values.to_numpy(), sizes.values.to_numpy(), columns.as_py()))
+    if parts:
+        yield kept()
+
+
+def _candidates(each: DataFrame, labels: DataFrame, whole: bool) -> DataFrame:
+    """Pairs (a, b) of members of lists that lie in several components: stars, or all whose accumulated overlap reaches the bound."""
+    weights = labels.groupBy("label").agg(F.count("*").alias("weight"))
+    placed = each.join(labels.join(weights, "label"), "node", "left").withColumns({"label": F.coalesce("label", "node"), "weight": F.coalesce("weight", F.lit(1).cast("long"))})
+    mixed = placed.groupBy("list").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("list")
+    split = placed.join(mixed, "list").groupBy("list", "n_columns").agg(F.collect_list(F.struct("node", "n", "most", "label", "weight")).alias("members"))
+    split = split.select("members", "n_columns")
+    if not whole:
+        return split.mapInArrow(_stars, "a long, b long").distinct()
+    rows = split.mapInArrow(_partial_rows, "a long, n long, others array<long>, sizes array<long>, n_columns long")
+    return rows.repartition("a").sortWithinPartitions("a").mapInArrow(_accumulate, "a long, b long")
 
 
 def similar_documents(docs: DataFrame, size: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -288,22 +335,28 @@ def similar_documents(docs: DataFrame, size: int = 5, doc_id: str = "doc_id", te
     blocks = max(shuffle_partitions(spark), int(total * (WHOLE - SHARED) / WHOLE / BLOCK_ENTRIES) + 1)
     lists = shared_lists(rows, rarity(table), size, blocks)
 
-    sizes = nodes.select("node", "n")
     numbered = lists.withColumn("list", F.monotonically_increasing_id())
-    each = numbered.select("list", "hub", "n_columns", F.explode("nodes").alias("node")).join(sizes, "node")
-    hubs = sizes.select(F.col("node").alias("hub"), F.col("n").alias("m"))
-    with_hub = each.where("node != hub").groupBy("node", "n", "hub").agg(F.sum("n_columns").alias("n_columns")).join(hubs, "hub")
-    best = with_hub.where(F.least("n", "m") * WHOLE >= F.greatest("n", "m") * SHARED).groupBy("node").agg(F.max(F.struct("n_columns", "hub")).alias("best"))
+    each = numbered.select("list", "hub", "n_columns", F.explode("nodes").alias("node"))
+    # A row overlaps another at most in all its columns but those of its prefix that no other row has.
+    matched = each.groupBy("node").agg(F.sum("n_columns").alias("matched")).join(nodes.select("node", "n"), "node")
+    alone = F.greatest(F.col("n") - _rest(F.col("n")) - F.col("matched"), F.lit(0))
+    sizes = matched.select("node", "n", (F.col("n") - alone).alias("most"))
+    # The least a partner can have is SHARED / WHOLE of a row's columns.
+    sizes = written(sizes.where(F.col("most") * WHOLE >= F.col("n") * SHARED), "sizes")
+    each = written(each.join(sizes, "node"), "members")
+
+    hubs = sizes.select(F.col("node").alias("hub"), F.col("n").alias("m"), F.col("most").alias("hub_most"))
+    with_hub = each.where("node != hub").groupBy("node", "n", "most", "hub").agg(F.sum("n_columns").alias("n_columns")).join(hubs, "hub")
+    fits = F.least("most", "hub_most") * (SHARED + WHOLE) >= (F.col("n") + F.col("m")) * SHARED
+    best = with_hub.where(fits).groupBy("node").agg(F.max(F.struct("n_columns", "hub")).alias("best"))
+    each = each.select("list", "n_columns", "node", "n", "most")
     links = linked(best.select(F.col("node").alias("a"), F.col("best.hub").alias("b")), rows, nodes, size)
     labels = components(links)
-
-    placed = each.select("list", "n_columns", "node", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = placed.groupBy("list").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("list")
-    split = placed.join(mixed, "list").groupBy("list", "n_columns").agg(F.collect_list(F.struct("node", "n", "label")).alias("members"))
-    pairs = split.select("members", "n_columns").mapInArrow(_cross_pairs, "a long, b long, n long, m long, n_columns long")
-    summed = pairs.groupBy("a", "b").agg(F.sum("n_columns").alias("n_columns"), F.first("n").alias("n"), F.first("m").alias("m"))
-    more = linked(summed.where(possible(F.col("n"), F.col("m"), F.col("n_columns"))), rows, nodes, size)
-    labels = components(links.union(more))
+    for whole in (False, True):
+        more = linked(_candidates(each, labels, whole), rows, nodes, size)
+        if more.limit(1).count():
+            links = links.union(more)
+            labels = components(links)
 
     named = nodes.select("node", "doc_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
