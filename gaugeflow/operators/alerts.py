@@ -227,70 +227,70 @@ def alert_stats(episodes: DataFrame) -> DataFrame:
 # --- threshold changes -----------------------------------------------------
 
 
+#: Order numbers of created thresholds begin behind those of the table.
+CREATED_FROM = 1 << 40
+
+
 def apply_threshold_changes(thresholds: DataFrame, log: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Thresholds after an ordered change log, and the outcome of every change.
 
     ``log`` has ``ord, op, project_id, id, topic_name, min_value, max_value,
-    enabled`` with op create, update, toggle or delete. Changes to an unknown
-    id and updates without a bound are rejected. The state of an id follows
-    from aggregates (last accepted bounds, last explicit switch and the number
-    of toggles after it), so a long log of one id is never gathered.
+    enabled`` with op create, update, toggle or delete. An id lives from an
+    accepted create, or from the start, to the next delete, and may be created
+    again. Changes to an id that doesn't live, creates of one that does, and
+    updates without a bound are rejected. The state of a life follows from
+    aggregates (last accepted bounds, last explicit switch and the number of
+    toggles after it). The first table has the layout of ``thresholds``;
+    created thresholds come behind the ones that were there, by ``place`` and
+    by ``ord``.
     """
-    key = ["project_id", "id"]
+    key, lives = ["project_id", "id"], ["project_id", "id", "life"]
     start = F.lit(-1).cast("bigint")
-    known = thresholds.select(*key, start.alias("born"))
-    lives = (
-        known.unionByName(log.filter("op = 'create'").select(*key, F.col("ord").cast("bigint").alias("born")))
-        .groupBy(*key)
-        .agg(F.min("born").alias("born"))
-    )
-    ends = (
-        log.filter("op = 'delete'").join(lives, key).filter(F.col("ord") > F.col("born")).groupBy(*key).agg(F.min("ord").alias("died"))
-    )
-    spans = lives.join(ends, key, "left")
-    alive = F.col("born").isNotNull() & (F.col("ord") > F.col("born")) & (F.col("died").isNull() | (F.col("ord") <= F.col("died")))
+    creates, deletes = F.col("op") == "create", F.col("op") == "delete"
+    named = F.coalesce("topic_name", F.lit("")) != ""
+    before = W.partitionBy(*key).orderBy("ord").rowsBetween(W.unboundedPreceding, -1)
+    alive = F.coalesce(F.last(F.when(creates & named, True).when(deletes, False), ignorenulls=True).over(before), "_there", F.lit(False))
     outcome = (
-        F.when((F.col("op") == "create") & (F.coalesce("topic_name", F.lit("")) == ""), F.lit("topic_name is required"))
-        .when((F.col("op") == "create") & (F.col("ord") > F.col("born")), F.lit("threshold exists"))
-        .when(F.col("op") == "create", F.lit("ok"))
-        .when(~F.coalesce(alive, F.lit(False)), F.lit("threshold not found"))
+        F.when(creates & ~named, F.lit("topic_name is required"))
+        .when(creates & F.col("_alive"), F.lit("threshold exists"))
+        .when(creates, F.lit("ok"))
+        .when(~F.col("_alive"), F.lit("threshold not found"))
         .when((F.col("op") == "update") & F.col("min_value").isNull() & F.col("max_value").isNull(), F.lit("a bound is required"))
         .otherwise(F.lit("ok"))
     )
-    checked = log.join(spans, key, "left").withColumn("outcome", outcome)
-    accepted = checked.filter("outcome = 'ok'")
+    there = thresholds.select(*key).distinct().withColumn("_there", F.lit(True))
+    checked = join_keys(log, there, key, "left").withColumn("_alive", alive).withColumn("outcome", outcome)
+    born = F.count_if(creates & (F.col("outcome") == "ok")).over(before.rowsBetween(W.unboundedPreceding, 0))
+    accepted = checked.withColumn("life", born).filter("outcome = 'ok'")
 
-    created = accepted.filter("op = 'create'").select(
-        *key, "ord", "topic_name", topic_leaf("topic_name").alias("sensor_type"), "min_value", "max_value",
-        F.coalesce("enabled", F.lit(True)).alias("enabled"),
-    )
-    base = thresholds.select(*key, "ord", "topic_name", "sensor_type", "min_value", "max_value", F.coalesce("enabled", F.lit(True)).alias("enabled"))
-    initial = base.withColumn("place", F.struct(F.lit(0).alias("part"), F.col("ord").alias("at"))).unionByName(
-        created.withColumn("place", F.struct(F.lit(1).alias("part"), F.col("ord").alias("at")))
-    )
+    columns = [*lives, "ord", "place", "topic_name", "sensor_type", "min_value", "max_value", F.coalesce("enabled", F.lit(True)).alias("enabled")]
+
+    def placed(rows, part):
+        return rows.withColumn("place", F.struct(F.lit(part).alias("part"), F.col("ord").alias("at")))
+
+    created = placed(accepted.filter(creates).withColumn("sensor_type", topic_leaf("topic_name")), 1)
+    created = created.withColumn("ord", F.lit(CREATED_FROM) + F.col("ord"))
+    initial = placed(thresholds.withColumn("life", F.lit(0).cast("bigint")), 0).select(*columns).unionByName(created.select(*columns))
     is_set = (F.col("op") == "update") & F.col("enabled").isNotNull()
-    updates = accepted.groupBy(*key).agg(
+    updates = accepted.groupBy(*lives).agg(
         F.max_by(F.when(F.col("op") == "update", F.struct("min_value", "max_value")), F.when(F.col("op") == "update", F.col("ord"))).alias("bounds"),
         F.max_by(F.when(is_set, F.col("enabled")), F.when(is_set, F.col("ord"))).alias("switch"),
         F.max(F.when(is_set, F.col("ord"))).alias("switched_at"),
+        F.coalesce(F.bool_or(deletes), F.lit(False)).alias("ended"),
     )
     toggles = (
-        accepted.filter("op = 'toggle'")
-        .join(updates.select(*key, "switched_at"), key)
+        join_keys(accepted.filter("op = 'toggle'"), updates.select(*lives, "switched_at"), lives)
         .filter(F.col("ord") > F.coalesce("switched_at", start))
-        .groupBy(*key)
+        .groupBy(*lives)
         .agg(F.count(F.lit(1)).alias("toggles"))
     )
-    state = (
-        initial.join(spans.select(*key, "died"), key)
-        .filter(F.col("died").isNull())
-        .join(updates, key, "left")
-        .join(toggles, key, "left")
-    )
+    state = join_keys(join_keys(initial, updates, lives, "left"), toggles, lives, "left")
+    state = state.filter(~F.coalesce("ended", F.lit(False)))
     switched = F.coalesce("switch", "enabled")
     odd = F.coalesce(F.col("toggles"), F.lit(0)) % 2 == 1
     result = state.select(
         *key,
+        "ord",
         "place",
         "topic_name",
         "sensor_type",

@@ -89,3 +89,21 @@ def test_work_folders_on_a_cluster_need_the_shared_one():
 
     with pytest.raises(ValueError):
         work_folder(Cluster, "x")
+
+
+def test_thresholds_live_again(spark):
+    from gaugeflow.operators import alerts as A
+
+    base = spark.createDataFrame([("p", "t", 1, "a/x", "x", 1.0, None, True)], "project_id string, id string, ord long, topic_name string, sensor_type string, min_value double, max_value double, enabled boolean")
+    changes = [
+        (1, "create", "n", "", None, 1.0), (2, "update", "n", None, None, 2.0), (3, "create", "n", "b/y", None, 3.0), (4, "create", "n", "b/z", None, 4.0),
+        (5, "delete", "t", None, None, None), (6, "update", "t", None, 9.0, None), (7, "create", "t", "c/z", 5.0, None), (8, "toggle", "t", None, None, None),
+        (9, "delete", "n", None, None, None), (10, "delete", "n", None, None, None), (11, "create", "n", "d/q", None, 6.0), (12, "update", "n", None, 0.5, 7.0),
+    ]
+    log = spark.createDataFrame([(o, op, "p", i, t, lo, hi, None) for o, op, i, t, lo, hi in changes], "ord long, op string, project_id string, id string, topic_name string, min_value double, max_value double, enabled boolean")
+    state, outcomes = A.apply_threshold_changes(base, log)
+    assert {r.ord: r.outcome for r in outcomes.collect() if r.outcome != "ok"} == {
+        1: "topic_name is required", 2: "threshold not found", 4: "threshold exists", 6: "threshold not found", 10: "threshold not found",
+    }
+    assert [(r.id, r.topic_name, r.min_value, r.max_value, r.enabled) for r in state.orderBy("ord").collect()] == [("t", "c/z", 5.0, None, False), ("n", "d/q", 0.5, 7.0, True)]
+    assert A.index_thresholds(state)
