@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 import types
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -39,9 +41,26 @@ def parquet(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def worker_store(key) -> dict:
-    """A dictionary that lives as long as the Python worker, so that a compiled model serves all tasks of a worker."""
+    """A dictionary that lives as long as the Python worker, so that a compiled model serves all tasks of a worker.
+
+    A worker keeps one at a time: asking for another key drops what it had.
+    """
     module = sys.modules.setdefault("gaugeflow_worker_store", types.ModuleType("gaugeflow_worker_store"))
-    return module.__dict__.setdefault(key, {})
+    if getattr(module, "key", None) != key:
+        module.key, module.kept = key, {}
+    return module.kept
+
+
+@contextmanager
+def no_cycles():
+    """Pauses the search for reference cycles, which would walk a worker's large tables again and again."""
+    enabled = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if enabled:
+            gc.enable()
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gaugeflow.llm.common import worker_store
@@ -31,7 +32,7 @@ ROUNDS, RATE, DECAY = 25, 0.5, 1e-4
 #: A lexicon entry needs this many occurrences and this share of one label.
 LEXICON_COUNT, LEXICON_SHARE = 3, 0.8
 #: Characters of texts that are handled together, and words whose emissions a worker keeps.
-BATCH_CHARS, KEPT_WORDS = 6_000_000, 400_000
+BATCH_CHARS, KEPT_WORDS = 3_000_000, 700_000
 #: Runs of letters; a few number signs also match and are told apart by isalpha.
 RUN = re.compile(r"[^\W\d_]+")
 
@@ -41,25 +42,31 @@ def words_of(text: str) -> list[str]:
 
 
 def features(word: str) -> list[str]:
-    """Affixes up to four characters, n-grams of two and three, and the word itself for the lexicon."""
-    n = len(word)
-    out = [f"<{word[:k]}" for k in range(1, min(n, 4) + 1)]
-    out += [f"{word[-k:]}>" for k in range(1, min(n, 4) + 1)]
-    out += [word[i : i + 2] for i in range(n - 1)]
-    out += [word[i : i + 3] for i in range(n - 2)]
-    out.append(f"={word}")
+    """Affixes and n-grams of two and three characters, with marks at both ends, affixes up to four, and the word itself for the lexicon."""
+    marked = f"<{word}>"
+    n = len(marked)
+    out = [marked[i : i + 2] for i in range(n - 1)]
+    out += [marked[i : i + 3] for i in range(n - 2)]
+    out += [marked[:4], marked[:5], marked[-4:], marked[-5:], f"={word}"]
     return out
 
 
 @dataclass
 class Model:
     labels: list[str]
-    weights: dict[str, tuple[float, ...]]
+    index: dict[str, int]
+    weights: np.ndarray
     transitions: np.ndarray
 
-    def emission(self, word: str) -> tuple[float, ...]:
-        rows = [w for w in map(self.weights.get, features(word)) if w is not None]
-        return tuple(map(sum, zip(*rows))) if rows else (0.0,) * len(self.labels)
+    def emissions(self, words: list[str]) -> np.ndarray:
+        """Sums of the weights of each word's known features."""
+        places, ends = [], []
+        for word in words:
+            places += [i for i in map(self.index.get, features(word)) if i is not None]
+            ends.append(len(places))
+        sums = np.vstack([np.zeros((1, len(self.labels))), np.cumsum(self.weights[np.array(places, dtype=np.int64)], axis=0, dtype=np.float64)])
+        ends = np.array([0, *ends], dtype=np.int64)
+        return (sums[ends[1:]] - sums[ends[:-1]]).astype(np.float32)
 
 
 def forward_backward(scores: np.ndarray, lengths: np.ndarray, transitions: np.ndarray, counts: bool = False):
@@ -73,7 +80,7 @@ def forward_backward(scores: np.ndarray, lengths: np.ndarray, transitions: np.nd
     sizes = lengths[order]
     active = len(sizes) - np.searchsorted(sizes[::-1], np.arange(1, (sizes[0] if len(sizes) else 0) + 1))
     step = np.exp(transitions)
-    local = np.exp(scores - scores.max(axis=1, keepdims=True))
+    local = np.exp(scores - scores.max(axis=1, keepdims=True, initial=-np.inf))
     alpha, expected, state = np.empty_like(local), np.zeros_like(step), None
     for t, n in enumerate(active):
         at = starts[:n] + t
@@ -144,7 +151,7 @@ def fit(texts: list[tuple[str, list[str]]]) -> Model:
         seen_s += grad_s**2
         weights += RATE * grad_w / np.sqrt(seen_w)
         step += RATE * grad_s / np.sqrt(seen_s)
-    return Model(labels, {f: tuple(weights[i].tolist()) for f, i in index.items()}, step)
+    return Model(labels, index, weights, step)
 
 
 class Labeller:
@@ -156,26 +163,39 @@ class Labeller:
 
     def clear(self):
         self.ids: dict[str, int] = {}
-        self.rows: list[tuple[float, ...]] = []
-        self.letters: list[bool] = []
+        self.fresh: list[str] = []
+        self.rows = np.zeros((1024, len(self.model.labels)), dtype=np.float32)
+        self.letters = np.zeros(1024, dtype=bool)
 
     def number(self, word: str) -> int:
-        self.ids[word] = i = len(self.rows)
-        self.rows.append(self.model.emission(word))
-        self.letters.append(any(map(str.isalpha, word)))
+        self.ids[word] = i = len(self.ids)
+        self.fresh.append(word)
         return i
 
+    def learn(self):
+        """Emissions of the words that were numbered last."""
+        if len(self.ids) > len(self.rows):
+            more = max(len(self.rows), len(self.ids) - len(self.rows))
+            self.rows = np.concatenate([self.rows, np.zeros((more, self.rows.shape[1]), self.rows.dtype)])
+            self.letters = np.concatenate([self.letters, np.zeros(more, bool)])
+        new = slice(len(self.ids) - len(self.fresh), len(self.ids))
+        self.rows[new] = self.model.emissions(self.fresh)
+        self.letters[new] = [any(map(str.isalpha, w)) for w in self.fresh]
+        self.fresh = []
+
     def marginals(self, texts: list[list[str]]):
         """For the words of all texts in a row: probabilities of the labels, and whether a word has letters."""
-        if len(self.rows) > KEPT_WORDS:
+        if len(self.ids) > KEPT_WORDS:
             self.clear()
         known = self.ids
-        ids = np.array([known[w] if w in known else self.number(w) for words in texts for w in words], dtype=np.int64)
-        scores = np.array(self.rows, dtype=np.float32)[ids] if len(ids) else np.zeros((0, len(self.model.labels)), np.float32)
+        ids = np.fromiter((known[w] if w in known else self.number(w) for words in texts for w in words), np.int64)
+        self.learn()
         lengths = np.array([len(w) for w in texts if w], dtype=np.int64)
-        return forward_backward(scores, lengths, self.model.transitions.astype(np.float32)), np.array(self.letters, dtype=bool)[ids] if len(ids) else np.zeros(0, bool)
+        return forward_backward(self.rows[ids], lengths, self.model.transitions.astype(np.float32)), self.letters[ids]
 
     def languages(self, texts: list[str]) -> list[tuple[str, float]]:
+        if not self.model.labels:
+            return [(UNKNOWN, 0.0)] * len(texts)
         split = [words_of(t) for t in texts]
         probabilities, letters = self.marginals(split)
         sums = np.vstack([np.zeros((1, len(self.model.labels))), np.cumsum(probabilities * letters[:, None], axis=0, dtype=np.float64)])
@@ -184,7 +204,7 @@ class Labeller:
         out = []
         for words, end in zip(split, ends):
             start = end - len(words)
-            if n[end] == n[start] or not self.model.labels:
+            if n[end] == n[start]:
                 out.append((UNKNOWN, 0.0))
                 continue
             mean = (sums[end] - sums[start]) / (n[end] - n[start])
@@ -204,8 +224,20 @@ def sample(docs: DataFrame, per_label: int = SAMPLE_DOCUMENTS, n_words: int = SA
     return [(r[0], words_of(r["text"])[:n_words]) for r in rows]
 
 
-def predict(docs: DataFrame, model: Model, text: str = "text", label_into: str = "lang_pred", score_into: str = "score") -> DataFrame:
-    """``docs`` with the predicted language of every whole text and its mean probability.
+def _groups(lengths: list[int]) -> Iterator[list[int]]:
+    """Places of texts, longest first, in groups of bounded size: texts of one group take about as many steps."""
+    group, chars = [], 0
+    for i in sorted(range(len(lengths)), key=lengths.__getitem__, reverse=True):
+        group.append(i)
+        chars += lengths[i] + 1
+        if chars >= BATCH_CHARS:
+            yield group
+            group, chars = [], 0
+    yield group
+
+
+def predict(docs: DataFrame, model: Model, text: str = "text", label_into: str = "lang_pred", score_into: str = "score", keep_text: bool = True) -> DataFrame:
+    """``docs`` with the predicted language of every whole text and its mean probability, and without the text unless it is kept.
 
     NULL texts and texts without letters give ``und`` with score 0. Rows,
     repeated ones too, and all other columns stay; columns that are named like
@@ -221,22 +253,22 @@ def predict(docs: DataFrame, model: Model, text: str = "text", label_into: str =
             store |= {"run": run, "labeller": Labeller(sent.value)}
         labeller = store["labeller"]
         for batch in batches:
-            found, group, chars = [], [], 0
-            for x in batch.column(batch.schema.get_field_index("__text")):
-                group.append(x.as_py() or "")
-                chars += len(group[-1])
-                if chars >= BATCH_CHARS:
-                    found += labeller.languages(group)
-                    group, chars = [], 0
-            found += labeller.languages(group)
-            columns = [batch.column(i) for i in range(batch.num_columns - 1)]
+            texts = batch.column(batch.num_columns - 1)
+            found: list = [None] * batch.num_rows
+            for group in _groups(pc.fill_null(pc.utf8_length(texts), 0).to_pylist()):
+                for i, result in zip(group, labeller.languages([texts[i].as_py() or "" for i in group])):
+                    found[i] = result
+            columns = batch.columns[: batch.num_columns - (not keep_text)]
+            names = batch.schema.names[: len(columns)]
             columns += [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], label_into, score_into])
+            yield pa.RecordBatch.from_arrays(columns, names=[*names, label_into, score_into])
 
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in (label_into, score_into)]
-    rows = docs.select(*kept, F.col(f"`{text}`").alias("__text"))
-    schema = docs.select(*kept, F.lit("").alias(label_into), F.lit(0.0).alias(score_into)).schema
-    return rows.mapInArrow(label_batches, schema)
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in (text, label_into, score_into)]
+    body = F.col(f"`{text}`")
+    schema = docs.select(*others, *[body] * keep_text, F.lit("").alias(label_into), F.lit(0.0).alias(score_into)).schema
+    found = docs.select(*others, body).mapInArrow(label_batches, schema)
+    order = [c for c in docs.columns if c not in (label_into, score_into) and (keep_text or c != text)]
+    return found.select(*[f"`{c}`" for c in order], label_into, score_into)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -248,4 +280,4 @@ def language_report(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every document; the model is fitted on the documents that aren't held out."""
     model = fit(sample(docs.where(~held_out(F.col("doc_id")))))
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
-    return predict(rows, model).select("doc_id", "held_out", "lang_pred", "score")
+    return predict(rows, model, keep_text=False).select("doc_id", "held_out", "lang_pred", "score")
