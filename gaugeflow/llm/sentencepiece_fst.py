@@ -27,11 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from gaugeflow.llm.bpe import Neighbours
-from gaugeflow.llm.common import worker_store
+from gaugeflow.llm.common import no_cycles, worker_store
 
 META = "▁"
 #: Chunks whose ids and beginnings whose compositions a worker keeps, and characters of one at most.
-KEPT_CHUNKS, KEPT_PATHS, KEPT_LENGTH = 700_000, 150_000, 64
+KEPT_CHUNKS, KEPT_PATHS, KEPT_LENGTH = 400_000, 120_000, 64
 #: Fixed value: what an unknown character costs beyond the least score in a unigram model.
 UNKNOWN_PENALTY = 10.0
 SPECIAL, NORMAL, BYTE = 0, 1, 2
@@ -61,7 +61,7 @@ class Transducer(dict):
 
     def __init__(self, model: dict):
         super().__init__()
-        self.model = model
+        self.model, self.bpe = model, model["bpe"]
         self.id = {p: i for i, (p, _, kind) in enumerate(model["pieces"]) if kind == NORMAL}
         self.score = [s for _, s, _ in model["pieces"]]
         self.bytes = {int(p[3:5], 16): i for i, (p, _, kind) in enumerate(model["pieces"]) if kind == BYTE}
@@ -69,19 +69,20 @@ class Transducer(dict):
         self.longest = max(map(len, self.id))
         self.neighbours, self.known = Neighbours(self.join, list), {}
         self.paths: dict[str, tuple] = {}
+        self.older: dict[str, bytes] = {}
         self.adjacent = {pair for p in self.id for pair in zip(p, p[1:])}
         self.output = [bytes([int(p[3:5], 16)]) if kind == BYTE else p.replace(META, " ").encode() if kind == NORMAL else b"" for p, _, kind in model["pieces"]]
         self.output[model["unknown"]] = " ⁇ ".encode()
         # Chunks end before a meta symbol behind another character.
         whole = any(META in p.lstrip(META) for p in self.id)
         self.chunk = re.compile("(?s).+" if whole else f"{META}*[^{META}]+|{META}+")
-        # The lexicon as a trie: {character: node}, the piece that ends at a node under "".
+        # The lexicon as a trie: {character: node}, the arc of the piece that ends at a node under "".
         self.trie: dict = {}
         for p in self.id:
             node = self.trie
             for c in p:
                 node = node.setdefault(c, {})
-            node[""] = p
+            node[""] = (p, array("i", [self.id[p]]).tobytes(), -self.score[self.id[p]])
         self.paths[""] = ((self.trie, "", 0.0, b""), None)
 
     def normalise(self, text: str) -> str:
@@ -104,24 +105,24 @@ class Transducer(dict):
 
     def extend(self, arcs: tuple, c: str) -> tuple:
         """Reads a character. Arcs are (trie node, piece before, cost, ids) of the pieces under way; the last element is the best path that ends here."""
-        bpe, best, ahead = self.model["bpe"], None, []
+        bpe, best, ahead, known = self.bpe, None, [], self.known
         for node, before, cost, ids in arcs[:-1]:
             child = node.get(c)
-            if child is None:
-                if node is not self.trie or c in self.id:
-                    continue
-                piece, weight = c, UNKNOWN_PENALTY - self.least
-            else:
+            if child is not None:
                 ahead.append((child, before, cost, ids))
-                piece = child.get("")
-                if piece is None:
-                    continue
-                weight = -self.score[self.id[piece]]
-            if bpe:  # each prefix has one encoding: where a path arrives no other can
-                if best is None and self.fits(before, piece):
-                    best = (piece, cost + weight, ids + self.ids(piece))
-            elif best is None or cost + weight < best[1]:
-                best = (piece, cost + weight, ids + self.ids(piece))
+                end = child.get("")
+            else:
+                end = self.unknown(c) if node is self.trie and c not in self.id else None
+            if end is None:
+                continue
+            piece, data, weight = end
+            if not bpe:
+                if best is None or cost + weight < best[1]:
+                    best = (piece, cost + weight, ids + data)
+            elif best is None:  # each prefix has one encoding: where a path arrives no other can
+                fits = known.get((before, piece))
+                if fits or fits is None and self.fits(before, piece):
+                    best = (piece, cost, ids + data)
         if best is not None:
             ahead.append((self.trie, *best))
         return (*ahead, best)
@@ -139,29 +140,34 @@ class Transducer(dict):
                 self.paths[chunk[: k + 1]] = arcs
         return arcs[-1][2]
 
-    def ids(self, piece: str) -> bytes:
-        if piece in self.id:
-            out = [self.id[piece]]
-        elif self.bytes:
-            out = [self.bytes[b] for b in piece.encode("utf-8", "surrogatepass")]
-        else:
-            out = [self.model["unknown"]]
-        return array("i", out).tobytes()
+    def unknown(self, c: str) -> tuple[str, bytes, float]:
+        """The arc of a character that is no piece: its bytes, or the unknown piece where a model has no bytes."""
+        out = [self.bytes[b] for b in c.encode("utf-8", "surrogatepass")] if self.bytes else [self.model["unknown"]]
+        return c, array("i", out).tobytes(), UNKNOWN_PENALTY - self.least
 
     def __missing__(self, chunk: str) -> bytes:
-        # No piece crosses two characters that are neighbours in none.
-        cuts = [i + 1 for i, pair in enumerate(zip(chunk, chunk[1:])) if pair not in self.adjacent]
+        found = self.older.get(chunk)
+        if found is not None:
+            self.keep(chunk, found)
+            return found
+        # No piece crosses two characters that are neighbours in none. Letters alone are hardly ever such a place.
+        cuts = [] if chunk[1:].isalpha() else [i + 1 for i, pair in enumerate(zip(chunk, chunk[1:])) if pair not in self.adjacent]
         if cuts:
             found = b"".join(self[chunk[a:b]] for a, b in zip([0, *cuts], [*cuts, len(chunk)]))
         else:
             found = self.shortest_path(chunk)
         if len(chunk) <= KEPT_LENGTH:
-            if len(self) >= KEPT_CHUNKS:
-                self.clear()
-                self.known.clear()
-            self[chunk] = found
+            self.keep(chunk, found)
         return found
 
+    def keep(self, chunk: str, found: bytes):
+        """Full, the dictionary becomes the older one, from which what is still in use comes back."""
+        if len(self) >= KEPT_CHUNKS:
+            self.older = dict(self)
+            self.clear()
+            self.known.clear()
+        self[chunk] = found
+
     def encode(self, text: str) -> np.ndarray:
         return np.frombuffer(b"".join(map(self.__getitem__, self.chunk.findall(self.normalise(text)))), dtype=np.int32)
 
@@ -185,13 +191,14 @@ def encode(docs: DataFrame, model: str, text: str = "text", into: str = "ids", c
     stay; columns named like the results are replaced.
     """
     sent = docs.sparkSession.sparkContext.broadcast(load_model(model))
-    results = [into] + [check] * bool(check)
+    results = [into, check] if check else [into]
 
     def batches_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = _transducer(sent, model)
         for batch in batches:
             texts = [x.as_py() for x in batch.column(batch.num_columns - 1)]
-            found = [None if t is None else machine.encode(t) for t in texts]
+            with no_cycles():
+                found = [None if t is None else machine.encode(t) for t in texts]
             sizes = np.cumsum([0] + [0 if f is None else len(f) for f in found])
             flat = np.concatenate([f for f in found if f is not None]) if any(f is not None for f in found) else np.zeros(0, np.int32)
             missing = pa.array([f is None for f in found])
@@ -204,7 +211,7 @@ def encode(docs: DataFrame, model: str, text: str = "text", into: str = "ids", c
 
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in (text, *results)]
     rows = docs.select(*kept, F.col(f"`{text}`").alias("__text"))
-    kinds = [F.array(F.lit(0)).alias(into)] + [F.lit(True).alias(check)] * bool(check)
+    kinds = [F.array(F.lit(0)).alias(into)] + ([F.lit(True).alias(check)] if check else [])
     schema = docs.select(*kept, *kinds).schema
     for name in results:
         schema[name].nullable = True
