@@ -28,12 +28,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gaugeflow.llm.common import worker_store
+from gaugeflow.llm.bpe import Neighbours
+from gaugeflow.llm.common import no_cycles, worker_store
 
 #: States that are kept before the transducer is compiled anew, and characters of a chunk.
-STATE_LIMIT, CHUNK = 200_000, 1 << 16
+STATE_LIMIT, CHUNK = 350_000, 1 << 16
 #: Characters of texts that are in one call, so that long texts don't add up.
-LETTER, NUMBER, SPACE = regex.compile(r"\p{L}"), regex.compile(r"\p{N}"), re.compile(r"\s")
+LETTER, NUMBER, SPACE = regex.compile(r"\p{L}"), regex.compile(r"\p{N}"), regex.compile(r"\p{White_Space}")
 #: The contractions that the tokenizer's pattern names, by their letter after the apostrophe.
 SHORT, LONG = frozenset("stmd"), {"r": "e", "v": "e", "l": "l"}
 
@@ -61,6 +62,7 @@ class WordBpe:
         alphabet = byte_alphabet()
         number = {c: b for c, b in alphabet.items()} | {c + end: 256 + b for c, b in alphabet.items()}
         self.pairs, self.text, self.fits = {}, [(s,) for s in range(512)], {}
+        self.neighbours = Neighbours(self.join, self.text.__getitem__)
         for a, b in merges:
             token = len(self.text)
             number[a + b] = token
@@ -78,28 +80,14 @@ class WordBpe:
                 node = self.next[node][s]
             self.token_at[node] = token
 
-    def encode(self, symbols) -> list[int]:
-        """Merges the earliest pair of the list until none is left."""
-        out = list(symbols)
-        while len(out) > 1:
-            best = min((self.pairs.get(p, 1 << 60) for p in zip(out, out[1:])), default=1 << 60)
-            if best == 1 << 60:
-                break
-            i, merged = 0, []
-            while i < len(out):
-                if i + 1 < len(out) and self.pairs.get((out[i], out[i + 1])) == best:
-                    merged.append(best)
-                    i += 2
-                else:
-                    merged.append(out[i])
-                    i += 1
-            out = merged
-        return out
+    def join(self, a: int, b: int):
+        made = self.pairs.get((a, b))
+        return None if made is None else (made, made)
 
     def side_by_side(self, a: int, b: int) -> bool:
         known = self.fits.get((a, b))
         if known is None:
-            known = self.fits[a, b] = self.encode(self.text[a] + self.text[b]) == [a, b]
+            known = self.fits[a, b] = self.neighbours.fit(a, b)
         return known
 
     def advance(self, items: tuple, symbol: int) -> tuple[tuple, int]:
@@ -109,11 +97,11 @@ class WordBpe:
             child = self.next[node].get(symbol)
             if child is None:
                 continue
-            token = self.token_at[child]
-            if token is not None and (before is None or self.side_by_side(before, token)):
-                last, delta = token, count + 1
             if self.next[child]:
                 alive.append((child, before, count))
+            token = self.token_at[child]
+            if last is None and token is not None and (before is None or self.side_by_side(before, token)):
+                last, delta = token, count + 1  # no other token can end here
         return (*((n, b, c - delta) for n, b, c in alive), (0, last, 0)), delta
 
 
@@ -263,7 +251,8 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 2048, text: str =
         machine = store.get("machine") or store.setdefault("machine", CountTransducer(sent.value))
         for batch in batches:
             texts = batch.column(batch.num_columns - 1)
-            n = pa.array([0 if t is None else machine.count(t) for t in (x.as_py() for x in texts)], pa.int64())
+            with no_cycles():
+                n = pa.array([0 if t is None else machine.count(t) for t in (x.as_py() for x in texts)], pa.int64())
             kept = [batch.column(i) for i in range(batch.num_columns - 2)]
             yield pa.RecordBatch.from_arrays([*kept, batch.column(batch.num_columns - 2), n], names=[*batch.schema.names[:-2], "n_bytes", "n_tokens"])
 
