@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from gaugeflow.session import work_folder
 from gaugeflow.sources.messages import write_messages
 
 
@@ -62,15 +63,29 @@ def drop_project(spark: SparkSession, table_path: str, project: str) -> bool:
 
 
 def import_project(spark: SparkSession, path: str, messages_path: str, sessions_path: str, message_schema, session_schema) -> str:
-    """Replaces the data of the bundle's project; running it again gives the same result."""
+    """Replaces the data of the bundle's project; running it again gives the same result.
+
+    The bundle is read whole into a work folder first, so a bundle that can't
+    be read leaves the project as it was.
+    """
     messages, sessions, project = read_bundle(spark, path, message_schema, session_schema)
+    partition_folder(project)
+    messages = written(messages.withColumn("project_id", F.lit(project)), "import-messages")
+    sessions = written(sessions.withColumn("project_id", F.lit(project)), "import-sessions")
     drop_project(spark, messages_path, project)
-    write_messages(messages.withColumn("project_id", F.lit(project)), messages_path)
+    write_messages(messages, messages_path)
     drop_project(spark, sessions_path, project)
-    sessions.withColumn("project_id", F.lit(project)).write.mode("append").partitionBy("project_id").parquet(sessions_path)
+    sessions.write.mode("append").partitionBy("project_id").parquet(sessions_path)
     return project
 
 
+def written(df: DataFrame, purpose: str) -> DataFrame:
+    """The same rows, read from a work folder."""
+    folder = work_folder(df.sparkSession, purpose)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def import_session(messages: DataFrame, sessions: DataFrame, bundle_messages: DataFrame, bundle_sessions: DataFrame, session: str) -> tuple[DataFrame, DataFrame]:
     """Both tables with a bundled session added under a fresh session id and fresh message ids."""
     for df, needed in ((bundle_messages, "msg_id"), (bundle_sessions, "session_id")):
