@@ -7,9 +7,10 @@ a bound of 75 %). A block's task turns its part into lists of rows that share
 a column; equal lists are kept once, with a count, so that a group of near
 copies gives few lists.
 
-Columns of its prefix that a row shares with no other bound the overlap it can
-have; pairs whose sizes ask for more are never made. Overlaps are accumulated
-in rounds. First each row is held against the one row that shares most
+Two rows share at most the columns that lie in both prefixes and those behind
+one of them, the longer rest; of the first there are no more than either row
+has in any list. Pairs whose sizes ask for more are never made. Overlaps are
+accumulated in rounds. First each row is held against the one row that shares most
 lists with it, and links join rows to components. Then one member of
 each component of a list is held against one row of the list. At last rows of
 the product are accumulated for the pairs that still lie in different
@@ -237,9 +238,14 @@ def linked(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, size: int) -> Da
     return written(whole.select("a", "x", "b", "y").mapInArrow(compare, "a long, b long"), "links")
 
 
-def _allowed(n, most, m, other_most):
-    """Whether sizes and largest possible overlaps allow a link."""
-    return np.minimum(most, other_most) * (SHARED + WHOLE) >= (n + m) * SHARED
+def _allowed(n, matched, m, other_matched):
+    """Whether sizes and the numbers of prefix columns in any list allow a link.
+
+    A column of one row's prefix can lie behind the other's prefix, so the
+    rest is that of the pair and not of a row.
+    """
+    rest = np.maximum(n - prefix_length(n), m - prefix_length(m))
+    return (np.minimum(matched, other_matched) + rest) * (SHARED + WHOLE) >= (n + m) * SHARED
 
 
 def _members(batch: pa.RecordBatch) -> Iterator[tuple]:
@@ -248,14 +254,15 @@ def _members(batch: pa.RecordBatch) -> Iterator[tuple]:
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each component in a list the member with the largest possible overlap, paired with the best of them all."""
+    """Of each component in a list the member with the most columns in lists, paired with the best of them all."""
     for batch in batches:
         found = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)]]
-        for node, n, most, label, _, _ in _members(batch):
+        for node, n, matched, label, _, _ in _members(batch):
+            most = matched + n - prefix_length(n)
             best = np.lexsort((node, -most))
             kept = best[np.unique(label[best], return_index=True)[1]]
             hub = kept[np.lexsort((node[kept], -most[kept]))[0]]
-            other = kept[(kept != hub) & _allowed(n[kept], most[kept], n[hub], most[hub])]
+            other = kept[(kept != hub) & _allowed(n[kept], matched[kept], n[hub], matched[hub])]
             found[0].append(np.minimum(node[hub], node[other]))
             found[1].append(np.maximum(node[hub], node[other]))
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(f)) for f in found], names=["a", "b"])
@@ -265,12 +272,12 @@ def _partial_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     """For each member of a list the members of larger components it could be linked with, as one partial row of the product."""
     for batch in batches:
         rows: tuple[list, ...] = ([], [], [], [], [])
-        for node, n, most, label, weight, columns in _members(batch):
+        for node, n, matched, label, weight, columns in _members(batch):
             by_weight = np.lexsort((node, label, weight))
-            node, n, most, label, weight = (x[by_weight] for x in (node, n, most, label, weight))
+            node, n, matched, label, weight = (x[by_weight] for x in (node, n, matched, label, weight))
             for i in range(len(node) - 1):
                 rest = slice(i + 1, None)
-                other = np.flatnonzero((label[rest] != label[i]) & _allowed(n[rest], most[rest], n[i], most[i])) + i + 1
+                other = np.flatnonzero((label[rest] != label[i]) & _allowed(n[rest], matched[rest], n[i], matched[i])) + i + 1
                 if len(other):
                     for target, value in zip(rows, (node[i], n[i], node[other], n[other], columns)):
                         target.append(value)
@@ -306,7 +313,7 @@ def _candidates(each: DataFrame, labels: DataFrame, whole: bool) -> DataFrame:
     weights = labels.groupBy("label").agg(F.count("*").alias("weight"))
     placed = each.join(labels.join(weights, "label"), "node", "left").withColumns({"label": F.coalesce("label", "node"), "weight": F.coalesce("weight", F.lit(1).cast("long"))})
     mixed = placed.groupBy("list").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("list")
-    split = placed.join(mixed, "list").groupBy("list", "n_columns").agg(F.collect_list(F.struct("node", "n", "most", "label", "weight")).alias("members"))
+    split = placed.join(mixed, "list").groupBy("list", "n_columns").agg(F.collect_list(F.struct("node", "n", "matched", "label", "weight")).alias("members"))
     split = split.select("members", "n_columns")
     if not whole:
         return split.mapInArrow(_stars, "a long, b long").distinct()
@@ -337,19 +344,17 @@ def similar_documents(docs: DataFrame, size: int = 5, doc_id: str = "doc_id", te
 
     numbered = lists.withColumn("list", F.monotonically_increasing_id())
     each = numbered.select("list", "hub", "n_columns", F.explode("nodes").alias("node"))
-    # A row overlaps another at most in all its columns but those of its prefix that no other row has.
+    # Columns of a row's prefix that lie in lists; rows of long lists come several times.
     matched = each.groupBy("node").agg(F.sum("n_columns").alias("matched")).join(nodes.select("node", "n"), "node")
-    alone = F.greatest(F.col("n") - _rest(F.col("n")) - F.col("matched"), F.lit(0))
-    sizes = matched.select("node", "n", (F.col("n") - alone).alias("most"))
-    # The least a partner can have is SHARED / WHOLE of a row's columns.
-    sizes = written(sizes.where(F.col("most") * WHOLE >= F.col("n") * SHARED), "sizes")
+    sizes = written(matched.select("node", "n", F.least(F.col("matched"), F.col("n") - _rest(F.col("n"))).alias("matched")), "sizes")
     each = written(each.join(sizes, "node"), "members")
 
-    hubs = sizes.select(F.col("node").alias("hub"), F.col("n").alias("m"), F.col("most").alias("hub_most"))
-    with_hub = each.where("node != hub").groupBy("node", "n", "most", "hub").agg(F.sum("n_columns").alias("n_columns")).join(hubs, "hub")
-    fits = F.least("most", "hub_most") * (SHARED + WHOLE) >= (F.col("n") + F.col("m")) * SHARED
+    hubs = sizes.select(F.col("node").alias("hub"), F.col("n").alias("m"), F.col("matched").alias("hub_matched"))
+    with_hub = each.where("node != hub").groupBy("node", "n", "matched", "hub").agg(F.sum("n_columns").alias("n_columns")).join(hubs, "hub")
+    rest = F.greatest(_rest(F.col("n")), _rest(F.col("m")))
+    fits = (F.least("matched", "hub_matched") + rest) * (SHARED + WHOLE) >= (F.col("n") + F.col("m")) * SHARED
     best = with_hub.where(fits).groupBy("node").agg(F.max(F.struct("n_columns", "hub")).alias("best"))
-    each = each.select("list", "n_columns", "node", "n", "most")
+    each = each.select("list", "n_columns", "node", "n", "matched")
     links = linked(best.select(F.col("node").alias("a"), F.col("best.hub").alias("b")), rows, nodes, size)
     labels = components(links)
     for whole in (False, True):

@@ -223,6 +223,29 @@ def test_join_against_brute_force(spark, limits, monkeypatch):
     assert ngram_join.jaccard_report(df.limit(0)).count() == 0
 
 
+def test_join_of_appended_and_cut_copies(spark):
+    random.seed(12)
+    rows, fresh = [], iter(range(10**6))
+
+    def words(n):
+        return [f"w{next(fresh)}" for _ in range(n)]
+
+    for n in (24, 60, 104, 304):
+        for j in (0.75, 0.76, 0.8, 0.83, 0.87, 0.9):
+            base = words(n)
+            more = int((n - 4) * (1 / j - 1))
+            rows.append(base)
+            rows.append(random.choice([base + words(more), words(more) + base]))  # appended or put before
+            base = words(n)
+            rows += [base, base[: 4 + -int(-(n - 4) * j // 1)]]  # cut
+            rows.append(words(n))
+    rows = [(i, " ".join(w)) for i, w in enumerate(rows)]
+    df = spark.createDataFrame(rows, DOC).coalesce(1)
+    got, want = sorted(map(tuple, ngram_join.jaccard_report(df).collect())), sorted(brute_groups(rows))
+    assert sum(d != c for d, _, c in want) >= 40
+    assert got == want
+
+
 def test_pipeline_stages(spark, tmp_path):
     random.seed(9)
     en = ["the", "and", "with", "river", "house", "green", "walking", "stone"]
