@@ -1,17 +1,22 @@
 """Substring dedup by hashing of normalised pieces of lines.
 
-A line is cut into units at sentence and clause signs, so that a passage that
-was put into the middle of a line still has units of its own. Units are
-normalised to their lower-cased words; those of at least ``unit_words`` words
-are hashed. Digests are grouped over all documents, the earliest ranked
-occurrence stays, and later ones are marked. Marked units that follow each
-other are a run; runs of at least ``run_words`` hashed words are removed, and
-their offsets in the original text are kept.
+A line is cut into clauses at sentence and clause signs, so that a passage that
+was put into the middle of a line still has clauses of its own, normalised to
+their lower-cased words. Units are clauses and whole lines of at least
+``unit_words`` words, and, where shorter clauses lie between, the shortest
+windows of clauses from each one on and up to each one that have ``run_words``
+words. Units are hashed and their digests grouped over all documents; the
+earliest ranked occurrence stays, and clauses inside later ones are marked.
+Marked clauses are a run as long as no unmarked one of at least ``unit_words``
+words lies between. Of runs of at least ``run_words`` marked words the marked
+clauses are removed, and their offsets in the original text are kept. Shorter
+unmarked clauses stay.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,18 +25,54 @@ from pyspark.sql import DataFrame, functions as F
 
 from gaugeflow.llm.common import written
 
+#: Words of the runs that are removed.
+RUN_WORDS = 12
 UNIT = re.compile(r"[^\n.!?,;:]+")
 WORD = re.compile(r"\w+")
 HALF = 1 << 63
 
 
-def units_of(text: str, unit_words: int) -> Iterator[tuple[int, int, list[str]]]:
-    """start, end and lower-cased words of the units that are long enough to be hashed."""
+def pieces_of(text: str) -> list[tuple[int, int, list[str], int]]:
+    """start, end, lower-cased words and line of all clauses that have words."""
+    out, line, at = [], 0, 0
     for m in UNIT.finditer(text):
         words = WORD.findall(m[0].lower())
-        if len(words) >= unit_words:
-            at = len(m[0]) - len(m[0].lstrip())
-            yield m.start() + at, m.start() + len(m[0].rstrip()), words
+        if words:
+            line, at = line + text.count("\n", at, m.start()), m.start()
+            out.append((m.start() + len(m[0]) - len(m[0].lstrip()), m.start() + len(m[0].rstrip()), words, line))
+    return out
+
+
+def _ranges(pieces: list, unit_words: int, run_words: int) -> list[tuple[int, int]]:
+    """First and last piece of the units: long clauses, long lines, and the shortest windows with short clauses that are a run."""
+    sizes, found = [len(p[2]) for p in pieces], {}
+    start = 0
+    for i, n in enumerate(sizes):
+        if n >= unit_words:
+            found[i, i] = True
+        if i + 1 == len(pieces) or pieces[i + 1][3] != pieces[i][3]:
+            if sum(sizes[start : i + 1]) >= unit_words:
+                found[start, i] = True
+            start = i + 1
+    if min(sizes, default=unit_words) < unit_words:
+        # A copy that is a run lies inside its windows, as one begins at its first piece and one ends at its last.
+        sums, shorts = [0], [0]
+        for n in sizes:
+            sums.append(sums[-1] + n), shorts.append(shorts[-1] + (n < unit_words))
+        for i in range(len(pieces)):
+            after, before = bisect_left(sums, sums[i] + run_words), bisect_right(sums, sums[i + 1] - run_words) - 1
+            if after < len(sums) and shorts[after] > shorts[i]:
+                found[i, after - 1] = True
+            if before >= 0 and shorts[i + 1] > shorts[before]:
+                found[before, i] = True
+    return list(found)
+
+
+def units_of(text: str, unit_words: int, run_words: int = RUN_WORDS) -> Iterator[tuple[int, int, list[str]]]:
+    """start, end and lower-cased words of the units that are hashed."""
+    pieces = pieces_of(text)
+    for i, j in _ranges(pieces, unit_words, run_words):
+        yield pieces[i][0], pieces[j][1], [w for p in pieces[i : j + 1] for w in p[2]]
 
 
 def _digest(words: list[str]) -> tuple[int, int]:
@@ -41,24 +82,36 @@ def _digest(words: list[str]) -> tuple[int, int]:
 
 def removable(text: str, later: list[int], unit_words: int, run_words: int) -> list[tuple[int, int]]:
     """Spans of the runs of later copies that are long enough; ``later`` are numbers of hashed units."""
-    marked, out, run, total = set(later), [], None, 0
-    for n, (start, end, words) in enumerate(units_of(text, unit_words)):
-        if n in marked:
-            run, total = ((run[0] if run else start), end), total + len(words)
+    pieces, marked = pieces_of(text), set(later)
+    copied, first = [False] * len(pieces), {}
+    for n, (i, j) in enumerate(_ranges(pieces, unit_words, run_words)):
+        words = " ".join(w for p in pieces[i : j + 1] for w in p[2])
+        if n not in marked:
+            first[words] = j + 1
             continue
-        if run and total >= run_words:
-            out.append(run)
-        run, total = None, 0
-    return out + [run] * bool(run and total >= run_words)
+        for k in range(max(i, first.get(words, 0)), j + 1):  # a first copy that it overlaps stays
+            copied[k] = True
+    out, run, total = [], [], 0
+    for k, (start, end, words, _) in enumerate(pieces):
+        if copied[k]:
+            if run and copied[k - 1]:
+                run[-1] = (run[-1][0], end)
+            else:
+                run.append((start, end))
+            total += len(words)
+        elif len(words) >= unit_words:
+            out += run * (total >= run_words)
+            run, total = [], 0
+    return out + run * (total >= run_words)
 
 
 def drop_repeated_passages(
-    docs: DataFrame, unit_words: int = 5, run_words: int = 12, doc_id: str = "doc_id", text: str = "text", removed: str = "removed"
+    docs: DataFrame, unit_words: int = 5, run_words: int = RUN_WORDS, doc_id: str = "doc_id", text: str = "text", removed: str = "removed"
 ) -> DataFrame:
     """``docs`` without later copies of passages; ``removed`` has their spans (start, end) in the original text, in code points.
 
     Earlier is by doc_id (NULL first), row and place. NULL and empty texts and
-    texts without long units stay as they are, with no spans. Repeated rows
+    texts without units stay as they are, with no spans. Repeated rows
     are copies of each other. An input column named ``removed`` is replaced;
     all others stay. Digests have 128 bits. Rows are told apart by their place
     in the input, which therefore has to be a table or another input with a
@@ -71,7 +124,7 @@ def drop_repeated_passages(
         for batch in batches:
             places, numbers, first, second = [], [], [], []
             for i, t in enumerate(batch.column(2)):
-                for n, (_, _, words) in enumerate(units_of(t.as_py() or "", unit_words)):
+                for n, (_, _, words) in enumerate(units_of(t.as_py() or "", unit_words, run_words)):
                     a, b = _digest(words)
                     places.append(i), numbers.append(n), first.append(a), second.append(b)
             at = pa.array(places, pa.int64())

@@ -1,6 +1,7 @@
 """Tokenizers, language, deduplication, the n-gram join and the pipeline: brute force, libraries and edge cases."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -172,6 +173,58 @@ def test_passages_against_brute_force(spark):
     assert substring_dedup.passage_report(df.limit(0)).count() == 0
 
 
+def independent_passages(rows):
+    """Removed words of every text: all stretches of clauses that an earlier text has, compared one by one."""
+    before, out = [], []
+    for _, text in rows:
+        clauses = [(m.start(), m[0].lower().split()) for m in re.finditer(r"[a-z][a-z0-9 ]*", text)]
+        words, gone = [w for _, w in clauses], set()
+        for i in range(len(words)):
+            for j in range(i + 1, len(words) + 1):
+                if (j - i == 1 and len(words[i]) >= 5) or sum(map(len, words[i:j])) >= 12:
+                    if any(words[i:j] == old[k : k + j - i] for old in before for k in range(len(old))):
+                        gone |= set(range(i, j))
+        run, kept = [], set()
+        for k in [*range(len(words)), None]:
+            if k in gone:
+                run.append(k)
+            elif k is None or len(words[k]) >= 5:
+                kept |= set(run) if sum(len(words[i]) for i in run) >= 12 else set()
+                run = []
+        out.append([w for k, w in enumerate(words) if k not in kept])
+        before.append(words)
+    return out
+
+
+def test_short_clauses_against_independent_brute_force(spark):
+    random.seed(21)
+    clauses = [" ".join(random.choice("abcdefgh") + str(k) for k in range(random.choice([1, 1, 2, 3, 4, 5, 7, 13]))) for _ in range(60)]
+    stretches = [[random.choice(clauses) for _ in range(random.randint(2, 14))] for _ in range(10)]
+    rows = []
+    for i in range(50):
+        parts = []
+        for _ in range(random.randint(1, 4)):
+            stretch = random.choice(stretches)
+            parts += random.sample(clauses, random.randint(0, 5)) if random.random() < 0.5 else stretch[: random.randint(1, 14)]
+        parts = [c for k, c in enumerate(parts) if c not in parts[:k]]  # no copies inside a text
+        rows.append((i, "".join(c + random.choice([". ", ", ", "; "]) for c in parts)))
+    got = {r["doc_id"]: r["text"] for r in substring_dedup.drop_repeated_passages(spark.createDataFrame(rows, DOC).coalesce(1)).collect()}
+    left = [[m[0].split() for m in re.finditer(r"[a-z][a-z0-9 ]*", got[i]) if m[0].strip()] for i, _ in rows]
+    want = independent_passages(rows)
+    assert [[w for c in x for w in c] for x in left] == [[w for c in x for w in c] for x in want]
+
+
+def test_own_short_text_stays_and_short_clauses_go(spark):
+    letter = "We write to you about the claim as follows: {}. The reason that you have given us for it was: {}. We thank you for your patience with us"
+    listed, other = ", ".join(f"word{i}" for i in range(60)), ", ".join(f"word{i * 7 % 60}" for i in range(60))
+    rows = [(1, letter.format("John Smith", "fire damage")), (2, letter.format("Ann Lee", "a flood")), (3, "Before. " + listed), (4, "Own text here, " + listed + ". Own end"), (5, other)]
+    rows += [(6, "one two, three four five six; seven eight nine ten, eleven twelve"), (7, "One, two three; four five, six seven; eight. Nine: ten eleven, twelve\nrest"), (8, "ha, " * 30)]
+    got = {r["doc_id"]: r["text"] for r in substring_dedup.drop_repeated_passages(spark.createDataFrame(rows, DOC).coalesce(1)).collect()}
+    assert got[1] == rows[0][1] and "Ann Lee" in got[2] and "a flood" in got[2] and "claim" not in got[2] and "patience" not in got[2]
+    assert got[4] == "Own text here, . Own end" and got[5] == other  # the same words in another order are no copy
+    assert got[7] == "\nrest" and got[8].count("ha") == 12  # cut by other signs; the first copy of a repetition stays whole
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(90, 95), (95, 93), (90, 95)], "a long, b long")
     got = {r["node"]: r["label"] for r in components(edges).collect()}
