@@ -22,6 +22,8 @@ from gaugeflow.llm.sentencepiece_fst import encode
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A document whose best language has a lower mean probability over its words than this is in no language.
 LEAST_SCORE = 0.25
+#: A line of so many words is a run by itself.
+LINE_WORDS = 50
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,8 +34,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Deletes later copies of line runs; a document of which nothing is left goes, and n_chars follows the text."""
-    found = drop_repeated_lines(docs.select(COLUMNS), removed="__removed")
+    """Deletes later copies of line runs and of single long lines; a document of which nothing is left goes, and n_chars follows the text."""
+    found = drop_repeated_lines(docs.select(COLUMNS), removed="__removed", line_words=LINE_WORDS)
     changed = F.size("__removed") > 0
     kept = found.where(~changed | (F.trim(F.regexp_replace("text", r"\s+", " ")) != ""))
     return kept.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(COLUMNS)

@@ -7,7 +7,8 @@ distinct pairs of the ranks at a line and w lines behind it are sorted and
 numbered again. Equal ranks are an interval of the suffix array whose longest
 common prefix has at least that many lines. Doubling ends at ``min_lines``:
 longer common prefixes lie inside the union of these intervals, and the union
-is what the deletion of later copies needs.
+is what the deletion of later copies needs. Where a single line with many words
+counts as a run, too, its copies have the same rank of width one.
 
 A rank that occurs once ends there, as a repeated run can't begin at it, so
 most lines leave after the first counting. Counting, numbering and the search
@@ -26,6 +27,10 @@ def _blank(line: Column) -> Column:
     return F.trim(F.regexp_replace(line, r"\s+", " ")) == ""
 
 
+def _words(line: Column) -> Column:
+    return F.size(F.split(F.trim(F.regexp_replace(line, r"\s+", " ")), " "))
+
+
 def _lines(text: Column) -> Column:
     return F.split(text, "\n")
 
@@ -40,14 +45,19 @@ def _ranked(names: DataFrame, keys: list[str]) -> DataFrame:
     return written(ordered.withColumn("rank", F.monotonically_increasing_id()), "ranks")
 
 
-def repeated_suffixes(docs: DataFrame, min_lines: int, doc_id: str, text: str) -> DataFrame:
-    """row, doc_id, at (place in the row's sequence) and rank of all suffixes whose first ``min_lines`` lines occur more than once."""
+def repeated_suffixes(docs: DataFrame, min_lines: int, doc_id: str, text: str, line_words: int | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """row, doc_id, at (place in the row's sequence) and rank of all suffixes whose first ``min_lines`` lines occur more than once.
+
+    The second table has those whose first line has ``line_words`` words and occurs more than once.
+    """
+    long = [] if line_words is None else [(_words(F.col("line")) >= line_words).alias("long")]
+    kept = ["long"] * len(long)
     numbered = docs.select(_row(), F.col(doc_id).alias("doc_id"), F.filter(_lines(F.col(text)), lambda x: ~_blank(x)).alias("lines"))
     lines = numbered.select(F.col("__row").alias("row"), "doc_id", F.posexplode("lines").alias("at", "line"))
-    lines = lines.select("row", "doc_id", "at", F.xxhash64("line").alias("a"), F.hash("line").alias("b"))
+    lines = lines.select("row", "doc_id", "at", F.xxhash64("line").alias("a"), F.hash("line").alias("b"), *long)
     names = lines.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").select("a", "b")
-    suffixes = written(lines.join(_ranked(names, ["a", "b"]), ["a", "b"]).select("row", "doc_id", "at", "rank"), "suffixes")
-    width = 1
+    suffixes = written(lines.join(_ranked(names, ["a", "b"]), ["a", "b"]).select("row", "doc_id", "at", "rank", *kept), "suffixes")
+    width, alone = 1, suffixes.where("long").drop("long") if long else None
     while width < min_lines:
         step = min(width, min_lines - width)
         ahead = F.lead(F.struct("at", "rank"), step).over(Window.partitionBy("row").orderBy("at"))
@@ -55,15 +65,23 @@ def repeated_suffixes(docs: DataFrame, min_lines: int, doc_id: str, text: str) -
         names = pairs.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").select("a", "b")
         suffixes = written(pairs.join(_ranked(names, ["a", "b"]), ["a", "b"]).select("row", "doc_id", "at", "rank"), "suffixes")
         width += step
-    return suffixes
+    return suffixes.select("row", "doc_id", "at", "rank"), alone
+
+
+def _later(suffixes: DataFrame, name: str) -> DataFrame:
+    """Places of each row at which an earlier rank occurs again."""
+    first = suffixes.groupBy("rank").agg(F.min(F.struct("doc_id", "row", "at")).alias("first"))
+    later = suffixes.join(first, "rank").where((F.col("first.row") != F.col("row")) | (F.col("first.at") != F.col("at")))
+    return later.groupBy(F.col("row").alias("__row")).agg(F.collect_set("at").alias(name))
 
 
 def drop_repeated_lines(
-    docs: DataFrame, min_lines: int = 2, doc_id: str = "doc_id", text: str = "text", removed: str = "removed_lines"
+    docs: DataFrame, min_lines: int = 2, doc_id: str = "doc_id", text: str = "text", removed: str = "removed_lines", line_words: int | None = None
 ) -> DataFrame:
     """``docs`` with all runs of at least ``min_lines`` lines gone that occur earlier; ``removed`` has their line numbers, from 0.
 
-    Earlier is by doc_id (NULL first), row and line. Lines are equal if their
+    If ``line_words`` is given, a single line of at least so many words, parted
+    by white space, is such a run, too. Earlier is by doc_id (NULL first), row and line. Lines are equal if their
     characters are; blank lines are no part of a run and stay. The first copy
     of a run stays unless it is part of a longer one's later copy. NULL and
     empty texts stay as they are. Repeated rows are copies of each other. An
@@ -73,17 +91,20 @@ def drop_repeated_lines(
     their place in the input, which therefore has to be a table or another
     input with a fixed order.
     """
-    suffixes = repeated_suffixes(docs, min_lines, doc_id, text)
-    first = suffixes.groupBy("rank").agg(F.min(F.struct("doc_id", "row", "at")).alias("first"))
-    later = suffixes.join(first, "rank").where((F.col("first.row") != F.col("row")) | (F.col("first.at") != F.col("at")))
-    starts = later.groupBy(F.col("row").alias("__row")).agg(F.collect_set("at").alias("__starts"))
-
-    rows = docs.withColumn("__row", _row()).join(starts, "__row", "left")
+    suffixes, alone = repeated_suffixes(docs, min_lines, doc_id, text, line_words)
+    rows = docs.withColumn("__row", _row()).join(_later(suffixes, "__starts"), "__row", "left")
+    either = F.col("__starts").isNotNull()
+    if alone is not None:
+        rows = rows.join(_later(alone, "__alone"), "__row", "left")
+        either = either | F.col("__alone").isNotNull()
 
     def gone(lines):
         # Line numbers of the lines that aren't blank; the places in a run point into them.
         filled = F.filter(F.transform(lines, lambda x, i: F.when(~_blank(x), i)), lambda i: i.isNotNull())
-        inside = F.array_distinct(F.flatten(F.transform("__starts", lambda s: F.sequence(s, s + (min_lines - 1)))))
+        inside = F.flatten(F.transform("__starts", lambda s: F.sequence(s, s + (min_lines - 1))))
+        if alone is not None:
+            inside = F.concat(*[F.coalesce(x, F.array().cast("array<int>")) for x in (inside, F.col("__alone"))])
+        inside = F.array_distinct(inside)
         return bound(filled, lambda f: F.array_sort(F.transform(inside, lambda i: F.get(f, i))))
 
     def left(lines):
@@ -91,7 +112,7 @@ def drop_repeated_lines(
         return F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
 
     body = F.col(f"`{text}`")
-    rows = rows.withColumn("__gone", F.when(F.col("__starts").isNotNull(), bound(_lines(body), gone)))
+    rows = rows.withColumn("__gone", F.when(either, bound(_lines(body), gone)))
     shortened = F.when(F.col("__gone").isNull(), body).otherwise(bound(_lines(body), left))
     none = F.array().cast("array<int>")
     return rows.select(

@@ -173,6 +173,16 @@ def test_passages_against_brute_force(spark):
     assert substring_dedup.passage_report(df.limit(0)).count() == 0
 
 
+def test_long_single_lines(spark):
+    long, other, short = (" ".join(f"{x}{i}" for i in range(n)) for x, n in (("a", 60), ("b", 50), ("c", 49)))
+    texts = [long, f"own\n{long}\nend", long, f"{other}\n{short}", f"{short}\n\n{other}\n{other}", f"x\n{other}\n{short}", None, ""]
+    df = spark.createDataFrame([(i, t, "en", "s", 7) for i, t in enumerate(texts)], DOC + ", lang string, source string, n_chars long").coalesce(1)
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in corpus_pipeline.line_dedup(spark, df, "").collect()}
+    assert got == {0: (long, 7), 1: ("own\nend", 7), 3: (texts[3], 7), 4: (f"{short}\n", len(short) + 1), 5: ("x", 1), 6: (None, 7), 7: ("", 7)}
+    plain = {r["doc_id"]: r["removed_lines"] for r in line_dedup.drop_repeated_lines(df).collect()}
+    assert {k: v for k, v in plain.items() if v} == {5: [1, 2]}
+
+
 def independent_passages(rows):
     """Removed words of every text: all stretches of clauses that an earlier text has, compared one by one."""
     before, out = [], []
