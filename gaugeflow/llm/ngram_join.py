@@ -262,7 +262,9 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             best = np.lexsort((node, -most))
             kept = best[np.unique(label[best], return_index=True)[1]]
             hub = kept[np.lexsort((node[kept], -most[kept]))[0]]
-            other = kept[(kept != hub) & _allowed(n[kept], matched[kept], n[hub], matched[hub])]
+            # Only a guess, as columns may lie behind the other's prefix; what it leaves out comes with the whole product.
+            likely = np.minimum(most[kept], most[hub]) * (SHARED + WHOLE) >= (n[kept] + n[hub]) * SHARED
+            other = kept[(kept != hub) & likely]
             found[0].append(np.minimum(node[hub], node[other]))
             found[1].append(np.maximum(node[hub], node[other]))
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(f)) for f in found], names=["a", "b"])
@@ -324,6 +326,8 @@ def _candidates(each: DataFrame, labels: DataFrame, whole: bool) -> DataFrame:
 def similar_documents(docs: DataFrame, size: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id of every document: the smallest doc_id that links lead to, itself included.
 
+    Also its row and its component's own label, as ids may be repeated or NULL.
+
     Words are runs of characters other than blanks and U+0009 to U+000D, A-Z
     lower-cased; a document's set holds its distinct n-grams of ``size``
     words, or its whole word sequence if it has fewer. Two documents link when
@@ -351,8 +355,10 @@ def similar_documents(docs: DataFrame, size: int = 5, doc_id: str = "doc_id", te
 
     hubs = sizes.select(F.col("node").alias("hub"), F.col("n").alias("m"), F.col("matched").alias("hub_matched"))
     with_hub = each.where("node != hub").groupBy("node", "n", "matched", "hub").agg(F.sum("n_columns").alias("n_columns")).join(hubs, "hub")
-    rest = F.greatest(_rest(F.col("n")), _rest(F.col("m")))
-    fits = (F.least("matched", "hub_matched") + rest) * (SHARED + WHOLE) >= (F.col("n") + F.col("m")) * SHARED
+    # Guesses, by the rows or by the lists of this hub; what they leave out comes with the whole product.
+    rest, other_rest = _rest(F.col("n")), _rest(F.col("m"))
+    likely = F.greatest(F.least(F.col("matched") + rest, F.col("hub_matched") + other_rest), F.col("n_columns") + F.greatest(rest, other_rest))
+    fits = likely * (SHARED + WHOLE) >= (F.col("n") + F.col("m")) * SHARED
     best = with_hub.where(fits).groupBy("node").agg(F.max(F.struct("n_columns", "hub")).alias("best"))
     each = each.select("list", "n_columns", "node", "n", "matched")
     links = linked(best.select(F.col("node").alias("a"), F.col("best.hub").alias("b")), rows, nodes, size)
@@ -365,9 +371,9 @@ def similar_documents(docs: DataFrame, size: int = 5, doc_id: str = "doc_id", te
 
     named = nodes.select("node", "doc_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    by_node = named.select("node", "label").join(smallest, "label").select("node", "component_id")
+    by_node = named.select("node", "label").join(smallest, "label").select("node", F.col("label").alias("component"), "component_id")
     return members.join(by_node, "node", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "row"
+        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "row", "component"
     )
 
 
@@ -382,7 +388,7 @@ def one_of_each(docs: DataFrame, size: int = 5, doc_id: str = "doc_id", text: st
     of a component without ids, the first one. Documents without words stay.
     """
     found = similar_documents(docs, size, doc_id, text)
-    grouped = found.where("n_shingles > 0").groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("row")).alias("alone"))
-    kept = grouped.agg(F.min(F.when(F.col("doc_id").eqNullSafe(F.col("component_id")), F.col("row"))).alias("__row")).select("__row")
+    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))
+    kept = found.where("n_shingles > 0").groupBy("component").agg(least.alias("least")).select(F.col("least.row").alias("__row"))
     kept = written(kept.union(found.where("n_shingles = 0").select("row")), "kept")
     return docs.withColumn("__row", F.monotonically_increasing_id()).join(kept, "__row", "left_semi").drop("__row")

@@ -309,6 +309,13 @@ def test_join_of_appended_and_cut_copies(spark):
     assert got == want
 
 
+def test_one_of_each_with_repeated_and_missing_ids(spark):
+    text = {x: " ".join(f"{x}{i}" for i in range(20)) for x in "abcd"}
+    rows = [(1, text["a"]), (1, text["b"]), (2, text["b"]), (None, text["c"]), (None, text["c"]), (None, text["c"] + " more"), (None, text["d"]), (5, text["d"]), (None, None), (None, "")]
+    df = spark.createDataFrame([(*r, at) for at, r in enumerate(rows)], DOC + ", at int").coalesce(1)
+    assert sorted(r["at"] for r in ngram_join.one_of_each(df).collect()) == [0, 1, 3, 7, 8, 9]
+
+
 def test_pipeline_stages(spark, tmp_path):
     random.seed(9)
     en = ["the", "and", "with", "river", "house", "green", "walking", "stone"]
