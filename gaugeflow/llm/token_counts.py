@@ -14,7 +14,8 @@ token is all that later tokens look at.
 
 White space takes the transducer to its start from any state. The state map of
 a chunk therefore is a head up to the first white space, which depends on the
-state before, and a constant afterwards; maps compose by prefix scan.
+state before, and a constant afterwards; the maps of a text's
+chunks are applied in order inside one task.
 """
 
 from __future__ import annotations
