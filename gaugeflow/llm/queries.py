@@ -14,10 +14,13 @@ from gaugeflow.llm.line_dedup import line_report
 from gaugeflow.llm.ngram_join import jaccard_report
 from gaugeflow.llm.pii import pii_report
 from gaugeflow.llm.sentencepiece_fst import encoding_report
+from gaugeflow.llm.source_audit import audit_sources
+from gaugeflow.llm.spelling import spelling_variants
 from gaugeflow.llm.substring_dedup import passage_report
 from gaugeflow.llm.token_counts import count_tokens
 from gaugeflow.llm.topk import search
 from gaugeflow.llm.urls import judge_urls, rules_table
+from gaugeflow.llm.vector_groups import similar_vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -97,3 +100,18 @@ def op9_language(spark, sf_dir):
 @query("op10_ngram_jaccard", comparison_sql.JACCARD)
 def op10_ngram_jaccard(spark, sf_dir):
     return jaccard_report(parquet(spark, sf_dir, "documents"))
+
+
+@query("op11_vector_groups", comparison_sql.VECTORS)
+def op11_vector_groups(spark, sf_dir):
+    return similar_vectors(parquet(spark, sf_dir, "embeddings"))
+
+
+@query("op12_source_audit", comparison_sql.SOURCES)
+def op12_source_audit(spark, sf_dir):
+    return audit_sources(parquet(spark, sf_dir, "documents"))
+
+
+@query("op13_spelling_variants", comparison_sql.SPELLING)
+def op13_spelling_variants(spark, sf_dir):
+    return spelling_variants(parquet(spark, sf_dir, "documents"))
