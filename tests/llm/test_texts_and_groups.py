@@ -343,7 +343,8 @@ def test_pipeline_stages(spark, tmp_path):
             assert docs.columns == corpus_pipeline.COLUMNS
     assert set(kept["language_id"]) == set(range(64))
     assert set(kept["line_dedup"]) == set(range(64)) and not kept["line_dedup"][63]["text"].startswith("line one")
-    assert set(kept["ngram_join"]) == set(range(64)) - {60}
-    assert set(kept["decontamination"]) == set(range(64)) - {60, 61}
+    # row 62 is row 3 with eight words before it: 36 of 44 shingles are shared
+    assert set(kept["ngram_join"]) == set(range(64)) - {60, 62}
+    assert set(kept["decontamination"]) == set(range(64)) - {60, 61, 62}
     assert set(kept["sentencepiece"]) == set(kept["decontamination"]) and all(r["round_trip"] and r["n_tokens"] == len(r["ids"]) for r in kept["sentencepiece"].values())
-    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 62
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 61
