@@ -25,7 +25,9 @@ from gaugeflow.session import work_folder
 LEAST_DOCS, RANKS = 10, 10
 SCALE = 1_000_000_000
 #: Counters of a task before they are passed on, and characters of text that are cut at once.
-HELD, PIECE = 400_000, 1 << 20
+HELD, PIECE = 800_000, 1 << 20
+#: Kept digests that are sent to all tasks, 16 bytes each, to pick their texts; more are joined by a shuffle.
+BROADCAST_DIGESTS = 2_000_000
 #: Counts of a block of terms by sources, and sources of a block that are held against all others.
 BLOCK_COUNTS, BLOCK_SOURCES = 1 << 20, 256
 #: Above this count the product with SCALE leaves a long.
@@ -159,11 +161,15 @@ def kept_terms(named: DataFrame, least_docs: int, bits: int) -> tuple[DataFrame,
     ``split`` is NULL but for terms that share their digest with another one; there it is the term.
     """
     counts, texts = counted_terms(named, bits)
-    by_group = counts.groupBy("lid", "gid", "digest").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    # Tasks have combined their counts, so rows are dealt by digest at once; sums by source and by language then need no further shuffle.
+    by_group = counts.repartition("lid", "digest").groupBy("lid", "gid", "digest").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     by_lang = Window.partitionBy("lid", "digest")
     # A digest has as many documents as its terms together, so no kept term is lost here.
     likely = written(by_group.withColumn("all_docs", F.sum("docs").over(by_lang)).where(F.col("all_docs") >= least_docs).drop("all_docs"), "likely")
-    spelled = texts.join(likely.select("digest").distinct(), "digest", "left_semi").groupBy("digest").agg(F.min("term").alias("least"), F.max("term").alias("most"))
+    wanted = likely.select("digest").distinct()
+    if wanted.count() <= BROADCAST_DIGESTS:
+        wanted = F.broadcast(wanted)
+    spelled = texts.join(wanted, "digest", "left_semi").groupBy("digest").agg(F.min("term").alias("least"), F.max("term").alias("most"))
     spelled = written(spelled, "spelled")
     collided = spelled.where("least <> most").select("digest")
     alone = likely.select("lid", "gid", "digest", F.lit(None).cast("string").alias("split"), "n")

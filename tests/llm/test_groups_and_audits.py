@@ -108,8 +108,9 @@ def audited(docs, least, ranks):
     return out
 
 
-@pytest.mark.parametrize("bits,blocks,held", [(64, 1 << 20, 400_000), (3, 8, 5), (1, 1, 5), (8, 50, 40)])
-def test_source_audit_against_words(spark, monkeypatch, bits, blocks, held):
+@pytest.mark.parametrize("bits,blocks,held,sent", [(64, 1 << 20, 400_000, 100), (3, 8, 5, 0), (1, 1, 5, 100), (8, 50, 40, 0)])
+def test_source_audit_against_words(spark, monkeypatch, bits, blocks, held, sent):
+    monkeypatch.setattr(source_audit, "BROADCAST_DIGESTS", sent)
     monkeypatch.setattr(source_audit, "BLOCK_COUNTS", blocks)
     monkeypatch.setattr(source_audit, "BLOCK_SOURCES", 2)
     monkeypatch.setattr(source_audit, "HELD", held)
