@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -67,42 +68,97 @@ def similarity(distance) -> Column:
 # --- row-local text helpers -------------------------------------------------
 
 
-class _Rows(HTMLParser):
-    """Collects the cell texts of every table row."""
+class _Open:
+    """A table that has not ended: its current row and the texts of its current cell, None where none is open."""
+
+    def __init__(self):
+        self.row: list[str] | None = None
+        self.cell: list[str] | None = None
+
+    def end_cell(self):
+        if self.cell is not None:
+            # a line break would end the row of the markdown table
+            self.row.append(re.sub(r"\s*\n\s*", " ", "".join(self.cell).strip()))
+            self.cell = None
+
+    def end_row(self) -> list[str]:
+        self.end_cell()
+        row, self.row = self.row, None
+        return row or []
+
+    def begin_row(self):
+        self.row = []
+
+    def begin_cell(self):
+        if self.row is None:
+            self.begin_row()
+        self.end_cell()
+        self.cell = []
+
+
+class _TableReader(HTMLParser):
+    """The rows of all tables in a text, by a stack of open tables.
+
+    End tags may be left out: a cell ends with the next cell or row, a row with
+    the next row or section, and everything with its table or the text. A
+    table inside a cell gives rows of its own, before the row it stands in.
+    """
+
+    SECTIONS = ("thead", "tbody", "tfoot", "caption", "colgroup")
 
     def __init__(self):
         super().__init__()
+        self.open = [_Open()]
         self.rows: list[list[str]] = []
-        self.row: list[str] = []
-        self.text: list[str] | None = None
+
+    def _finish_row(self):
+        if row := self.open[-1].end_row():
+            self.rows.append(row)
 
     def handle_starttag(self, tag, attrs):
-        if tag == "tr":
-            self.row = []
+        if tag == "table":
+            self.open.append(_Open())
+        elif tag in self.SECTIONS:
+            self._finish_row()
+        elif tag == "tr":
+            self._finish_row()
+            self.open[-1].begin_row()
         elif tag in ("td", "th"):
-            self.text = []
-
-    def handle_data(self, data):
-        if self.text is not None:
-            self.text.append(data)
+            self.open[-1].begin_cell()
+        elif tag == "br" and self.open[-1].cell is not None:
+            self.open[-1].cell.append(" ")
 
     def handle_endtag(self, tag):
         if tag in ("td", "th"):
-            self.row.append("".join(self.text or []).strip())
-            self.text = None
-        elif tag == "tr" and self.row:
-            self.rows.append(self.row)
+            self.open[-1].end_cell()
+        elif tag == "tr" or tag in self.SECTIONS:
+            self._finish_row()
+        elif tag == "table":
+            self._finish_row()
+            if len(self.open) > 1:
+                self.open.pop()
+
+    def handle_data(self, data):
+        if self.open[-1].cell is not None:
+            self.open[-1].cell.append(data)
+
+    def close(self):
+        super().close()
+        while self.open:
+            self._finish_row()
+            self.open.pop()
 
 
 def markdown_table(html: str) -> str:
     """Rows of the tables in a text as a markdown table; a text without rows stays as it is."""
-    parser = _Rows()
-    parser.feed(html)
-    lines = ["| " + " | ".join(row) + " |" for row in parser.rows]
-    if not lines:
+    reader = _TableReader()
+    reader.feed(html)
+    reader.close()
+    if not reader.rows:
         return html
-    rule = "| " + " | ".join("---" for _ in parser.rows[0]) + " |"
-    return "\n".join([lines[0], rule, *lines[1:]])
+    head, *body = reader.rows
+    printed = [head, ["---"] * len(head), *body]
+    return "\n".join(f"| {' | '.join(row)} |" for row in printed)
 
 
 @F.pandas_udf(T.StringType())
@@ -112,9 +168,9 @@ def _markdown_tables(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def tables_to_markdown(html) -> Column:
-    """Tables as markdown. Only texts with a table row travel to Python."""
+    """Tables as markdown. Only texts with the start of a row or cell travel to Python."""
     html = as_col(html)
-    return F.coalesce(_markdown_tables(F.when(html.rlike("(?i)</tr"), html)), html)
+    return F.coalesce(_markdown_tables(F.when(html.rlike("(?i)<t[rdh][\\s>/]"), html)), html)
 
 
 def split_text(text: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> list[str]:
@@ -159,12 +215,17 @@ def split_text(text: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP)
 
 
 def chunk_texts(text, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> Column:
-    """Array of the chunks of a text. Texts up to ``size`` characters stay whole and in the JVM."""
+    """Array of the chunks of a text, without white space at their ends; NULL and blank texts have none.
+
+    Texts up to ``size`` characters are one chunk and stay in the JVM, by the
+    same rule as longer ones.
+    """
     text = as_col(text)
+    bare = F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
 
     @F.pandas_udf("array<string>")
     def split(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             yield batch.map(lambda t: None if t is None else split_text(t, size, overlap))
 
-    return F.coalesce(split(F.when(F.length(text) > size, text)), F.array(text))
+    return F.coalesce(split(F.when(F.length(text) > size, text)), F.filter(F.array(bare), lambda t: t != ""))

@@ -6,8 +6,8 @@ from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pandas as pd
-from pyspark.ml.feature import BucketedRandomProjectionLSH, HashingTF, Normalizer, RegexTokenizer
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.feature import HashingTF, Normalizer, RegexTokenizer
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import Window as W
 
@@ -117,23 +117,19 @@ def vector_topk(index: DataFrame, query: list[float], project: str | None = None
     return scored(rows, query).orderBy("distance", "chunk_id").limit(k)
 
 
-def approx_vector_topk(index: DataFrame, query: list[float], k: int = 5, bucket_length: float = 0.5, tables: int = 5, seed: int = 7) -> DataFrame:
-    """Approximate nearest chunks by random projection buckets."""
-    from pyspark.ml.linalg import Vectors
-
-    vectors = index.withColumn("_v", array_to_vector("embedding"))
-    lsh = BucketedRandomProjectionLSH(inputCol="_v", outputCol="_h", bucketLength=bucket_length, numHashTables=tables, seed=seed)
-    found = lsh.fit(vectors).approxNearestNeighbors(vectors, Vectors.dense(query), k, distCol="_d")
-    return found.withColumn("distance", F.col("_d") * F.col("_d")).drop("_v", "_h", "_d")
+def _filled(name: str) -> Column:
+    """The value, NULL for an empty text: an empty affiliation is none."""
+    return F.nullif(F.col(name), F.lit(""))
 
 
 def affiliation_filter(level: str, equipment: str | None = None, sensor: str | None = None) -> Column:
-    no_equipment, no_sensor = F.col("equipment_id").isNull(), F.col("sensor_type").isNull()
+    """Chunks of one level; an equipment or sensor that is NULL or empty is none."""
+    same_equipment = _filled("equipment_id").eqNullSafe(F.lit(equipment or None))
     if level == "sensor":
-        return (F.col("equipment_id") == equipment) & (F.col("sensor_type") == sensor)
+        return same_equipment & _filled("sensor_type").eqNullSafe(F.lit(sensor or None))
     if level == "equipment":
-        return (F.col("equipment_id") == equipment) & no_sensor
-    return no_equipment & no_sensor
+        return same_equipment & _filled("sensor_type").isNull()
+    return _filled("equipment_id").isNull() & _filled("sensor_type").isNull()
 
 
 def affiliation_search(index: DataFrame, query: list[float], project: str, level: str, equipment=None, sensor=None, k: int = 5) -> DataFrame:
@@ -142,24 +138,44 @@ def affiliation_search(index: DataFrame, query: list[float], project: str, level
     return vector_topk(rows, query, project, k).withColumn("affiliation_level", F.lit(level))
 
 
+#: Columns that a search ranks by; everything else is fetched for the rows it returns.
+_RANKED = ["chunk_id", "distance", "similarity_score", "equipment_id", "sensor_type"]
+
+
 def hierarchical_search(index: DataFrame, query: list[float], project: str, equipment: str | None = None, sensor: str | None = None, k: int = 5) -> DataFrame:
     """Sensor, then equipment, then general chunks until ``k`` are found.
 
     A level takes part only while the levels before it found fewer than ``k``.
     Without an equipment, or when no level finds anything, all chunks of the
-    project are searched. Every level is a distributed top-k whose filter
-    reaches the scan; the level rules then look at no more than ``4*k`` rows.
+    project are searched.
+
+    One pass scores every chunk and keeps the ``k`` best of each level by a
+    grouped limit: no task passes on more than ``k`` narrow rows of a level.
+    The rules then look at no more than ``4 * k`` rows, and texts and other
+    columns are fetched for the ``k`` rows that are returned.
     """
     levels = ["sensor", "equipment", "general"] if equipment and sensor else ["equipment", "general"] if equipment else []
-    broad = vector_topk(index, query, project, k).withColumn("affiliation_level", affiliation_level("equipment_id", "sensor_type"))
-    if not levels:
-        return dedupe_and_rank(broad, k)
-    stages = [affiliation_search(index, query, project, level, equipment, sensor, k) for level in levels]
-    staged = reduce(DataFrame.unionByName, [df.withColumn("_stage", F.lit(i)) for i, df in enumerate([*stages, broad])])
+    rows = scored(index.filter(F.col("project_id") == project).select("chunk_id", "equipment_id", "sensor_type", "embedding"), query)
+    # each chunk stands for its level, and for the search of all chunks that follows when no level finds anything
+    own = reduce(lambda c, i: c.when(affiliation_filter(levels[i], equipment, sensor), F.lit(i)), range(len(levels)), F.when(F.lit(False), F.lit(0)))
+    stages = F.array_compact(F.array(own, F.lit(len(levels))))
+    nearest = W.partitionBy("_stage").orderBy("distance", "chunk_id")
+    best = rows.withColumn("_stage", F.explode(stages)).withColumn("_place", F.row_number().over(nearest)).filter(F.col("_place") <= k)
     # at most k rows per stage come here, so this window over all of them stays tiny
     before = F.count(F.lit(1)).over(W.orderBy("_stage").rangeBetween(W.unboundedPreceding, -1))
     wanted = F.when(F.col("_stage") < len(levels), F.col("_before") < k).otherwise(F.col("_before") == 0)
-    return dedupe_and_rank(staged.withColumn("_before", before).filter(wanted).drop("_stage", "_before"), k)
+    staged = best.withColumn("_before", before).filter(wanted)
+    named = F.array(*[F.lit(level) for level in levels]) if levels else F.array(F.lit(None).cast("string"))
+    level = F.coalesce(F.get(named, F.col("_stage")), affiliation_level("equipment_id", "sensor_type"))
+    found = dedupe_and_rank(staged.select(*_RANKED, level.alias("affiliation_level")), k)
+    rest = [c for c in index.columns if c not in (*_RANKED, "embedding")]
+    if not rest:
+        return found
+    # one row for each chunk id, also where an index holds an id twice
+    texts = index.filter(F.col("project_id") == project).select("chunk_id", *rest).join(F.broadcast(found.select("chunk_id")), "chunk_id", "left_semi")
+    texts = texts.groupBy("chunk_id").agg(F.first(F.struct(*rest)).alias("_rest")).select("chunk_id", "_rest.*")
+    ranked = found.join(texts, "chunk_id").select("chunk_id", *[c for c in index.columns if c not in ("chunk_id", "embedding")], "distance", "similarity_score", "affiliation_level")
+    return ranked.orderBy(level_priority("affiliation_level"), F.desc("similarity_score"), "chunk_id")
 
 
 def dedupe_and_rank(results: DataFrame, k: int) -> DataFrame:

@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from gaugeflow.functions.documents import affiliation_level, document_id, similarity, squared_l2, tables_to_markdown
 from gaugeflow.operators import knowledge as K
+from gaugeflow.operators import vector_index as I
 from gaugeflow.plans.registry import query
 from gaugeflow.plans.standins import chunks, query_vector, table
+from gaugeflow.session import work_folder
 
 SQL_SCORED = """q AS (SELECT embedding AS qv FROM embeddings WHERE vec_id = 0),
     scored AS (SELECT * EXCLUDE (distance), distance, 1 / (1 + distance) AS s FROM (SELECT c.*,
@@ -63,6 +65,22 @@ def _(spark, d):
     return K.chunk_texts_of(docs)
 
 
+@query("chunk_elements", sql="""SELECT CAST(doc_id AS VARCHAR) AS doc_id, true AS numbered, true AS sized, true AS covered FROM documents WHERE regexp_matches(text, '[^\\s]')""")
+def _(spark, d):
+    """The lines of a document as its elements: chunks are numbered through, none is too long, and no character is lost."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    elements = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("element_no", "text"))
+    signs = lambda c: F.length(F.regexp_replace(c, r"\s+", ""))
+    found = K.chunk_documents(elements).groupBy("doc_id").agg(
+        F.count_distinct("chunk_index").alias("n"), F.max("chunk_index").alias("last"), F.min("chunk_index").alias("first"), F.max("total_chunks").alias("total"),
+        F.count("*").alias("rows"), F.max(F.length("text")).alias("longest"), F.sum(signs("text")).alias("signs"),
+    )
+    numbered = (F.col("n") == F.col("rows")) & (F.col("first") == 0) & (F.col("last") == F.col("n") - 1) & (F.col("total") == F.col("n"))
+    return found.join(docs.select("doc_id", signs("text").alias("all_signs")), "doc_id").select(
+        "doc_id", numbered.alias("numbered"), (F.col("longest") <= 1000).alias("sized"), (F.col("signs") >= F.col("all_signs")).alias("covered")
+    )
+
+
 @query("embed_chunks")
 def _(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text")
@@ -89,9 +107,40 @@ def _(spark, d):
     return rows.select("chunk_id", "doc_id", F.round("similarity_score", 6).alias("similarity_score"))
 
 
+def _vector_index(spark, d) -> I.VectorIndex:
+    """An index over the chunks' vectors, in a work folder."""
+    return I.build_vector_index(chunks(spark, d).select("chunk_id", "project_id", "embedding"), work_folder(spark, "vectors"))
+
+
 @query("approx_vector_topk")
 def _(spark, d):
-    return K.approx_vector_topk(chunks(spark, d).select("chunk_id", "embedding"), query_vector(spark, d), 10).select("chunk_id", "distance")
+    return I.approx_vector_topk(_vector_index(spark, d), query_vector(spark, d), 10).select("chunk_id", "distance")
+
+
+@query("approx_far_query", sql="SELECT 'p1' AS project_id, 25::BIGINT AS n, 25::BIGINT AS ids")
+def _(spark, d):
+    # a query far from every vector still gets all the rows it asks for
+    rows = I.approx_vector_topk(_vector_index(spark, d), [40.0 + x for x in query_vector(spark, d)], 25, "p1")
+    return rows.groupBy("project_id").agg(F.count("*").alias("n"), F.count_distinct("chunk_id").alias("ids"))
+
+
+@query("indexed_vector_topk", "chunks", sql=f"WITH {SQL_SCORED} SELECT chunk_id, project_id, round(s, 6) AS similarity_score FROM scored WHERE project_id = 'p0' ORDER BY distance, chunk_id LIMIT 10")
+def _(spark, d):
+    rows = I.indexed_vector_topk(_vector_index(spark, d), query_vector(spark, d), 10, "p0")
+    return rows.select("chunk_id", "project_id", F.round("similarity_score", 6).alias("similarity_score"))
+
+
+@query("index_recall", "chunks", sql="SELECT count(*) AS queries, count(*) * 10 AS rows, true AS reached FROM chunks WHERE CAST(doc_id AS BIGINT) % 10 = 0")
+def _(spark, d):
+    """Every chunk of each tenth document asks for its 10 nearest, once in its cells and once in all; at least 90 % have to be found."""
+    index = _vector_index(spark, d)
+    asked = chunks(spark, d).filter(F.col("doc_id").cast("bigint") % 10 == 0).select(F.col("chunk_id").alias("query_id"), "embedding")
+    found = I.search_index(index, asked, 10).select("query_id", "chunk_id", F.lit(True).alias("near"))
+    every = I.search_index(index, asked, 10, probes=I.CELLS).select("query_id", "chunk_id")
+    hits = every.join(found, ["query_id", "chunk_id"], "left").agg(
+        F.count_distinct("query_id").alias("queries"), F.count("*").alias("rows"), (F.count("near") >= 0.9 * F.count("*")).alias("reached")
+    )
+    return hits
 
 
 @query("affiliation_level", "chunks", sql="""SELECT chunk_id, CASE WHEN sensor_type IS NOT NULL THEN 'sensor' WHEN equipment_id IS NOT NULL THEN 'equipment' ELSE 'general' END AS level FROM chunks""")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from gaugeflow.functions.documents import file_extension, markdown_table, split_text, tables_to_markdown
 from gaugeflow.functions.text import extract_references, text_stats
 from gaugeflow.operators import knowledge as K
+from gaugeflow.operators import vector_index as I
 
 CHUNK = "chunk_id string, doc_id string, project_id string, filename string, document_type string, chunk_index long, total_chunks long, page_number long, equipment_id string, sensor_type string, text string, embedding array<float>"
 
@@ -59,6 +60,33 @@ def test_tables(spark):
     assert got == [markdown_table(html), "<p>no table</p>", None]
 
 
+@pytest.mark.parametrize("html,rows", [
+    ("<table><tr><td>a<td>b<tr><td>c<td>d</table>", [["a", "b"], ["c", "d"]]),  # all end tags left out
+    ("<TABLE><tr><td>a</td><td>b</td><tr><td>c</td></tr>", [["a", "b"], ["c"]]),  # one row and the table not ended
+    ("<table><thead><tr><th>h<tbody><tr><td>x</tbody><tfoot><tr><td>f</table>", [["h"], ["x"], ["f"]]),
+    ("<table><tr><td>out<table><tr><td>in</table>er</td><td>z</td></tr></table>", [["in"], ["outer", "z"]]),
+    ("<table><tr></tr><td>no row", [["no row"]]),
+    ("<tr><td>no table", [["no table"]]),
+    ("<table><tr><td>two\n  lines<br>here</td></tr></table>", [["two lines here"]]),
+    ("</table></table><table><tr><td>late</table></td></tr>", [["late"]]),
+    ("<table><tr><td></td><td>x</td></tr></table>", [["", "x"]]),
+])
+def test_tables_with_implied_ends(spark, html, rows):
+    lines = ["| " + " | ".join(r) + " |" for r in rows]
+    lines.insert(1, "| " + " | ".join("---" for _ in rows[0]) + " |")
+    assert markdown_table(html) == "\n".join(lines)
+    assert spark.createDataFrame([(html,)], "h string").select(tables_to_markdown("h")).first()[0] == "\n".join(lines)
+
+
+def test_chunks_alike_on_both_sides_of_the_size(spark):
+    texts = [None, "", "  \n", " a ", "x" * 10, "   " + "x" * 9, " " * 30, "b " * 8, "\u00a0c\u00a0"]
+    df = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "doc_id string, text string")
+    got = {r.doc_id: [] for r in df.collect()}
+    for r in K.chunk_texts_of(df, 10, 2).orderBy("chunk_index").collect():
+        got[r.doc_id].append(r.text)
+    assert got == {str(i): split_text(t or "", 10, 2) for i, t in enumerate(texts)}
+
+
 def test_embedding_default_and_model(spark):
     df = spark.createDataFrame([("c1", "pump pressure high"), ("c2", "")], "chunk_id string, text string")
     rows = {r.chunk_id: r.embedding for r in K.embed_chunks(df, dimensions=32).collect()}
@@ -109,13 +137,14 @@ def test_broad_search_when_nothing_matches(spark):
     assert sorted(got) == ["c00", "c02", "c04"]
 
 
-def test_approximate_search_recall(spark):
+def test_approximate_search_recall(spark, tmp_path):
     rnd = random.Random(1)
     rows = [(f"c{i}", "d", "p", "f", "g", i, 1, None, None, None, "t", [rnd.gauss(0, 1) for _ in range(8)]) for i in range(400)]
     df = spark.createDataFrame(rows, CHUNK)
     query = rows[0][-1]
     exact = {r.chunk_id for r in K.vector_topk(df, query, "p", 10).collect()}
-    near = {r.chunk_id for r in K.approx_vector_topk(df, query, 10, bucket_length=2.0, tables=8).collect()}
+    index = I.build_vector_index(df, f"{tmp_path}/index")
+    near = {r.chunk_id for r in I.approx_vector_topk(index, query, 10).collect()}
     assert len(exact & near) >= 8
 
 
@@ -149,3 +178,93 @@ def test_text_functions(spark):
     s = [r[0] for r in df.select(text_stats("t")).collect()][1]
     assert (s.word_count, s.sentence_count, s.character_count, s.average_word_length) == (5, 3, 12, 2.4)
     assert re.fullmatch(r"a b.*", s.text_preview)
+
+
+def clustered(rnd, n):
+    centres = [[rnd.gauss(0, 1) for _ in range(16)] for _ in range(12)]
+    rows = []
+    for i in range(n):
+        c = rnd.choice(centres)
+        rows.append((f"c{i:04d}", f"p{i % 3}", "t" * 50, [x + rnd.gauss(0, 0.4) for x in c]))
+    return rows
+
+
+def exact(rows, query, k, project=None):
+    near = sorted((sum((a - b) ** 2 for a, b in zip(v, query)), c) for c, p, _, v in rows if project in (None, p))
+    return [c for _, c in near[:k]]
+
+
+INDEXED = "chunk_id string, project_id string, text string, embedding array<double>"
+
+
+def test_vector_index_near_and_far(spark, tmp_path):
+    rnd = random.Random(6)
+    rows = clustered(rnd, 1500)
+    odd = [("n1", "p0", "", None), ("n2", "p0", "", []), ("n3", "p0", "", [1.0]), ("n4", "p0", "", [float("nan")] * 16)]
+    index = I.build_vector_index(spark.createDataFrame(rows + odd, INDEXED).repartition(4), f"{tmp_path}/index")
+    hits = 0
+    for i in range(12):
+        query = [x + rnd.gauss(0, 0.2) for x in rows[i * 100][3]]
+        got = [r.chunk_id for r in I.approx_vector_topk(index, query, 10).collect()]
+        assert len(got) == 10
+        hits += len(set(got) & set(exact(rows, query, 10)))
+        if i % 4 == 0:
+            found = I.indexed_vector_topk(index, query, 10, "p1").collect()
+            assert [r.chunk_id for r in found] == exact(rows, query, 10, "p1") and {r.project_id for r in found} == {"p1"}
+    assert hits >= 0.9 * 120
+    far = [1000.0] * 16
+    assert I.approx_vector_topk(index, far, 5, probes=1).count() == 5
+    assert [r.chunk_id for r in I.indexed_vector_topk(index, far, 5).collect()] == exact(rows, far, 5)
+    # more rows than one cell has, and more than there are
+    assert I.approx_vector_topk(index, far, 700, probes=1).count() == 700
+    assert I.approx_vector_topk(index, far, 5000).count() == 1500
+    assert I.approx_vector_topk(index, far, 5, "nobody").count() == 0 and I.indexed_vector_topk(index, far, 5, "nobody").count() == 0
+
+
+def test_vector_index_reads_only_probed_partitions(spark, tmp_path, capsys):
+    rows = clustered(random.Random(7), 800)
+    index = I.build_vector_index(spark.createDataFrame(rows, INDEXED), f"{tmp_path}/index")
+    cells = I.chosen_cells(index, rows[0][3], 5, probes=2)
+    assert len(cells) == 2
+    assert len(index.cells()) > 10
+    I.approx_vector_topk(index, rows[0][3], 5, probes=2).explain("formatted")
+    filters = re.search(r"PartitionFilters: \[(.*)\]", capsys.readouterr().out)[1]
+    assert set(re.findall(r"IN \(([-\d,]+)\)", filters)[0].split(",")) == {str(c) for c in cells}
+
+
+def test_vector_index_additions(spark, tmp_path):
+    rnd = random.Random(8)
+    rows = clustered(rnd, 600)
+    index = I.build_vector_index(spark.createDataFrame(rows[:400], INDEXED), f"{tmp_path}/index")
+    I.add_to_index(index, spark.createDataFrame(rows[300:] + [("n1", "p0", "", None)], INDEXED))
+    assert index.chunks().count() == 601 and sum(n for n, _ in index.cells().values()) == 600
+    for query in (rows[599][3], [50.0] * 16):
+        assert [r.chunk_id for r in I.indexed_vector_topk(index, query, 7).collect()] == exact(rows, query, 7)
+    before = index.cells()
+    I.refresh_cells(index)
+    assert index.cells() == before
+
+
+def test_vector_index_of_many_queries(spark, tmp_path):
+    rows = clustered(random.Random(9), 500)
+    index = I.build_vector_index(spark.createDataFrame(rows, INDEXED), f"{tmp_path}/index")
+    queries = spark.createDataFrame([(i, rows[i * 20][3]) for i in range(20)] + [(99, None)], "query_id long, embedding array<double>")
+    got = {}
+    for r in I.search_index(index, queries, 5, probes=I.CELLS).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.chunk_id))
+    assert got == {i: list(enumerate(exact(rows, rows[i * 20][3], 5), 1)) for i in range(20)}
+    near = I.search_index(index, queries, 5)
+    assert near.count() == 100 and near.filter("distance = 0 AND rank = 1").count() == 20
+    none = I.build_vector_index(spark.createDataFrame([("n1", "p0", "", None)], INDEXED), f"{tmp_path}/none")
+    assert I.search_index(none, queries, 5).count() == 0 and I.approx_vector_topk(none, rows[0][3], 5).count() == 0
+
+
+def test_search_of_an_empty_affiliation(spark):
+    rows = index(spark).collect()
+    blank = spark.createDataFrame([tuple("" if n in ("equipment_id", "sensor_type") and v is None else v for n, v in r.asDict().items()) for r in rows], CHUNK)
+    for equipment, sensor, k in (("e0", "s", 30), ("e0", "", 5), ("e1", None, 30), ("", None, 4), ("gone", "s", 6)):
+        want = [(r.chunk_id, r.affiliation_level) for r in K.hierarchical_search(index(spark), [7.2, 0.0], "p", equipment or None, sensor or None, k).collect()]
+        got = [(r.chunk_id, r.affiliation_level) for r in K.hierarchical_search(blank, [7.2, 0.0], "p", equipment, sensor, k).collect()]
+        assert got == want and want
+    assert K.affiliation_search(blank, [0.0, 0.0], "p", "equipment", "e0", k=3).count() == 3
+    assert K.affiliation_search(blank, [0.0, 0.0], "p", "sensor", "e0", "", k=3).count() == 3
