@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import Window as W
 
 from gaugeflow.functions.joins import join_keys
-from gaugeflow.functions.timeranges import latest, time_slice
+from gaugeflow.functions.timeranges import latest
 from gaugeflow.functions.topics import as_col, topic_leaf
+from gaugeflow.session import work_folder
 
 ALERT_KEY = ["project_id", "equipment_id", "sensor_type", "topic"]
+KINDS = ("min", "max")
 HISTORY_LIMIT = 1000
 
 
@@ -47,37 +54,30 @@ def index_thresholds(thresholds: DataFrame) -> DataFrame:
     )
 
 
-def topic_thresholds(topics: DataFrame, thresholds: DataFrame) -> DataFrame:
-    """First matching threshold of each distinct ``(project_id, topic)``.
+def with_threshold(rows: DataFrame, thresholds: DataFrame) -> DataFrame:
+    """Adds ``_t``, the first matching threshold of each row's project and topic, NULL if none matches.
 
     A threshold matches its exact topic, or any topic that ends in ``/`` and
     its sensor type. Of all suffix matches only the first in order can win, so
-    both rules are equi joins and no pair is ever emitted.
+    both rules are equi joins with a small table, and the rows are read once.
     """
-    chosen = ["ord", "sensor_type", "min_value", "max_value", "enabled"]
+    chosen = F.struct("ord", "sensor_type", "min_value", "max_value", "enabled")
     indexed = index_thresholds(thresholds)
-    exact = indexed.select("project_id", F.col("topic_name").alias("topic"), F.struct(*chosen).alias("exact"))
-    suffix = indexed.groupBy("project_id", F.col("sensor_type").alias("leaf")).agg(F.min(F.struct(*chosen)).alias("suffix"))
+    exact = indexed.select("project_id", F.col("topic_name").alias("topic"), chosen.alias("_exact"))
+    suffix = indexed.groupBy("project_id", F.col("sensor_type").alias("_leaf")).agg(F.min(chosen).alias("_suffix"))
     leaf = F.when(F.col("topic").contains("/"), topic_leaf("topic"))
     return (
-        topics.select("project_id", "topic", leaf.alias("leaf"))
+        rows.withColumn("_leaf", leaf)
         .join(exact, ["project_id", "topic"], "left")
-        .join(suffix, ["project_id", "leaf"], "left")
-        .withColumn("t", F.least("exact", "suffix"))
-        .filter(F.col("t").isNotNull())
-        .select("project_id", "topic", "t.ord", "t.min_value", "t.max_value", "t.enabled")
+        .join(suffix, ["project_id", "_leaf"], "left")
+        .select(*rows.columns, F.least("_exact", "_suffix").alias("_t"))
     )
 
 
 def match_threshold(readings: DataFrame, thresholds: DataFrame) -> DataFrame:
-    """Readings with their threshold, as long as it is enabled.
-
-    Matching runs once per distinct topic; the readings join the result on one
-    key, which adaptive execution broadcasts or skew-splits by measured size.
-    """
-    topics = readings.select("project_id", "topic").distinct()
-    matched = topic_thresholds(topics, thresholds).filter(F.coalesce(F.col("enabled"), F.lit(True))).drop("enabled")
-    return readings.join(matched, ["project_id", "topic"])
+    """Readings with their threshold, as long as it is enabled."""
+    matched = with_threshold(readings, thresholds).filter(F.coalesce("_t.enabled", F.col("_t").isNotNull()))
+    return matched.select(*readings.columns, "_t.ord", "_t.min_value", "_t.max_value")
 
 
 def evaluate_readings(readings: DataFrame, thresholds: DataFrame) -> DataFrame:
@@ -95,51 +95,118 @@ def evaluate_readings(readings: DataFrame, thresholds: DataFrame) -> DataFrame:
 # --- episodes --------------------------------------------------------------
 
 
-def alert_episodes(readings: DataFrame, thresholds: DataFrame, slice_seconds: int = 600) -> DataFrame:
+def _runs_in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of one range of the readings in order of key and time, and the normal readings of each key in it.
+
+    A run ends with a normal reading; its number is that of the normal
+    readings of its key before it in this range. Runs without a breach are left
+    out, but for the first of a batch, which may close one that began earlier.
+    """
+    part, last, carried = TaskContext.get().partitionId(), None, 0
+
+    def total(packed: list, normals: list) -> pa.RecordBatch:
+        size = len(packed)
+        columns = {"packed": pa.array(packed, pa.string()), "part": pa.array([part] * size, pa.int32()), "normals": pa.array(normals, pa.int64())}
+        return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(size, f.type)) for f in schema], schema=schema)
+
+    schema = None
+    for batch in batches:
+        n = len(batch)
+        if schema is None:
+            at, number, value = (batch.schema.field(c).type for c in ("at", "msg_id", "value"))
+            opening = [("at", at), ("id", number), ("value", value), ("threshold", value)]
+            slots = [(f"{k}_open_{x}", t) for k in KINDS for x, t in opening] + [(f"{k}_last_{x}", t) for k in KINDS for x, t in opening[:3]]
+            schema = pa.schema([("packed", pa.string()), ("part", pa.int32()), ("normals", pa.int64()), ("run", pa.int64()), *slots, *[(f"{k}_n", pa.int64()) for k in KINDS], ("closing_at", at), ("closing_id", number)])
+        if not n:
+            continue
+        keys = batch.column("packed").dictionary_encode()
+        code, names = keys.indices.to_numpy(), keys.dictionary
+        kind = batch.column("kind").to_numpy()
+        new = np.append(True, code[1:] != code[:-1])
+        firsts, group = np.flatnonzero(new), np.cumsum(new) - 1
+        first_name = names[int(code[0])].as_py()
+        if last is not None and first_name != last:
+            yield total([last], [carried])
+            carried = 0
+        normal = kind == 0
+        before = np.cumsum(normal) - normal
+        run = before - before[firsts][group] + np.where(group == 0, carried, 0)
+        ended = run[np.append(firsts[1:] - 1, n - 1)] + normal[np.append(firsts[1:] - 1, n - 1)]
+        if len(firsts) > 1:
+            yield total(names.take(pa.array(code[firsts[:-1]])).to_pylist(), ended[:-1].tolist())
+        last, carried = names[int(code[-1])].as_py(), int(ended[-1])
+
+        starts = np.flatnonzero(new | np.append(True, normal[:-1]))
+        ends = np.append(starts[1:], n) - 1
+        place = np.arange(n)
+        found = {}
+        for k, name in enumerate(KINDS, 1):
+            hit = kind == k
+            found[name] = (np.minimum.reduceat(np.where(hit, place, n), starts), np.maximum.reduceat(np.where(hit, place, -1), starts), np.add.reduceat(hit.astype(np.int64), starts))
+        keep = np.flatnonzero((np.sum([f[2] for f in found.values()], axis=0) > 0) | (starts == 0))
+
+        def taken(column: str, rows: np.ndarray, there: np.ndarray) -> pa.Array:
+            return batch.column(column).take(pa.array(np.where(there, rows, 0), pa.int64(), mask=~there))
+
+        columns = {"packed": batch.column("packed").take(pa.array(starts[keep])), "part": pa.array(np.full(len(keep), part), pa.int32()), "normals": pa.nulls(len(keep), pa.int64()), "run": pa.array(run[starts[keep]], pa.int64())}
+        for name, (opened, newest, count) in found.items():
+            there = count[keep] > 0
+            for slot, column in (("at", "at"), ("id", "msg_id"), ("value", "value"), ("threshold", "threshold_value")):
+                columns[f"{name}_open_{slot}"] = taken(column, opened[keep], there)
+                columns[f"{name}_last_{slot}"] = taken(column, newest[keep], there)
+            columns[f"{name}_n"] = pa.array(count[keep], pa.int64())
+        for slot, column in (("at", "at"), ("id", "msg_id")):
+            columns[f"closing_{slot}"] = taken(column, ends[keep], normal[ends[keep]])
+        yield pa.RecordBatch.from_arrays([columns[f.name] for f in schema], schema=schema)
+    if last is not None:
+        yield total([last], [carried])
+
+
+def alert_episodes(readings: DataFrame, thresholds: DataFrame, partitions: int | None = None) -> DataFrame:
     """Alert episodes of every project, equipment, sensor and topic.
 
     The first breach of a kind opens an episode, further ones update its time
     and value, and the next normal reading closes all open ones. A run is
-    numbered by the normal readings before it. To keep a busy key from being
-    ordered in one task, the count runs inside time slices and each slice is
-    shifted by the normal readings of the slices before it; runs that cross
-    slices then meet in an aggregation.
+    numbered by the normal readings before it, by a prefix sum on two levels:
+    the readings are dealt into ranges of key, time and message of about equal
+    rows, so that neither a busy key nor many readings of one instant stand in
+    one task; each range is walked once and gives its runs and the normal
+    readings of each key; sums of these, one for each key and range, shift the
+    ranges' numbers, and runs that cross ranges meet in an aggregation.
+    ``partitions`` is the number of ranges, else the session decides.
     """
-    rows = evaluate_readings(readings, thresholds).withColumn("slice", time_slice("ts", slice_seconds))
-    normal = F.col("kind").isNull()
-    in_slice = W.partitionBy(*ALERT_KEY, "slice").orderBy("ts", "msg_id")
-    numbered = rows.withColumns(
-        {
-            "run": F.coalesce(F.sum(normal.cast("bigint")).over(in_slice.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)),
-            "_repeat": normal & F.coalesce(F.lag(normal).over(in_slice), F.lit(False)),
-        }
-    ).filter(~F.col("_repeat"))
-
-    order = F.struct("ts", "msg_id")
-    opening = F.struct("ts", "msg_id", "value", "threshold_value")
-    newest = F.struct("ts", "msg_id", "value")
-    pieces = numbered.groupBy(*ALERT_KEY, "slice", "run").agg(
-        *[F.min_by(F.when(F.col("kind") == k, opening), F.when(F.col("kind") == k, order)).alias(f"{k}_open") for k in ("min", "max")],
-        *[F.max_by(F.when(F.col("kind") == k, newest), F.when(F.col("kind") == k, order)).alias(f"{k}_last") for k in ("min", "max")],
-        *[F.count_if(F.col("kind") == k).alias(f"{k}_n") for k in ("min", "max")],
-        F.min(F.when(normal, order)).alias("closing"),
-    )
-    before = W.partitionBy(*ALERT_KEY).orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
-    shifts = (
-        rows.groupBy(*ALERT_KEY, "slice")
-        .agg(F.count_if(normal).alias("normals"))
-        .select(*ALERT_KEY, "slice", F.coalesce(F.sum("normals").over(before), F.lit(0)).alias("shift"))
-    )
+    rows = evaluate_readings(readings, thresholds)
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    number = F.coalesce(F.when(F.col("kind") == "min", 1).when(F.col("kind") == "max", 2), F.lit(0))
+    packed = rows.select(F.to_json(F.struct(*ALERT_KEY)).alias("packed"), micros.alias("at"), "msg_id", "value", number.alias("kind"), "threshold_value")
+    order = ["packed", "at", "msg_id"]
+    ranges = packed.repartitionByRange(*([partitions] if partitions else []), *order).sortWithinPartitions(*order)
+    ids, numbers = rows.schema["msg_id"].dataType.simpleString(), rows.schema["value"].dataType.simpleString()
+    opening = f"at long, id {ids}, value {numbers}, threshold {numbers}".split(", ")
+    slots = [f"{k}_open_{x}" for k in KINDS for x in opening] + [f"{k}_last_{x}" for k in KINDS for x in opening[:3]]
+    layout = f"packed string, part int, normals long, run long, {', '.join(slots)}, {', '.join(f'{k}_n long' for k in KINDS)}, closing_at long, closing_id {ids}"
+    staged = work_folder(readings.sparkSession, "runs")
+    ranges.mapInArrow(_runs_in_order, layout).write.parquet(staged)
+    pieces = readings.sparkSession.read.schema(layout).parquet(staged)
+
+    # One row for each key and range that holds it.
+    before = W.partitionBy("packed").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    shifts = pieces.filter("normals IS NOT NULL").select("packed", "part", F.coalesce(F.sum("normals").over(before), F.lit(0)).alias("shift"))
+    opened = {k: F.when(F.col(f"{k}_n") > 0, F.struct(*[F.col(f"{k}_open_{x}").alias(x) for x in ("at", "id", "value", "threshold")])) for k in KINDS}
+    newest = {k: F.when(F.col(f"{k}_n") > 0, F.struct(*[F.col(f"{k}_last_{x}").alias(x) for x in ("at", "id", "value")])) for k in KINDS}
+    closing = F.when(F.col("closing_at").isNotNull(), F.struct(F.col("closing_at").alias("at"), F.col("closing_id").alias("id")))
     runs = (
-        join_keys(pieces, shifts, [*ALERT_KEY, "slice"])
-        .withColumn("run", F.col("run") + F.col("shift"))
-        .groupBy(*ALERT_KEY, "run")
+        pieces.filter("normals IS NULL")
+        .join(shifts, ["packed", "part"])
+        .groupBy("packed", (F.col("run") + F.col("shift")).alias("run"))
         .agg(
-            *[F.min(f"{k}_open").alias(f"{k}_open") for k in ("min", "max")],
-            *[F.max(f"{k}_last").alias(f"{k}_last") for k in ("min", "max")],
-            *[F.sum(f"{k}_n").alias(f"{k}_n") for k in ("min", "max")],
-            F.min("closing").alias("closing"),
+            *[F.min(opened[k]).alias(f"{k}_open") for k in KINDS],
+            *[F.max(newest[k]).alias(f"{k}_last") for k in KINDS],
+            *[F.sum(f"{k}_n").alias(f"{k}_n") for k in KINDS],
+            F.min(closing).alias("closing"),
         )
+        .withColumn("key", F.from_json("packed", ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in ALERT_KEY)))
+        .select("key.*", *[f"{k}_{x}" for k in KINDS for x in ("open", "last", "n")], "closing")
     )
     episode = F.explode(
         F.filter(
@@ -152,18 +219,20 @@ def alert_episodes(readings: DataFrame, thresholds: DataFrame, slice_seconds: in
             lambda e: e["o"].isNotNull(),
         )
     )
+    kept = rows.schema["ts"].dataType.simpleString()
+    instant = lambda c: F.timestamp_micros(c).cast(kept)
     return finish_alerts(
         runs.select(*ALERT_KEY, "closing", episode.alias("e")).select(
             *ALERT_KEY,
             "e.threshold_type",
             "e.breaches",
-            F.col("e.o.ts").alias("opened_at"),
+            instant("e.o.at").alias("opened_at"),
             F.col("e.o.value").alias("opened_value"),
-            F.col("e.o.threshold_value").alias("threshold_value"),
-            F.col("e.l.ts").alias("timestamp"),
+            F.col("e.o.threshold").alias("threshold_value"),
+            instant("e.l.at").alias("timestamp"),
             F.col("e.l.value").alias("current_value"),
-            F.col("closing.ts").alias("resolved_at"),
-            F.col("closing.msg_id").alias("resolved_msg_id"),
+            instant("closing.at").alias("resolved_at"),
+            F.col("closing.id").alias("resolved_msg_id"),
         )
     )
 

@@ -136,7 +136,7 @@ def _(spark, d):
 
 
 def episodes(spark, d):
-    return A.alert_episodes(readings(spark, d), thresholds(spark, d), slice_seconds=86400)
+    return A.alert_episodes(readings(spark, d), thresholds(spark, d))
 
 
 @query("index_thresholds", "indexed", sql="SELECT project_id, topic_name, ord, sensor_type, min_value, max_value, enabled FROM indexed")

@@ -52,9 +52,11 @@ def test_fixture_sequence(spark):
     }
 
 
-@pytest.mark.parametrize("slice_seconds", [1, 7, 60, 100000])
-def test_episodes_equal_plain_model(spark, slice_seconds):
-    """One sensor holds most rows; slices of any width give the same episodes."""
+@pytest.mark.parametrize("ranges,batch", [(1, "2000"), (3, "2000"), (5, "7"), (40, "1")])
+def test_episodes_equal_plain_model(spark, ranges, batch):
+    """One sensor holds most rows; any number of ranges and rows of a batch gives the same episodes."""
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
     rnd = random.Random(11)
     rows, limits = [], {}
     for i in range(900):
@@ -62,12 +64,24 @@ def test_episodes_equal_plain_model(spark, slice_seconds):
         rows.append(("p", f"cell_{cell}", "s", f"cell/{cell}/s", START + timedelta(seconds=i // 2), i, float(rnd.choice([1, 5, 6, 7, 20]))))
         limits[f"cell/{cell}/s"] = (2.0, 10.0)
     thresholds = spark.createDataFrame([("p", "t", 1, "other/s", "s", 2.0, 10.0, True)], THRESHOLD)
-    got = A.alert_episodes(spark.createDataFrame(rows, READING), thresholds, slice_seconds)
+    got = A.alert_episodes(spark.createDataFrame(rows, READING), thresholds, ranges)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert episodes_of(got) == machine(rows, limits)
     assert got.filter("resolved and resolved_at < opened_at").count() == 0
     assert got.filter("not resolved").groupBy("alert_id", "topic").count().filter("count > 1").count() == 0
 
 
+def test_back_fill_of_one_instant(spark):
+    """All readings of one sensor at one time are dealt over tasks, and the plan scans its readings at most twice."""
+    rows = [("p", "e", "s", "a/s", START, i, float(5 if i % 10 < 7 else 20)) for i in range(2000)]
+    thresholds = spark.createDataFrame([("p", "t", 1, "a/s", "s", None, 10.0, True)], THRESHOLD)
+    readings = spark.createDataFrame(rows, READING)
+    got = A.alert_episodes(readings, thresholds, 8)
+    assert episodes_of(got) == machine(rows, {"a/s": (None, 10.0)})
+    ranges = A.evaluate_readings(readings, thresholds).repartitionByRange(8, "topic", "ts", "msg_id").groupBy(F.spark_partition_id()).count().collect()
+    assert len(ranges) == 8 and max(r["count"] for r in ranges) < 500
+
+
 def test_first_match_even_if_disabled(spark):
     thresholds = spark.createDataFrame(
         [
