@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from gaugeflow.functions.joins import join_keys
 from gaugeflow.functions.timeranges import time_slice
+from gaugeflow.session import work_folder
 
 
 def latest_readings(readings: DataFrame) -> DataFrame:
@@ -92,14 +93,41 @@ def _exits(times: np.ndarray, interval: int) -> np.ndarray:
     return times[last[:n]]
 
 
+#: Slices of one group are so many children of the tree: 1 << FAN_BITS.
+FAN_BITS = 6
+
+
+def _follow(allowed: int, starts: list[np.ndarray], leaves: list[np.ndarray], interval: int) -> tuple[list[int], int | None]:
+    """The entry time of each of some neighbouring step functions, and the last passing time, None if nothing passes."""
+    entries, last = [], None
+    for start, leave in zip(starts, leaves):
+        entries.append(allowed)
+        at = int(np.searchsorted(start, allowed, side="left"))
+        if at < len(start):
+            last = int(leave[at])
+            allowed = last + interval
+    return entries, last
+
+
+def _children(pdf: pd.DataFrame) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """Slice numbers and step functions of one group in order."""
+    pdf = pdf.sort_values(["slice", "start"])
+    slices, firsts = np.unique(pdf["slice"].to_numpy(), return_index=True)
+    return slices, np.split(pdf["start"].to_numpy(), firsts[1:]), np.split(pdf["leave"].to_numpy(), firsts[1:])
+
+
 def throttle(updates: DataFrame, interval_seconds: float = 0.5, by: str = "project_id", slice_seconds: int = 600) -> DataFrame:
     """Updates that pass when each one must come ``interval_seconds`` after the last that passed.
 
     The choice is greedy, so it depends on everything before. Each time slice
-    is first reduced to a step function from "earliest allowed time" to "last
-    passing time" - chains merge fast, so it has few steps. Walking these
-    steps slice by slice gives each slice its entry time, after which all
-    slices pick their updates independently. Returns ``by, ts, msg_id``.
+    is reduced to a step function from "earliest allowed time" to "last passing
+    time"; chains merge fast, so it has few steps. Composing neighbours gives
+    such a function again, with at most one step more than the first of them,
+    so functions are put together as a tree: groups of neighbouring slices,
+    then groups of groups. Walking down again, each group hands its children
+    their entry times, and at last all slices pick their updates
+    independently. No task sees more than one group of children, or one
+    slice's updates. Returns ``by, ts, msg_id``.
     """
     interval = int(round(interval_seconds * 1_000_000))
     if interval > slice_seconds * 1_000_000:
@@ -108,6 +136,8 @@ def throttle(updates: DataFrame, interval_seconds: float = 0.5, by: str = "proje
     rows = updates.select(
         F.col(by).alias("k"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), "msg_id", time_slice("ts", slice_seconds).alias("slice")
     )
+    key_type = rows.schema["k"].dataType.simpleString()
+    function = f"k {key_type}, slice long, start long, leave long"
 
     def summarize(pdf: pd.DataFrame) -> pd.DataFrame:
         times = np.unique(pdf["t"].to_numpy())
@@ -120,18 +150,22 @@ def throttle(updates: DataFrame, interval_seconds: float = 0.5, by: str = "proje
             {"k": pdf["k"].iloc[0], "slice": pdf["slice"].iloc[0], "start": times[:entries][keep], "leave": exits[keep]}
         )
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["slice", "start"])
-        slices, firsts = np.unique(pdf["slice"].to_numpy(), return_index=True)
-        starts, leaves = pdf["start"].to_numpy(), pdf["leave"].to_numpy()
-        bounds = np.append(firsts, len(pdf))
-        allowed, entry = np.iinfo(np.int64).min, []
-        for i in range(len(slices)):
-            entry.append(allowed)
-            at = bounds[i] + np.searchsorted(starts[bounds[i] : bounds[i + 1]], allowed, side="left")
-            if at < bounds[i + 1]:
-                allowed = leaves[at] + interval
-        return pd.DataFrame({"k": pdf["k"].iloc[0], "slice": slices, "entry": entry})
+    def compose(pdf: pd.DataFrame) -> pd.DataFrame:
+        _, starts, leaves = _children(pdf)
+        # who comes too late for the first child meets the next one before its first update
+        at = [*starts[0].tolist(), *[int(x[0]) for x in starts[1:2]]]
+        through = []
+        for leave in leaves[0].tolist():
+            further = _follow(leave + interval, starts[1:], leaves[1:], interval)[1]
+            through.append(leave if further is None else further)
+        through += [_follow(int(x[0]), starts[1:], leaves[1:], interval)[1] for x in starts[1:2]]
+        keep = np.append(np.array(through[1:]) != np.array(through[:-1]), True)
+        return pd.DataFrame({"k": pdf["k"].iloc[0], "slice": pdf["parent"].iloc[0], "start": np.array(at)[keep], "leave": np.array(through)[keep]})
+
+    def hand_down(pdf: pd.DataFrame) -> pd.DataFrame:
+        slices, starts, leaves = _children(pdf)
+        entries, _ = _follow(int(pdf["entry"].iloc[0]), starts, leaves, interval)
+        return pd.DataFrame({"k": pdf["k"].iloc[0], "slice": slices, "entry": entries})
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["t", "msg_id"])
@@ -143,12 +177,28 @@ def throttle(updates: DataFrame, interval_seconds: float = 0.5, by: str = "proje
             at = int(follow[at])
         return pdf.iloc[chosen][["k", "t", "msg_id"]]
 
-    key_type = rows.schema["k"].dataType.simpleString()
-    steps = rows.groupBy("k", "slice").applyInPandas(summarize, f"k {key_type}, slice long, start long, leave long")
-    entries = steps.groupBy("k").applyInPandas(walk, f"k {key_type}, slice long, entry long")
+    leaf = _staged(rows.groupBy("k", "slice").applyInPandas(summarize, function))
+    first, last = leaf.agg(F.coalesce(F.min("slice"), F.lit(0)), F.coalesce(F.max("slice"), F.lit(0))).first()
+    levels, span = [leaf.withColumn("slice", F.col("slice") - first)], (last - first) >> FAN_BITS
+    parent = F.shiftright("slice", FAN_BITS)
+    while span:
+        levels.append(_staged(levels[-1].withColumn("parent", parent).groupBy("k", "parent").applyInPandas(compose, function)))
+        span >>= FAN_BITS
+    # one group of children is left for each key
+    entries = levels[-1].select("k").distinct().select("k", F.lit(0).cast("long").alias("slice"), F.lit(int(np.iinfo(np.int64).min)).alias("entry"))
+    for children in reversed(levels):
+        met = join_keys(children.withColumn("parent", parent), entries.withColumnRenamed("slice", "parent"), ["k", "parent"])
+        entries = met.groupBy("k", "parent").applyInPandas(hand_down, f"k {key_type}, slice long, entry long")
     passed = (
-        join_keys(rows, entries, ["k", "slice"])
+        join_keys(rows, entries.withColumn("slice", F.col("slice") + first), ["k", "slice"])
         .groupBy("k", "slice")
         .applyInPandas(pick, f"k {key_type}, t long, msg_id {rows.schema['msg_id'].dataType.simpleString()}")
     )
     return passed.select(F.col("k").alias(by), F.timestamp_micros("t").cast("timestamp_ntz").alias("ts"), "msg_id")
+
+
+def _staged(steps: DataFrame) -> DataFrame:
+    """Step functions from files: going up and going down both read them."""
+    path = work_folder(steps.sparkSession, "steps")
+    steps.write.parquet(path)
+    return steps.sparkSession.read.schema(steps.schema).parquet(path)

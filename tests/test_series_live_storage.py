@@ -69,13 +69,16 @@ def test_expand_range(spark):
     assert S.expand_range_if_empty(r.filter("false")).first().expanded is None
 
 
-@pytest.mark.parametrize("interval,slice_seconds", [(0.5, 5), (3.0, 2), (1.0, 600)])
-def test_throttle_equals_greedy_choice(spark, interval, slice_seconds):
+@pytest.mark.parametrize("interval,slice_seconds,bits", [(0.5, 5, 6), (0.5, 1, 1), (3.0, 2, 2), (1.0, 600, 6)])
+def test_throttle_equals_greedy_choice(spark, monkeypatch, interval, slice_seconds, bits):
+    """A tree of any width gives the greedy choice; with two children a group, its depth is the logarithm of the slices."""
+    monkeypatch.setattr(L, "FAN_BITS", bits)
     rnd = random.Random(2)
     rows, t = [], 0
     for i in range(1200):
         t += rnd.choice([0, 10_000, 90_000, 400_000, 700_000]) if i % 100 else 20_000_000
-        rows.append(("a" if rnd.random() < 0.8 else "b", START + timedelta(microseconds=t), i))
+        rows.append(("a" if rnd.random() < 0.8 else rnd.choice(["b", None]), START + timedelta(microseconds=t), i))
+    rows += [("old", START - timedelta(days=20_000, seconds=s), -s) for s in range(5, 0, -1)]
     want, last = [], {}
     for k, ts, i in rows:
         if k not in last or ts - last[k] >= timedelta(seconds=interval):
@@ -83,7 +86,11 @@ def test_throttle_equals_greedy_choice(spark, interval, slice_seconds):
             want.append((k, ts, i))
     df = spark.createDataFrame(rows, "project_id string, ts timestamp_ntz, msg_id long")
     got = [tuple(r) for r in L.throttle(df, interval, slice_seconds=slice_seconds).collect()]
-    assert sorted(got) == sorted(want)
+    assert sorted(map(str, got)) == sorted(map(str, want))
+
+
+def test_throttle_of_nothing(spark):
+    assert L.throttle(spark.createDataFrame([], "project_id string, ts timestamp_ntz, msg_id long")).count() == 0
 
 
 def test_recent_window_and_pivot(spark):
@@ -127,6 +134,22 @@ def test_retain_last_with_a_busy_project(spark, slice_seconds):
     assert T.retain_last(df, 50, by=None, slice_seconds=slice_seconds).agg(F.min("msg_id")).first()[0] == 350
 
 
+@pytest.mark.parametrize("rows_in_order,bits", [(5, 3), (40, 10)])
+def test_retain_last_of_one_instant_and_far_ids(spark, monkeypatch, rows_in_order, bits):
+    """Brackets go down to one instant, then to ranges of ids of any sign, without ordering a whole project."""
+    monkeypatch.setattr(T, "BRACKET_ROWS", rows_in_order)
+    monkeypatch.setattr(T, "BRACKET_BITS", bits)
+    ids = [-(1 << 63), -5, -1, 0, 1, 7, 1 << 40, (1 << 62) + 3, (1 << 63) - 1, *range(100, 400)]
+    rows = [("one", START, i) for i in ids] + [("two", START + timedelta(microseconds=i // 4), i) for i in range(200)] + [(None, START, i) for i in range(30)] + [("few", START, 1)]
+    df = spark.createDataFrame(rows, "project_id string, ts timestamp_ntz, msg_id long").repartition(3)
+    for n in (1, 3, 60, 303):
+        want = []
+        for p in ("one", "two", None, "few"):
+            want += [(str(p), i) for _, i in sorted((ts, i) for q, ts, i in rows if q == p)[-n:]]
+        assert sorted((str(r.project_id), r.msg_id) for r in T.retain_last(df, n).collect()) == sorted(want)
+    assert T.retain_last(df, 5, by=None).count() == 5
+
+
 def test_sessions(spark):
     events = spark.createDataFrame(
         [("p", "s1", "P", "start", START), ("p", "s1", None, "stop", START + timedelta(hours=1)), ("p", "s2", "P", "start", START), ("p", "s3", None, "stop", START)],
