@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gaugeflow.operators.series import scan_series, statistics
+from gaugeflow.operators.series import scan_series, statistics, time_range_absolute
 from gaugeflow.plans import (  # noqa: F401
     knowledge_queries,
     learner_queries,
@@ -19,5 +19,5 @@ from gaugeflow.plans.standins import readings
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per-cell statistics of the click sensor over one week."""
-    rows = scan_series(readings(spark, sf_dir), sensors=["click"], start="2024-01-08", end="2024-01-14 23:59:59")
+    rows = time_range_absolute(scan_series(readings(spark, sf_dir), sensors=["click"]), "2024-01-08", "2024-01-14")
     return statistics(rows, ["cell_id"]).withColumn("mean_value", F.round("mean_value", 6))

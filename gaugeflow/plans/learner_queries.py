@@ -178,9 +178,11 @@ def _(spark, d):
 
 @query("text_stats", sql="""SELECT doc_id, len(list_filter(regexp_split_to_array(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> '')) AS word_count,
     len(list_filter(string_split(text, '.'), lambda s: regexp_matches(s, '[^ \\t\\n\\x0B\\f\\r]'))) AS sentence_count, length(text) AS character_count,
+    CASE WHEN len(list_filter(regexp_split_to_array(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> '')) > 0
+      THEN round(length(text) / len(list_filter(regexp_split_to_array(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> '')), 2) ELSE 0.0::DOUBLE END AS average_word_length,
     CASE WHEN length(text) > 100 THEN substr(text, 1, 100) || '...' ELSE text END AS text_preview FROM documents""")
 def _(spark, d):
-    stats = table(spark, d, "documents").select("doc_id", text_stats("text").alias("s")).select("doc_id", "s.*").drop("average_word_length")
+    stats = table(spark, d, "documents").select("doc_id", text_stats("text").alias("s")).select("doc_id", "s.*")
     return stats.withColumns({c: F.col(c).cast("bigint") for c in ("word_count", "sentence_count", "character_count")})
 
 

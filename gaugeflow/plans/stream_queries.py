@@ -187,8 +187,9 @@ def _(spark, d):
     return spark.read.parquet(table_path).select("project_id", "msg_id", "value")
 
 
-@query("import_session", "stored_messages", sql="""SELECT session_id, count(*) AS n FROM stored_messages GROUP BY ALL
-    UNION ALL SELECT 'imported_1', count(*) FROM stored_messages WHERE session_id = 'p0_2024-01-05'""")
+@query("import_session", "stored_messages", sql="""SELECT session_id, count(*) AS n, min(msg_id) AS first_id, max(msg_id) AS last_id FROM (SELECT session_id, msg_id FROM stored_messages
+    UNION ALL SELECT 'imported_1', msg_id + (SELECT max(msg_id) FROM stored_messages) + 1 - (SELECT min(msg_id) FROM stored_messages WHERE session_id = 'p0_2024-01-05')
+    FROM stored_messages WHERE session_id = 'p0_2024-01-05') GROUP BY session_id""")
 def _(spark, d):
     from gaugeflow.operators.storage import session_stats
     from gaugeflow.plans.standins import stored_messages
@@ -197,7 +198,7 @@ def _(spark, d):
     m = stored_messages(spark, d)
     s = session_stats(m)
     merged, _ = B.import_session(m, s, *B.export_session(m, s, "p0_2024-01-05"), "imported_1")
-    return merged.groupBy("session_id").agg(F.count("*").alias("n"))
+    return merged.groupBy("session_id").agg(F.count("*").alias("n"), F.min("msg_id").alias("first_id"), F.max("msg_id").alias("last_id"))
 
 
 @query("storage_stats", "stored_messages", sql="SELECT project_id, count(*) AS message_count, count(DISTINCT session_id) AS session_count, true AS has_size FROM stored_messages GROUP BY ALL")

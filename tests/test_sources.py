@@ -84,6 +84,46 @@ def test_write_export_import_replace(spark, tmp_path):
         B.read_bundle(spark, str(tmp_path / "nothing"), STORED, SESSION)
 
 
+@pytest.mark.parametrize("broken", ["messages", "switch"])
+def test_failed_import_leaves_the_old_rows(spark, tmp_path, monkeypatch, broken):
+    m_path, s_path, bundle = (str(tmp_path / n) for n in ("messages", "sessions", "bundle"))
+    messages.write_messages(stored(spark), m_path)
+    sessions = spark.createDataFrame([("p0", "s0", "P"), ("p1", "s1", "P")], SESSION)
+    sessions.write.partitionBy("project_id").parquet(s_path)
+    B.export_project(stored(spark).withColumn("value", F.col("value") + 100), sessions, "p0", bundle)
+    before = sorted(map(str, spark.read.parquet(m_path).collect())), sorted(map(str, spark.read.parquet(s_path).collect()))
+
+    if broken == "messages":
+        monkeypatch.setattr(B, "write_messages", lambda df, path: df.withColumn("value", F.raise_error(F.lit("disk full")).cast("double")).write.partitionBy("project_id", "session_id").parquet(path))
+    else:
+        rename, calls = B._Folders.rename, []
+
+        def failing(self, old, new):
+            calls.append(old)
+            if len(calls) == 4:  # the new sessions, after the messages were switched
+                raise B.BundleError("no rename")
+            rename(self, old, new)
+
+        monkeypatch.setattr(B._Folders, "rename", failing)
+    with pytest.raises(Exception):
+        B.import_project(spark, bundle, m_path, s_path, STORED, SESSION)
+    monkeypatch.undo()
+    for path in (m_path, s_path):
+        spark.catalog.refreshByPath(path)
+    assert (sorted(map(str, spark.read.parquet(m_path).collect())), sorted(map(str, spark.read.parquet(s_path).collect()))) == before
+    # the same import goes through once nothing is broken
+    B.import_project(spark, bundle, m_path, s_path, STORED, SESSION)
+    spark.catalog.refreshByPath(m_path)
+    assert spark.read.parquet(m_path).filter("project_id = 'p0'").agg(F.min("value")).first()[0] >= 100
+    assert not [f for f in (tmp_path / "messages").iterdir() if f.name.startswith(("_import", "_replaced"))]
+
+
+def test_storage_totals(spark):
+    sizes = spark.createDataFrame([("a", 1024.0, 5, 1), ("b", 2560.5, 1, 0), ("c", 0.0, 0, 0)], "project_id string, size_kb double, message_count long, session_count long")
+    assert tuple(T.storage_totals(sizes).first()) == (3, 3.5)
+    assert tuple(T.storage_totals(sizes.limit(0)).first()) == (0, 0.0)
+
+
 def test_storage_stats_counts_each_file_once(spark, tmp_path):
     import os
 
@@ -104,6 +144,11 @@ def test_import_session(spark):
     bundle_m, bundle_s = B.export_session(m, s, "s0")
     all_m, all_s = B.import_session(m, s, bundle_m, bundle_s, "imported_1")
     assert all_m.filter("session_id = 'imported_1'").count() == 4 and all_m.count() == 16
+    assert all_m.select("msg_id").distinct().count() == 16
+    old, new = ([r.msg_id for r in all_m.filter(f"session_id = '{x}'").orderBy("msg_id").collect()] for x in ("s0", "imported_1"))
+    assert new == [i + 12 - old[0] for i in old]
+    empty, _ = B.import_session(m.limit(0), s, bundle_m, bundle_s, "imported_2")
+    assert sorted(r.msg_id for r in empty.collect()) == [i - old[0] for i in old]
     assert sorted(r.session_id for r in all_s.collect()) == ["imported_1", "s0"]
     with pytest.raises(B.BundleError):
         B.import_session(m, s, bundle_s, bundle_s, "x")
