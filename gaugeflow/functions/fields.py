@@ -6,6 +6,8 @@ document order and the JSON types, and is turned into an array of typed
 
 All keyword tests are substring tests on the lower-cased key, so ``humidity``
 counts as an id-like key (it contains ``id``) and ``flow`` as a lower bound.
+They are made once for each distinct key of a sample: a dictionary keeps the
+outcome as a bit mask, which messages look up; other keys are tested in place.
 """
 
 from __future__ import annotations
@@ -17,40 +19,58 @@ from pyspark.sql import Column, functions as F
 from gaugeflow.functions.topics import as_col
 
 # Keywords of the field heuristics.
-ID_KEYS = "id device equipment node unit machine".split()
-ID_OR_TIME_KEYS = "id time stamp date count index".split()
-VALUE_KEYS = (
-    "value reading measurement level amount data temperature pressure humidity voltage current power "
-    "speed flow rate count percent ratio index concentration density weight mass force torque ph "
-    "dissolved viability impedance confluence"
-).split()
-NOT_VALUE_KEYS = "id time stamp date version count index key hash".split()
-ID_SCORE_KEYS = "id device equipment node unit sensor machine name label tag serial address handle ref".split()
-DESCRIPTION_KEYS = "type kind category class name".split()
-STATUS_KEYS = "status state health condition".split()
-UNIT_KEYS = "unit uom dimension scale".split()
-MIN_KEYS = "min lower low".split()
-MAX_KEYS = "max upper high limit".split()
-SENSOR_TYPE_KEYS = "type kind category class".split()
-TIME_KEYS = "time stamp date".split()
-
-
-def key_contains(key: Column, words: list[str], lowered: bool = False) -> Column:
-    """True where the lower-cased key contains one of the words.
-
-    ``lowered`` says that the key is in lower case already; plain substring
-    tests are then the fastest form.
-    """
-    if lowered:
-        return reduce(Column.__or__, [key.contains(w) for w in words])
-    return F.lower(key).rlike("|".join(words))
+KEYWORDS = {
+    "id": ["id", "device", "equipment", "node", "unit", "machine"],
+    "id_or_time": ["id", "time", "stamp", "date", "count", "index"],
+    "value": [
+        "value", "reading", "measurement", "level", "amount", "data", "temperature", "pressure", "humidity", "voltage", "current", "power",
+        "speed", "flow", "rate", "count", "percent", "ratio", "index", "concentration", "density", "weight", "mass", "force", "torque", "ph",
+        "dissolved", "viability", "impedance", "confluence",
+    ],
+    "not_value": ["id", "time", "stamp", "date", "version", "count", "index", "key", "hash"],
+    "id_score": [
+        "id", "device", "equipment", "node", "unit", "sensor", "machine", "name", "label", "tag", "serial", "address", "handle", "ref",
+    ],
+    "description": ["type", "kind", "category", "class", "name"],
+    "status": ["status", "state", "health", "condition"],
+    "unit": ["unit", "uom", "dimension", "scale"],
+    "min": ["min", "lower", "low"],
+    "max": ["max", "upper", "high", "limit"],
+    "sensor_type": ["type", "kind", "category", "class"],
+    "time": ["time", "stamp", "date"],
+}
+#: Each keyword list is a bit of a key's mask.
+BITS = {name: 1 << i for i, name in enumerate(KEYWORDS)}
+
+
+def key_mask(key) -> Column:
+    """The keyword lists that the lower-cased key contains a word of, a bit for each."""
+    lowered = F.lower(as_col(key))
+    found = [F.when(reduce(Column.__or__, [lowered.contains(w) for w in words]), F.lit(BITS[name])).otherwise(F.lit(0)) for name, words in KEYWORDS.items()]
+    return reduce(Column.__add__, found)
+
+
+def looked_up_mask(key, known: dict[str, int]) -> Column:
+    """``key_mask`` of a key: from the dictionary of known keys where it is one of them, else by its words."""
+    key = as_col(key)
+    if not known:
+        return key_mask(key)
+    table = F.map_from_arrays(F.lit(list(known)), F.lit(list(known.values())))
+    return F.coalesce(F.try_element_at(table, key), key_mask(key))
+
 
+def _has(key: Column, name: str, mask: Column | None = None) -> Column:
+    """True where the key contains a word of the list, by its mask if that is there."""
+    if mask is not None:
+        return mask.bitwiseAND(F.lit(BITS[name])) != 0
+    return F.lower(key).rlike("|".join(KEYWORDS[name]))
 
-def looks_like_identifier(key, value, lowered: bool = False) -> Column:
+
+def looks_like_identifier(key, value, mask: Column | None = None) -> Column:
     """Id-like key, or a short text that is alphanumeric or has an underscore."""
     key, value = as_col(key), as_col(value)
     short = (F.length(value) <= 20) & (value.contains("_") | value.rlike(r"^[\p{L}\p{N}]+$"))
-    return F.coalesce(key_contains(key, ID_KEYS, lowered) | F.coalesce(short, F.lit(False)), F.lit(False))
+    return F.coalesce(_has(key, "id", mask) | F.coalesce(short, F.lit(False)), F.lit(False))
 
 
 def looks_like_datetime(value) -> Column:
@@ -58,30 +78,30 @@ def looks_like_datetime(value) -> Column:
     return F.coalesce((F.length(value) > 10) & value.rlike(r"[TZ:+\-]"), F.lit(False))
 
 
-def is_id_or_time_key(key, lowered: bool = False) -> Column:
-    return key_contains(as_col(key), ID_OR_TIME_KEYS, lowered)
+def is_id_or_time_key(key, mask: Column | None = None) -> Column:
+    return _has(as_col(key), "id_or_time", mask)
 
 
 def _bonus(condition: Column, points: float) -> Column:
     return F.when(condition, F.lit(points)).otherwise(F.lit(0.0))
 
 
-def main_value_score(key, number, lowered: bool = False) -> Column:
+def main_value_score(key, number, mask: Column | None = None) -> Column:
     key, number = as_col(key), as_col(number)
     score = (
         F.lit(0.5)
-        + _bonus(key_contains(key, VALUE_KEYS, lowered), 0.4)
+        + _bonus(_has(key, "value", mask), 0.4)
         + _bonus(number.between(-10000, 100000), 0.2)
         + _bonus(number.between(0, 1000), 0.1)
-        - _bonus(key_contains(key, NOT_VALUE_KEYS, lowered), 0.3)
+        - _bonus(_has(key, "not_value", mask), 0.3)
     )
     return F.greatest(F.lit(0.0), score)
 
 
-def identifier_score(key, text=None, number=None, lowered: bool = False) -> Column:
+def identifier_score(key, text=None, number=None, mask: Column | None = None) -> Column:
     """Score as an identifier; give ``text`` for strings, ``number`` for integers."""
     key = as_col(key)
-    score = F.lit(0.3) + _bonus(key_contains(key, ID_SCORE_KEYS, lowered), 0.5)
+    score = F.lit(0.3) + _bonus(_has(key, "id_score", mask), 0.5)
     if text is not None:
         text = as_col(text)
         bare = F.regexp_replace(text, "[_-]", "")
@@ -92,8 +112,8 @@ def identifier_score(key, text=None, number=None, lowered: bool = False) -> Colu
     return score
 
 
-def description_score(key, lowered: bool = False) -> Column:
-    return F.lit(0.2) + _bonus(key_contains(as_col(key), DESCRIPTION_KEYS, lowered), 0.3)
+def description_score(key, mask: Column | None = None) -> Column:
+    return F.lit(0.2) + _bonus(_has(as_col(key), "description", mask), 0.3)
 
 
 def parse_payload(payload) -> Column:
@@ -145,31 +165,32 @@ def value_text(kind: Column, value: Column) -> Column:
     return F.when(kind == "null", F.lit("None")).when(kind == "boolean", F.initcap(text)).otherwise(text)
 
 
-def typed_fields(entries) -> Column:
-    """``array<struct<pos,key,lowered,kind,num,str,value>>`` from the payload entries.
+def typed_fields(entries, known: dict[str, int] | None = None) -> Column:
+    """``array<struct<pos,key,mask,kind,num,str,value>>`` from the payload entries.
 
     ``num`` is set for numbers and booleans (true counts as 1), ``str`` for
-    strings, ``value`` is the variant itself. The type text is taken in a
-    transform of its own, so that it is made once; further steps would each
-    copy every field.
+    strings, ``value`` is the variant itself, and ``mask`` has the keyword
+    lists of the key. The type text is taken in a transform of its own, so that
+    it is made once; further steps would each copy every field.
     """
 
     def name_type(entry: Column, pos: Column) -> Column:
         return F.struct(
             pos.alias("pos"),
             entry["key"].alias("key"),
-            F.lower(entry["key"]).alias("lowered"),
+            looked_up_mask(entry["key"], known or {}).alias("mask"),
             F.schema_of_variant(entry["value"]).alias("type"),
             entry["value"].alias("value"),
         )
 
     def read(f: Column) -> Column:
         name, value = f["type"], f["value"]
+        number = F.when(name == "STRING", F.lit(None)).when(is_number_type(name), F.try_variant_get(value, "$", "double"))
         truth = F.when(F.try_variant_get(value, "$", "boolean"), F.lit(1.0)).otherwise(F.lit(0.0))
         return keep(
-            f, "pos", "key", "lowered", "value",
+            f, "pos", "key", "mask", "value",
             kind=kind_of_type(name),
-            num=F.when(is_number_type(name), F.try_variant_get(value, "$", "double")).when(name == "BOOLEAN", truth),
+            num=number.when(name == "BOOLEAN", truth),
             str=F.when(name == "STRING", F.try_variant_get(value, "$", "string")),
         )
 
@@ -181,40 +202,37 @@ def keep(f: Column, *names: str, **more: Column) -> Column:
     return F.struct(*[f[n].alias(n) for n in names], *[c.alias(n) for n, c in more.items()])
 
 
-BASE_FIELDS = ("pos", "key", "lowered", "value", "kind", "num", "str")
+BASE_FIELDS = ("pos", "key", "mask", "value", "kind", "num", "str")
 
 
 def classify_fields(fields) -> Column:
-    """Adds ``category`` and ``score`` to the typed fields.
+    """Adds ``as`` with ``category`` and ``score`` to the typed fields.
 
     ``category`` is numeric, identifier, datetime, description, object, array
     or NULL (JSON null). ``score`` ranks the candidates of a category: numbers
     as main value (NULL for id- and time-like keys), texts as identifier or
-    description.
+    description. One branch gives both, so that no test is made twice.
     """
 
-    def classify(f: Column) -> Column:
-        category = (
-            F.when(f["num"].isNotNull(), F.lit("numeric"))
-            .when(f["str"].isNull(), F.when(f["kind"] != "null", f["kind"]))
-            .when(looks_like_identifier(f["lowered"], f["str"], True), F.lit("identifier"))
-            .when(looks_like_datetime(f["str"]), F.lit("datetime"))
-            .otherwise(F.lit("description"))
-        )
-        return keep(f, *BASE_FIELDS, category=category)
+    def outcome(category: Column, score: Column | None = None) -> Column:
+        return F.struct(category.alias("category"), (F.lit(None).cast("double") if score is None else score).alias("score"))
 
-    def score(f: Column) -> Column:
-        points = (
-            F.when(f["category"] == "numeric", F.when(~is_id_or_time_key(f["lowered"], True), main_value_score(f["lowered"], f["num"], True)))
-            .when(f["category"] == "identifier", identifier_score(f["lowered"], text=f["str"], lowered=True))
-            .when(f["category"] == "description", description_score(f["lowered"], True))
+    def classify(f: Column) -> Column:
+        key, mask, text = f["key"], f["mask"], f["str"]
+        number = F.when(~is_id_or_time_key(key, mask), main_value_score(key, f["num"], mask))
+        found = (
+            F.when(f["num"].isNotNull(), outcome(F.lit("numeric"), number))
+            .when(text.isNull(), outcome(F.when(f["kind"] != "null", f["kind"])))
+            .when(looks_like_identifier(key, text, mask), outcome(F.lit("identifier"), identifier_score(key, text=text, mask=mask)))
+            .when(looks_like_datetime(text), outcome(F.lit("datetime")))
+            .otherwise(outcome(F.lit("description"), description_score(key, mask)))
         )
-        return keep(f, *BASE_FIELDS, "category", score=points)
+        return F.struct(*[f[n].alias(n) for n in BASE_FIELDS], found.alias("as"))
 
-    return F.transform(F.transform(as_col(fields), classify), score)
+    return F.transform(as_col(fields), classify)
 
 
-FIELD_TYPE = "struct<pos:int,key:string,lowered:string,value:variant,kind:string,num:double,str:string,category:string,score:double>"
+FIELD_TYPE = "struct<pos:int,key:string,mask:int,value:variant,kind:string,num:double,str:string,as:struct<category:string,score:double>>"
 FOUND_TYPE = {
     **{n: FIELD_TYPE for n in ("numeric", "identifier", "description", "any_numeric", "any_description", "unit")},
     **{n: "string" for n in ("status", "sensor_type", "time_text")},
@@ -227,35 +245,42 @@ def scan_fields(fields) -> Column:
 
     The best candidate of each category (ties go to the first), the first
     number and description, the first status, unit, type and time entries and
-    the last range bounds. Slots that are filled already are not tested again.
+    the last range bounds. Slots that are filled already are not tested again,
+    nor those that a field of its type can't fill.
     """
 
     def step(acc: Column, f: Column) -> Column:
         def best(category: str) -> Column:
-            won = (f["category"] == category) & (f["score"] > F.coalesce(acc[category]["score"], F.lit(-1.0)))
+            won = (f["as"]["category"] == category) & (f["as"]["score"] > F.coalesce(acc[category]["as"]["score"], F.lit(-1.0)))
             return F.when(won, f).otherwise(acc[category])
 
         def first(name: str, condition: Column, value: Column = f) -> Column:
             return F.when(acc[name].isNotNull(), acc[name]).when(condition, value)
 
-        def has(words: list[str]) -> Column:
-            return key_contains(f["lowered"], words, True)
-
-        text, number = f["str"].isNotNull(), f["num"].isNotNull()
-        slots = {
-            "numeric": best("numeric"),
-            "identifier": best("identifier"),
-            "description": best("description"),
-            "any_numeric": first("any_numeric", number),
-            "any_description": first("any_description", f["category"] == "description"),
-            "unit": first("unit", has(UNIT_KEYS)),
-            "status": first("status", text & has(STATUS_KEYS), f["str"]),
-            "sensor_type": first("sensor_type", text & has(SENSOR_TYPE_KEYS), f["str"]),
-            "time_text": first("time_text", text & has(TIME_KEYS) & looks_like_datetime(f["str"]), f["str"]),
-            "min_value": F.when(number & has(MIN_KEYS), f["num"]).otherwise(acc["min_value"]),
-            "max_value": F.when(number & has(MAX_KEYS) & ~has(MIN_KEYS), f["num"]).otherwise(acc["max_value"]),
-        }
-        return F.struct(*[slots[n].alias(n) for n in FOUND_TYPE])
+        def has(name: str) -> Column:
+            return _has(f["key"], name, f["mask"])
+
+        def updated(**slots: Column) -> Column:
+            return F.struct(*[slots.get(n, acc[n]).alias(n) for n in FOUND_TYPE])
+
+        unit = first("unit", has("unit"))
+        number = updated(
+            numeric=best("numeric"),
+            any_numeric=F.coalesce(acc["any_numeric"], f),
+            unit=unit,
+            min_value=F.when(has("min"), f["num"]).otherwise(acc["min_value"]),
+            max_value=F.when(has("max") & ~has("min"), f["num"]).otherwise(acc["max_value"]),
+        )
+        text = updated(
+            identifier=best("identifier"),
+            description=best("description"),
+            any_description=first("any_description", f["as"]["category"] == "description"),
+            unit=unit,
+            status=first("status", has("status"), f["str"]),
+            sensor_type=first("sensor_type", has("sensor_type"), f["str"]),
+            time_text=first("time_text", has("time") & looks_like_datetime(f["str"]), f["str"]),
+        )
+        return F.when(f["num"].isNotNull(), number).when(f["str"].isNotNull(), text).otherwise(updated(unit=unit))
 
     start = F.struct(*[F.lit(None).cast(t).alias(n) for n, t in FOUND_TYPE.items()])
     return F.aggregate(as_col(fields), start, step)

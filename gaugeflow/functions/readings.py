@@ -48,34 +48,20 @@ def sensor_type(parts, found) -> Column:
 
 
 def main_value(fields, found) -> Column:
-    """The variant to show.
+    """The field to show.
 
     Best scored number, else any number, else the first text that is neither
     an identifier nor a date, else the first field.
     """
     found = as_col(found)
-    return F.coalesce(
-        found["numeric"]["value"],
-        found["any_numeric"]["value"],
-        found["any_description"]["value"],
-        F.try_element_at(as_col(fields), F.lit(1))["value"],
-    )
+    return F.coalesce(found["numeric"], found["any_numeric"], found["any_description"], F.try_element_at(as_col(fields), F.lit(1)))
 
 
-def typed_value(value) -> Column:
-    """``struct<kind,num,str,text>`` of a variant."""
-    value = as_col(value)
-    kind = variant_kind(value)
-    truth = F.when(F.try_variant_get(value, "$", "boolean"), F.lit(1.0)).otherwise(F.lit(0.0))
-    return F.when(
-        value.isNotNull(),
-        F.struct(
-            kind.alias("kind"),
-            F.when(kind == "number", F.try_variant_get(value, "$", "double")).when(kind == "boolean", truth).alias("num"),
-            F.when(kind == "string", F.try_variant_get(value, "$", "string")).alias("str"),
-            value_text(kind, value).alias("text"),
-        ),
-    )
+def typed_value(field) -> Column:
+    """``struct<kind,num,str,text>`` of a field; its type is known already."""
+    field = as_col(field)
+    parts = {"kind": field["kind"], "num": field["num"], "str": field["str"], "text": value_text(field["kind"], field["value"])}
+    return F.when(field.isNotNull(), F.struct(*[c.alias(n) for n, c in parts.items()]))
 
 
 def infer_status(found, value_num) -> Column:
@@ -87,27 +73,33 @@ def infer_status(found, value_num) -> Column:
     )
 
 
-def extract_metadata(fields, found) -> Column:
-    """``struct<unit,min_value,max_value,sensor_type,objects>``.
+def object_fields(fields) -> Column:
+    """The fields whose value is an object; most payloads have none."""
+    return F.filter(as_col(fields), lambda f: f["kind"] == "object")
+
+
+def extract_metadata(found, objects) -> Column:
+    """``struct<unit,min_value,max_value,sensor_type,objects>``; ``objects`` are the payload's object fields.
 
     Minimum is tested before maximum and the last match counts. An object
     field with the same name replaces the extracted entry.
     """
-    fields, found = as_col(fields), as_col(found)
-    objects = F.filter(fields, lambda f: f["kind"] == "object")
+    found, objects = as_col(found), as_col(objects)
+    none = F.size(objects) == 0
 
     def printed(f: Column) -> Column:
         return F.try_variant_get(f["value"], "$", "string")
 
     def replaced(name: str) -> Column:
-        return first_field(objects, lambda f: f["key"] == name)
+        return F.when(~none, first_field(objects, lambda f: f["key"] == name))
 
+    everything = F.map_from_arrays(F.transform(objects, lambda f: f["key"]), F.transform(objects, printed))
     return F.struct(
         F.coalesce(printed(replaced("unit")), value_text(found["unit"]["kind"], found["unit"]["value"])).alias("unit"),
         F.when(replaced("min_value").isNull(), found["min_value"]).alias("min_value"),
         F.when(replaced("max_value").isNull(), found["max_value"]).alias("max_value"),
         F.coalesce(printed(replaced("sensor_type")), found["sensor_type"]).alias("sensor_type"),
-        F.map_from_arrays(F.transform(objects, lambda f: f["key"]), F.transform(objects, printed)).alias("objects"),
+        F.when(none, F.create_map().cast("map<string,string>")).otherwise(everything).alias("objects"),
     )
 
 

@@ -24,25 +24,48 @@ def split_dead_letters(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good, dead
 
 
-@lru_cache(maxsize=1)
-def _field_columns(application: str) -> tuple:
-    """The large field expressions, built once per application."""
-    fields = P.classify_fields(P.typed_fields(P.payload_entries(F.col("_parsed"))))
+#: Messages that keys are learned from, and keys that are kept; a literal of this size goes to every task.
+KEY_SAMPLE, KNOWN_KEYS = 10_000, 256
+
+
+def learned_keys(messages: DataFrame, sample: int = KEY_SAMPLE) -> dict[str, int]:
+    """The most frequent payload keys of the first messages, each with its mask of keyword lists.
+
+    The dictionary saves time and changes no result: keys outside it are
+    tested where they occur. A stream can't be looked into; give it the
+    dictionary of recorded messages, or none.
+    """
+    if messages.isStreaming:
+        return {}
+    keys = messages.select("payload").limit(sample).select(F.explode(F.json_object_keys("payload")).alias("key"))
+    frequent = keys.groupBy("key").count().orderBy(F.desc("count"), "key").limit(KNOWN_KEYS)
+    return {r["key"]: r["mask"] for r in frequent.select("key", P.key_mask("key").alias("mask")).collect()}
+
+
+@lru_cache(maxsize=4)
+def _field_columns(application: str, known: tuple) -> tuple:
+    """The large field expressions, built once per application and dictionary."""
+    fields = P.classify_fields(P.typed_fields(P.payload_entries(F.col("_parsed")), dict(known)))
     return fields, P.scan_fields("fields")
 
 
-def with_fields(messages: DataFrame) -> DataFrame:
+def with_fields(messages: DataFrame, known: dict[str, int] | None = None) -> DataFrame:
     """Adds topic ``parts``, the classified ``fields`` and what a scan ``found`` in them.
 
-    Messages without an object payload drop out. They do so in a generator and
-    not in a filter, which would be pushed down and parse every payload twice.
+    ``known`` is a dictionary of keys as ``learned_keys`` gives it; without one
+    it is learned from the first messages, with ``{}`` every key is tested in
+    place. Messages without an object payload drop out. They do so in a
+    generator and not in a filter, which would be pushed down and parse every
+    payload twice.
     """
+    known = learned_keys(messages) if known is None else known
     parsed = F.array_compact(F.array(P.parse_payload("payload")))
-    fields, found = _field_columns(messages.sparkSession.sparkContext.applicationId)
+    fields, found = _field_columns(messages.sparkSession.sparkContext.applicationId, tuple(sorted(known.items())))
     return (
         messages.withColumn("_parsed", F.explode(parsed))
         .withColumn("fields", fields)
         .withColumn("found", found)
+        .withColumn("objects", R.object_fields("fields"))
         .withColumn("parts", topic_parts("topic"))
         .drop("_parsed")
     )
@@ -55,22 +78,23 @@ def payload_fields(messages: DataFrame) -> DataFrame:
         with_fields(messages)
         .select("msg_id", "topic", F.explode("fields").alias("f"))
         .select(
-            "msg_id", "topic", "f.pos", "f.key", "f.kind", "f.num", "f.str", P.value_text(f["kind"], f["value"]).alias("text"), "f.category", "f.score"
+            "msg_id", "topic", "f.pos", "f.key", "f.kind", "f.num", "f.str", P.value_text(f["kind"], f["value"]).alias("text"), "f.as.category", "f.as.score"
         )
     )
 
 
-def analyze_messages(messages: DataFrame) -> DataFrame:
+def analyze_messages(messages: DataFrame, known: dict[str, int] | None = None) -> DataFrame:
     """Normalized readings of messages ``(msg_id, topic, payload, ingest_ts, …)``.
 
-    A pure projection: no shuffle and no Python. Extra columns pass through.
+    A projection: no shuffle and no Python. Extra columns pass through.
+    ``known`` is a dictionary of payload keys, see ``with_fields``.
     """
-    derived = with_fields(messages).withColumns(
+    derived = with_fields(messages, known).withColumns(
         {
             "equipment_id": R.equipment_id("parts", "found"),
             "sensor_type": R.sensor_type("parts", "found"),
             "value": R.typed_value(R.main_value("fields", "found")),
-            "metadata": R.extract_metadata("fields", "found"),
+            "metadata": R.extract_metadata("found", "objects"),
             "reading_unit": R.reading_unit("fields"),
             "timestamp_text": F.col("found.time_text"),
         }
@@ -88,7 +112,7 @@ def analyze_messages(messages: DataFrame) -> DataFrame:
             "display_name": F.trim(F.concat_ws(" ", "equipment_id", "sensor_type")),
             "event_ts": F.coalesce(event_ts, F.col("ingest_ts").cast("timestamp_ntz")),
         }
-    ).drop("fields", "found", "parts", "value")
+    ).drop("fields", "found", "objects", "parts", "value")
 
 
 def fallback_record(messages: DataFrame) -> DataFrame:

@@ -125,7 +125,7 @@ def _(spark, d):
 @query("extract_metadata", "learned", sql="""SELECT msg_id, unit_like AS unit, low AS min_value, high AS max_value, type_like AS sensor_type,
     (SELECT string_agg(key || '=' || replace(text, '.0}', '}'), ';') FROM fields f WHERE f.msg_id = l.msg_id AND f.type = 'OBJECT') AS objects FROM learned l""")
 def _(spark, d):
-    rows = with_fields(mixed_messages(spark, d)).select("msg_id", R.extract_metadata("fields", "found").alias("m"))
+    rows = with_fields(mixed_messages(spark, d)).select("msg_id", R.extract_metadata("found", "objects").alias("m"))
     printed = F.array_join(F.transform(F.map_entries("m.objects"), lambda e: F.concat_ws("=", e["key"], e["value"])), ";")
     return rows.select("msg_id", "m.unit", "m.min_value", "m.max_value", "m.sensor_type", F.when(printed != "", printed).alias("objects"))
 
