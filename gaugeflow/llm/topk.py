@@ -1,8 +1,8 @@
 """Exact top-k search: every query against every row, one term after the other.
 
 Queries and rows are dealt into blocks of bounded size; each pair of a query
-block and a row block is one task's group. There the sparse query rows scatter
-their weighted postings into a dense array of scores, a partition selection
+block and a row block is one task's group. There each sparse query row scatters
+its weighted postings into a dense array of scores, a partition selection
 keeps the best k of the block, and the blocks' winners are merged.
 """
 
@@ -12,10 +12,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-#: Rows of a block at most; small inputs get smaller blocks, down to a 64th of the rows, so that all cores work.
-BLOCK_ROWS, QUERY_BLOCK_ROWS, LEAST_BLOCK, BLOCKS = 8192, 2048, 128, 64
-#: Queries whose scores are held at once.
-TILE = 256
+#: Rows of a block at most; small inputs get smaller blocks, down to a 16th of the rows, so that all cores work.
+BLOCK_ROWS, QUERY_BLOCK_ROWS, LEAST_BLOCK, BLOCKS = 8192, 2048, 128, 16
 LONG_MAX = (1 << 63) - 1
 
 
@@ -28,28 +26,31 @@ def _vectors(column: pd.Series, exact) -> np.ndarray:
     return out
 
 
-def accumulate(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Scores of a tile of queries, term by term: a term's postings are the rows where it isn't zero."""
-    scores = np.zeros((len(queries), len(rows)), dtype=queries.dtype)
-    for term in range(min(queries.shape[1], rows.shape[1])):
-        users, postings = np.flatnonzero(queries[:, term]), np.flatnonzero(rows[:, term])
-        if len(users) == len(queries) and len(postings) == len(rows):
-            scores += np.multiply.outer(queries[:, term], rows[:, term])
-        elif len(users) and len(postings):
-            scores[np.ix_(users, postings)] += np.multiply.outer(queries[users, term], rows[postings, term])
-    return scores
+def accumulate(query: np.ndarray, terms: np.ndarray, postings: list[np.ndarray], scores: np.ndarray, room: np.ndarray) -> None:
+    """Scores of one query, term by term, in an array that stays in the cache; ``terms`` has one row for each term.
 
-
-def select(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int):
-    """Of each row of scores the k best columns, ties to the smaller id, without the query's own row. ``ids`` ascend."""
-    for i, row in enumerate(scores):
-        allowed = np.flatnonzero(ids != own[i])
-        if len(allowed) > k:
-            values = row[allowed]
-            least = np.partition(values, len(values) - k)[len(values) - k]
-            above = allowed[values > least]
-            allowed = np.concatenate([above, allowed[values == least][: k - len(above)]])
-        yield i, allowed
+    A term that most rows have is added to all scores, another one is
+    scattered to the rows of its postings.
+    """
+    scores[:] = 0
+    for term in np.flatnonzero(query[: len(terms)]).tolist():
+        rows = postings[term]
+        if 4 * len(rows) >= len(scores):
+            np.multiply(terms[term], query[term], out=room)
+            scores += room
+        elif len(rows):
+            scores[rows] += terms[term, rows] * query[term]
+
+
+def select(scores: np.ndarray, ids: np.ndarray, own: int, k: int) -> np.ndarray:
+    """The k best columns, ties to the smaller id, without the query's own id. ``ids`` ascend."""
+    allowed = np.flatnonzero(ids != own)
+    if len(allowed) > k:
+        values = scores[allowed]
+        least = np.partition(values, len(values) - k)[len(values) - k]
+        above = allowed[values > least]
+        allowed = np.concatenate([above, allowed[values == least][: k - len(above)]])
+    return allowed
 
 
 def block_winners(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFrame:
@@ -57,18 +58,20 @@ def block_winners(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataF
         return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
     rows = rows.sort_values("vec_id", kind="stable")
     most = [max((max(map(abs, map(int, (v.min(), v.max())))) for v in side["vector"] if len(v)), default=0) for side in (queries, rows)]
-    width = max(map(len, queries["vector"]))
-    exact = np.int64 if most[0] * most[1] * max(width, 1) <= LONG_MAX else object
-    q, r = _vectors(queries["vector"], exact), _vectors(rows["vector"], exact)
-    ids, own, out = rows["vec_id"].to_numpy(), queries["vec_id"].to_numpy(), []
-    for at in range(0, len(q), TILE):
-        scores = accumulate(q[at : at + TILE], r)
-        for i, best in select(scores, ids, own[at : at + TILE], k):
-            values = scores[i, best]
-            if exact is object:
-                values = np.array([max(-LONG_MAX - 1, min(LONG_MAX, int(v))) for v in values], dtype=np.int64)
-            out.append(pd.DataFrame({"query_id": own[at + i], "vec_id": ids[best], "score": values}))
-    return pd.concat(out, ignore_index=True)
+    bound = most[0] * most[1] * max(max(map(len, queries["vector"])), 1)
+    # no sum of products leaves the bound, nor does a component
+    exact = np.int32 if max(bound, *most) < 1 << 31 else np.int64 if bound <= LONG_MAX else object
+    q, terms = _vectors(queries["vector"], exact), np.ascontiguousarray(_vectors(rows["vector"], exact).T)
+    postings = [np.flatnonzero(x) for x in terms]
+    ids, scores, room = rows["vec_id"].to_numpy(), np.zeros(len(rows), exact), np.zeros(len(rows), exact)
+    found, values, counts = [], [], []
+    for query, own in zip(q, queries["vec_id"].tolist()):
+        accumulate(query, terms, postings, scores, room)
+        best = select(scores, ids, own, k)
+        found.append(ids[best])
+        values.append(np.clip(scores[best], -LONG_MAX - 1, LONG_MAX).astype(np.int64))
+        counts.append(len(best))
+    return pd.DataFrame({"query_id": np.repeat(queries["vec_id"].to_numpy(), counts), "vec_id": np.concatenate(found), "score": np.concatenate(values)})
 
 
 def integer_vectors(rows: DataFrame, id_column: str, vector_column: str, scale: int) -> DataFrame:
