@@ -70,6 +70,7 @@ class Transducer(dict):
         self.neighbours, self.known = Neighbours(self.join, list), {}
         self.paths: dict[str, tuple] = {}
         self.older: dict[str, bytes] = {}
+        self.lost: set[str] = set()
         self.adjacent = {pair for p in self.id for pair in zip(p, p[1:])}
         self.output = [bytes([int(p[3:5], 16)]) if kind == BYTE else p.replace(META, " ").encode() if kind == NORMAL else b"" for p, _, kind in model["pieces"]]
         self.output[model["unknown"]] = " ⁇ ".encode()
@@ -156,20 +157,28 @@ class Transducer(dict):
             found = b"".join(self[chunk[a:b]] for a, b in zip([0, *cuts], [*cuts, len(chunk)]))
         else:
             found = self.shortest_path(chunk)
+        if b"".join(map(self.output.__getitem__, np.frombuffer(found, np.int32).tolist())) != chunk.replace(META, " ").encode("utf-8", "surrogatepass"):
+            self.lost.add(chunk)
         if len(chunk) <= KEPT_LENGTH:
             self.keep(chunk, found)
         return found
 
     def keep(self, chunk: str, found: bytes):
         """Full, the dictionary becomes the older one, from which what is still in use comes back."""
+        if len(self.lost) >= KEPT_CHUNKS:  # nothing is remembered that isn't known to be lost
+            self.older, self.lost = {}, set()
+            self.clear()
         if len(self) >= KEPT_CHUNKS:
             self.older = dict(self)
             self.clear()
             self.known.clear()
         self[chunk] = found
 
-    def encode(self, text: str) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.__getitem__, self.chunk.findall(self.normalise(text)))), dtype=np.int32)
+    def encode(self, text: str) -> tuple[np.ndarray, bool]:
+        """The ids of a text, and whether they decode to the normalised text: that is so if each chunk's ids do, which is seen once a chunk."""
+        chunks = self.chunk.findall(self.normalise(text))
+        found = np.frombuffer(b"".join(map(self.__getitem__, chunks)), dtype=np.int32)
+        return found, not self.lost or self.lost.isdisjoint(chunks)
 
     def decode(self, ids) -> str:
         text = b"".join(map(self.output.__getitem__, ids)).decode("utf-8", "replace")
@@ -198,14 +207,14 @@ def encode(docs: DataFrame, model: str, text: str = "text", into: str = "ids", c
         for batch in batches:
             texts = [x.as_py() for x in batch.column(batch.num_columns - 1)]
             with no_cycles():
-                found = [None if t is None else machine.encode(t) for t in texts]
+                pairs = [(None, None) if t is None else machine.encode(t) for t in texts]
+            found, same = [p[0] for p in pairs], [p[1] for p in pairs]
             sizes = np.cumsum([0] + [0 if f is None else len(f) for f in found])
             flat = np.concatenate([f for f in found if f is not None]) if any(f is not None for f in found) else np.zeros(0, np.int32)
             missing = pa.array([f is None for f in found])
             columns = [batch.column(i) for i in range(batch.num_columns - 1)]
             columns.append(pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(flat, pa.int32()), mask=missing))
             if check:
-                same = [None if t is None else machine.decode(f.tolist()) == _plain(machine, t) for t, f in zip(texts, found)]
                 columns.append(pa.array(same, pa.bool_()))
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], *results])
 
@@ -218,12 +227,6 @@ def encode(docs: DataFrame, model: str, text: str = "text", into: str = "ids", c
     return rows.mapInArrow(batches_of, schema)
 
 
-def _plain(machine: Transducer, text: str) -> str:
-    """The normalised text with blanks for meta symbols and without the one in front."""
-    text = machine.normalise(text).replace(META, " ")
-    return text[1:] if machine.model["prefix"] else text
-
-
 def decode(rows: DataFrame, model: str, ids: str = "ids", into: str = "text") -> DataFrame:
     """``rows`` without the ids, with the text they stand for; NULL gives NULL. Ids outside the model raise an error."""
     sent = rows.sparkSession.sparkContext.broadcast(load_model(model))
