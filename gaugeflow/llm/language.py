@@ -216,11 +216,14 @@ class Labeller:
 def sample(docs: DataFrame, per_label: int = SAMPLE_DOCUMENTS, n_words: int = SAMPLE_WORDS, text: str = "text", label: str = "lang", order: str = "doc_id") -> list[tuple[str, list[str]]]:
     """At most ``per_label`` labelled documents of each label, in an order hashed from ``order``, with their first ``n_words`` words."""
     known = docs.where(F.col(label).isNotNull() & F.col(text).isNotNull() & F.col(order).isNotNull())
-    by_hash = Window.partitionBy(label).orderBy(F.xxhash64(order), order)
-    chosen = known.select(label, order).withColumn("n", F.row_number().over(by_hash)).where(F.col("n") <= per_label).select(order).distinct()
-    # The chosen rows are bounded by the number of labels times per_label.
+    order_of = [F.xxhash64(order), order]
+    first = Window.partitionBy(label).orderBy(*order_of)
+    chosen = known.select(label, order).withColumn("n", F.row_number().over(first)).where(F.col("n") <= per_label).select(order).distinct()
+    # One row for each label and place at most; rows that share a chosen id are ranked again, so that no more reach the driver.
     cut = F.array_join(F.slice(F.split(text, r"\s+", n_words + 2), 1, n_words), " ")
-    rows = known.join(F.broadcast(chosen), order, "left_semi").select(label, order, cut.alias("text")).orderBy(F.xxhash64(order), order, "text").collect()
+    rows = known.join(F.broadcast(chosen), order, "left_semi").select(label, order, cut.alias("text"))
+    place = F.row_number().over(Window.partitionBy(label).orderBy(*order_of, "text"))
+    rows = rows.withColumn("n", place).where(F.col("n") <= per_label).select(label, order, "text").orderBy(*order_of, "text").collect()
     return [(r[0], words_of(r["text"])[:n_words]) for r in rows]
 
 
@@ -245,12 +248,13 @@ def predict(docs: DataFrame, model: Model, text: str = "text", label_into: str =
     broadcast.
     """
     spark = docs.sparkSession
-    sent, run = spark.sparkContext.broadcast(model), uuid.uuid4().hex
+    # Plain lists and arrays: a broadcast is read where this package may not be installed.
+    sent, run = spark.sparkContext.broadcast((model.labels, model.index, model.weights, model.transitions)), uuid.uuid4().hex
 
     def label_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store = worker_store("language")
         if store.get("run") != run:
-            store |= {"run": run, "labeller": Labeller(sent.value)}
+            store |= {"run": run, "labeller": Labeller(Model(*sent.value))}
         labeller = store["labeller"]
         for batch in batches:
             texts = batch.column(batch.num_columns - 1)
