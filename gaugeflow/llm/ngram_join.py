@@ -15,8 +15,8 @@ lists with it, and links join rows to components. Then one member of
 each component of a list is held against one row of the list. At last rows of
 the product are accumulated for the pairs that still lie in different
 components, each at its row in the smaller one; pairs whose count can't reach
-the overlap that their sizes ask for are discarded, and the others are
-compared whole. A pair inside a component needs no comparison, so
+the overlap that their sizes ask for are discarded, then those whose parity
+maps differ in too many bits, and the others are compared whole. A pair inside a component needs no comparison, so
 the work inside a group of copies is linear, and no link between different
 components is missed.
 
@@ -41,6 +41,8 @@ SUMS, PIECES, FIRST_SUMS = 1 << 20, 16, 64
 #: Entries of a block, and rows of a list that are paired at once.
 BLOCK_ENTRIES, LIST_ROWS = 2_000_000, 2000
 KEPT_WORDS = 500_000
+#: Bits of a set's parity map: a power of two, not below the set's size, between these bounds.
+LEAST_BITS, MOST_BITS = 256, 1 << 16
 #: Nodes whose texts are found through a broadcast, 16 bytes each; more are joined by a shuffle.
 BROADCAST_NODES = 500_000
 #: The similarity bound is SHARED / WHOLE.
@@ -77,6 +79,28 @@ def node_of(columns: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(columns.tobytes()) - (1 << 63)
 
 
+def parity(columns: np.ndarray) -> bytes:
+    """A map in which each column of a set flips one bit."""
+    bits = LEAST_BITS
+    while bits < min(len(columns), MOST_BITS):
+        bits *= 2
+    return np.packbits(np.bincount((columns & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def most_shared(p: bytes, q: bytes, n: int, m: int) -> float:
+    """How many columns two sets of n and m columns can share at most.
+
+    Every column in one set alone flips a bit of the maps' difference, so the
+    sets differ in at least as many columns as the difference has bits. Of maps
+    of two sizes the longer one is folded, as it would be with fewer bits.
+    """
+    x, y = np.frombuffer(p, np.uint8), np.frombuffer(q, np.uint8)
+    if len(x) < len(y):
+        x, y = y, x
+    x = np.bitwise_xor.reduce(x.reshape(-1, len(y)), axis=0)
+    return (n + m - int(np.bitwise_count(x ^ y).sum())) / 2
+
+
 def prefix_length(n):
     """Columns of which a row with enough overlap must share one: n - ceil(bound * n) + 1."""
     return n - (-(-SHARED * n // WHOLE)) + 1
@@ -90,29 +114,30 @@ def measured(rows: DataFrame, size: int) -> DataFrame:
     """One row per document with its number of n-grams and node, and the column sums of each task in pieces."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["row", "doc_id", "n", "node", "piece", "part", "sums"]
+        names = ["row", "doc_id", "n", "node", "bits", "piece", "part", "sums"]
         hashes, sums, part = WordHashes(), np.zeros(SUMS, np.int64), 0
         for batch in batches:
-            counts, nodes = [], []
+            counts, nodes, bits = [], [], []
             for x in batch.column(2):
                 columns = shingles(x.as_py() or "", hashes, size)
                 counts.append(len(columns))
                 nodes.append(node_of(columns) if len(columns) else None)
+                bits.append(parity(columns) if len(columns) else None)
                 np.add.at(sums, (columns >> np.uint64(44)).astype(np.int64), 1)
             part = (counts and nodes[0] or 0) % FIRST_SUMS
             empty = pa.nulls(len(counts))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(nodes, pa.int64()), empty.cast(pa.int32()), empty.cast(pa.int32()), empty.cast(pa.binary())],
+                [batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(nodes, pa.int64()), pa.array(bits, pa.binary()), empty.cast(pa.int32()), empty.cast(pa.int32()), empty.cast(pa.binary())],
                 names=names,
             )
         if sums.any():
             pieces = [p.tobytes() for p in np.minimum(sums, 65535).astype(np.uint16).reshape(PIECES, -1)]
             none = pa.nulls(PIECES, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [none, none, none, none, pa.array(range(PIECES), pa.int32()), pa.array([part] * PIECES, pa.int32()), pa.array(pieces, pa.binary())], names=names
+                [none, none, none, none, pa.nulls(PIECES, pa.binary()), pa.array(range(PIECES), pa.int32()), pa.array([part] * PIECES, pa.int32()), pa.array(pieces, pa.binary())], names=names
             )
 
-    return written(rows.mapInArrow(measure, "row long, doc_id long, n long, node long, piece int, part int, sums binary"), "measured")
+    return written(rows.mapInArrow(measure, "row long, doc_id long, n long, node long, bits binary, piece int, part int, sums binary"), "measured")
 
 
 def rarity(table: DataFrame) -> np.ndarray:
@@ -210,9 +235,22 @@ def _rest(n: Column) -> Column:
     return F.ceil(n * SHARED / WHOLE) - 1
 
 
+def _can_link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose parity maps leave enough shared columns open."""
+    for batch in batches:
+        keep = [WHOLE * (most := most_shared(*x)) >= SHARED * (x[2] + x[3] - most) for x in zip(*(batch.column(c).to_pylist() for c in ("p", "q", "n", "m")))]
+        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
 def linked(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
-    """The pairs (a, b) whose whole n-gram sets are similar enough."""
-    pairs = written(pairs.select("a", "b"), "pairs")
+    """The pairs (a, b) whose whole n-gram sets are similar enough.
+
+    An exact bound by parity maps, about a bit for each column, leaves few
+    pairs; only the texts of these are looked at.
+    """
+    maps = nodes.select("node", "n", "bits")
+    bounded = pairs.select("a", "b").join(maps.toDF("a", "n", "p"), "a").join(maps.toDF("b", "m", "q"), "b")
+    pairs = written(bounded.mapInArrow(_can_link, "a long, b long"), "pairs")
     needed = written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes, "node").select("node", "row"), "needed")
     if needed.count() <= BROADCAST_NODES:
         needed = F.broadcast(needed)
@@ -341,7 +379,8 @@ def similar_documents(docs: DataFrame, size: int = 5, doc_id: str = "doc_id", te
     spark, rows = docs.sparkSession, _rows(docs, doc_id, text)
     table = measured(rows, size)
     members = table.where("piece is null").select("row", "doc_id", "n", "node")
-    nodes = written(members.where("node is not null").groupBy("node").agg(F.min("row").alias("row"), F.min("doc_id").alias("doc_id"), F.max("n").alias("n")), "nodes")
+    by_set = table.where("node is not null").groupBy("node")
+    nodes = written(by_set.agg(F.min("row").alias("row"), F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.first("bits").alias("bits")), "nodes")
     total = nodes.agg(F.sum("n")).first()[0] or 0
     blocks = max(shuffle_partitions(spark), int(total * (WHOLE - SHARED) / WHOLE / BLOCK_ENTRIES) + 1)
     lists = shared_lists(rows, rarity(table), size, blocks)

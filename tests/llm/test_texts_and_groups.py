@@ -2,6 +2,7 @@
 
 import random
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ import corpus_pipeline
 from gaugeflow.llm import language, line_dedup, ngram_join, substring_dedup
 from gaugeflow.llm.bpe import Neighbours
 from gaugeflow.llm.components import components
-from gaugeflow.llm.language import UNKNOWN, fit, predict, words_of
+from gaugeflow.llm.language import UNKNOWN, fit, predict, sample, words_of
 from gaugeflow.llm.queries import tokenizer_file
 from gaugeflow.llm.sentencepiece_fst import Transducer, decode, encode, load_model
 from gaugeflow.llm.token_counts import CountTransducer, count_tokens, load_merges
@@ -348,3 +349,49 @@ def test_pipeline_stages(spark, tmp_path):
     assert set(kept["decontamination"]) == set(range(64)) - {60, 61, 62}
     assert set(kept["sentencepiece"]) == set(kept["decontamination"]) and all(r["round_trip"] and r["n_tokens"] == len(r["ids"]) for r in kept["sentencepiece"].values())
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 61
+
+
+def test_models_reach_bare_workers(tmp_path):
+    """Started from another folder, without the package on any path of the workers, predictions come from the broadcast alone."""
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = """
+import sys
+sys.path.insert(0, {repo!r})
+from gaugeflow.session import build_session
+from gaugeflow.llm.language import fit, predict
+spark = build_session("local[1]", "bare", 1)
+model = fit([("en", ["the", "river"] * 20), ("de", ["der", "fluss"] * 20)])
+rows = predict(spark.createDataFrame([(1, "the river"), (2, "der fluss"), (3, None)], "doc_id long, text string"), model)
+print(sorted((r.doc_id, r.lang_pred) for r in rows.collect()))
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    repo = str(Path(__file__).resolve().parents[2])
+    done = subprocess.run([sys.executable, "-c", code.format(repo=repo)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "[(1, 'en'), (2, 'de'), (3, 'und')]" in done.stdout, done.stderr[-2000:]
+
+
+def test_language_sample_of_repeated_ids(spark):
+    """Copies of a chosen id don't add to the sample."""
+    rows = [(7, f"the river {i}", "en") for i in range(500)] + [(i, "der fluss", "de") for i in range(20)]
+    got = Counter(lang for lang, _ in sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_label=15))
+    assert got == {"en": 15, "de": 15}
+
+
+def test_parity_maps_bound_what_sets_share():
+    """The bound is never below the true overlap, for sets of any sizes, and tells unlike sets of like sizes apart."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    for n, m, shared in [(1, 1, 0), (1, 1, 1), (300, 200, 150), (5000, 256, 256), (700, 700, 0), (70_000, 66_000, 60_000), (4000, 3000, 2999)]:
+        both = rng.integers(0, 1 << 63, shared, dtype=np.uint64)
+        a = np.unique(np.concatenate([both, rng.integers(0, 1 << 63, n - shared, dtype=np.uint64)]))
+        b = np.unique(np.concatenate([both, rng.integers(0, 1 << 63, m - shared, dtype=np.uint64)]))
+        p, q = ngram_join.parity(a), ngram_join.parity(b)
+        most = ngram_join.most_shared(p, q, len(a), len(b))
+        assert most == ngram_join.most_shared(q, p, len(b), len(a)) and most >= len(np.intersect1d(a, b))
+        if (n, m, shared) == (700, 700, 0):
+            assert 100 * most < 75 * (n + m - most)
