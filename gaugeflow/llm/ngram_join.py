@@ -41,8 +41,8 @@ SUMS, PIECES, FIRST_SUMS = 1 << 20, 16, 64
 #: Entries of a block, and rows of a list that are paired at once.
 BLOCK_ENTRIES, LIST_ROWS = 2_000_000, 2000
 KEPT_WORDS = 500_000
-#: Bits of a set's parity map: a power of two, not below the set's size, between these bounds.
-LEAST_BITS, MOST_BITS = 256, 1 << 16
+#: Bits of a set's parity map: a power of two, not below four times the set's size, between these bounds.
+LEAST_BITS, MOST_BITS = 256, 1 << 18
 #: Nodes whose texts are found through a broadcast, 16 bytes each; more are joined by a shuffle.
 BROADCAST_NODES = 500_000
 #: The similarity bound is SHARED / WHOLE.
@@ -82,7 +82,7 @@ def node_of(columns: np.ndarray) -> int:
 def parity(columns: np.ndarray) -> bytes:
     """A map in which each column of a set flips one bit."""
     bits = LEAST_BITS
-    while bits < min(len(columns), MOST_BITS):
+    while bits < min(4 * len(columns), MOST_BITS):
         bits *= 2
     return np.packbits(np.bincount((columns & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes()
 
@@ -245,7 +245,7 @@ def _can_link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def linked(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
     """The pairs (a, b) whose whole n-gram sets are similar enough.
 
-    An exact bound by parity maps, about a bit for each column, leaves few
+    An exact bound by parity maps, about four bits for each column, leaves few
     pairs; only the texts of these are looked at.
     """
     maps = nodes.select("node", "n", "bits")
