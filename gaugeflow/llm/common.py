@@ -25,6 +25,14 @@ def bound(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def free_name(df: DataFrame, base: str) -> str:
+    """A name for an internal column that ``df`` does not have, in upper or lower case."""
+    taken, name = {c.lower() for c in df.columns}, f"__{base}"
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def written(df: DataFrame, purpose: str) -> DataFrame:
     """Writes ``df`` as Parquet below the shared checkpoint folder and reads it back.
 

@@ -6,7 +6,9 @@ their lower-cased words. Units are clauses and whole lines of at least
 ``unit_words`` words, and, where shorter clauses lie between, the shortest
 windows of clauses from each one on and up to each one that have ``run_words``
 words. Units are hashed and their digests grouped over all documents; the
-earliest ranked occurrence stays, and clauses inside later ones are marked.
+earliest ranked occurrence stays, and clauses inside later ones are marked. A
+task sends one unit of a digest for every ``HELD_UNITS``: its others are later
+copies already, so that no digest is hot, and travel as lists of their rows.
 Marked clauses are a run as long as no unmarked one of at least ``unit_words``
 words lies between. Of runs of at least ``run_words`` marked words the marked
 clauses are removed, and their offsets in the original text are kept. Shorter
@@ -19,14 +21,17 @@ import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from gaugeflow.llm.common import written
+from gaugeflow.llm.common import free_name
 
 #: Words of the runs that are removed.
 RUN_WORDS = 12
+#: Units of which a task looks for copies before they are shuffled, in whole batches of texts.
+HELD_UNITS = 500_000
 UNIT = re.compile(r"[^\n.!?,;:]+")
 WORD = re.compile(r"\w+")
 HALF = 1 << 63
@@ -105,6 +110,23 @@ def removable(text: str, later: list[int], unit_words: int, run_words: int) -> l
     return out + run * (total >= run_words)
 
 
+def _combined(units: pa.Table) -> Iterator[pa.RecordBatch]:
+    """The first unit of each digest, and the numbers of each row's other units, which are later copies whatever other tasks have."""
+    doc_id, a, b = units["doc_id"].combine_chunks(), units["a"].to_numpy(), units["b"].to_numpy()
+    # Units of equal digest and doc_id stay in order of row and number, as they came.
+    order = np.lexsort((doc_id.fill_null(0).to_numpy(), doc_id.is_valid().to_numpy(zero_copy_only=False), b, a))
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = (a[order[1:]] != a[order[:-1]]) | (b[order[1:]] != b[order[:-1]])
+    first, copies = units.take(order[fresh]), units.take(np.sort(order[~fresh]))
+    kind = pa.list_(pa.int32())
+    yield from first.append_column("later", pa.nulls(len(first), kind)).combine_chunks().to_batches()
+    rows, starts = np.unique(copies["row"].to_numpy(), return_index=True)
+    numbers = pa.ListArray.from_arrays(pa.array([*starts, len(copies)], pa.int32()), copies["n"].combine_chunks())
+    none = pa.nulls(len(rows), pa.int64())
+    sure = [pa.array(rows), none, none.cast(pa.int32()), pa.array(rows), none, numbers]
+    yield pa.RecordBatch.from_arrays(sure, names=["row", "doc_id", "n", "a", "b", "later"])
+
+
 def drop_repeated_passages(
     docs: DataFrame, unit_words: int = 5, run_words: int = RUN_WORDS, doc_id: str = "doc_id", text: str = "text", removed: str = "removed"
 ) -> DataFrame:
@@ -112,15 +134,16 @@ def drop_repeated_passages(
 
     Earlier is by doc_id (NULL first), row and place. NULL and empty texts and
     texts without units stay as they are, with no spans. Repeated rows
-    are copies of each other. An input column named ``removed`` is replaced;
-    all others stay. Digests have 128 bits. Rows are told apart by their place
+    are copies of each other. An input column named ``removed``, in upper
+    or lower case, is replaced; all others stay. Digests have 128 bits. Rows are told apart by their place
     in the input, which therefore has to be a table or another input with a
     fixed order.
     """
     row = F.monotonically_increasing_id()
+    place, marks = free_name(docs, "row"), free_name(docs, "later")
 
     def hash_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
+        held, total = [], 0
         for batch in batches:
             places, numbers, first, second = [], [], [], []
             for i, t in enumerate(batch.column(2)):
@@ -128,18 +151,21 @@ def drop_repeated_passages(
                     a, b = _digest(words)
                     places.append(i), numbers.append(n), first.append(a), second.append(b)
             at = pa.array(places, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(numbers, pa.int32()), pa.array(first, pa.int64()), pa.array(second, pa.int64())], schema=schema)
-
-    slim = docs.select(row.alias("row"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    units = written(slim.mapInArrow(hash_units, "row long, doc_id long, n int, a long, b long"), "units")
-    first = (
-        units.groupBy("a", "b")
-        .agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "row", "n")).alias("first"))
-        .where("copies > 1")
-        .select("a", "b", "first")
-    )
-    later = units.join(first, ["a", "b"]).where((F.col("first.row") != F.col("row")) | (F.col("first.n") != F.col("n")))
-    marked = later.groupBy(F.col("row").alias("__row")).agg(F.collect_list("n").alias("__later"))
+            columns = [pa.array(x, k) for x, k in ((numbers, pa.int32()), (first, pa.int64()), (second, pa.int64()))]
+            held.append(pa.table([batch.column(0).take(at), batch.column(1).take(at), *columns], names=["row", "doc_id", "n", "a", "b"]))
+            total += len(at)
+            if total >= HELD_UNITS:
+                yield from _combined(pa.concat_tables(held))
+                held, total = [], 0
+        if held:
+            yield from _combined(pa.concat_tables(held))
+
+    slim = docs.select(row.alias("row"), F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    units = slim.mapInArrow(hash_units, "row long, doc_id long, n int, a long, b long, later array<int>")
+    copy = F.row_number().over(Window.partitionBy("a", "b").orderBy("doc_id", "row", "n"))
+    later = units.withColumn("copy", copy).where(F.col("later").isNotNull() | (F.col("copy") > 1))
+    numbers = F.flatten(F.collect_list(F.coalesce("later", F.array("n"))))
+    marked = later.groupBy(F.col("row").alias(place)).agg(numbers.alias(marks))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -156,12 +182,13 @@ def drop_repeated_passages(
             columns = [batch.column(i) for i in range(batch.num_columns - 2)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.string()), pa.array(spans, kind)], names=[*batch.schema.names[:-2], text, removed])
 
-    kept = [c for c in docs.columns if c not in (text, removed)]
-    joined = docs.withColumn("__row", row).join(marked, "__row", "left")
-    rows = joined.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`"), F.col("__later"))
+    others = [c for c in docs.columns if c.lower() != removed.lower()]
+    kept = [c for c in others if c != text]
+    joined = docs.withColumn(place, row).join(marked, place, "left")
+    rows = joined.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`"), F.col(marks))
     none = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("end"))).alias(removed)
     schema = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`"), none).schema
-    return rows.mapInArrow(remove, schema).select(*[f"`{c}`" for c in docs.columns if c != removed], removed)
+    return rows.mapInArrow(remove, schema).select(*[f"`{c}`" for c in others], f"`{removed}`")
 
 
 def passage_report(docs: DataFrame) -> DataFrame:

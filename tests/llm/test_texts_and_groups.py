@@ -152,7 +152,9 @@ def test_line_runs_against_brute_force(spark, m):
     assert line_dedup.line_report(df.limit(0)).count() == 0
 
 
-def test_passages_against_brute_force(spark):
+@pytest.mark.parametrize("held", [500_000, 3])
+def test_passages_against_brute_force(spark, held, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "HELD_UNITS", held)
     random.seed(4)
     clauses = [" ".join(random.choice(["red", "old", "sea", "ÉTÉ", "fox"]) for _ in range(random.randint(1, 9))) for _ in range(25)]
     rows = [(i, "".join(random.choice(clauses) + random.choice([". ", ", ", "\n", "? "]) for _ in range(random.randint(0, 20)))) for i in range(40)]
@@ -395,3 +397,12 @@ def test_parity_maps_bound_what_sets_share():
         assert most == ngram_join.most_shared(q, p, len(b), len(a)) and most >= len(np.intersect1d(a, b))
         if (n, m, shared) == (700, 700, 0):
             assert 100 * most < 75 * (n + m - most)
+
+
+def test_passages_keep_clashing_columns(spark):
+    line = "a passage of many words that stands in both of these texts, word for word and all"
+    names = "doc_id long, text string, __row string, __ROW_ string, __later int, `Removed` int"
+    df = spark.createDataFrame([(1, line, "x", "y", 3, 4), (2, line, "z", None, 6, 7)], names).coalesce(1)
+    got = substring_dedup.drop_repeated_passages(df)
+    assert got.columns == ["doc_id", "text", "__row", "__ROW_", "__later", "removed"]
+    assert sorted(map(tuple, got.collect())) == [(1, line, "x", "y", 3, []), (2, "", "z", None, 6, [(0, len(line))])]
