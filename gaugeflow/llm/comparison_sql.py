@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from gaugeflow.llm.common import LOWER, UPPER
+from gaugeflow.llm.pii import iban_pattern
 
 LOW = f"translate({{}}, '{UPPER}', '{LOWER}')"
 
@@ -13,13 +14,20 @@ _OCTETS = "list_bool_and(list_transform(string_split(x, '.'), lambda p: regexp_m
 _MOD97 = """(list_reduce(list_concat([0], list_transform(string_split(substr(replace(x, ' ', ''), 5) || substr(replace(x, ' ', ''), 1, 4), ''),
   lambda c: CASE WHEN c >= 'A' THEN ascii(c) - 55 ELSE ascii(c) - 48 END)),
   lambda a, c: (CASE WHEN c > 9 THEN a * 100 + c ELSE a * 10 + c END) % 97) = 1)"""
+_GROUP = "[0-9A-Fa-f]{1,4}"
+_IPV6 = f"""(regexp_matches(x, '[0-9]') AND (regexp_matches(x, '^({_GROUP}:){{7}}{_GROUP}$')
+  OR (regexp_matches(x, '^({_GROUP}(:{_GROUP})*)?::({_GROUP}(:{_GROUP})*)?$') AND length(x) - length(replace(x, ':', '')) BETWEEN 3 AND 7)))"""
 _KINDS = [
     ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "true", 90, "mail|contact|write", 10, 0),
     ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", _OCTETS, 60, "ip|address|host|server", 30, 0),
     ("card", r"[0-9]([\x20-]?[0-9])+", _LUHN, 80, "card|visa|credit|payment", 20, 0),
     ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "length(digits) BETWEEN 9 AND 15", 70, "phone|call|tel|mobile", 30, 0),
-    ("iban", r"[A-Z]{2}[0-9]{2}( ?[A-Z0-9]){11,30}", _MOD97, 90, "iban|account|bank", 10, 50),
+    ("iban", iban_pattern(), _MOD97, 90, "iban|account|bank", 10, 50),
     ("ssn", r"[0-9]+-[0-9]+-[0-9]+", "regexp_matches(x, '^[0-9]{3}-[0-9]{2}-[0-9]{4}$')", 30, "ssn|social security|taxpayer", 60, 50),
+    ("ipv6", r"[0-9A-Fa-f]*:[0-9A-Fa-f:]{3,}", _IPV6, 60, "ip|address|host|server", 30, 50),
+    ("key", r"A[KS]IA[0-9A-Z]{16}|gh[opsu]_[A-Za-z0-9]{36}|xox[abp]-[0-9]+-[A-Za-z0-9-]{10,}", "true", 90, "key|token|secret", 10, 50),
+    ("secret", r"[A-Za-z0-9_-]{32,}", "regexp_matches(x, '[0-9]') AND regexp_matches(x, '[A-Za-z]')", 30,
+     "token|secret|password|passwd|apikey|key|credential|credentials", 60, 50),
 ]
 
 

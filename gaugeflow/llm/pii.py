@@ -82,11 +82,48 @@ CARD = Kind("card", r"(?:\G|(?<![0-9]))[0-9](?:[\x20-]?[0-9])++", "", luhn, 0.8,
 PHONE = Kind(
     "phone", r"\+[0-9][\x20().0-9-]+[0-9]", "+", lambda x: F.length(digits(x)).between(9, 15), 0.7, "phone|call|tel|mobile", 0.3, True
 )
-IBAN = Kind("iban", r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}", "", mod97, 0.9, "iban|account|bank")
+# Length of an account number by country.
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CH": 21, "CR": 22,
+    "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22,
+    "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30,
+    "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "LY": 25, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MR": 27,
+    "MT": 31, "MU": 30, "NL": 18, "NO": 15, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "SA": 24, "SC": 31,
+    "SE": 24, "SI": 19, "SK": 24, "SM": 27, "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20,
+}
+
+
+def iban_pattern() -> str:
+    """Account numbers of exactly their country's length, blanks between characters allowed."""
+    lengths = sorted(set(IBAN_LENGTHS.values()))
+    return "|".join(f"(?:{'|'.join(c for c, n in IBAN_LENGTHS.items() if n == m)})[0-9]{{2}}(?: ?[A-Z0-9]){{{m - 4}}}" for m in lengths)
+
+
+def ipv6(x: Column) -> Column:
+    """Eight groups, or fewer around one ``::``; at least three colons and a digit, so that names and times are none."""
+    group = "[0-9A-Fa-f]{1,4}"
+    few = f"({group}(:{group})*)?"
+    colons = F.length(x) - F.length(F.replace(x, F.lit(":"), F.lit("")))
+    return x.rlike("[0-9]") & (x.rlike(f"^({group}:){{7}}{group}$") | (x.rlike(f"^{few}::{few}$") & colons.between(3, 7)))
+
+
+IBAN = Kind("iban", f"(?=[A-Z]{{2}}[0-9]{{2}})(?:{iban_pattern()})", "", mod97, 0.9, "iban|account|bank")
 SSN = Kind("ssn", r"[0-9]+-[0-9]+-[0-9]+", "-", lambda x: x.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), 0.3, "ssn|social security|taxpayer", 0.6)
+IPV6 = Kind("ipv6", r"(?<![0-9A-Fa-f:])[0-9A-Fa-f]*+:[0-9A-Fa-f:]{3,}+", ":", ipv6, 0.6, "ip|address|host|server", 0.3)
+KEY = Kind("key", r"A[KS]IA[0-9A-Z]{16}|gh[opsu]_[A-Za-z0-9]{36}|xox[abp]-[0-9]+-[A-Za-z0-9-]{10,}", "", lambda x: F.lit(True), 0.9, "key|token|secret")
+# Long runs of letters and digits are secrets only beside a word that says so.
+SECRET = Kind(
+    "secret",
+    r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{32,}+",
+    "",
+    lambda x: x.rlike("[0-9]") & x.rlike("[A-Za-z]"),
+    0.3,
+    "token|secret|password|passwd|apikey|key|credential|credentials",
+    0.6,
+)
 
 BASE = (EMAIL, IP, CARD, PHONE)
-KINDS = (*BASE, IBAN, SSN)
+KINDS = (*BASE, IBAN, SSN, IPV6, KEY, SECRET)
 
 
 def _starts(steps: Column) -> Column:

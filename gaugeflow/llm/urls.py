@@ -1,7 +1,7 @@
 """URL filters by a sort-merge range join.
 
-A rule's host is reversed and followed by its path (``www.example.com`` and
-``/en/`` give ``com.example.www/en/``). The rule then is the interval of all
+A rule's host is reversed and followed by a slash, which no host has, and its
+path (``www.example.com`` and ``/en/`` give ``com.example.www//en/``). The rule then is the interval of all
 keys with this prefix. A url has one such key for each suffix of its host, so
 that a rule for a host also covers the subdomains. Keys and interval ends are
 sorted together; a sweep over them keeps a stack of the open rules.
@@ -48,8 +48,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", id_co
     host and all subdomains if the url's path starts with the rule's. The rule
     with the longest text wins, of equally long ones the one with the longer
     host; of two verdicts for one rule, block. Without a rule the verdict is
-    ``default``. Rules with a NULL in host or path, or an empty host, fit
-    nothing. NULL urls and urls without ``://`` have an empty host and path
+    ``default``. Rules with a NULL in host or path, or whose host is empty or
+    has ``/``, ``?`` or ``#``, fit nothing. NULL urls and urls without ``://`` have an empty host and path
     and fit nothing. Other columns of ``pages`` are not carried.
 
     Each sweep is one slice of the pages and all rules. A slice holds several
@@ -59,7 +59,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", id_co
     another input with a fixed order.
     """
     rules = (
-        rules.where((F.col("host") != "") & F.col("path").isNotNull())
+        rules.where((F.col("host") != "") & ~F.col("host").rlike("[/?#]") & F.col("path").isNotNull())
         .groupBy(ascii_lower(F.col("host")).alias("r_host"), F.col("path").alias("r_path"))
         .agg(F.max("verdict").alias("r_verdict"))
         .select("r_host", "r_path", "r_verdict", F.split("r_host", r"\.").alias("labels"))
@@ -77,7 +77,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", id_co
     # No rule looks at more labels or a longer path than the longest rule.
     labels = F.slice(F.split("host", r"\."), -F.least(F.size(F.split("host", r"\.")), F.lit(most_labels)), F.lit(most_labels)) if most_labels else F.array()
     suffixes = F.transform(
-        F.sequence(F.lit(1), F.size("labels")), lambda k: F.concat(_reversed(F.slice("labels", -k, k)), F.substring("path", 1, path_length))
+        F.sequence(F.lit(1), F.size("labels")), lambda k: F.concat(_reversed(F.slice("labels", -k, k)), F.lit("/"), F.substring("path", 1, path_length))
     )
     keys = (
         sites.withColumn("labels", labels)
@@ -94,7 +94,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", id_co
             "path",
         )
     )
-    start = F.concat(_reversed(F.col("labels")), F.col("r_path")).cast("binary")
+    start = F.concat(_reversed(F.col("labels")), F.lit("/"), F.col("r_path")).cast("binary")
     name = F.concat("r_host", "r_path")
     opened = F.struct(F.length(name).alias("length"), F.size("labels").alias("labels"), name.alias("rule"), F.col("r_verdict").alias("verdict"))
     ends = rules.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))).select(
