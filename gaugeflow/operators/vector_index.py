@@ -19,6 +19,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -37,6 +39,8 @@ QUERIES, NEIGHBOURS, RECALL = 64, 10, 0.95
 FILE_ROWS = 1_000_000
 #: Allowance for rounding where cells are left out by their radius.
 SLACK = 1e-6
+#: Numbers in the vectors of a tile's rows, and of its queries, and distances that are held at once.
+TILE, AT_ONCE = 1 << 19, 1 << 21
 #: The cell of chunks without a vector that can be searched; no search reads it.
 NOWHERE = -1
 
@@ -215,29 +219,124 @@ def indexed_vector_topk(index: VectorIndex, query: list[float], k: int = 5, proj
 def search_index(index: VectorIndex, queries: DataFrame, k: int = 5, project: str | None = None, probes: int | None = None) -> DataFrame:
     """Near chunks of many queries ``(query_id, embedding)``: query_id, rank, chunk_id, distance.
 
-    Each query is sent to its cells and meets their rows in one equi join on
-    the cell, which prunes folders no query asks for; ``k`` rows of each query
-    leave a task. NULL vectors and those of another length find nothing.
+    Rows and queries meet in tiles of bounded size: small cells share a tile,
+    large ones are cut into several, and a query is sent once to each tile that
+    holds one of its cells, not once to each cell. A tile is a matrix product;
+    ``k`` rows of each query leave it. Folders of blocks that no query
+    asks for are not read. NULL vectors and those of another length find nothing.
     """
+    spark = index.spark
     centers, sizes, wanted = index.centroids(), index.cells(project), probes or index.probes()
     held = np.array(sorted(sizes), np.int64)
     counts = np.array([sizes[c][0] for c in held.tolist()], np.int64)
+    size = max(1, TILE // centers.shape[1])
+    block, slices = _blocks(counts.tolist(), size)
+    n_blocks = len(slices)
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
             order = _nearest(np.array(part["embedding"].tolist(), np.float64).reshape(len(part), -1), centers[held]).argsort(axis=1, kind="stable")
             full = (np.cumsum(counts[order], axis=1) < k).sum(axis=1) + 1
             last = np.minimum(np.maximum(full, wanted), len(held))
-            out = part.loc[part.index.repeat(last)]
-            yield out.assign(cell=np.concatenate([held[o[:n]] for o, n in zip(order, last)] or [held[:0]]))
+            asked = np.zeros(order.shape, bool)
+            np.put_along_axis(asked, order, np.arange(len(held))[None, :] < last[:, None], 1)
+            n_asked = np.stack([np.bincount(block[row], minlength=n_blocks) for row in asked]) if len(part) else np.zeros((0, n_blocks), np.int64)
+            query, to = np.nonzero(n_asked)
+            whole = n_asked[query, to] == np.bincount(block, minlength=n_blocks)[to]
+            # no list stands for all cells of a block
+            cells = [None if w else held[asked[q] & (block == b)].tolist() for q, b, w in zip(query.tolist(), to.tolist(), whole.tolist())]
+            out = part.iloc[query].reset_index(drop=True)
+            yield out.assign(block=to.astype(np.int32), cells=pd.Series(cells, dtype=object))
 
     asked = queries.filter(_searchable(centers.shape[1])).select("query_id", F.col("embedding").cast("array<double>").alias("embedding"))
     if not len(held):
         asked = asked.limit(0)
-    kind = asked.schema["query_id"].dataType.simpleString()
-    sent = asked.mapInPandas(send, f"query_id {kind}, embedding array<double>, cell int").withColumnRenamed("embedding", "_query")
-    rows = index.chunks().select("chunk_id", "project_id", "embedding", "cell")
+    kind, id_kind = asked.schema["query_id"].dataType, index.chunks().schema["chunk_id"].dataType
+    sent = asked.mapInPandas(send, f"query_id {kind.simpleString()}, embedding array<double>, block int, cells array<bigint>")
+    # at most CELLS rows in each of these
+    parts = {r["block"]: -(-r["n"] // size) for r in sent.groupBy("block").agg(F.count(F.lit(1)).alias("n")).collect()}
+    cut = spark.createDataFrame([(b, slices[b], n) for b, n in parts.items()], "block int, slices int, parts int")
+    known = [(c, b, slices[b], parts[b]) for c, b in zip(held.tolist(), block.tolist()) if b in parts]
+    counted = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    part = F.pmod(F.xxhash64("query_id", "embedding"), "parts").cast("int")
+    sent = sent.join(F.broadcast(cut), "block").withColumn("part", part).withColumn("slice", counted("slices"))
+    rows = index.chunks().filter(F.col("cell").isin([c for c, *_ in known]) if known else F.lit(False))
     rows = rows if project is None else rows.filter(F.col("project_id") == project)
-    met = sent.join(rows, "cell").select("query_id", "chunk_id", squared_l2("embedding", "_query").alias("distance"))
+    rows = rows.select("chunk_id", F.col("embedding").cast("array<double>").alias("embedding"), F.col("cell").cast("int").alias("cell"), F.monotonically_increasing_id().alias("place"))
+    rows = rows.join(F.broadcast(spark.createDataFrame(known, "cell int, block int, slices int, parts int")), "cell")
+    rows = rows.withColumn("slice", F.pmod("place", "slices").cast("int")).withColumn("part", counted("parts")).drop("place")
+    tile = ["block", "slice", "part"]
+
+    def meet(asking: pa.Table, held: pa.Table) -> pa.Table:
+        return _tile_nearest(asking, held, k)
+
+    met = (
+        sent.groupBy(*tile)
+        .cogroup(rows.groupBy(*tile))
+        .applyInArrow(meet, f"query_id {kind.simpleString()}, chunk_id {id_kind.simpleString()}, distance double")
+    )
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("distance", "chunk_id"))
     return met.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "chunk_id", "distance")
+
+
+def _blocks(counts: list[int], size: int) -> tuple[np.ndarray, list[int]]:
+    """The block of each cell, and the slices of each block: cells share a block of up to ``size`` rows, a larger cell has one of its own."""
+    block, slices, rows = [], [], size
+    for n in counts:
+        if rows + n > size:
+            slices.append(max(1, -(-n // size)))
+            rows = 0
+        rows += n
+        block.append(len(slices) - 1)
+    return np.array(block, np.int64), slices
+
+
+def _matrix(vectors: pa.ChunkedArray, rows: int) -> np.ndarray:
+    return vectors.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(rows, -1)
+
+
+def _tile_nearest(asking: pa.Table, held: pa.Table, k: int) -> pa.Table:
+    """The ``k`` nearest rows of a tile for each of its queries, those of the cells a query asks for.
+
+    A matrix product leaves the rows whose distance may be among the ``k``
+    least; theirs is then summed as ``squared_l2`` sums it, place by place.
+    """
+    if not (asking.num_rows and held.num_rows):
+        return pa.table({"query_id": asking["query_id"].slice(0, 0), "chunk_id": held["chunk_id"].slice(0, 0), "distance": pa.array([], pa.float64())})
+    queries, x = _matrix(asking["embedding"], asking.num_rows), _matrix(held["embedding"], held.num_rows)
+    cells = held["cell"].to_numpy()
+    ids = held["chunk_id"].combine_chunks()
+    by_id = pc.rank(ids, sort_keys="ascending", null_placement="at_start", tiebreaker="dense").to_numpy()
+    wanted = asking["cells"].to_pylist()
+    found = []
+    with np.errstate(over="ignore", invalid="ignore"):
+        norms, by_place = (x * x).sum(axis=1), np.ascontiguousarray(x.T)
+        step = max(1, AT_ONCE // len(x))
+        for start in range(0, len(queries), step):
+            q = queries[start : start + step]
+            own = (q * q).sum(axis=1)
+            apart = own[:, None] - 2 * (q @ x.T) + norms[None, :]
+            lists = wanted[start : start + step]
+            some = [i for i, c in enumerate(lists) if c is not None]
+            allowed = np.ones(apart.shape, bool) if some else None
+            for i in some:
+                allowed[i] = np.isin(cells, lists[i])
+                apart[i, ~allowed[i]] = np.inf
+            # twice the rounding that the product can have
+            slack = 16 * (x.shape[1] + 4) * np.finfo(np.float64).eps * (own + norms.max())
+            least = np.partition(apart, min(k, len(x)) - 1, axis=1)[:, min(k, len(x)) - 1]
+            near = ~(apart > (least + slack)[:, None])
+            if some:
+                near &= allowed
+            at, row = np.nonzero(near)
+            distance = np.zeros(len(at))
+            columns = np.ascontiguousarray(q.T)
+            for c, r in zip(columns, by_place):
+                gap = r[row] - c[at]
+                distance += gap * gap
+            order = np.lexsort((by_id[row], distance, at))
+            sorted_at = at[order]
+            order = order[np.arange(len(at)) - np.searchsorted(sorted_at, sorted_at) < k]
+            found.append((at[order] + start, row[order], distance[order]))
+    at, row, distance = (np.concatenate(parts) for parts in zip(*found))
+    return pa.table({"query_id": asking["query_id"].take(pa.array(at)), "chunk_id": ids.take(pa.array(row)), "distance": distance})

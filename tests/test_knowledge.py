@@ -268,3 +268,33 @@ def test_search_of_an_empty_affiliation(spark):
         assert got == want and want
     assert K.affiliation_search(blank, [0.0, 0.0], "p", "equipment", "e0", k=3).count() == 3
     assert K.affiliation_search(blank, [0.0, 0.0], "p", "sensor", "e0", "", k=3).count() == 3
+
+
+@pytest.mark.parametrize("probes", [None, 3, I.CELLS])
+def test_search_in_tiles_equals_brute_force(spark, tmp_path, monkeypatch, probes):
+    """Tiles of a few rows, cells larger than a tile, copies, repeated and NULL ids: rows, ranks and distances as by the formula."""
+    rnd = random.Random(5)
+    monkeypatch.setattr(I, "TILE", 4 * 7)
+    monkeypatch.setattr(I, "AT_ONCE", 20)
+    rows = [(None if i == 3 else f"c{i % 90}", f"p{i % 2}", [float(x) for x in rnd.choices(range(-9, 9), k=4)] if i % 4 else [1.0, 2.0, 3.0, 4.0]) for i in range(120)]
+    df = spark.createDataFrame(rows, "chunk_id string, project_id string, embedding array<double>")
+    index = I.build_vector_index(df, f"{tmp_path}/index")
+    asked = [("a", rows[1][2]), ("b", [1.0, 2.0, 3.0, 4.0]), ("b", [1e200, 0.0, 0.0, 0.0]), (None, rows[5][2]), ("c", None), ("d", [1.0])]
+    queries = spark.createDataFrame(asked, "query_id string, embedding array<double>")
+    found = I.search_index(index, queries, 6, "p0", probes)
+    assert "zip_with" not in found._jdf.queryExecution().toString()
+    got = {}
+    for r in found.collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["chunk_id"], r["distance"]))
+    held = {}
+    for r in index.chunks().filter("project_id = 'p0'").collect():
+        held.setdefault(r["cell"], []).append((r["chunk_id"], r["embedding"]))
+    want = {}
+    for name, q in asked:
+        if q is None or len(q) != 4:
+            continue
+        for cell in I.chosen_cells(index, q, 6, "p0", probes):
+            for chunk, x in held[cell]:
+                want.setdefault(name, []).append((sum((a - b) * (a - b) for a, b in zip(x, q)), chunk))
+    best = {name: sorted(found, key=lambda f: (f[0], f[1] is not None, f[1] or ""))[:6] for name, found in want.items()}
+    assert {name: sorted(found) for name, found in got.items()} == {name: [(i + 1, c, d) for i, (d, c) in enumerate(found)] for name, found in best.items()}
