@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, functions as F, types as T
 
 from gaugeflow.functions.topics import as_col
@@ -17,6 +18,8 @@ UPLOAD_LIMIT_BYTES = 10 * 1024 * 1024
 CHUNK_SIZE = 1000
 CHUNK_OVERLAP = 200
 SEPARATORS = ["\n\n", "\n", " "]
+#: Rows whose texts and chunks a worker holds at the same time beside its input.
+SPLIT_ROWS = 256
 
 
 def file_extension(filename) -> Column:
@@ -214,6 +217,14 @@ def split_text(text: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP)
     return [c for c in chunks if c]
 
 
+def chunk_lists(batches: Iterator[pa.Array], size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> Iterator[pa.Array]:
+    """Chunks of every text, SPLIT_ROWS rows at a time: only these are Python objects, and they leave before the next ones come."""
+    for batch in batches:
+        for i in range(0, len(batch), SPLIT_ROWS):
+            chunks = [None if t is None else split_text(t, size, overlap) for t in batch.slice(i, SPLIT_ROWS).to_pylist()]
+            yield pa.array(chunks, pa.list_(pa.string()))
+
+
 def chunk_texts(text, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> Column:
     """Array of the chunks of a text, without white space at their ends; NULL and blank texts have none.
 
@@ -223,9 +234,8 @@ def chunk_texts(text, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> C
     text = as_col(text)
     bare = F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
 
-    @F.pandas_udf("array<string>")
-    def split(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield batch.map(lambda t: None if t is None else split_text(t, size, overlap))
+    @F.arrow_udf("array<string>")
+    def split(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from chunk_lists(batches, size, overlap)
 
     return F.coalesce(split(F.when(F.length(text) > size, text)), F.filter(F.array(bare), lambda t: t != ""))

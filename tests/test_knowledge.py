@@ -1,9 +1,11 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from gaugeflow.functions import documents as D
 from gaugeflow.functions.documents import file_extension, markdown_table, split_text, tables_to_markdown
 from gaugeflow.functions.text import extract_references, text_stats
 from gaugeflow.operators import knowledge as K
@@ -298,3 +300,14 @@ def test_search_in_tiles_equals_brute_force(spark, tmp_path, monkeypatch, probes
                 want.setdefault(name, []).append((sum((a - b) * (a - b) for a, b in zip(x, q)), chunk))
     best = {name: sorted(found, key=lambda f: (f[0], f[1] is not None, f[1] or ""))[:6] for name, found in want.items()}
     assert {name: sorted(found) for name, found in got.items()} == {name: [(i + 1, c, d) for i, (d, c) in enumerate(found)] for name, found in best.items()}
+
+
+def test_long_batches_are_split_in_pieces(spark):
+    """A batch of any length gives its chunks in pieces of bounded size, NULL for texts that stay in the JVM."""
+    texts = [None if i % 7 == 0 else f"{i} " * (i % 300) for i in range(2 * D.SPLIT_ROWS + 5)]
+    pieces = list(D.chunk_lists(iter([pa.array(texts, pa.string()), pa.array([], pa.string())]), 50, 10))
+    assert [len(p) for p in pieces] == [D.SPLIT_ROWS, D.SPLIT_ROWS, 5]
+    assert [c for p in pieces for c in p.to_pylist()] == [None if t is None else split_text(t, 50, 10) for t in texts]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").coalesce(1)
+    got = {r.id: r.chunks for r in df.select("id", D.chunk_texts("text", 50, 10).alias("chunks")).collect()}
+    assert got == {i: split_text(t, 50, 10) if t else [] for i, t in enumerate(texts)}
