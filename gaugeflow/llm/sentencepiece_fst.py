@@ -174,7 +174,11 @@ class Transducer(dict):
             self.known.clear()
         self[chunk] = found
 
-    def encode(self, text: str) -> tuple[np.ndarray, bool]:
+    def encode(self, text: str) -> np.ndarray:
+        """The ids of a text."""
+        return self.checked(text)[0]
+
+    def checked(self, text: str) -> tuple[np.ndarray, bool]:
         """The ids of a text, and whether they decode to the normalised text: that is so if each chunk's ids do, which is seen once a chunk."""
         chunks = self.chunk.findall(self.normalise(text))
         found = np.frombuffer(b"".join(map(self.__getitem__, chunks)), dtype=np.int32)
@@ -207,7 +211,7 @@ def encode(docs: DataFrame, model: str, text: str = "text", into: str = "ids", c
         for batch in batches:
             texts = [x.as_py() for x in batch.column(batch.num_columns - 1)]
             with no_cycles():
-                pairs = [(None, None) if t is None else machine.encode(t) for t in texts]
+                pairs = [(None, None) if t is None else machine.checked(t) for t in texts]
             found, same = [p[0] for p in pairs], [p[1] for p in pairs]
             sizes = np.cumsum([0] + [0 if f is None else len(f) for f in found])
             flat = np.concatenate([f for f in found if f is not None]) if any(f is not None for f in found) else np.zeros(0, np.int32)
