@@ -4,6 +4,8 @@ import json
 import random
 from datetime import datetime, timedelta
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from gaugeflow.operators.alerts import alert_episodes
 from gaugeflow.operators.live import latest_readings
 from gaugeflow.operators.storage import session_stats
 from gaugeflow.streaming import live
+from gaugeflow.streaming import alerts
 from gaugeflow.streaming.alerts import emit_alert_events
 from gaugeflow.streaming.monitor import monitor
 
@@ -139,3 +142,24 @@ def test_monitor(spark, thresholds, tmp_path):
     ]
     assert any('"value":3.0' in body and '"node_status":"active"' in body for body in pushed[-1])
     assert any('"node_status":"idle"' in body for body in pushed[-1])
+
+
+def test_few_rows_of_a_key_give_what_many_do(monkeypatch):
+    """Row by row and by runs: the same events and open alerts; a key without breach and state makes no frame."""
+    rnd = np.random.default_rng(3)
+
+    class State:
+        exists = False
+
+    for n in [0, 1, *rnd.integers(2, 40, 60)]:
+        kind = rnd.integers(0, 3, n)
+        columns = {"kind": kind, "at": np.sort(rnd.integers(0, 20, n)), "value": rnd.random(n), "threshold_value": np.where(kind > 0, kind / 2, np.nan)}
+        carried = {1: [1, 0.5, 0.25, 2, 0.75] if n % 2 else None, 2: [0, 3.0, 2.0, 1, 4.0] if n % 3 == 0 else None}
+        monkeypatch.setattr(alerts, "FEW_ROWS", -1)
+        by_run = alerts.advance(columns, dict(carried))
+        monkeypatch.setattr(alerts, "FEW_ROWS", 100)
+        assert alerts.advance(columns, dict(carried)) == by_run
+        calm = pd.DataFrame({**columns, "kind": 0 * kind, "msg_id": np.arange(n)})
+        monkeypatch.setattr(alerts, "advance", None)
+        assert list(alerts.update_alerts(("k",), iter([calm]), State())) == []
+        monkeypatch.undo()
