@@ -32,7 +32,7 @@ ROUNDS, RATE, DECAY = 25, 0.5, 1e-4
 #: A lexicon entry needs this many occurrences and this share of one label.
 LEXICON_COUNT, LEXICON_SHARE = 3, 0.8
 #: Characters of texts that are handled together, and words whose emissions a worker keeps.
-BATCH_CHARS, KEPT_WORDS = 3_000_000, 700_000
+BATCH_CHARS, KEPT_WORDS = 1_000_000, 250_000
 #: Runs of letters; a few number signs also match and are told apart by isalpha.
 RUN = re.compile(r"[^\W\d_]+")
 
