@@ -8,8 +8,9 @@ a column; equal lists are kept once, with a count, so that a group of near
 copies gives few lists.
 
 Two rows share at most the columns that lie in both prefixes and those behind
-one of them, the longer rest; of the first there are no more than either row
-has in any list. Pairs whose sizes ask for more are never made. Overlaps are
+one of them, the longer rest, and no more than the smaller row has; of the
+first there are no more than either row has in any list. Pairs whose sizes ask
+for more are never made. Overlaps are
 accumulated in rounds. First each row is held against the one row that shares most
 lists with it, and links join rows to components. Then one member of
 each component of a list is held against one row of the list. At last rows of
@@ -38,9 +39,13 @@ from gaugeflow.llm.components import components
 
 #: Numbers of the column sums, of the pieces they travel in, and of the first-level sums of a piece.
 SUMS, PIECES, FIRST_SUMS = 1 << 20, 16, 64
+#: Ranks of column sums that differ by the factor two.
+RANKS = 64
 #: Entries of a block, and rows of a list that are paired at once.
 BLOCK_ENTRIES, LIST_ROWS = 2_000_000, 2000
 KEPT_WORDS = 500_000
+#: Pairs of a list that are looked at, and entries of partial rows that are held, at once.
+PAIRS = 200_000
 #: Bits of a set's parity map: a power of two, not below four times the set's size, between these bounds.
 LEAST_BITS, MOST_BITS = 256, 1 << 18
 #: Nodes whose texts are found through a broadcast, 16 bytes each; more are joined by a shuffle.
@@ -141,7 +146,10 @@ def measured(rows: DataFrame, size: int) -> DataFrame:
 
 
 def rarity(table: DataFrame) -> np.ndarray:
-    """Powers of two of the column sums, one byte for each of the fixed number of column groups."""
+    """Ranks of the column sums on a scale of powers, two bytes for each of the fixed number of column groups.
+
+    The scale is fine, as a column that occurs a few times hardly raises the sum of its group.
+    """
 
     def add(kind):
         def run(t: pa.Table) -> pa.Table:
@@ -154,8 +162,8 @@ def rarity(table: DataFrame) -> np.ndarray:
     first = tasks.groupBy("piece", "part").applyInArrow(add(np.uint16), "piece int, sums binary")
     pieces = first.groupBy("piece").applyInArrow(add(np.uint64), "piece int, sums binary").orderBy("piece").collect()
     if not pieces:
-        return np.zeros(SUMS, np.uint8)
-    return np.frexp(np.concatenate([np.frombuffer(p["sums"], np.uint64) for p in pieces]).astype(np.float64))[1].astype(np.uint8)
+        return np.zeros(SUMS, np.uint16)
+    return (RANKS * np.log2(np.concatenate([np.frombuffer(p["sums"], np.uint64) for p in pieces]).astype(np.float64) + 1)).astype(np.uint16)
 
 
 def shared_lists(rows: DataFrame, order: np.ndarray, size: int, blocks: int) -> DataFrame:
@@ -276,14 +284,15 @@ def linked(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, size: int) -> Da
     return written(whole.select("a", "x", "b", "y").mapInArrow(compare, "a long, b long"), "links")
 
 
-def _allowed(n, matched, m, other_matched):
-    """Whether sizes and the numbers of prefix columns in any list allow a link.
+def _allowed(n, m, columns):
+    """Whether rows of n and m columns that share at most these prefix columns can be linked.
 
     A column of one row's prefix can lie behind the other's prefix, so the
-    rest is that of the pair and not of a row.
+    rest is that of the pair and not of a row. The longer rest alone may hold
+    more columns than the smaller row, which shares no more than it has.
     """
     rest = np.maximum(n - prefix_length(n), m - prefix_length(m))
-    return (np.minimum(matched, other_matched) + rest) * (SHARED + WHOLE) >= (n + m) * SHARED
+    return np.minimum(columns + rest, np.minimum(n, m)) * (SHARED + WHOLE) >= (n + m) * SHARED
 
 
 def _members(batch: pa.RecordBatch) -> Iterator[tuple]:
@@ -310,31 +319,43 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _partial_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each member of a list the members of larger components it could be linked with, as one partial row of the product."""
+
+    def rows(found):
+        a, n, columns, counts, others, sizes = (np.concatenate(f) for f in zip(*found))
+        ends = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
+        arrays = [pa.array(a), pa.array(n), pa.ListArray.from_arrays(ends, pa.array(others)), pa.ListArray.from_arrays(ends, pa.array(sizes)), pa.array(columns)]
+        return pa.RecordBatch.from_arrays(arrays, names=["a", "n", "others", "sizes", "n_columns"])
+
     for batch in batches:
-        rows: tuple[list, ...] = ([], [], [], [], [])
+        found, held = [], 0
         for node, n, matched, label, weight, columns in _members(batch):
             by_weight = np.lexsort((node, label, weight))
-            node, n, matched, label, weight = (x[by_weight] for x in (node, n, matched, label, weight))
-            for i in range(len(node) - 1):
-                rest = slice(i + 1, None)
-                other = np.flatnonzero((label[rest] != label[i]) & _allowed(n[rest], matched[rest], n[i], matched[i])) + i + 1
-                if len(other):
-                    for target, value in zip(rows, (node[i], n[i], node[other], n[other], columns)):
-                        target.append(value)
-        kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64()]
-        yield pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(rows, kinds)], names=["a", "n", "others", "sizes", "n_columns"])
+            node, n, matched, label = (x[by_weight] for x in (node, n, matched, label))
+            step, places = PAIRS // len(node) + 1, np.arange(len(node))
+            for low in range(0, len(node), step):
+                i = places[low : low + step, None]
+                row, other = np.nonzero((places > i) & (label != label[i]) & _allowed(n[i], n, np.minimum(matched[i], matched)))
+                first, counts = np.unique(row + low, return_counts=True)
+                found.append((node[first], n[first], np.full(len(first), columns, np.int64), counts, node[other], n[other]))
+                held += len(other)
+                if held >= PAIRS:
+                    yield rows(found)
+                    found, held = [], 0
+        if held:
+            yield rows(found)
 
 
 def _accumulate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Adds up the partial rows of a node, which follow each other, and keeps the columns that reach the bound."""
-    node, n, parts = None, 0, []
+    node, n, parts, held, most = None, 0, [], 0, PAIRS
 
-    def kept():
+    def added():
         others, first, inverse = np.unique(np.concatenate([p[0] for p in parts]), return_index=True, return_inverse=True)
-        m = np.concatenate([p[1] for p in parts])[first]
-        columns = np.bincount(inverse, np.concatenate([np.full(len(p[0]), p[2]) for p in parts])).astype(np.int64)
-        rest = np.maximum(n - prefix_length(n), m - prefix_length(m))
-        b = others[(columns + rest) * (SHARED + WHOLE) >= (n + m) * SHARED]
+        return others, np.concatenate([p[1] for p in parts])[first], np.bincount(inverse, np.concatenate([p[2] for p in parts])).astype(np.int64)
+
+    def kept():
+        others, m, columns = added()
+        b = others[_allowed(n, m, columns)]
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(b), node)), pa.array(b)], names=["a", "b"])
 
     for batch in batches:
@@ -342,8 +363,13 @@ def _accumulate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if a.as_py() != node:
                 if parts:
                     yield kept()
-                node, n, parts = a.as_py(), size.as_py(), []
-            parts.append((others.values.to_numpy(), sizes.values.to_numpy(), columns.as_py()))
+                node, n, parts, held, most = a.as_py(), size.as_py(), [], 0, PAIRS
+            parts.append((others.values.to_numpy(), sizes.values.to_numpy(), np.full(len(others), columns.as_py())))
+            held += len(others)
+            if held >= most:
+                parts = [added()]
+                held = len(parts[0][0])
+                most = PAIRS + 2 * held
     if parts:
         yield kept()
 
@@ -397,7 +423,7 @@ def similar_documents(docs: DataFrame, size: int = 5, doc_id: str = "doc_id", te
     # Guesses, by the rows or by the lists of this hub; what they leave out comes with the whole product.
     rest, other_rest = _rest(F.col("n")), _rest(F.col("m"))
     likely = F.greatest(F.least(F.col("matched") + rest, F.col("hub_matched") + other_rest), F.col("n_columns") + F.greatest(rest, other_rest))
-    fits = likely * (SHARED + WHOLE) >= (F.col("n") + F.col("m")) * SHARED
+    fits = F.least(likely, "n", "m") * (SHARED + WHOLE) >= (F.col("n") + F.col("m")) * SHARED
     best = with_hub.where(fits).groupBy("node").agg(F.max(F.struct("n_columns", "hub")).alias("best"))
     each = each.select("list", "n_columns", "node", "n", "matched")
     links = linked(best.select(F.col("node").alias("a"), F.col("best.hub").alias("b")), rows, nodes, size)

@@ -406,3 +406,40 @@ def test_passages_keep_clashing_columns(spark):
     got = substring_dedup.drop_repeated_passages(df)
     assert got.columns == ["doc_id", "text", "__row", "__ROW_", "__later", "removed"]
     assert sorted(map(tuple, got.collect())) == [(1, line, "x", "y", 3, []), (2, "", "z", None, 6, [(0, len(line))])]
+
+
+def member_lists(lists, columns):
+    import pyarrow as pa
+
+    kind = pa.struct([(c, pa.int64()) for c in ("node", "n", "matched", "label", "weight")])
+    return pa.table({"members": pa.array(lists, pa.list_(kind)), "n_columns": columns}).to_batches()
+
+
+def test_rows_of_unlike_sizes_are_no_candidates():
+    """A row shares no more columns than it has, however many lie behind the longer one's prefix."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(8)
+    n = rng.integers(20, 900, 150)
+    members = [{"node": i, "n": int(x), "matched": ngram_join.prefix_length(int(x)), "label": i, "weight": 1} for i, x in enumerate(n)]
+    lists = member_lists([members, members[:40]], [3, 2])
+    want = {(i, j) for i in range(150) for j in range(i + 1, 150) if 100 * min(n[i], n[j]) >= 75 * max(n[i], n[j])}
+    rows = pa.Table.from_batches(ngram_join._partial_rows(iter(lists))).sort_by("a")
+    assert {(a, b) for a, others in zip(*(rows[c].to_pylist() for c in ("a", "others"))) for b in others} == want
+    pairs = [p for batch in ngram_join._accumulate(iter(rows.to_batches())) for p in zip(*(c.to_pylist() for c in batch.columns))]
+    assert len(pairs) == len(set(pairs)) and 0 < len(pairs) < len(want) and set(pairs) <= want
+
+
+def test_long_lists_leave_in_parts(monkeypatch):
+    """However many lists a batch has, few pairs are held at once, and the sums stay."""
+    import pyarrow as pa
+
+    members = [{"node": i, "n": 40, "matched": 11, "label": i, "weight": 1} for i in range(60)]
+    lists = member_lists([members] * 30, [1] * 30)
+    want = {(i, j) for i in range(60) for j in range(i + 1, 60)}
+    monkeypatch.setattr(ngram_join, "PAIRS", 500)
+    parts = list(ngram_join._partial_rows(iter(lists)))
+    assert len(parts) > 30 and max(len(p.column(2).flatten()) for p in parts) <= 1100
+    pairs = [p for batch in ngram_join._accumulate(iter(pa.Table.from_batches(parts).sort_by("a").to_batches())) for p in zip(*(c.to_pylist() for c in batch.columns))]
+    assert sorted(pairs) == sorted(want)
