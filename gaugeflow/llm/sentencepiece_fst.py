@@ -30,11 +30,13 @@ from gaugeflow.llm.bpe import Neighbours
 from gaugeflow.llm.common import no_cycles, worker_store
 
 META = "▁"
-#: Chunks whose ids and beginnings whose compositions a worker keeps, and characters of one at most.
-KEPT_CHUNKS, KEPT_PATHS, KEPT_LENGTH = 400_000, 120_000, 64
+#: Chunks whose ids and beginnings whose compositions a worker keeps, in each of two generations, and characters of one at most.
+KEPT_CHUNKS, KEPT_PATHS, KEPT_LENGTH = 400_000, 60_000, 64
 #: Fixed value: what an unknown character costs beyond the least score in a unigram model.
 UNKNOWN_PENALTY = 10.0
 SPECIAL, NORMAL, BYTE = 0, 1, 2
+#: Characters that aren't letters.
+OTHERS = re.compile(r"[\W\d_]")
 
 
 def load_model(path: str) -> dict:
@@ -69,14 +71,20 @@ class Transducer(dict):
         self.longest = max(map(len, self.id))
         self.neighbours, self.known = Neighbours(self.join, list), {}
         self.paths: dict[str, tuple] = {}
+        self.older_paths: dict[str, tuple] = {}
         self.older: dict[str, bytes] = {}
         self.lost: set[str] = set()
+        self.ever_lost = False
         self.adjacent = {pair for p in self.id for pair in zip(p, p[1:])}
         self.output = [bytes([int(p[3:5], 16)]) if kind == BYTE else p.replace(META, " ").encode() if kind == NORMAL else b"" for p, _, kind in model["pieces"]]
         self.output[model["unknown"]] = " ⁇ ".encode()
         # Chunks end before a meta symbol behind another character.
         whole = any(META in p.lstrip(META) for p in self.id)
-        self.chunk = re.compile("(?s).+" if whole else f"{META}*[^{META}]+|{META}+")
+        # Letters also end one before a sign that stands behind a letter in no piece.
+        joined = {b for a, b in self.adjacent if not OTHERS.match(a)}
+        signs = re.escape("".join(c for c in map(chr, range(128)) if OTHERS.match(c) and c not in joined))
+        before = f"{META}*[^\\W\\d_]++(?=[{signs}])|" if signs else ""
+        self.chunk = re.compile("(?s).+" if whole else f"{before}{META}*[^{META}]+|{META}+")
         # The lexicon as a trie: {character: node}, the arc of the piece that ends at a node under "".
         self.trie: dict = {}
         for p in self.id:
@@ -84,7 +92,7 @@ class Transducer(dict):
             for c in p:
                 node = node.setdefault(c, {})
             node[""] = (p, array("i", [self.id[p]]).tobytes(), -self.score[self.id[p]])
-        self.paths[""] = ((self.trie, "", 0.0, b""), None)
+        self.paths[""] = ([(self.trie, "", 0.0, b"")], None)
 
     def normalise(self, text: str) -> str:
         """Blanks become meta symbols, one is put in front; runs are squeezed and ends cut if the model says so."""
@@ -105,16 +113,20 @@ class Transducer(dict):
         return known
 
     def extend(self, arcs: tuple, c: str) -> tuple:
-        """Reads a character. Arcs are (trie node, piece before, cost, ids) of the pieces under way; the last element is the best path that ends here."""
-        bpe, best, ahead, known = self.bpe, None, [], self.known
-        for node, before, cost, ids in arcs[:-1]:
-            child = node.get(c)
-            if child is not None:
-                ahead.append((child, before, cost, ids))
-                end = child.get("")
+        """Reads a character. Arcs are (trie node, piece before, cost, ids) of the pieces under way; beside them is the best path that ends here."""
+        bpe, best, ahead, known, trie = self.bpe, None, [], self.known, self.trie
+        for node, before, cost, ids in arcs[0]:
+            if c in node:
+                child = node[c]
+                if "" not in child:
+                    ahead.append((child, before, cost, ids))
+                    continue
+                if len(child) > 1:  # else no longer piece begins like this one
+                    ahead.append((child, before, cost, ids))
+                end = child[""]
+            elif node is trie and c not in self.id:
+                end = self.unknown(c)
             else:
-                end = self.unknown(c) if node is self.trie and c not in self.id else None
-            if end is None:
                 continue
             piece, data, weight = end
             if not bpe:
@@ -125,21 +137,23 @@ class Transducer(dict):
                 if fits or fits is None and self.fits(before, piece):
                     best = (piece, cost, ids + data)
         if best is not None:
-            ahead.append((self.trie, *best))
-        return (*ahead, best)
+            ahead.append((trie, *best))
+        return ahead, best
 
     def shortest_path(self, chunk: str) -> bytes:
         """The ids on the path of least cost. Texts that begin alike share the composition of what they share."""
-        n = len(chunk)
-        known = next((k for k in range(min(n, KEPT_LENGTH), 0, -1) if chunk[:k] in self.paths), 0)
-        arcs = self.paths[chunk[:known]]
-        if len(self.paths) >= KEPT_PATHS:
-            self.paths = {"": self.paths[""]}
+        n, paths, older = len(chunk), self.paths, self.older_paths
+        known = min(n, KEPT_LENGTH)
+        while (arcs := paths.get(begun := chunk[:known]) or older.get(begun)) is None:
+            known -= 1
+        paths[begun] = arcs
         for k in range(known, n):
             arcs = self.extend(arcs, chunk[k])
             if k < KEPT_LENGTH:
-                self.paths[chunk[: k + 1]] = arcs
-        return arcs[-1][2]
+                paths[chunk[: k + 1]] = arcs
+        if len(paths) >= KEPT_PATHS:  # what is still in use comes back from the older ones
+            self.older_paths, self.paths = paths, {"": self.paths[""]}
+        return arcs[1][2]
 
     def unknown(self, c: str) -> tuple[str, bytes, float]:
         """The arc of a character that is no piece: its bytes, or the unknown piece where a model has no bytes."""
@@ -151,14 +165,19 @@ class Transducer(dict):
         if found is not None:
             self.keep(chunk, found)
             return found
-        # No piece crosses two characters that are neighbours in none. Letters alone are hardly ever such a place.
-        cuts = [] if chunk[1:].isalpha() else [i + 1 for i, pair in enumerate(zip(chunk, chunk[1:])) if pair not in self.adjacent]
+        # No piece crosses two characters that are neighbours in none. Two letters are hardly ever such a place, so only others are looked at.
+        cuts = []
+        if not chunk[1:].isalpha():
+            places = {i for m in OTHERS.finditer(chunk, 1) for i in (m.start(), m.end())}
+            cuts = [i for i in sorted(places) if 0 < i < len(chunk) and (chunk[i - 1], chunk[i]) not in self.adjacent]
         if cuts:
-            found = b"".join(self[chunk[a:b]] for a, b in zip([0, *cuts], [*cuts, len(chunk)]))
+            found = b"".join(map(self.__getitem__, [chunk[a:b] for a, b in zip([0, *cuts], [*cuts, len(chunk)])]))
         else:
             found = self.shortest_path(chunk)
-        if b"".join(map(self.output.__getitem__, np.frombuffer(found, np.int32).tolist())) != chunk.replace(META, " ").encode("utf-8", "surrogatepass"):
+        # What is put together from parts decodes to them if each part does.
+        if (not cuts or self.ever_lost) and b"".join(map(self.output.__getitem__, np.frombuffer(found, np.int32).tolist())) != chunk.replace(META, " ").encode("utf-8", "surrogatepass"):
             self.lost.add(chunk)
+            self.ever_lost = True
         if len(chunk) <= KEPT_LENGTH:
             self.keep(chunk, found)
         return found

@@ -443,3 +443,20 @@ def test_long_lists_leave_in_parts(monkeypatch):
     assert len(parts) > 30 and max(len(p.column(2).flatten()) for p in parts) <= 1100
     pairs = [p for batch in ngram_join._accumulate(iter(pa.Table.from_batches(parts).sort_by("a").to_batches())) for p in zip(*(c.to_pylist() for c in batch.columns))]
     assert sorted(pairs) == sorted(want)
+
+
+def test_words_are_found_before_signs_and_beginnings_stay(monkeypatch):
+    """A word is the same chunk with and without a sign behind it, and beginnings in use outlive a full table."""
+    import sentencepiece
+
+    from gaugeflow.llm import sentencepiece_fst
+
+    library, machine = sentencepiece.SentencePieceProcessor(model_file=PIECES), Transducer(load_model(PIECES))
+    assert machine.chunk.findall("▁word,▁word") == ["▁word", ",", "▁word"]
+    monkeypatch.setattr(sentencepiece_fst, "KEPT_PATHS", 40)
+    random.seed(3)
+    for _ in range(300):
+        x = " ".join("under" + random.choice("abcde") + random.choice([",", "-", "1", "'s", "é", ":\n", ""]) for _ in range(5))
+        assert machine.encode(x).tolist() == library.encode(x), repr(x)
+    assert "▁under" in machine.paths or "▁under" in machine.older_paths
+    assert len(machine.paths) + len(machine.older_paths) < 300
