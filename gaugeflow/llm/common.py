@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import sys
 import types
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gaugeflow.session import work_folder
 
+#: Rows that a Python task makes something of at once, however many a batch has.
+SLICE_ROWS = 500
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -51,14 +55,35 @@ def parquet(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def worker_store(key) -> dict:
     """A dictionary that lives as long as the Python worker, so that a compiled model serves all tasks of a worker.
 
-    A worker keeps one at a time: asking for another key drops what it had.
+    A worker keeps one at a time: asking for another key drops what it had and
+    gives the memory back, as workers outlive the stage that filled them.
     """
     module = sys.modules.setdefault("gaugeflow_worker_store", types.ModuleType("gaugeflow_worker_store"))
     if getattr(module, "key", None) != key:
+        had = getattr(module, "kept", None)
         module.key, module.kept = key, {}
+        if had:
+            del had
+            give_back()
     return module.kept
 
 
+def give_back():
+    """Frees reference cycles and returns the free memory of the allocators to the system, where they can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
+    if trim:
+        trim(0)
+
+
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``rows``, so that little is under way at any time."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 @contextmanager
 def no_cycles():
     """Pauses the search for reference cycles, which would walk a worker's large tables again and again."""

@@ -21,7 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from gaugeflow.llm.common import worker_store
+from gaugeflow.llm.common import sliced, worker_store
 
 UNKNOWN = "und"
 #: Bounds of the sample a model is fitted on: documents of each label, words of each document.
@@ -33,6 +33,8 @@ ROUNDS, RATE, DECAY = 25, 0.5, 1e-4
 LEXICON_COUNT, LEXICON_SHARE = 3, 0.8
 #: Characters of texts that are handled together, and words whose emissions a worker keeps.
 BATCH_CHARS, KEPT_WORDS = 1_000_000, 250_000
+#: New words whose emissions are made at once; each takes about a kilobyte meanwhile.
+FRESH_WORDS = 25_000
 #: Runs of letters; a few number signs also match and are told apart by isalpha.
 RUN = re.compile(r"[^\W\d_]+")
 
@@ -179,7 +181,9 @@ class Labeller:
             self.rows = np.concatenate([self.rows, np.zeros((more, self.rows.shape[1]), self.rows.dtype)])
             self.letters = np.concatenate([self.letters, np.zeros(more, bool)])
         new = slice(len(self.ids) - len(self.fresh), len(self.ids))
-        self.rows[new] = self.model.emissions(self.fresh)
+        for start in range(0, len(self.fresh), FRESH_WORDS):
+            some = self.fresh[start : start + FRESH_WORDS]
+            self.rows[new.start + start : new.start + start + len(some)] = self.model.emissions(some)
         self.letters[new] = [any(map(str.isalpha, w)) for w in self.fresh]
         self.fresh = []
 
@@ -265,7 +269,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", label_into: str =
             columns = batch.columns[: batch.num_columns - (not keep_text)]
             names = batch.schema.names[: len(columns)]
             columns += [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*names, label_into, score_into])
+            yield from sliced([pa.RecordBatch.from_arrays(columns, names=[*names, label_into, score_into])])
 
     others = [F.col(f"`{c}`") for c in docs.columns if c not in (text, label_into, score_into)]
     body = F.col(f"`{text}`")

@@ -34,7 +34,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gaugeflow.llm.common import shuffle_partitions, written
+from gaugeflow.llm.common import shuffle_partitions, worker_store, written
 from gaugeflow.llm.components import components
 
 #: Numbers of the column sums, of the pieces they travel in, and of the first-level sums of a piece.
@@ -43,7 +43,7 @@ SUMS, PIECES, FIRST_SUMS = 1 << 20, 16, 64
 RANKS = 64
 #: Entries of a block, and rows of a list that are paired at once.
 BLOCK_ENTRIES, LIST_ROWS = 2_000_000, 2000
-KEPT_WORDS = 500_000
+KEPT_WORDS = 150_000
 #: Pairs of a list that are looked at, and entries of partial rows that are held, at once.
 PAIRS = 200_000
 #: Bits of a set's parity map: a power of two, not below four times the set's size, between these bounds.
@@ -119,6 +119,7 @@ def measured(rows: DataFrame, size: int) -> DataFrame:
     """One row per document with its number of n-grams and node, and the column sums of each task in pieces."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_store("ngram_join")  # what an operator before kept goes
         names = ["row", "doc_id", "n", "node", "bits", "piece", "part", "sums"]
         hashes, sums, part = WordHashes(), np.zeros(SUMS, np.int64), 0
         for batch in batches:
@@ -171,6 +172,7 @@ def shared_lists(rows: DataFrame, order: np.ndarray, size: int, blocks: int) ->
     sent = rows.sparkSession.sparkContext.broadcast(order)
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_store("ngram_join")
         hashes, seen, order = WordHashes(), set(), sent.value
         for batch in batches:
             columns, nodes = [], []
@@ -196,6 +198,7 @@ def shared_lists(rows: DataFrame, order: np.ndarray, size: int, blocks: int) ->
             yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(parts, pa.binary())], names=["block", "entries"])
 
     def lists(table: pa.Table) -> pa.Table:
+        worker_store("ngram_join")
         data = np.concatenate([np.frombuffer(x.as_py(), ENTRY) for x in table.column("entries")])
         data = data[np.lexsort((data["node"], data["column"]))]
         column, node = data["column"], data["node"]
@@ -265,6 +268,7 @@ def linked(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, size: int) -> Da
     texts = rows.join(needed, "row").select("node", "text")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_store("ngram_join")
         hashes = WordHashes()
 
         @lru_cache(maxsize=64)

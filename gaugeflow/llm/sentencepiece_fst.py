@@ -21,17 +21,18 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from gaugeflow.llm.bpe import Neighbours
-from gaugeflow.llm.common import no_cycles, worker_store
+from gaugeflow.llm.common import no_cycles, sliced, worker_store
 
 META = "▁"
 #: Chunks whose ids and beginnings whose compositions a worker keeps, in each of two generations, and characters of one at most.
-KEPT_CHUNKS, KEPT_PATHS, KEPT_LENGTH = 400_000, 60_000, 64
+KEPT_CHUNKS, KEPT_PATHS, KEPT_LENGTH = 400_000, 40_000, 64
 #: Fixed value: what an unknown character costs beyond the least score in a unigram model.
 UNKNOWN_PENALTY = 10.0
 SPECIAL, NORMAL, BYTE = 0, 1, 2
@@ -227,19 +228,21 @@ def encode(docs: DataFrame, model: str, text: str = "text", into: str = "ids", c
 
     def batches_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = _transducer(sent, model)
-        for batch in batches:
-            texts = [x.as_py() for x in batch.column(batch.num_columns - 1)]
-            with no_cycles():
-                pairs = [(None, None) if t is None else machine.checked(t) for t in texts]
-            found, same = [p[0] for p in pairs], [p[1] for p in pairs]
-            sizes = np.cumsum([0] + [0 if f is None else len(f) for f in found])
-            flat = np.concatenate([f for f in found if f is not None]) if any(f is not None for f in found) else np.zeros(0, np.int32)
-            missing = pa.array([f is None for f in found])
-            columns = [batch.column(i) for i in range(batch.num_columns - 1)]
-            columns.append(pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(flat, pa.int32()), mask=missing))
-            if check:
-                columns.append(pa.array(same, pa.bool_()))
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], *results])
+        for whole in batches:
+            with no_cycles():  # once for many slices: each time it ends, all that is kept is walked
+                yield from map(encoded, repeat(machine), sliced([whole]))
+
+    def encoded(machine: Transducer, batch: pa.RecordBatch) -> pa.RecordBatch:
+        pairs = [(None, None) if t is None else machine.checked(t) for t in (x.as_py() for x in batch.column(batch.num_columns - 1))]
+        found, same = [p[0] for p in pairs], [p[1] for p in pairs]
+        sizes = np.cumsum([0] + [0 if f is None else len(f) for f in found])
+        flat = np.concatenate([f for f in found if f is not None]) if any(f is not None for f in found) else np.zeros(0, np.int32)
+        missing = pa.array([f is None for f in found])
+        columns = [batch.column(i) for i in range(batch.num_columns - 1)]
+        columns.append(pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(flat, pa.int32()), mask=missing))
+        if check:
+            columns.append(pa.array(same, pa.bool_()))
+        return pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], *results])
 
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in (text, *results)]
     rows = docs.select(*kept, F.col(f"`{text}`").alias("__text"))

@@ -460,3 +460,78 @@ def test_words_are_found_before_signs_and_beginnings_stay(monkeypatch):
         assert machine.encode(x).tolist() == library.encode(x), repr(x)
     assert "▁under" in machine.paths or "▁under" in machine.older_paths
     assert len(machine.paths) + len(machine.older_paths) < 300
+
+
+def test_workers_drop_what_another_operator_kept():
+    """Also what lies in reference cycles goes at once, not when the interpreter happens to look for them."""
+    import gc
+    import weakref
+
+    from gaugeflow.llm.common import worker_store
+
+    gc.disable()
+    try:
+        worker_store("one")["machine"] = machine = Transducer(load_model(PIECES))
+        kept = weakref.ref(machine)
+        del machine
+        assert worker_store("one")["machine"] is kept()
+        assert worker_store("two") == {} and kept() is None
+    finally:
+        gc.enable()
+
+
+def test_join_drops_the_language_model(tmp_path):
+    """The only worker of a session handles texts for the join after language ID; the model and its words are gone then."""
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = """
+import sys
+sys.path.insert(0, {repo!r})
+import pyarrow as pa
+from gaugeflow.session import build_session
+from gaugeflow.llm.language import fit, predict
+from gaugeflow.llm.ngram_join import similar_documents
+def keys(batches):
+    for _ in batches:
+        pass
+    yield pa.RecordBatch.from_arrays([pa.array([str(getattr(sys.modules.get("gaugeflow_worker_store"), "key", None))])], names=["key"])
+spark = build_session("local[1]", "drops", 1)
+docs = spark.createDataFrame([(1, "the river"), (2, "der fluss")], "doc_id long, text string").coalesce(1)
+seen = lambda: docs.mapInArrow(keys, "key string").first().key
+predict(docs, fit([("en", ["the", "river"] * 20), ("de", ["der", "fluss"] * 20)])).collect()
+before = seen()
+similar_documents(docs).collect()
+print("kept:", before, "then:", seen())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    repo = str(Path(__file__).resolve().parents[2])
+    done = subprocess.run([sys.executable, "-c", code.format(repo=repo)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "kept: language then: ngram_join" in done.stdout, done.stderr[-2000:]
+
+
+def test_texts_and_new_words_are_handled_in_slices(spark, monkeypatch):
+    import pyarrow as pa
+    import sentencepiece
+
+    from gaugeflow.llm.common import sliced
+
+    batch = pa.RecordBatch.from_pydict({"x": list(range(1201))})
+    parts = list(sliced([batch.slice(0, 0), batch], 500))
+    assert [p.num_rows for p in parts] == [500, 500, 201] and pa.Table.from_batches(parts).column("x").to_pylist() == list(range(1201))
+
+    texts = [None if i % 7 == 0 else f"It is {i}." for i in range(1201)]
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    got = encode(spark.createDataFrame(list(enumerate(texts)), DOC).coalesce(1), PIECES, check="ok").collect()
+    assert [(r["doc_id"], r["ids"], r["ok"]) for r in got] == [(i, None if t is None else library.encode(t), None if t is None else True) for i, t in enumerate(texts)]
+
+    model = fit([("en", ["the", "river", "flows"] * 20), ("de", ["der", "fluss", "strom"] * 20)])
+    want = language.Labeller(model).languages(["the river flows", "der strom", "1"])
+    sizes, emissions = [], model.emissions
+    model.emissions = lambda words: sizes.append(len(words)) or emissions(words)
+    monkeypatch.setattr(language, "FRESH_WORDS", 2)
+    found = language.Labeller(model).languages(["the river flows", "der strom", "1"])
+    assert sizes == [2, 2, 1] and [f[0] for f in found] == [w[0] for w in want]
+    assert [f[1] for f in found] == pytest.approx([w[1] for w in want], abs=1e-5)
