@@ -10,6 +10,9 @@ over paths) is the encoding.
 A unigram model puts its negated scores on the arcs. A BPE model admits an arc
 behind another one exactly if the two pieces can stand side by side, that is,
 if merging their joined text gives the two again; every text has one such path.
+So there are no costs to compare: the search goes depth first, along the longest
+piece that fits, and comes back from where none does. At most one path leads to
+a place, so each is met once.
 
 No piece holds the meta symbol behind another character, so a text falls into
 chunks that are composed one by one; a worker keeps the paths of the chunks it
@@ -31,8 +34,10 @@ from gaugeflow.llm.bpe import Neighbours
 from gaugeflow.llm.common import no_cycles, sliced, worker_store
 
 META = "▁"
-#: Chunks whose ids and beginnings whose compositions a worker keeps, in each of two generations, and characters of one at most.
+#: Chunks whose ids and (unigram) beginnings whose compositions a worker keeps, in each of two generations, and characters of one at most.
 KEPT_CHUNKS, KEPT_PATHS, KEPT_LENGTH = 400_000, 40_000, 64
+#: First characters of a chunk whose arcs are kept, and pairs of pieces of which a worker keeps whether they can stand side by side.
+BEGINNING, KEPT_PAIRS = 6, 200_000
 #: Fixed value: what an unknown character costs beyond the least score in a unigram model.
 UNKNOWN_PENALTY = 10.0
 SPECIAL, NORMAL, BYTE = 0, 1, 2
@@ -70,7 +75,9 @@ class Transducer(dict):
         self.bytes = {int(p[3:5], 16): i for i, (p, _, kind) in enumerate(model["pieces"]) if kind == BYTE}
         self.least = min(s for _, s, kind in model["pieces"] if kind == NORMAL)
         self.longest = max(map(len, self.id))
-        self.neighbours, self.known = Neighbours(self.join, list), {}
+        self.neighbours = Neighbours(self.join, list)
+        self.known: dict[str, dict[str, bool]] = {}
+        self.pairs = 0
         self.paths: dict[str, tuple] = {}
         self.older_paths: dict[str, tuple] = {}
         self.older: dict[str, bytes] = {}
@@ -81,11 +88,7 @@ class Transducer(dict):
         self.output[model["unknown"]] = " ⁇ ".encode()
         # Chunks end before a meta symbol behind another character.
         whole = any(META in p.lstrip(META) for p in self.id)
-        # Letters also end one before a sign that stands behind a letter in no piece.
-        joined = {b for a, b in self.adjacent if not OTHERS.match(a)}
-        signs = re.escape("".join(c for c in map(chr, range(128)) if OTHERS.match(c) and c not in joined))
-        before = f"{META}*[^\\W\\d_]++(?=[{signs}])|" if signs else ""
-        self.chunk = re.compile("(?s).+" if whole else f"{before}{META}*[^{META}]+|{META}+")
+        self.chunk = re.compile("(?s).+" if whole else f"{self.borders()}{META}*[^{META}]+|{META}+")
         # The lexicon as a trie: {character: node}, the arc of the piece that ends at a node under "".
         self.trie: dict = {}
         for p in self.id:
@@ -93,7 +96,24 @@ class Transducer(dict):
             for c in p:
                 node = node.setdefault(c, {})
             node[""] = (p, array("i", [self.id[p]]).tobytes(), -self.score[self.id[p]])
-        self.paths[""] = ([(self.trie, "", 0.0, b"")], None)
+        if not self.bpe:
+            self.paths[""] = ([(self.trie, 0.0, b"")], None)
+
+    def borders(self) -> str:
+        """Patterns of the chunks that end between a letter and a sign, or a sign and a letter, that are neighbours in no piece."""
+        signs = [c for c in map(chr, range(128)) if OTHERS.match(c)]
+        letters: dict[str, str] = {}  # that stand before a sign in a piece
+        for a, b in sorted(self.adjacent):
+            if not OTHERS.match(a):
+                letters[b] = letters.get(b, "") + a
+        before = {a for a, b in self.adjacent if not OTHERS.match(b)}
+        alike = {"": [META]}  # letters also end before a meta symbol
+        for c in signs:
+            alike.setdefault(letters.get(c, ""), []).append(c)
+        any_of = lambda cs: f"[{re.escape(''.join(cs))}]"
+        ends = "|".join((f"(?<!{any_of(a)})" if a else "") + f"(?={any_of(cs)})" for a, cs in sorted(alike.items()))
+        starts = [c for c in signs if c not in before]
+        return f"{META}*[^\\W\\d_]++(?:{ends})|" + (f"{META}*{any_of(starts)}++(?=[^\\W\\d_])|" if starts else "")
 
     def normalise(self, text: str) -> str:
         """Blanks become meta symbols, one is put in front; runs are squeezed and ends cut if the model says so."""
@@ -108,41 +128,88 @@ class Transducer(dict):
         return None if made is None else (-self.score[made], a + b)
 
     def fits(self, before: str, piece: str) -> bool:
-        known = self.known.get((before, piece))
-        if known is None:
-            known = self.known[before, piece] = self.neighbours.fit(before, piece) if before else self.neighbours.alone(piece)
-        return known
+        if self.pairs >= KEPT_PAIRS:
+            self.known.clear()
+            self.pairs = 0
+        found = self.neighbours.fit(before, piece) if before else self.neighbours.alone(piece)
+        self.known.setdefault(before, {})[piece] = found
+        self.pairs += 1
+        return found
+
+    def arcs(self, node: dict, text: str) -> tuple[list, dict | None]:
+        """The arcs of the pieces on the way from a node of the trie along a text, shorter ones first, and the node at its end, None if no piece goes on."""
+        found = []
+        for c in text:
+            if c not in node:
+                return found, None
+            node = node[c]
+            if "" in node:
+                found.append(node[""])
+        return found, node
+
+    def first_arcs(self, chunk: str) -> list:
+        """The arcs at the front of a chunk. Texts that begin alike share those of what they share."""
+        begun = chunk[:BEGINNING]
+        kept = self.paths.get(begun)
+        if kept is None:
+            kept = self.older_paths.get(begun) or self.arcs(self.trie, begun)
+            self.paths[begun] = kept
+            if len(self.paths) >= KEPT_PATHS:  # what is still in use comes back from the older ones
+                self.older_paths, self.paths = self.paths, {}
+        found, node = kept
+        return [*found, *self.arcs(node, chunk[BEGINNING : self.longest])[0]] if node else found[:]
+
+    def only_path(self, chunk: str) -> bytes:
+        """The ids on a BPE model's path."""
+        n, longest, trie, known, single = len(chunk), self.longest, self.trie, self.known, self.id
+        at, before, path = 0, "", []
+        dead = set()  # places from which no path leads on
+        while at < n:
+            arcs = self.arcs(trie, chunk[at : at + longest])[0] if at else self.first_arcs(chunk)
+            if chunk[at] not in single:
+                arcs.insert(0, self.unknown(chunk[at]))
+            fitting = known.get(before, {})
+            while arcs:
+                arc = arcs.pop()
+                piece = arc[0]
+                fits = fitting.get(piece)
+                if (fits or fits is None and self.fits(before, piece)) and at + len(piece) not in dead:
+                    path.append(arc)
+                    at, before = at + len(piece), piece
+                    break
+            else:
+                if not path:
+                    raise ValueError(f"no path through {chunk[:KEPT_LENGTH]!r}")
+                dead.add(at)
+                at -= len(path.pop()[0])
+                before = path[-1][0] if path else ""
+        return b"".join([data for _, data, _ in path])
 
     def extend(self, arcs: tuple, c: str) -> tuple:
-        """Reads a character. Arcs are (trie node, piece before, cost, ids) of the pieces under way; beside them is the best path that ends here."""
-        bpe, best, ahead, known, trie = self.bpe, None, [], self.known, self.trie
-        for node, before, cost, ids in arcs[0]:
+        """Reads a character. Arcs are (trie node, cost, ids) of the pieces under way; beside them is the best path that ends here."""
+        best, ahead, trie = None, [], self.trie
+        for node, cost, ids in arcs[0]:
             if c in node:
                 child = node[c]
                 if "" not in child:
-                    ahead.append((child, before, cost, ids))
+                    ahead.append((child, cost, ids))
                     continue
                 if len(child) > 1:  # else no longer piece begins like this one
-                    ahead.append((child, before, cost, ids))
+                    ahead.append((child, cost, ids))
                 end = child[""]
             elif node is trie and c not in self.id:
                 end = self.unknown(c)
             else:
                 continue
-            piece, data, weight = end
-            if not bpe:
-                if best is None or cost + weight < best[1]:
-                    best = (piece, cost + weight, ids + data)
-            elif best is None:  # each prefix has one encoding: where a path arrives no other can
-                fits = known.get((before, piece))
-                if fits or fits is None and self.fits(before, piece):
-                    best = (piece, cost, ids + data)
+            _, data, weight = end
+            if best is None or cost + weight < best[0]:
+                best = (cost + weight, ids + data)
         if best is not None:
             ahead.append((trie, *best))
         return ahead, best
 
     def shortest_path(self, chunk: str) -> bytes:
-        """The ids on the path of least cost. Texts that begin alike share the composition of what they share."""
+        """The ids on a unigram model's path of least cost. Texts that begin alike share the composition of what they share."""
         n, paths, older = len(chunk), self.paths, self.older_paths
         known = min(n, KEPT_LENGTH)
         while (arcs := paths.get(begun := chunk[:known]) or older.get(begun)) is None:
@@ -154,7 +221,7 @@ class Transducer(dict):
                 paths[chunk[: k + 1]] = arcs
         if len(paths) >= KEPT_PATHS:  # what is still in use comes back from the older ones
             self.older_paths, self.paths = paths, {"": self.paths[""]}
-        return arcs[1][2]
+        return arcs[1][1]
 
     def unknown(self, c: str) -> tuple[str, bytes, float]:
         """The arc of a character that is no piece: its bytes, or the unknown piece where a model has no bytes."""
@@ -174,9 +241,9 @@ class Transducer(dict):
         if cuts:
             found = b"".join(map(self.__getitem__, [chunk[a:b] for a, b in zip([0, *cuts], [*cuts, len(chunk)])]))
         else:
-            found = self.shortest_path(chunk)
+            found = self.only_path(chunk) if self.bpe else self.shortest_path(chunk)
         # What is put together from parts decodes to them if each part does.
-        if (not cuts or self.ever_lost) and b"".join(map(self.output.__getitem__, np.frombuffer(found, np.int32).tolist())) != chunk.replace(META, " ").encode("utf-8", "surrogatepass"):
+        if (not cuts or self.ever_lost) and b"".join(map(self.output.__getitem__, array("i", found))) != chunk.replace(META, " ").encode("utf-8", "surrogatepass"):
             self.lost.add(chunk)
             self.ever_lost = True
         if len(chunk) <= KEPT_LENGTH:
@@ -191,7 +258,6 @@ class Transducer(dict):
         if len(self) >= KEPT_CHUNKS:
             self.older = dict(self)
             self.clear()
-            self.known.clear()
         self[chunk] = found
 
     def encode(self, text: str) -> np.ndarray:

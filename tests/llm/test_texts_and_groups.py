@@ -462,6 +462,41 @@ def test_words_are_found_before_signs_and_beginnings_stay(monkeypatch):
     assert len(machine.paths) + len(machine.older_paths) < 300
 
 
+def test_signs_behind_words_are_chunks_of_their_own():
+    """Also where another character that counts as a letter stands before the sign in a piece."""
+    import sentencepiece
+
+    library, machine = sentencepiece.SentencePieceProcessor(model_file=PIECES), Transducer(load_model(PIECES))
+    assert machine.chunk.findall("▁one.\nNext▁m².▁(é).") == ["▁one", ".\n", "Next", "▁m².", "▁(", "é", ")."]
+    for x in ["one.\nNext m². (é).", "².a", "x².²y", "1.a.1", "▁.▁a.▁", "a.", ".a", "²", "ª.º!"]:
+        assert machine.encode(x).tolist() == library.encode(x), repr(x)
+
+
+def test_the_only_path_is_what_merging_gives(monkeypatch):
+    """Small models, also with letters that are no piece by themselves; few beginnings and pairs are kept."""
+    from gaugeflow.llm import sentencepiece_fst
+
+    monkeypatch.setattr(sentencepiece_fst, "KEPT_PATHS", 4)
+    monkeypatch.setattr(sentencepiece_fst, "KEPT_PAIRS", 5, raising=False)
+    rng = random.Random(5)
+    for singles in ["▁ab", "▁abcd"] * 40:
+        made = []
+        for _ in range(rng.randint(1, 18)):
+            p = rng.choice([*"▁abcd", *made]) + rng.choice([*"abcd", *made])
+            if p not in made and len(p) < 10 and "▁" not in p[1:]:
+                made.append(p)
+        if len(singles) == 5:  # a longer piece may come before its parts
+            rng.shuffle(made)
+        pieces = [("<unk>", 0.0, 0), *((p, -float(i), 1) for i, p in enumerate([*made, *singles]))]
+        machine, ids = Transducer({"bpe": True, "prefix": True, "squeeze": False, "unknown": 0, "pieces": pieces}), {p[0]: i for i, p in enumerate(pieces)}
+        merging = Neighbours(lambda a, b: (ids[a + b], a + b) if a + b in ids else None, list)  # noqa: B023
+        for _ in range(20):
+            x = "".join(rng.choice("aabbccd z") for _ in range(rng.randint(1, 14)))
+            want = [ids.get(t[0], 0) for t in merging.merge(list("▁" + x.replace(" ", "▁")))]
+            assert machine.encode(x).tolist() == want, (x, made)
+        assert len(machine.paths) <= 4 and machine.pairs <= 5
+
+
 def test_workers_drop_what_another_operator_kept():
     """Also what lies in reference cycles goes at once, not when the interpreter happens to look for them."""
     import gc
