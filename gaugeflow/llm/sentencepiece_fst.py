@@ -35,7 +35,7 @@ from gaugeflow.llm.common import no_cycles, sliced, worker_store
 
 META = "▁"
 #: Chunks whose ids and (unigram) beginnings whose compositions a worker keeps, in each of two generations, and characters of one at most.
-KEPT_CHUNKS, KEPT_PATHS, KEPT_LENGTH = 400_000, 40_000, 64
+KEPT_CHUNKS, KEPT_PATHS, KEPT_LENGTH = 250_000, 40_000, 64
 #: First characters of a chunk whose arcs are kept, and pairs of pieces of which a worker keeps whether they can stand side by side.
 BEGINNING, KEPT_PAIRS = 6, 200_000
 #: Fixed value: what an unknown character costs beyond the least score in a unigram model.
