@@ -56,7 +56,8 @@ def with_fields(messages: DataFrame, known: dict[str, int] | None = None) -> Dat
     it is learned from the first messages, with ``{}`` every key is tested in
     place. Messages without an object payload drop out. They do so in a
     generator and not in a filter, which would be pushed down and parse every
-    payload twice.
+    payload twice. ``found`` also comes out of a generator: a filter on what is
+    read from it stays behind and does not scan the fields again.
     """
     known = learned_keys(messages) if known is None else known
     parsed = F.array_compact(F.array(P.parse_payload("payload")))
@@ -64,7 +65,7 @@ def with_fields(messages: DataFrame, known: dict[str, int] | None = None) -> Dat
     return (
         messages.withColumn("_parsed", F.explode(parsed))
         .withColumn("fields", fields)
-        .withColumn("found", found)
+        .withColumn("found", F.explode(F.array(found)))
         .withColumn("objects", R.object_fields("fields"))
         .withColumn("parts", topic_parts("topic"))
         .drop("_parsed")

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gaugeflow.functions.fields import parse_payload
-from gaugeflow.operators.analysis import analyze_messages, filter_topics
+from gaugeflow.operators.analysis import analyze_messages, filter_topics, learned_keys
 from gaugeflow.sources.messages import read_messages, split_undecodable, stored_form, stream_messages
 from gaugeflow.streaming.alerts import emit_alert_events
 from gaugeflow.streaming.live import emit_graph_updates
@@ -17,13 +18,27 @@ from gaugeflow.streaming.live import emit_graph_updates
 MAX_FILES = 1000
 
 
-def monitored(spark: SparkSession, landing: str, max_files: int | None = MAX_FILES, pattern: str | None = None) -> DataFrame:
-    """Analyzed messages of a landing folder, of the topics that meet a pattern, in the layout of the message table."""
+def landed_keys(spark: SparkSession, landing: str) -> dict[str, int]:
+    """The payload keys of messages that have landed, as ``learned_keys`` gives them; none where the folder is not there yet."""
+    try:
+        return learned_keys(read_messages(spark, landing))
+    except AnalysisException:
+        return {}
+
+
+def monitored(
+    spark: SparkSession, landing: str, max_files: int | None = MAX_FILES, pattern: str | None = None, known: dict[str, int] | None = None
+) -> DataFrame:
+    """Analyzed messages of a landing folder, of the topics that meet a pattern, in the layout of the message table.
+
+    ``known`` is a dictionary of payload keys, which saves time and changes no
+    result; without one it is learned from what has landed.
+    """
     raw, _ = split_undecodable(read_messages(spark, landing, streaming=True, max_files=max_files))
     if pattern:
         raw = filter_topics(raw, pattern)
-    known = analyze_messages(raw).filter(F.col("equipment_id") != "unknown")
-    return stored_form(known)
+    known = landed_keys(spark, landing) if known is None else known
+    return stored_form(analyze_messages(raw, known).filter(F.col("equipment_id") != "unknown"))
 
 
 def dead_letters(spark: SparkSession, landing: str, max_files: int | None = MAX_FILES) -> DataFrame:

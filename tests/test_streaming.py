@@ -15,7 +15,7 @@ from gaugeflow.operators.storage import session_stats
 from gaugeflow.streaming import live
 from gaugeflow.streaming import alerts
 from gaugeflow.streaming.alerts import emit_alert_events
-from gaugeflow.streaming.monitor import monitor
+from gaugeflow.streaming.monitor import landed_keys, monitor, monitored
 
 READING = "project_id string, equipment_id string, sensor_type string, topic string, ts timestamp, msg_id long, value double"
 START = datetime(2024, 1, 1)
@@ -144,6 +144,17 @@ def test_monitor(spark, thresholds, tmp_path):
     assert any('"node_status":"idle"' in body for body in pushed[-1])
 
 
+def test_monitor_scans_a_payload_once(spark, tmp_path, capsys):
+    """Filters on what was read from a payload don't read it again, and keys that landed are looked up."""
+    payload = json.dumps({"value": 3, "unit": "mM"})
+    (tmp_path / "a.json").write_text("\n".join(json.dumps({"msg_id": i, "topic": f"cell/{i}/pH", "payload": payload}) for i in range(3)))
+    assert set(landed_keys(spark, str(tmp_path))) == {"value", "unit"} and landed_keys(spark, str(tmp_path / "none")) == {}
+    rows = monitored(spark, str(tmp_path)).filter(F.col("value").isNotNull())
+    rows.explain(True)
+    plan = capsys.readouterr().out.split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0]
+    assert plan.count("aggregate(") == 1 and "keys: [unit,value]" in plan
+
+
 def test_few_rows_of_a_key_give_what_many_do(monkeypatch):
     """Row by row and by runs: the same events and open alerts; a key without breach and state makes no frame."""
     rnd = np.random.default_rng(3)
