@@ -261,11 +261,9 @@ def _(spark, d):
 
 @query("read_documents", sql="SELECT md5(text || chr(10)) AS digest, count(*) AS n FROM documents WHERE regexp_matches(text, '[^ \\t\\n\\x0B\\f\\r]') GROUP BY ALL")
 def _(spark, d):
-    from gaugeflow.sources.documents import read_documents
+    from gaugeflow.sources.documents import read_documents, write_documents
 
     folder = work_folder(spark, "documents")
-    # one file per document, as uploads arrive; the text writer ends every file with a newline. Tasks put their files in place
-    # themselves, as the driver would rename them one by one.
-    files = table(spark, d, "documents").select("text").write.option("maxRecordsPerFile", 1)
-    files.option("mapreduce.fileoutputcommitter.algorithm.version", 2).text(folder)
+    # one file per document, as uploads arrive
+    write_documents(table(spark, d, "documents").select("text"), folder)
     return read_documents(spark, folder).groupBy(F.md5("text").alias("digest")).agg(F.count("*").alias("n"))

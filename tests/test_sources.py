@@ -182,6 +182,41 @@ def test_documents(spark, tmp_path):
     assert got == {"u.txt": "häuser", "l.md": "häuser"}
 
 
+def test_documents_are_listed_by_tasks(spark, tmp_path, capsys):
+    """The same files as Spark's own source finds, at a number of tasks that doesn't grow with the files."""
+    names = ["a.txt", "_a.txt", ".b.md", "_c=1.txt", "d e%20.MD", "x.csv", "g._COPYING_", "_metadata.txt", "up/a.txt", "up/on/b.md", "_off/c.txt", ".off/c.txt", "k=1/d.txt", "dir.txt/e.md", "_metadata/f.txt"]
+    for i, name in enumerate([*names, *(f"many/{i}.txt" for i in range(300))]):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"" if i == 3 else f"häuser {i}\r\n".encode("latin-1" if i % 2 else "utf-8"))
+    rows = documents.read_documents(spark, f"file://{tmp_path}")
+    spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.docs.link./in", f"file://{tmp_path}")
+    by_spark = documents.read_documents(spark, "viewfs://docs/in")
+    assert sorted(rows.collect()) == sorted(by_spark.collect()) and rows.schema == by_spark.schema and rows.count() == 307
+    (tmp_path / "link.txt").symlink_to(tmp_path / "a.txt")
+    (tmp_path / "broken.txt").symlink_to(tmp_path / "none")
+    by_spark = spark.read.format("binaryFile").option("pathGlobFilter", documents.ENDINGS).option("recursiveFileLookup", True).load(str(tmp_path))
+    found = [r.filename for r in documents.read_documents(spark, str(tmp_path)).collect()]
+    assert sorted(found) == sorted(r.path.split("/")[-1] for r in by_spark.filter("length > 0").collect())
+    rows.explain()
+    assert "Scan binaryFile" not in capsys.readouterr().out
+    single = documents.read_documents(spark, str(tmp_path / "a.txt"))
+    assert [(r.filename, r.file_size) for r in single.collect()] == [("a.txt", 11)]
+    assert documents.read_documents(spark, f"{tmp_path}/u*").count() == 2
+
+
+@pytest.mark.parametrize("store", ["", "viewfs://out"])
+def test_each_text_becomes_a_file(spark, tmp_path, store, monkeypatch):
+    monkeypatch.setattr(documents, "FOLDER_FILES", 3)
+    texts = ["a\nb", "", None, " \n", "ö", *["copy"] * 5]
+    spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.out.link./to", f"file://{tmp_path}")
+    path = f"{store}/to/docs" if store else str(tmp_path / "docs")
+    documents.write_documents(spark.createDataFrame([(t,) for t in texts], "text string").repartition(2), path)
+    files = [f for f in (tmp_path / "docs").rglob("*.txt")]
+    assert sorted(f.read_text() for f in files) == sorted((t or "") + "\n" for t in texts)
+    assert store or {len(list(f.parent.iterdir())) for f in files} <= {1, 2, 3}
+    assert sorted(r.text for r in documents.read_documents(spark, path).collect()) == sorted(["a\nb\n", "ö\n", *["copy\n"] * 5])
+
+
 def test_undecodable_lines(spark, tmp_path):
     (tmp_path / "m.json").write_text('{"msg_id":1,"topic":"a","payload":"{}"}\noops\n{"msg_id":2}\n')
     good, bad = messages.split_undecodable(messages.read_messages(spark, str(tmp_path)))
