@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +17,10 @@ KINDS = ("min", "max")
 # Only numbers and one packed key cross to Python: times are microseconds and kinds are 0 (normal), 1 (min), 2 (max).
 NAMES = ("opened_at", "opened_value", "threshold_value", "timestamp", "current_value")
 SLOTS = ("opened_at long", "opened_value double", "threshold_value double", "timestamp long", "current_value double")
-STATE_SCHEMA = ", ".join(f"{k}_{slot}" for k in KINDS for slot in SLOTS)
+#: Keys share a state by their hash, as a call for each key costs far more than its rows do. A checkpoint is bound to this number.
+BUCKETS = 4096
+#: The open alerts of a bucket's keys as JSON, for each key a list of slots by kind.
+STATE_SCHEMA = "open string"
 #: Rows of a key that are taken one by one, which costs less than array operations on so few.
 FEW_ROWS = 100
 EVENT_SCHEMA = f"packed string, kind int, {', '.join(SLOTS)}, resolved_at long"
@@ -48,28 +52,37 @@ def evaluate_stream(readings: DataFrame, thresholds: DataFrame) -> DataFrame:
 
 
 def update_alerts(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Opened and resolved events of one key; its open alerts are the state.
+    """Opened and resolved events of the keys of one bucket; their open alerts are the state.
 
-    The rows of one key in a batch are put in time order; the batch size is
+    The rows of each key in a batch are put in time order; the batch size is
     bounded by the limits of the source.
     """
-    rows = list(parts)
-    columns = {c: np.concatenate([r[c].to_numpy() for r in rows]) for c in ("at", "msg_id", "value", "kind", "threshold_value")}
-    if not state.exists and not columns["kind"].any():
+    rows = [r for r in parts if len(r)]
+    if not rows or (not state.exists and not any(r["kind"].to_numpy().any() for r in rows)):
         return
-    order = np.lexsort((columns["msg_id"], columns["at"]))
-    saved = state.get if state.exists else (None,) * (len(KINDS) * len(NAMES))
-    slots = [saved[i * len(NAMES) : (i + 1) * len(NAMES)] for i in range(len(KINDS))]
-    carried = {k + 1: None if pd.isna(slot[0]) else list(slot) for k, slot in enumerate(slots)}
-    events, carried = advance({c: v[order] for c, v in columns.items()}, carried)
-    if any(carried.values()):
-        state.update(tuple(v for k in carried for v in (carried[k] or [None] * len(NAMES))))
+    columns = {c: np.concatenate([r[c].to_numpy() for r in rows]) for c in ("at", "msg_id", "value", "kind", "threshold_value")}
+    codes, names = pd.factorize(np.concatenate([r["packed"].to_numpy() for r in rows]))
+    order = np.lexsort((columns["msg_id"], columns["at"], codes))
+    codes, columns = codes[order], {c: v[order] for c, v in columns.items()}
+    starts = np.flatnonzero(np.append(True, codes[1:] != codes[:-1]))
+    ends, breached = np.append(starts[1:], len(codes)), np.maximum.reduceat(columns["kind"], starts) > 0
+    opened, events = json.loads(state.get[0]) if state.exists else {}, []
+    for name, a, e, any_breach in zip(names, starts.tolist(), ends.tolist(), breached.tolist()):
+        held = opened.pop(name, None)
+        if not any_breach and held is None:
+            continue
+        found, left = advance({c: v[a:e] for c, v in columns.items()}, dict(enumerate(held or [None] * len(KINDS), 1)))
+        events += [[name, *event] for event in found]
+        if any(left.values()):
+            opened[name] = list(left.values())
+    if opened:
+        state.update((json.dumps(opened),))
     elif state.exists:
         state.remove()
     if events:
-        # one small frame for each key, of a single block, which takes far less time to make than typed columns
+        # one frame of a single block, which takes far less time to make than typed columns
         out = np.empty((len(events), 2 + len(NAMES) + 1), object)
-        out[:] = [[key[0], *event] for event in events]
+        out[:] = events
         yield pd.DataFrame(out, columns=["packed", "kind", *NAMES, "resolved_at"])
 
 
@@ -125,14 +138,15 @@ def _advance_by_row(columns: dict, carried: dict) -> tuple[list, dict]:
 def alert_stream(readings: DataFrame, thresholds: DataFrame) -> DataFrame:
     """Opened and resolved alert events of a stream of readings (append mode).
 
-    A key's rows of one batch meet in one task, so give the source a limit
+    The rows of a batch in a key's bucket meet in one task, so give the source a limit
     (``maxFilesPerTrigger`` or ``maxBytesPerTrigger``).
     """
     kind = F.when(F.col("kind") == "min", 1).when(F.col("kind") == "max", 2).otherwise(0)
     numeric = evaluate_stream(readings, thresholds).select(
         F.to_json(F.struct(*ALERT_KEY)).alias("packed"), F.unix_micros("ts").alias("at"), "msg_id", "value", kind.alias("kind"), "threshold_value"
     )
-    events = numeric.groupBy("packed").applyInPandasWithState(update_alerts, EVENT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+    bucketed = numeric.withColumn("bucket", F.pmod(F.xxhash64("packed"), F.lit(BUCKETS)))
+    events = bucketed.groupBy("bucket").applyInPandasWithState(update_alerts, EVENT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
     times = ("opened_at", "timestamp", "resolved_at")
     return finish_alerts(
         events.select(

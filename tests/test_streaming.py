@@ -155,6 +155,32 @@ def test_monitor_scans_a_payload_once(spark, tmp_path, capsys):
     assert plan.count("aggregate(") == 1 and "keys: [unit,value]" in plan
 
 
+def test_keys_of_a_bucket_keep_their_own_alerts(monkeypatch):
+    """Keys that share a state give the events that each gives alone, over several batches."""
+
+    class State:
+        exists, get = False, None
+
+        def update(self, value):
+            self.exists, self.get = True, value
+
+        def remove(self):
+            self.exists, self.get = False, None
+
+    rnd = np.random.default_rng(5)
+    shared, alone = State(), {name: State() for name in "abcdefgh"}
+    for n in (40, 1, 200, 3, 60):
+        kind = rnd.choice([0, 0, 0, 1, 2], n)
+        rows = pd.DataFrame({
+            "packed": rnd.choice(list(alone), n), "at": rnd.integers(0, 20, n), "msg_id": rnd.permutation(n), "value": rnd.random(n),
+            "kind": kind, "threshold_value": np.where(kind > 0, kind / 2, np.nan),
+        })
+        together = [e for frame in alerts.update_alerts((0,), iter([rows[: n // 2], rows[n // 2 :]]), shared) for e in frame.values.tolist()]
+        each = [e for name, state in alone.items() for frame in alerts.update_alerts((0,), iter([rows[rows.packed == name]]), state) for e in frame.values.tolist()]
+        assert sorted(together, key=str) == sorted(each, key=str) and (n < 10 or together)
+        assert set(json.loads(shared.get[0]) if shared.exists else {}) == {name for name, state in alone.items() if state.exists}
+
+
 def test_few_rows_of_a_key_give_what_many_do(monkeypatch):
     """Row by row and by runs: the same events and open alerts; a key without breach and state makes no frame."""
     rnd = np.random.default_rng(3)
